@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from driftglass.llm import chat, licenses, mixing
+from driftglass.llm import chat, licenses, line_dedup, mixing, packing
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1,
+    "op5_best_fit_packing": packing.op5,
     "op8_license_scan": licenses.op8,
     "op9_mix_sources": mixing.op9,
     "op10_chat_format": chat.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_line_dedup": line_dedup.ORACLE,
+}
