@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from driftglass.llm import chat, licenses, line_dedup, mixing, packing
+from driftglass.llm import chat, licenses, line_dedup, media, mixing, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op5_best_fit_packing": packing.op5,
+    "op7_media_columns": media.op7,
     "op8_license_scan": licenses.op8,
     "op9_mix_sources": mixing.op9,
     "op10_chat_format": chat.op10,
