@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from driftglass.llm import chat, licenses, line_dedup, media, mixing, packing
+from driftglass.llm import chat, licenses, line_dedup, media, minhash, mixing, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
+    "op4_minhash_near_dedup": minhash.op4,
     "op5_best_fit_packing": packing.op5,
     "op7_media_columns": media.op7,
     "op8_license_scan": licenses.op8,
@@ -14,4 +15,5 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op4_minhash_near_dedup": minhash.ORACLE,
 }
