@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from driftglass.llm import chat, licenses, line_dedup, media, minhash, mixing, packing
+from driftglass.llm import chat, licenses, line_dedup, media, minhash, mixing, packing, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
+    "op2_toxicity": toxicity.op2,
     "op4_minhash_near_dedup": minhash.op4,
     "op5_best_fit_packing": packing.op5,
+    "op6_quality": quality.op6,
     "op7_media_columns": media.op7,
     "op8_license_scan": licenses.op8,
     "op9_mix_sources": mixing.op9,
