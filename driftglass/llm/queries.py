@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from driftglass.llm import chat, licenses, line_dedup, media, minhash, mixing, packing, quality, toxicity
+from driftglass.llm import chat, embedding_dedup, licenses, line_dedup, media, minhash, mixing, packing, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_toxicity": toxicity.op2,
+    "op3_embedding_near_dedup": embedding_dedup.op3,
     "op4_minhash_near_dedup": minhash.op4,
     "op5_best_fit_packing": packing.op5,
     "op6_quality": quality.op6,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op3_embedding_near_dedup": embedding_dedup.ORACLE,
     "op4_minhash_near_dedup": minhash.ORACLE,
 }
