@@ -3,10 +3,11 @@
 Kernel of two tokens: their common subsequences of LETTERS letters, each weighted by DECAY to the length that it spans in both,
 normalised and squared. So an insult with letters put in between, left out or stretched stays close to the insult.
 
-A sentence is as toxic as its most toxic token, a document as its most toxic sentence. Sentences carry the label of their
-document; in a toxic document the machine itself says which token of which sentence made it so, first by log odds, then by its
-own decision (a latent SVM), while every token of a clean sentence is a negative example. Decisions are calibrated to
-probabilities on the documents.
+A sentence is as toxic as its most toxic token. Sentences carry the label of their document; in a toxic document the machine
+itself says which token of which sentence made it so, first by how telling it is, then by its own decision (a latent SVM), while
+every token of a clean sentence is a negative example. A document's TOP highest decisions over its distinct tokens and its length
+give its probability, by a logistic regression on the documents: one token that is close to an insult by chance is little in a
+long text, several are much.
 
 Training takes at most `train_rows` documents of each label, chosen by a hash of their id among the labelled rows that are not
 held out, and at most HARD negative tokens, those nearest to the landmarks; both bounds are parameters. Scoring reads every whole
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,7 @@ from driftglass.llm.common import held_out, staged, table
 LETTERS, DECAY = 3, 0.6
 #: Letters in the stems whose odds, beside those of whole tokens, tell which tokens are likely landmarks.
 STEM = 4
+TOP = 5
 TRAIN_ROWS, LANDMARKS, PLAIN, HARD, A_DOCUMENT, FEWEST = 2500, 24, 4, 20_000, 6, 8
 #: Longer tokens are read as windows of WINDOW letters that overlap by half.
 WINDOW = 24
@@ -108,8 +111,7 @@ class Model:
     landmarks: list[str]
     weights: np.ndarray  # on kernel values, the Nyström map folded in
     bias: float
-    slope: float
-    offset: float
+    head: np.ndarray  # of the logistic regression, its constant last
 
     def decide(self, words: list[str]) -> np.ndarray:
         """A decision for each word."""
@@ -120,16 +122,18 @@ class Model:
         got = kernel(flat, self.landmarks) @ self.weights + self.bias
         return np.maximum.reduceat(got, np.cumsum([0, *map(len, parts[:-1])]))
 
-    def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.offset, -30, 30)))
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        x = np.hstack([features, np.ones((len(features), 1))])
+        return 1 / (1 + np.exp(-np.clip(x @ self.head, -30, 30)))
 
 
 _cache: dict[str, float] = {}
 _cached: list[bytes] = [b""]
 
 
-def decisions(model: Model, texts: Iterable[str | None]) -> list[float]:
-    """The highest decision over each text's tokens; without tokens, the decision of a token like no landmark."""
+def features(model: Model, texts: Iterable[str | None]) -> np.ndarray:
+    """A row for each text: its TOP highest decisions over distinct tokens, filled up with the decision of a token like no
+    landmark, and the logarithm of its number of distinct tokens."""
     if _cached[0] != (tag := model.weights.tobytes() + "\0".join(model.landmarks).encode() + np.float64(model.bias).tobytes()):
         _cache.clear()
         _cached[0] = tag
@@ -138,7 +142,8 @@ def decisions(model: Model, texts: Iterable[str | None]) -> list[float]:
         _cache.clear()
     new = list(set().union(*own) - _cache.keys())
     _cache.update(zip(new, model.decide(new).tolist(), strict=True))
-    return [max(map(_cache.__getitem__, t), default=model.bias) for t in own]
+    top = [nlargest(TOP, map(_cache.__getitem__, t)) for t in own]
+    return np.array([[*t, *[model.bias] * (TOP - len(t)), np.log1p(len(w))] for t, w in zip(top, own, strict=True)], float).reshape(-1, TOP + 1)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -155,21 +160,18 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
-def _platt(decision: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    n1, n0 = y.sum(), (1 - y).sum()
-    goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights, constant last, by Newton steps; the labels weigh as they come."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    keep = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
+    w = np.zeros(x.shape[1])
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * decision + b, -30, 30)))
-        g = np.array([((p - goal) * decision).sum() + 1e-3 * (a - 1), (p - goal).sum()])
-        s = p * (1 - p) + 1e-9
-        h = np.array([[(s * decision**2).sum() + 1e-3, (s * decision).sum()], [(s * decision).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        step *= min(1, 2 / max(np.abs(step).max(), 1e-9))
-        a, b = a - step[0], b - step[1]
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + keep, x.T @ (p - y) + keep @ w)
+        w -= step * min(1, 3 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-7:
             break
-    return max(a, 1e-3), b
+    return w
 
 
 def _sample(labels: DataFrame, rows: int) -> DataFrame:
@@ -204,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
     words = staged(words, "toxic-words")
     sizes = dict(rows.groupBy("toxic").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    none = Model(["\0\0\0"], np.zeros(1), 0.0, 1.0, -30.0)
+    none = Model(["\0\0\0"], np.zeros(1), 0.0, np.array([0.0] * (TOP + 1) + [-30.0]))
     if not n1 or not n0:
         return none
     # How much likelier the word's rows are under its own share of toxic documents than under the sample's: chance alone gives
@@ -220,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
     near = np.sqrt(kernel(names, names))
     taken: list[int] = []
     for i in range(len(names)):
-        if len(taken) < landmarks and (not taken or near[i, taken].max() < 0.7):
+        if len(taken) < landmarks and (not taken or near[i, taken].max() < 0.5):
             taken.append(i)
     plain = [r["word"] for r in words.where("whole and bad = 0").orderBy(F.col("good").desc(), "word").limit(PLAIN).collect() if len(r["word"]) <= WINDOW]
     marks = [names[i] for i in taken] + plain
@@ -233,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
         """How telling a token is, or the most telling of its stems."""
         return max([weight.get((True, w), 0.0), *(weight.get((False, w[i : i + STEM]), 0.0) for i in range(len(w) - STEM + 1))]) / most
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             flat = batch.word.tolist()
             cut = [windows(w) for w in flat]
@@ -241,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
             best = [int(np.argmax(k[a : a + len(ps), :lead].max(1))) + a for ps, a in zip(cut, np.cumsum([0, *map(len, cut[:-1])]), strict=True)] if flat else []
             yield pd.DataFrame({"word": flat, "near": k[best, :lead].max(1).astype(float) if flat else [], "x": [r.tolist() for r in k[best].astype(float)] if flat else []})
 
-    hard = words.where("whole and bad = 0").select("word").mapInPandas(features, "word string, near double, x array<double>").orderBy(F.col("near").desc(), "word").limit(HARD).collect()
+    hard = words.where("whole and bad = 0").select("word").mapInPandas(compared, "word string, near double, x array<double>").orderBy(F.col("near").desc(), "word").limit(HARD).collect()
 
     def latent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -271,14 +273,14 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
         cost = np.where(y > 0, COST * max(1.0, len(negative) / max(1, len(first))) ** 0.5, COST)
         w = _svm(x, y, cost)
         lift = np.hstack([cand, np.ones((len(cand), 1))]) @ w
-    model = Model(marks, to_features @ w[:-1], float(w[-1]), 1.0, 0.0)
+    model = Model(marks, to_features @ w[:-1], float(w[-1]), np.zeros(TOP + 2))
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch.toxic, "d": decisions(model, batch.text)})
+            yield pd.DataFrame({"toxic": batch.toxic, "x": features(model, batch.text).tolist()})
 
-    seen = rows.select("toxic", "text").mapInPandas(decide, "toxic int, d double").collect()
-    model.slope, model.offset = _platt(np.array([r["d"] for r in seen]), np.array([float(r["toxic"]) for r in seen]))
+    seen = rows.select("toxic", "text").mapInPandas(measure, "toxic int, x array<double>").collect()
+    model.head = _logistic(np.array([r["x"] for r in seen]), np.array([float(r["toxic"]) for r in seen]))
     return model
 
 
@@ -292,7 +294,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = model.probability(np.array(decisions(model, batch.column(text).to_pylist()), float))
+            got = model.probability(features(model, batch.column(text).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, "toxicity"])
 
     docs = docs.drop("toxicity")
