@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftglass.session import staged
+
 
 def both_ways(links: DataFrame) -> DataFrame:
     """(a, b) in either direction, once."""
@@ -14,14 +16,17 @@ def both_ways(links: DataFrame) -> DataFrame:
 def flood(links: DataFrame, origins: DataFrame, ttl: int) -> DataFrame:
     """(origin, node, hops): what a flood that each node passes on once reaches within ttl hops, the origin at 0.
 
-    One join for each hop; nodes that are reached already drop out, so the frontier, and not the graph, is what travels.
+    One join for each hop; nodes that are reached already drop out, so the frontier, and not the graph, is what travels. Each
+    hop is staged, and an empty one is the last.
     """
-    edges = both_ways(links)
-    seen = origins.select(F.col("node").alias("origin"), "node", F.lit(0).alias("hops"))
+    edges = staged(both_ways(links), "links")
+    seen = staged(origins.select(F.col("node").alias("origin"), "node", F.lit(0).alias("hops")), "flood")
     frontier = seen
     for hop in range(1, ttl + 1):
         step = frontier.join(edges, frontier["node"] == edges["a"]).select("origin", F.col("b").alias("node")).distinct()
-        frontier = step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        frontier = staged(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("hops", F.lit(hop)), "flood")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -6,7 +6,6 @@ accesses: lineitem. Packets and beacons: events.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from driftglass.functions import codec, hashing, identity, text, vectors
 from driftglass.operators import ingest, lexical, placement, search, state
 from driftglass.plans import graph
-from driftglass.session import table
+from driftglass.session import shared_dir, table
 from driftglass.streaming import jobs
 
 QUERIES: dict = {}
@@ -460,23 +459,13 @@ def text_tidy(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream(spark: SparkSession, rows: DataFrame, job, mode: str = "append") -> DataFrame:
     """What a streaming job makes of rows, all of them read as a stream from the shared folder and written back there."""
-    root = f"{_shared(spark)}/driftglass/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/driftglass/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{root}/in")
     source = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
     job(source).writeStream.outputMode(mode).format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
-_own = ""
-
-
-def _shared(spark: SparkSession) -> str:
-    global _own
-    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
-        root = _own = _own or "file://" + tempfile.mkdtemp(prefix="driftglass-stream-")
-    return root.rstrip("/")
-
-
 @query("SELECT DISTINCT user_id * 1000 + floor(value)::BIGINT AS msg_id FROM events")
 def dedup_stream(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select((F.col("user_id") * 1000 + F.floor("value")).alias("msg_id"), F.col("ts").cast("timestamp").alias("ts"))

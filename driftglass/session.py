@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,3 +22,21 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own = ""
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
+    global _own
+    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
+        root = _own = _own or "file://" + tempfile.mkdtemp(prefix="driftglass-")
+    return root.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back: lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/driftglass/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
