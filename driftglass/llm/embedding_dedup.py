@@ -27,9 +27,9 @@ from driftglass.llm.minhash import in_blocks
 
 SIMILAR = 0.98
 #: Rows that centroids are fitted on, classes that a shard has on average, and shards that a class goes to.
-SAMPLE, SHARD, OVERLAP, MARGIN, BLOCK = 40_000, 300, 4, 0.09, 1024
+SAMPLE, SHARD, OVERLAP, MARGIN, BLOCK = 40_000, 300, 3, 0.05, 1024
 #: Neighbours, slack of the pruning, width of the greedy search, and how far below the range it goes on expanding.
-DEGREE, ALPHA, BEAM, BEYOND = 24, 1.2, 12, 0.04
+DEGREE, ALPHA, BEAM, BEYOND = 24, 1.2, 8, 0.04
 
 
 def usable(vector: Column, label: Column) -> Column:
@@ -115,27 +115,43 @@ def graph(v: np.ndarray) -> list[np.ndarray]:
     return lists
 
 
-def found_near(v: np.ndarray, lists: list[np.ndarray], start: int, q: int, least: float = SIMILAR) -> list[int]:
-    """What a range-expanding greedy search for q finds, from `start`: rows of cosine `least` or more, q left out."""
-    target = v[q]
-    near = {start: float(v[start] @ target)}
-    todo = [(-near[start], start)]
-    wide, beam = [near[start]], BEAM
+def found_near(v: np.ndarray, lists: list[np.ndarray], start: int, q: int, least: float = SIMILAR) -> np.ndarray:
+    """What a range-expanding greedy search for q finds: rows of cosine `least` or more, q left out.
+
+    First greedily from `start`, best row first, until the BEAM best rows are expanded. Then all rows in range or nearly so,
+    q among them, are expanded wave by wave, until a wave finds no further one.
+    """
+    target, seen = v[q], np.zeros(len(v), bool)
+    seen[[start, q]] = True
+    near = float(v[start] @ target)
+    todo, wide = [(-near, start)], [near]
+    rows, cosines = [np.array([start])], [np.array([near])]
+
+    def met(new: np.ndarray) -> np.ndarray:
+        new = np.unique(new[~seen[new]])
+        seen[new] = True
+        rows.append(new)
+        cosines.append(v[new] @ target)
+        return cosines[-1]
+
     while todo:
         far, p = heapq.heappop(todo)
-        if -far < wide[0] and len(wide) >= beam and -far < least - BEYOND:
+        if len(wide) >= BEAM and -far < wide[0]:
             break
-        new = [x for x in lists[p].tolist() if x not in near]
-        if not new:
-            continue
-        for x, s in zip(new, (v[new] @ target).tolist(), strict=True):
-            near[x] = s
-            if len(wide) < beam or s > wide[0] or s >= least - BEYOND:
+        found = met(lists[p])
+        for x, s in zip(rows[-1].tolist(), found.tolist(), strict=True):
+            if len(wide) < BEAM or s > wide[0]:
                 heapq.heappush(todo, (-s, x))
                 heapq.heappush(wide, s)
-                if len(wide) > beam:
+                if len(wide) > BEAM:
                     heapq.heappop(wide)
-    return [x for x, s in near.items() if s >= least and x != q]
+    at, s = np.concatenate(rows), np.concatenate(cosines)
+    wave = np.append(at[s >= least - BEYOND], q)
+    while len(wave):
+        s = met(np.concatenate([lists[i] for i in wave.tolist()]))
+        wave = rows[-1][s >= least - BEYOND]
+    at, s = np.concatenate(rows), np.concatenate(cosines)
+    return at[(s >= least) & (at != q)]
 
 
 def medoid(v: np.ndarray) -> int:
@@ -160,7 +176,7 @@ def _placed(classes: DataFrame, centroids: dict[tuple, np.ndarray]) -> DataFrame
     rows = classes.select("rep", "label", "embedding", "copies").mapInArrow(assign, "rep long, label int, embedding array<double>, copies long, shards array<int>")
     rows = rows.withColumns({"shard": F.explode("shards"), "dim": F.size("embedding")})
     sizes = rows.groupBy("label", "dim", "shard").agg(F.count(F.lit(1)).alias("n"))
-    return in_blocks(rows.join(sizes, ["label", "dim", "shard"]), "shard", F.col("rep"), F.col("n"), BLOCK // 2).withColumn("side", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / (BLOCK // 2))).cast("int"))
+    return in_blocks(rows.join(sizes, ["label", "dim", "shard"]), "shard", F.col("rep"), F.col("n"), BLOCK).withColumn("side", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("int"))
 
 
 GROUP = ("label", "dim", "shard", "ij")
@@ -200,12 +216,18 @@ def near_vectors(vectors: DataFrame, *, audit: bool = False) -> tuple[DataFrame,
         row = {r: i for i, r in enumerate(ids)}
         lists = [np.array([row[x] for x in own if x in row], np.int64) for own in pdf.next]
         start, shard, sides = medoid(v), pdf.shard.iloc[0], pdf.side.to_numpy()
-        cross = pdf.ij.iloc[0]["i"] != pdf.ij.iloc[0]["j"]
+        cross = np.bool_(pdf.ij.iloc[0]["i"] != pdf.ij.iloc[0]["j"])
         first = [frozenset(s) for s in pdf.shards]
-        pairs: set[tuple[int, int]] = set()
-        for q in range(len(v)):
-            pairs.update((min(q, x), max(q, x)) for x in found_near(v, lists, start, q))
-        links, root, edges = np.zeros(len(v), np.int64), list(range(len(v))), {}
+        found = [found_near(v, lists, start, q) for q in range(len(v))]
+        a = np.repeat(np.arange(len(v)), [len(x) for x in found])
+        b = np.concatenate(found)
+        pairs = np.unique(np.minimum(a, b) * len(v) + np.maximum(a, b))
+        a, b = pairs // len(v), pairs % len(v)
+        ours = np.array([min(first[x] & first[y]) == shard for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+        a, b = (x[ours & (~cross | (sides[a] != sides[b]))] for x in (a, b))
+        copies = pdf.copies.to_numpy()
+        links = np.bincount(a, copies[b], len(v)) + np.bincount(b, copies[a], len(v))
+        root, edges = list(range(len(v))), {}
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -213,16 +235,11 @@ def near_vectors(vectors: DataFrame, *, audit: bool = False) -> tuple[DataFrame,
                 x = root[x]
             return x
 
-        copies = pdf.copies.to_numpy()
-        for a, b in pairs:
-            if cross and sides[a] == sides[b] or min(first[a] & first[b]) != shard:
-                continue
-            links[a] += copies[b]
-            links[b] += copies[a]
-            if find(a) != find(b):
-                edges.setdefault(a, []).append(int(ids[b]))
-                root[find(a)] = find(b)
-        return pd.DataFrame({"rep": ids, "n_links": links, "other": [edges.get(i) for i in range(len(v))]})[columns]
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            if find(x) != find(y):
+                edges.setdefault(x, []).append(int(ids[y]))
+                root[find(x)] = find(y)
+        return pd.DataFrame({"rep": ids, "n_links": links.astype(np.int64), "other": [edges.get(i) for i in range(len(v))]})[columns]
 
     got = placed.join(united, "rep").select(*GROUP, "side", "rep", "embedding", "copies", "shards", "next").groupBy(*GROUP).applyInPandas(search, "rep long, n_links long, other array<long>")
     got = staged(got, "vector-links")

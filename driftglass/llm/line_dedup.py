@@ -218,8 +218,8 @@ class Index:
         which lose nothing. Kept lines are joined by \\n as they were."""
         rows = docs.drop("n_lines", "n_dropped", "kept_sha256")
         own = [c for c in rows.columns if c != "text"]
-        drops = self.drops(min_docs).select(F.col("doc_id").alias("_id"), "keys")
-        rows = rows.join(drops, F.col("doc_id") == F.col("_id"), "left").select(F.struct(*own).alias("own"), F.col("text").cast("string"), "keys")
+        rows = rows.select(F.struct(*own).alias("own"), F.col("text").cast("string"), "doc_id")
+        rows = rows.join(self.drops(min_docs), "doc_id", "left").select("own", "text", "keys")
         kind = pa.string()
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

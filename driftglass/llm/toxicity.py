@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from heapq import nlargest
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,9 @@ TOP = 5
 TRAIN_ROWS, LANDMARKS, PLAIN, HARD, A_DOCUMENT, FEWEST = 2500, 24, 4, 20_000, 6, 8
 #: Longer tokens are read as windows of WINDOW letters that overlap by half.
 WINDOW = 24
-RIDGE, COST, CACHE = 1e-3, 1.0, 400_000
+RIDGE, COST = 1e-3, 1.0
+#: Decisions that a worker remembers, and texts whose tokens it holds at a time.
+CACHE, A_TIME = 300_000, 256
 
 _MARKS = {ord(c): None for c in ".,;:!?-_*'\"()[]{}<>/\\|~^+=#$%&@`…·"}
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
@@ -81,28 +84,51 @@ def _common(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """(len(words), len(landmarks)): the kernel. A pair that shares too few letters for a common subsequence is 0 unlooked."""
+    """(len(words), len(landmarks)): the kernel.
+
+    The landmarks' subsequences are few, so a word's subsequences are looked up among them, all words of a length at once; the
+    words without any are 0, and only the others need their norm.
+    """
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    marks = [_codes([m]) for m in landmarks]
-    own = [float(_common(c, c)[0]) for c in marks]
-    letters = {c: i for i, c in enumerate(sorted(set("".join(landmarks)))[:63])}
-    bits = lambda w: sum({1 << letters.get(c, 63) for c in w})
-    masks = np.array([bits(m) & ~(1 << 63) for m in landmarks], np.uint64)
-    least = [LETTERS if len(set(m)) == len(m) and set(m) <= letters.keys() else 1 for m in landmarks]
+    letter = {c: i for i, c in enumerate(sorted(set("".join(landmarks))), 1)}
+    base = len(letter) + 1
+    weight: dict[int, dict[int, float]] = {}
+    for j, mark in enumerate(landmarks):
+        own: dict[int, float] = {}
+        for x, y, z in combinations(range(len(mark)), LETTERS):
+            code = (letter[mark[x]] * base + letter[mark[y]]) * base + letter[mark[z]]
+            own[code] = own.get(code, 0.0) + DECAY ** (z - x + 1)
+        size = np.sqrt(sum(w * w for w in own.values())) or 1.0
+        for code, w in own.items():
+            weight.setdefault(code, {})[j] = w / size
+    place = np.zeros(base**LETTERS, np.int32)  # 0: no landmark has it
+    table = np.zeros((len(weight) + 1, len(landmarks)), np.float32)
+    for i, (code, row) in enumerate(weight.items(), 1):
+        place[code] = i
+        table[i, list(row)] = list(row.values())
+    code_of = np.zeros(0x110000, np.int16)
+    for c, i in letter.items():
+        code_of[ord(c)] = i
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         if len(w) >= LETTERS:
             by.setdefault(len(w), []).append(i)
     for size, all_rows in by.items():
-        for at in range(0, len(all_rows), 20_000):
-            rows = np.array(all_rows[at : at + 20_000])
-            codes = _codes([words[i] for i in rows])
-            norm = np.sqrt(np.maximum(_common(codes, codes), 1e-12))
-            masked = np.array([bits(words[i]) for i in rows], np.uint64)
-            for j, mark in enumerate(marks):
-                near = np.flatnonzero(np.bitwise_count(masked & masks[j]) >= least[j])
-                if len(near) and mark.shape[1] >= LETTERS and own[j] > 0:
-                    out[rows[near], j] = _common(codes[near], mark) / (norm[near] * np.sqrt(own[j]))
+        x, y, z = np.array(list(combinations(range(size), LETTERS))).T
+        spans = (DECAY ** (z - x + 1.0)).astype(np.float32)
+        step = max(1, 2_000_000 // len(x))
+        for at in range(0, len(all_rows), step):
+            rows = np.array(all_rows[at : at + step])
+            points = _codes([words[i] for i in rows])
+            a = code_of[points].astype(np.int32)
+            found = place[(a[:, x] * base + a[:, y]) * base + a[:, z]]
+            row, which = np.nonzero(found)
+            if not len(row):
+                continue
+            hit, first = np.unique(row, return_index=True)
+            sums = np.add.reduceat(table[found[row, which]] * spans[which][:, None], first)
+            norm = np.sqrt(np.maximum(_common(points[hit], points[hit]), 1e-12))
+            out[rows[hit]] = sums / norm[:, None]
     return out**2
 
 
@@ -137,13 +163,17 @@ def features(model: Model, texts: Iterable[str | None]) -> np.ndarray:
     if _cached[0] != (tag := model.weights.tobytes() + "\0".join(model.landmarks).encode() + np.float64(model.bias).tobytes()):
         _cache.clear()
         _cached[0] = tag
-    own = [tokens(t) if t else set() for t in texts]
-    if len(_cache) > CACHE:
-        _cache.clear()
-    new = list(set().union(*own) - _cache.keys())
-    _cache.update(zip(new, model.decide(new).tolist(), strict=True))
-    top = [nlargest(TOP, map(_cache.__getitem__, t)) for t in own]
-    return np.array([[*t, *[model.bias] * (TOP - len(t)), np.log1p(len(w))] for t, w in zip(top, own, strict=True)], float).reshape(-1, TOP + 1)
+    rows = []
+    texts = list(texts)
+    for at in range(0, len(texts), A_TIME):
+        own = [tokens(t) if t else set() for t in texts[at : at + A_TIME]]
+        if len(_cache) > CACHE:
+            _cache.clear()
+        new = list(set().union(*own) - _cache.keys())
+        _cache.update(zip(new, model.decide(new).tolist(), strict=True))
+        top = [nlargest(TOP, map(_cache.__getitem__, t)) for t in own]
+        rows += [[*t, *[model.bias] * (TOP - len(t)), np.log1p(len(w))] for t, w in zip(top, own, strict=True)]
+    return np.array(rows, float).reshape(-1, TOP + 1)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -248,11 +278,16 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
     def latent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, text in zip(batch.doc_id, batch.text, strict=True):
-                own = sorted({w for s in sentences(text) for w in tokens(s) if LETTERS <= len(w) <= WINDOW})
-                k = kernel(own, marks)
-                lift = k[:, :lead].max(1) + np.array([2 * told_of(w) for w in own]) if own else np.zeros(0)
-                out += [(doc, own[i], float(lift[i]), k[i].astype(float).tolist()) for i in np.argsort(-lift)[:A_DOCUMENT]]
+            for at in range(0, len(batch), A_TIME):
+                part = batch.iloc[at : at + A_TIME]
+                own = [sorted({w for s in sentences(t) for w in tokens(s) if LETTERS <= len(w) <= WINDOW}) for t in part.text]
+                all_of = sorted(set().union(*own))
+                place = {w: i for i, w in enumerate(all_of)}
+                k = kernel(all_of, marks)
+                lift = k[:, :lead].max(1) + np.array([2 * told_of(w) for w in all_of]) if all_of else np.zeros(0)
+                for doc, ws in zip(part.doc_id, own, strict=True):
+                    rows_of = np.array([place[w] for w in ws], int)
+                    out += [(doc, all_of[i], float(lift[i]), k[i].astype(float).tolist()) for i in rows_of[np.argsort(-lift[rows_of], kind="stable")[:A_DOCUMENT]]]
             yield pd.DataFrame(out, columns=["doc_id", "word", "lift", "x"])
 
     bags = rows.where("toxic = 1").select("doc_id", "text").mapInPandas(latent, "doc_id long, word string, lift double, x array<double>").collect()
