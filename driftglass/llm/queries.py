@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftglass.llm import chat, embedding_dedup, licenses, line_dedup, media, minhash, mixing, packing, quality, toxicity
+from driftglass.llm import chat, embedding_dedup, licenses, line_dedup, media, minhash, mixing, oracles, packing, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -20,4 +20,4 @@ ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_embedding_near_dedup": embedding_dedup.ORACLE,
     "op4_minhash_near_dedup": minhash.ORACLE,
-}
+} | oracles.ORACLES
