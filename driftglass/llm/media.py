@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from driftglass.llm.common import scratch, staged, table
 
-ROW, WIDTH, LEVEL = 192, 64, 1
+ROW, WIDTH, LEVEL = 192, 64, 6
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # signature and IHDR
 
