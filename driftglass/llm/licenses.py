@@ -95,7 +95,8 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
             both = F.array_intersect(a["at"], x["at"])
             return F.when(F.size(both) > 0, F.struct(both.alias("at"), (a["sum"] + x["idf"]).alias("sum"))).otherwise(a)
 
-        share = F.aggregate(lists, start, fit, lambda a: a["sum"] / sum(idf[w] for w in ws))
+        whole = reduce(lambda a, w: a + idf[w], ws, 0.0)  # in the order of the fold, so that a whole match scores exactly 1
+        share = F.aggregate(lists, start, fit, lambda a: a["sum"] / whole)
         scores[f"s{i}"] = F.when(F.size(f"k{i}") > 0, share).otherwise(0.0)
     rows = rows.withColumns(scores)
     places = F.concat(*base)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftglass.llm import chat, components, embedding_dedup, licenses, line_dedup, media, minhash, mixing, packing, quality, toxicity
+from driftglass.llm import chat, components, embedding_dedup, licenses, line_dedup, media, minhash, mixing, oracles, packing, quality, queries, toxicity
 from driftglass.llm.common import held_out
 
 DATA = "/root/testdata/sf0.001"
@@ -49,6 +49,17 @@ def test_sql(spark, name, columns):
     assert sorted(tuple(r[n] for n in names) for r in got) == sorted(said.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_plain_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    said = con.execute(oracles.ORACLES[name])
+    names = [c[0] for c in said.description]
+    got = [tuple(r[n] for n in names) for r in queries.QUERIES[name](spark, DATA).collect()]
+    assert sorted(got, key=str) == sorted(said.fetchall(), key=str)
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_line_dedup_edges(spark, extra):
     docs = frame(spark, EDGES, extra)
