@@ -1,13 +1,13 @@
 """Embedding near-dedup over a robust-pruned flat graph (operator 3).
 
 1. Vectors that are equal, of one label, are one class; from here on a class is one vector.
-2. Overlapping shards: centroids are fitted on a bounded sample; a class goes to every centroid of its label that is nearly as
-   near as the nearest, to OVERLAP at most. A large shard is dealt out as pairs of blocks.
-3. In each shard every vector gets a robust-pruned adjacency list. A vector's lists from all its shards are united.
-4. In each shard every vector is searched for, greedily from the shard's medoid, and the search then expands through all that it
-   finds in range (and a little beyond). What it finds is verified by cosine in double precision.
-5. A pair that shares several shards counts in the first of them, so links are counted once and never expanded; each shard adds
-   a spanning forest of its links to the components.
+2. Overlapping shards: centroids are fitted on a bounded sample, and those within reach of each other are one. A class has its
+   home at the nearest centroid of its label and visits each one before it whose homes may hold a vector that links with it: so
+   of two linked classes one is at home where the other is too. A pair counts there only, so links are counted once.
+3. A shard of one block gets robust-pruned adjacency lists, and every vector is searched for, greedily from the shard's medoid;
+   the search then expands through all that it finds in range (and a little beyond). A large shard is dealt out as pairs of
+   blocks, which are compared throughout. All cosines are in double precision.
+4. Each shard adds a spanning forest of its links to the components; links are never expanded.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from driftglass.llm.components import components
 from driftglass.llm.minhash import in_blocks
 
 SIMILAR = 0.98
-#: Rows that centroids are fitted on, classes that a shard has on average, and shards that a class goes to.
-SAMPLE, SHARD, OVERLAP, MARGIN, BLOCK = 40_000, 300, 3, 0.05, 1024
+#: The longest chord between unit vectors that link.
+CHORD = (2 - 2 * SIMILAR) ** 0.5
+#: Rows that centroids are fitted on, classes that a shard has on average, and members of a shard that a task holds at once.
+SAMPLE, SHARD, BLOCK = 40_000, 300, 1024
 #: Neighbours, slack of the pruning, width of the greedy search, and how far below the range it goes on expanding.
 DEGREE, ALPHA, BEAM, BEYOND = 24, 1.2, 8, 0.04
 
@@ -53,30 +55,48 @@ def unit(rows: list) -> np.ndarray:
 
 def fit_centroids(sample: pd.DataFrame, total: int, shard: int = SHARD) -> dict[tuple, np.ndarray]:
     """Spherical k-means by (label, dimension): about a centroid for each `shard` of all classes, never more than a tenth of the
-    sample's rows."""
+    sample's rows. Of centroids within two CHORDs, which would share all that they have, one stays. None where blocks of the
+    whole label place no more rows than the shards would."""
     out = {}
     for at, rows in sample.groupby(["label", sample.embedding.map(len)]):
         v = unit(rows.embedding.tolist())
-        k = min(round(total * len(v) / len(sample) / shard), len(v) // 10)
+        own = total * len(v) / len(sample)
+        k = min(round(own / shard), len(v) // 10)
         if k < 2:
             continue
         c = v[np.random.default_rng(5).choice(len(v), k, replace=False)]
         for _ in range(8):
-            near = (v @ c.T).argmax(1)
+            near = np.concatenate([(v[i : i + BLOCK] @ c.T).argmax(1) for i in range(0, len(v), BLOCK)])
             c = np.array([v[near == i].sum(0) if (near == i).any() else c[i] for i in range(k)])
             c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-12)
-        out[at] = c
+        stay: list[int] = []
+        for i in range(k):
+            if not stay or (c[stay] @ c[i]).max() < 1 - 2 * CHORD**2:
+                stay.append(i)
+        c = c[stay]
+        some = v[:2000]
+        sizes = np.bincount(np.concatenate(shards_of(some, c)), minlength=len(c)) * own / len(some)
+        if len(c) > 1 and (sizes * np.ceil(sizes / BLOCK)).sum() < own * np.ceil(own / BLOCK):
+            out[at] = c
     return out
 
 
 def shards_of(v: np.ndarray, centroids: np.ndarray | None) -> list[list[int]]:
-    """For each vector the centroids within MARGIN of its nearest one's cosine, OVERLAP at most."""
+    """For each vector its home, the nearest centroid h, then each centroid c before h where a vector at home may be within CHORD.
+
+    x at home at c has x(h - c) <= 0, so y within CHORD of x has y(h - c) <= CHORD |h - c|.
+    """
     if centroids is None:
         return [[0]] * len(v)
-    near = v @ centroids.T
-    best = np.argsort(-near, 1)[:, :OVERLAP]
-    top = np.take_along_axis(near, best, 1)
-    return [sorted(b[t >= t[0] - MARGIN].tolist()) for b, t in zip(best, top, strict=True)]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (centroids @ centroids.T)))
+    out = []
+    for at in range(0, len(v), BLOCK):
+        near = v[at : at + BLOCK] @ centroids.T
+        home = near.argmax(1)
+        visits = near[np.arange(len(near)), home][:, None] - near <= CHORD * apart[home] + 1e-9
+        visits &= np.arange(len(centroids)) < home[:, None]
+        out += [[int(h), *np.flatnonzero(x).tolist()] for h, x in zip(home, visits, strict=True)]
+    return out
 
 
 def pruned(v: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
@@ -115,6 +135,38 @@ def graph(v: np.ndarray) -> list[np.ndarray]:
     return lists
 
 
+def linked(v: np.ndarray, one_block: bool) -> np.ndarray:
+    """Which rows of a shard are linked, as a matrix: by searches where one_block, else by all cosines."""
+    hit = np.zeros((len(v), len(v)), bool)
+    lists = graph(v) if one_block else None
+    if lists is None:
+        for at in range(0, len(v), 256):
+            hit[at : at + 256] = v[at : at + 256] @ v.T >= SIMILAR
+    else:
+        start = medoid(v)
+        for q in range(len(v)):
+            hit[q, found_near(v, lists, start, q)] = True
+    hit |= hit.T
+    np.fill_diagonal(hit, False)
+    return hit
+
+
+def forest(hit: np.ndarray) -> dict[int, list[int]]:
+    """Edges that span the linked rows: for each row those that it is the first to reach."""
+    left, out = np.ones(len(hit), bool), {}
+    for first in np.flatnonzero(hit.any(1)).tolist():
+        todo = [first] if left[first] else []
+        left[first] = False
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(hit[i] & left).tolist()
+            if new:
+                left[new] = False
+                out[i] = new
+                todo += new
+    return out
+
+
 def found_near(v: np.ndarray, lists: list[np.ndarray], start: int, q: int, least: float = SIMILAR) -> np.ndarray:
     """What a range-expanding greedy search for q finds: rows of cosine `least` or more, q left out.
 
@@ -159,7 +211,7 @@ def medoid(v: np.ndarray) -> int:
 
 
 def _placed(classes: DataFrame, centroids: dict[tuple, np.ndarray]) -> DataFrame:
-    """classes, a row for each of its shards (and pairs of blocks), with all its shards."""
+    """classes, a row for each of its shards (and pairs of blocks), and whether it is at home there."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +226,7 @@ def _placed(classes: DataFrame, centroids: dict[tuple, np.ndarray]) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "shards"])
 
     rows = classes.select("rep", "label", "embedding", "copies").mapInArrow(assign, "rep long, label int, embedding array<double>, copies long, shards array<int>")
-    rows = rows.withColumns({"shard": F.explode("shards"), "dim": F.size("embedding")})
+    rows = rows.select("rep", "label", "embedding", "copies", F.posexplode("shards").alias("at", "shard")).withColumns({"home": F.col("at") == 0, "dim": F.size("embedding")}).drop("at")
     sizes = rows.groupBy("label", "dim", "shard").agg(F.count(F.lit(1)).alias("n"))
     return in_blocks(rows.join(sizes, ["label", "dim", "shard"]), "shard", F.col("rep"), F.col("n"), BLOCK).withColumn("side", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("int"))
 
@@ -197,60 +249,27 @@ def near_vectors(vectors: DataFrame, *, audit: bool = False) -> tuple[DataFrame,
     classes = staged(classes, "vector-classes")
     sample = classes.orderBy("rep").select("label", "embedding").limit(SAMPLE).toPandas()  # SAMPLE rows at most, by hash
     centroids = fit_centroids(sample, classes.count()) if len(sample) else {}
-    placed = staged(_placed(classes, centroids), "vector-shards")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf.rep.to_numpy()
-        if len(pdf) < 2:
-            return pd.DataFrame({"rep": ids, "next": [[]] * len(ids)})
-        return pd.DataFrame({"rep": ids, "next": [ids[x].tolist() for x in graph(unit(pdf.embedding.tolist()))]})
-
-    united = placed.select(*GROUP, "rep", "embedding").groupBy(*GROUP).applyInPandas(build, "rep long, next array<long>")
-    united = united.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
+    placed = _placed(classes, centroids)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = ["rep", "n_links", "other"]
-        if len(pdf) < 2:
-            return pd.DataFrame({"rep": pdf.rep, "n_links": 0, "other": None})[columns]
-        v, ids = unit(pdf.embedding.tolist()), pdf.rep.to_numpy()
-        row = {r: i for i, r in enumerate(ids)}
-        lists = [np.array([row[x] for x in own if x in row], np.int64) for own in pdf.next]
-        start, shard, sides = medoid(v), pdf.shard.iloc[0], pdf.side.to_numpy()
-        cross = np.bool_(pdf.ij.iloc[0]["i"] != pdf.ij.iloc[0]["j"])
-        first = [frozenset(s) for s in pdf.shards]
-        found = [found_near(v, lists, start, q) for q in range(len(v))]
-        a = np.repeat(np.arange(len(v)), [len(x) for x in found])
-        b = np.concatenate(found)
-        pairs = np.unique(np.minimum(a, b) * len(v) + np.maximum(a, b))
-        a, b = pairs // len(v), pairs % len(v)
-        ours = np.array([min(first[x] & first[y]) == shard for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
-        a, b = (x[ours & (~cross | (sides[a] != sides[b]))] for x in (a, b))
-        copies = pdf.copies.to_numpy()
-        links = np.bincount(a, copies[b], len(v)) + np.bincount(b, copies[a], len(v))
-        root, edges = list(range(len(v))), {}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if find(x) != find(y):
-                edges.setdefault(x, []).append(int(ids[y]))
-                root[find(x)] = find(y)
-        return pd.DataFrame({"rep": ids, "n_links": links.astype(np.int64), "other": [edges.get(i) for i in range(len(v))]})[columns]
-
-    got = placed.join(united, "rep").select(*GROUP, "side", "rep", "embedding", "copies", "shards", "next").groupBy(*GROUP).applyInPandas(search, "rep long, n_links long, other array<long>")
+        v, ids, home, sides = unit(pdf.embedding.tolist()), pdf.rep.to_numpy(), pdf.home.to_numpy(), pdf.side.to_numpy()
+        hit = linked(v, pdf.n.iloc[0] <= BLOCK) & (home[:, None] | home)
+        if pdf.ij.iloc[0]["i"] != pdf.ij.iloc[0]["j"]:
+            hit &= sides[:, None] != sides
+        links, edges = hit @ pdf.copies.to_numpy(np.int64), forest(hit)
+        out = pd.DataFrame({"rep": ids, "n_links": links, "other": [ids[edges[i]].tolist() if i in edges else None for i in range(len(v))]})
+        return out[out.n_links > 0]
+
+    got = placed.select(*GROUP, "n", "side", "home", "rep", "embedding", "copies").groupBy(*GROUP).applyInPandas(search, "rep long, n_links long, other array<long>")
     got = staged(got, "vector-links")
     links = got.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     tops = components(got.select(F.col("rep").alias("a"), F.explode("other").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("top"))
     by = classes.select("key", "rep", "least", "copies").join(links, "rep", "left").join(tops, "rep", "left").withColumn("top", F.coalesce("top", "rep"))
     least = by.groupBy("top").agg(F.min("least").alias("component_id"))
     by = by.join(least, "top").select("key", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    linked = rows.select("vec_id", "key").join(by, "key").select("vec_id", "n_links", "component_id")
+    near = rows.select("vec_id", "key").join(by, "key").select("vec_id", "n_links", "component_id")
     rest = vectors.where(~usable(F.col("embedding"), F.col("label")) | F.col("vec_id").isNull()).select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
-    out = linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = near.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     return out, _audit(rows, out) if audit else None
 
 

@@ -187,6 +187,31 @@ def test_embeddings_edges_and_recall(spark, monkeypatch):
     assert embedding_dedup.near_vectors(df.limit(0))[0].count() == 0
 
 
+def vector_links(spark, v):
+    """(n_links by near_vectors, by brute force, number of components) for vectors of one label."""
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, embedding_dedup.near_vectors(df)[0].select("vec_id", "n_links", "component_id").collect()))
+    w = v / np.sqrt((v * v).sum(1, keepdims=True))
+    want = np.concatenate([(w[i : i + 1000] @ w.T >= 0.98).sum(1) - 1 for i in range(0, len(w), 1000)])
+    return [n for _, n, _ in got], want.tolist(), len({c for _, _, c in got})
+
+
+def test_embeddings_large_tight_group(spark):
+    r = np.random.default_rng(6)
+    near = r.normal(size=64) + r.normal(size=(10_000, 64)) * 0.1
+    got, want, groups = vector_links(spark, np.concatenate([near, r.normal(size=(500, 64))]))
+    assert got == want and min(want[:10_000]) > 5000 and groups == 501
+
+
+def test_linked_vectors_meet_at_one_home():
+    r = np.random.default_rng(8)
+    v = embedding_dedup.unit((r.normal(size=(40, 16)).repeat(60, 0) + r.normal(size=(2400, 16)) * 0.15).tolist())
+    c = embedding_dedup.unit(r.normal(size=(12, 16)).tolist())
+    at = embedding_dedup.shards_of(v, c)
+    for a, b in np.argwhere(v @ v.T >= 0.98).tolist():
+        assert min(at[a][0], at[b][0]) in at[a] and min(at[a][0], at[b][0]) in at[b]
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_packing(spark, extra):
     rows = EDGES + [(100 + i, text(5 + i * 7 % 300, i), f"s{i % 3}") for i in range(120)] + [(300 + i, text(60, 77), "s1") for i in range(15)]
