@@ -4,9 +4,10 @@
 2. Overlapping shards: centroids are fitted on a bounded sample, and those within reach of each other are one. A class has its
    home at the nearest centroid of its label and visits each one before it whose homes may hold a vector that links with it: so
    of two linked classes one is at home where the other is too. A pair counts there only, so links are counted once.
-3. A shard of one block gets robust-pruned adjacency lists, and every vector is searched for, greedily from the shard's medoid;
-   the search then expands through all that it finds in range (and a little beyond). A large shard is dealt out as pairs of
-   blocks, which are compared throughout. All cosines are in double precision.
+3. A shard of one block gets robust-pruned adjacency lists, made from all that is in range, and every vector is searched for,
+   greedily from the shard's medoid; the search then expands through all that it finds in range (and a little beyond), q among
+   them, which the pruning's ALPHA makes complete (see graph()). A tight shard, where lists would be cut, and a large one, which
+   is dealt out as pairs of blocks, are compared throughout. All cosines are in double precision.
 4. Each shard adds a spanning forest of its links to the components; links are never expanded.
 """
 
@@ -99,8 +100,9 @@ def shards_of(v: np.ndarray, centroids: np.ndarray | None) -> list[list[int]]:
     return out
 
 
-def pruned(v: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """Robust pruning: the nearest of `others` is kept, and those that are ALPHA times nearer to it than to i go; and so on."""
+def pruned(v: np.ndarray, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Robust pruning: the nearest of `others` is kept, and those that are ALPHA times nearer to it than to i go; and so on.
+    Also those that neither were kept nor went when the list was full. Vectors of one direction never go for each other."""
     far = np.sqrt(np.maximum(0, 2 - 2 * (v[others] @ v[i])))
     order = np.argsort(far, kind="stable")
     others, far = others[order], far[order]
@@ -108,15 +110,20 @@ def pruned(v: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
     while len(others) and len(kept) < DEGREE:
         kept.append(others[0])
         between = np.sqrt(np.maximum(0, 2 - 2 * (v[others] @ v[others[0]])))
-        stay = ALPHA * between > far
+        stay = (ALPHA * between > far) | (far < 1e-6)
         stay[0] = False
         others, far = others[stay], far[stay]
-    return np.array(kept, np.int64)
+    return np.array(kept, np.int64), others
 
 
-def graph(v: np.ndarray) -> list[np.ndarray]:
-    """Adjacency lists of a shard's vectors: each vector's pruned neighbours among its nearest, then the reverse edges, pruned
-    again where a list gets too long."""
+def graph(v: np.ndarray) -> list[np.ndarray] | None:
+    """Adjacency lists of a shard's vectors: each vector's pruned neighbours among its nearest and all in range, then the reverse
+    edges, pruned again where a list gets too long. None where a list is full before all in range are kept or went.
+
+    With these lists found_near() is complete. Let y be in range of q. Each list has y itself or some p at ALPHA times less
+    from y, so there is a way from q to y; its first row is nearer to q than y, the next are within CHORD (1 + 1 / ALPHA ** 2) of
+    q, which is less than BEYOND's chord: all are expanded.
+    """
     n = len(v)
     lists: list[np.ndarray] = []
     for at in range(0, n, 256):
@@ -124,19 +131,23 @@ def graph(v: np.ndarray) -> list[np.ndarray]:
         near[np.arange(len(near)), np.arange(at, at + len(near))] = -2
         few = min(n - 1, 3 * DEGREE)
         best = np.argpartition(-near, few - 1, 1)[:, :few] if few else np.zeros((len(near), 0), np.int64)
-        lists += [pruned(v, at + i, b) for i, b in enumerate(best)]
+        for i, b in enumerate(best):
+            own, rest = pruned(v, at + i, np.union1d(b, np.flatnonzero(near[i] >= SIMILAR - 1e-9)))
+            if (near[i][rest] >= SIMILAR - 1e-9).any():
+                return None
+            lists.append(own)
     back: list[list[int]] = [[] for _ in range(n)]
     for i, own in enumerate(lists):
         for j in own:
             back[j].append(i)
     for i in range(n):
         both = np.union1d(lists[i], np.array(back[i], np.int64)).astype(np.int64)
-        lists[i] = both if len(both) <= 2 * DEGREE else np.union1d(pruned(v, i, both), lists[i][:4])
+        lists[i] = both if len(both) <= 2 * DEGREE else np.union1d(pruned(v, i, both)[0], lists[i])
     return lists
 
 
 def linked(v: np.ndarray, one_block: bool) -> np.ndarray:
-    """Which rows of a shard are linked, as a matrix: by searches where one_block, else by all cosines."""
+    """Which rows of a shard are linked, as a matrix: by searches where one_block and lists are whole, else by all cosines."""
     hit = np.zeros((len(v), len(v)), bool)
     lists = graph(v) if one_block else None
     if lists is None:

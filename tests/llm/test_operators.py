@@ -212,6 +212,22 @@ def test_linked_vectors_meet_at_one_home():
         assert min(at[a][0], at[b][0]) in at[a] and min(at[a][0], at[b][0]) in at[b]
 
 
+def test_embeddings_tight_groups_apart_from_the_medoid(spark):
+    r = np.random.default_rng(7)
+    a, away, b = np.linalg.qr(r.normal(size=(32, 3)))[0].T
+    tight = lambda x, n: x + r.normal(size=(n, 32)) * 0.0015
+    across = np.cos(0.17) * a + np.sin(0.17) * away  # cosine 0.986
+    got, want, groups = vector_links(spark, np.concatenate([tight(a, 80), tight(across, 80), tight(b, 200)]))
+    assert got == want and set(want[:160]) == {159} and groups == 2
+
+
+def test_vector_search_is_complete():
+    r = np.random.default_rng(9)
+    for dim, spread in ((3, 0.3), (8, 0.05), (16, 0.05)):
+        v = embedding_dedup.unit((r.normal(size=(30, dim)).repeat(20, 0) + r.normal(size=(600, dim)) * spread).tolist())
+        assert (embedding_dedup.linked(v, True) == (v @ v.T >= 0.98) & ~np.eye(600, dtype=bool)).all()
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_packing(spark, extra):
     rows = EDGES + [(100 + i, text(5 + i * 7 % 300, i), f"s{i % 3}") for i in range(120)] + [(300 + i, text(60, 77), "s1") for i in range(15)]
