@@ -180,11 +180,27 @@ class Index:
         met = staged(met, "line-probe")
         seen = met.where("seen").select("shard", "key", "n_docs", "keeper")
         fresh = met.where("key is not null and not seen").select("shard", "key", "n_docs", "keeper")
-        # A key that the filter only seems to know finds no count, and starts one; its fingerprint stands in the filter already.
+        # A key that the filter only seems to know finds no count, and starts one; its own fingerprint goes into the filter too, as
+        # delete() takes one out for each key.
         held = self.counts.join(seen.select("key", F.col("n_docs").alias("_n"), F.col("keeper").alias("_k")), "key", "left")
         held = held.select("shard", "key", (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("keeper", "_k").alias("keeper"))
-        counts = held.unionByName(seen.join(self.counts, "key", "left_anti").select("shard", "key", "n_docs", "keeper")).unionByName(fresh) if not self.counts.isEmpty() else fresh
-        return Index(self.spark, self.shards, self.refs.unionByName(refs), counts, met.where("key is null").select("shard", "payload"))
+        filters = met.where("key is null").select("shard", "payload")
+        if self.counts.isEmpty():
+            counts = fresh
+        else:
+            missed = staged(seen.join(self.counts, "key", "left_anti").select("shard", "key", "n_docs", "keeper"), "line-missed")
+            counts = held.unionByName(missed).unionByName(fresh)
+
+            def put(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+                cuckoo = CuckooFilter.from_bytes(old.payload.iloc[0])
+                for k in keys.key:
+                    cuckoo.add(k)
+                return old.assign(payload=[cuckoo.to_bytes()])
+
+            if not missed.isEmpty():
+                more = missed.select("shard", "key").groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(put, "shard int, payload binary")
+                filters = staged(more, "line-filters")
+        return Index(self.spark, self.shards, self.refs.unionByName(refs), counts, filters)
 
     def delete(self, doc_ids: DataFrame) -> Index:
         """The index without the documents whose doc_id is in doc_ids, as if they had never come."""
