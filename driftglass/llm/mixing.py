@@ -101,13 +101,48 @@ def mix_sources(docs: DataFrame, *, seed: str = SEED, block: int = BLOCK, shard_
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + part).cast("long").alias("taken"))
 
 
+def _whole_copies(mix: DataFrame, shard_rows: int, cap: int) -> DataFrame:
+    """(doc_id, copies) for the rows of mix_sources(): taken / size, rounded, and then evened out.
+
+    A source whose rounding loses or adds words of at least two texts of its mean size gives them to, or takes them from, further
+    whole texts: what was lost by long texts (more than twice the mean) goes to long ones that fit, all the rest to short ones,
+    so that the source comes within about a mean text of its words if it has short texts left. Texts are met in an order by
+    hash, shard by shard; no window holds more than a shard of a source, or the list of a source's shards.
+    """
+    rows = mix.where("size > 0").select("doc_id", "source", "size", "taken", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"))
+    rows = staged(rows, "mix-rounded")
+    lost = F.col("taken") - F.col("copies") * F.col("size")
+    by = rows.groupBy("source").agg(F.sum(lost).alias("lack"), (2 * F.avg("size")).alias("most"), F.floor(F.sum("taken") / F.sum("size")).alias("even"))
+    by = by.withColumn("sign", F.when(F.abs("lack") < F.col("most"), 0).otherwise(F.signum("lack")).cast("int")).withColumnRenamed("source", "_s")
+    rows = rows.join(by, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    may = F.when(F.col("sign") > 0, (F.col("copies") <= F.col("even")) & (F.col("copies") < cap)).otherwise((F.col("sign") < 0) & (F.col("copies") > F.col("even")))
+    shards = max(1, -(-rows.count() // shard_rows))
+    rows = rows.withColumns({"may": may, "long": F.col("size") > F.col("most"), "hash": F.xxhash64(F.lit(11), "doc_id")})
+    rows = rows.withColumns({"step": F.when(F.col("may"), F.col("size")).otherwise(0), "shard": F.pmod("hash", F.lit(shards))})
+    cells = rows.groupBy("source", "long", "shard").agg(F.sum("step").alias("cell"))
+    earlier = Window.partitionBy("source", "long").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col("source").alias("_s"), F.col("long").alias("_l"), F.col("shard").alias("_h"), F.coalesce(F.sum("cell").over(earlier), F.lit(0)).alias("from"))
+    rows = rows.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("long") == F.col("_l")) & (F.col("shard") == F.col("_h"))).drop("_s", "_l", "_h")
+    before = Window.partitionBy("source", "long", "shard").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = staged(rows.withColumn("before", F.col("from") + F.coalesce(F.sum("step").over(before), F.lit(0))), "mix-order")
+    long = rows.where("long").groupBy("source").agg(F.sum(lost).alias("lost")).withColumnRenamed("source", "_s")
+    rows = rows.join(long, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    room = F.least(F.abs("lack"), F.col("sign") * F.coalesce("lost", F.lit(0)))
+    rows = rows.withColumn("far", F.col("may") & F.col("long") & (F.col("before") + F.col("size") <= room))
+    gone = rows.groupBy("source").agg(F.sum(F.when(F.col("far"), F.col("size")).otherwise(0)).alias("gone")).withColumnRenamed("source", "_s")
+    rows = rows.join(gone, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    near = F.col("may") & ~F.col("long") & (F.col("before") + F.col("size") / 2 <= F.abs("lack") - F.col("gone"))
+    return rows.select("doc_id", (F.col("copies") + F.when(F.col("far") | near, F.col("sign")).otherwise(0)).alias("copies"))
+
+
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """docs as the mix has them: a row comes taken / size times, rounded, so that texts stay whole; rows of size 0 don't come.
+    """docs as the mix has them: a row comes taken / size times, rounded, so that texts stay whole, and what the rounding loses of
+    a source's words goes to further texts of it (see _whole_copies()); rows of size 0 don't come.
 
     Rows that repeat a doc_id are told apart by their order in it. Columns are those of docs.
     """
-    mix = mix_sources(docs, **settings).where("taken > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies"))
-    mix = mix.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_copies").alias("_copies")).where("_copies > 0")
+    mix = _whole_copies(mix_sources(docs, **settings), settings.get("shard_rows", SHARD_ROWS), settings.get("cap", CAP))
+    mix = mix.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
     rows = docs.join(mix, F.col("doc_id").eqNullSafe(F.col("_id")))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 

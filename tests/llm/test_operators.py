@@ -433,6 +433,22 @@ def test_mixing(spark):
     assert mixing.mixed_documents(frame(spark, rows)).columns == frame(spark, rows).columns
 
 
+@pytest.mark.parametrize("weights", [(1, 6), (2, 3)])
+def test_mixed_words_are_the_targets(spark, weights):
+    """Very long texts in the one source, and another with about one text in each shard."""
+    rows = [(i, " ".join(["w"] * (6000 if i % 100 == 0 else 20 + i % 60)), "hot") for i in range(2000)]
+    rows += [(5000 + i, " ".join(["w"] * (100 + i % 40)), "sparse") for i in range(60)]
+    rows += [(6000 + i, " ".join(["w"] * (200 + i % 90)), "third") for i in range(500)]
+    docs = frame(spark, rows)
+    said = dict(weights=(*weights, 1), shard_rows=32)
+    want = {r["source"]: r["target"] for r in mixing.mix_sources(docs, **said).select("source", "target").distinct().collect()}
+    got = mixing.mixed_documents(docs, **said).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
+    sizes = {s: [len(t.split()) for _, t, x in rows if x == s] for s in want}
+    got = {r["source"]: r["n"] for r in got}
+    print("WORDS", {s: (got.get(s, 0), round(want[s]), sum(sizes[s])) for s in want})
+    assert all(abs(got.get(s, 0) - want[s]) <= 2 * np.mean(sizes[s]) + mixing.BLOCK for s in want)
+
+
 def test_seats_are_sainte_lague(spark):
     r = random.Random(9)
     for n, seats in ((3, 10), (40, 1000), (7, 3)):
