@@ -46,6 +46,11 @@ def test_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_all_passages_are_stored(spark):
+    rows = QUERIES["doc_summary"](spark, DATA).collect()
+    assert rows and all(r["stored"] == r["known"] == r["chunk_count"] for r in rows)
+
+
 def test_entry_without_training_data_operators(spark, monkeypatch):
     import importlib
     import sys
