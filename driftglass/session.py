@@ -28,15 +28,45 @@ _own = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine (a local master, as in tests) does a
+    temporary folder take its place where that is unset; elsewhere executors would each write to a disk of their own, so that
+    raises."""
     global _own
     if not (root := spark.conf.get("spark.checkpoint.dir", None)):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is unset: on {master or 'a cluster'} it must name a folder that driver and executors share")
         root = _own = _own or "file://" + tempfile.mkdtemp(prefix="driftglass-")
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder that nobody else uses, in the folder of this application."""
+    return f"{shared_dir(spark)}/driftglass/{spark.conf.get('spark.app.id', 'app')}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/driftglass/{name}-{uuid.uuid4().hex}"
+    """df, written to the shared folder and read back: the lineage ends there, so that a lost executor costs no more than the tasks
+    it ran, and later steps don't compute df again."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes the folders of staged() tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_folder", None):
+            _delete(df.sparkSession, path)
+
+
+def purge(spark: SparkSession) -> None:
+    """Deletes all that this application has staged, once its results are written elsewhere."""
+    _delete(spark, f"{shared_dir(spark)}/driftglass/{spark.conf.get('spark.app.id', 'app')}")
