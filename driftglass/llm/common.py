@@ -2,43 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftglass.session import purge, released, scratch, shared_dir, staged, table
+
+__all__ = ["SPACE", "SPACE_BYTES", "apart", "held_out", "purge", "released", "scratch", "shared_dir", "staged", "table", "words_of"]
+
 #: ASCII white space, as the contracts name it.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
-_own = ""
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset (tests, one machine) a
-    temporary folder takes its place."""
-    global _own
-    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
-        root = _own = _own or "file://" + tempfile.mkdtemp(prefix="driftglass-")
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/driftglass/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there, so that a lost executor costs no more than
-    the tasks it ran, and later steps don't compute df again."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def apart(name: str) -> str:
+    """A column's name that no input has, for a column that stands beside an input's own for a while."""
+    return f"{name}_{uuid.uuid4().hex}"
 
 
 def words_of(text: Column) -> Column:

@@ -1,19 +1,23 @@
 """MinHash near-dedup with circulant signatures (operator 4).
 
 1. sketch(): a document's set is hashed, and two permutations give its whole signature: the first orders the set's elements,
-   the second, shifted by k, gives coordinate k. Documents of equal sets are one class; from here on a class is one row.
+   the second, shifted by k, gives coordinate k. Documents of equal sets (128-bit key and size) are one class; from here on a class
+   is one row, known by a number of its own.
 2. Banding: classes that agree in a band's coordinates meet in a bucket. Within a bucket, classes whose signatures agree in
-   enough coordinates are linked by a spanning forest, which keeps the links' number below the members'. A bucket of many
-   members is dealt out as pairs of blocks.
-3. The components of those links are clusters of candidates: all pairs that may be similar lie within one. Each cluster's sets
-   travel once (a large cluster's as pairs of blocks), and pairs are confirmed on full sets, most promising first, unless the
-   two are connected by then. What is confirmed gives the components that are returned.
+   enough coordinates are linked by a spanning forest, which keeps the links' number below the members'.
+3. The components of those links are clusters of candidates: all pairs that may be similar lie within one. Pairs of a cluster are
+   confirmed on full sets, most promising first, unless the two are connected by then. What is confirmed gives the components that
+   are returned.
+
+A bucket or cluster of any size goes through connected(): its rows are dealt to blocks once, a few pivots to all of its blocks, so
+that most of a large group of near copies hangs together after a pass in proportion to its rows. Only rows that still lie outside
+the largest part then meet all others, as pairs of blocks; so no link is lost, and what is quadratic is what is left.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.llm.common import staged, table
+from driftglass.llm.common import apart, released, staged, table
 from driftglass.llm.components import components
 
 WORDS, SIMILAR = 5, (75, 100)
 #: 32 bands of 4 coordinates: of pairs at similarity 0.75, 5 in a million meet in no band. A coordinate is kept as 8 bits for
 #: comparisons; a pair at 0.75 agrees in fewer than AGREE of 128 coordinates 3 times in a million.
 BANDS, ROWS, AGREE = 32, 4, 74
-#: Members of a bucket, and of a cluster, that one group of a task holds; more are dealt out as pairs of blocks.
-BUCKET_BLOCK, CLUSTER_BLOCK = 4096, 512
+#: Members of a bucket, and of a cluster, that a block holds; pivots that each block of a larger one has; and shingles of a set
+#: that count as one member of a cluster (a longer set counts as several).
+BUCKET_BLOCK, CLUSTER_BLOCK, PIVOTS, A_MEMBER = 4096, 512, 16, 16_384
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,12 +78,13 @@ def signature(found: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, marks, bands) for each row of docs (doc_id, text); the last three are null for an empty set."""
+    """(doc_id, digest, n_shingles, key, marks, bands) for each row of docs (doc_id, text); the last three are null for an empty
+    set. digest: MD5 of the text, which tells rows of one doc_id apart."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, marks, bands = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingles(text.as_py() or b"")
                 n.append(len(found))
                 if not len(found):
@@ -95,15 +101,16 @@ def sketch(docs: DataFrame) -> DataFrame:
                     h = (h ^ rows[:, i]) * _MIX
                     h ^= h >> np.uint64(31)
                 bands.append(h.astype(np.int64))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "marks", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n_shingles", "key", "marks", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
-    return rows.mapInArrow(one, "doc_id long, n_shingles long, key long, marks binary, bands array<long>")
+    text = F.col("text").cast("string").cast("binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.md5(F.coalesce(text, F.lit(b""))).alias("digest"), text)
+    return rows.mapInArrow(one, "doc_id long, digest string, n_shingles long, key binary, marks binary, bands array<long>")
 
 
-def set_key(found: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def in_blocks(rows: DataFrame, group: str, member: Column, count: Column, block: int) -> DataFrame:
@@ -130,26 +137,59 @@ def _forest(marks: np.ndarray, agree: int) -> Iterator[tuple[int, np.ndarray]]:
             left = left[~near]
 
 
+def connected(rows: DataFrame, group: str, block: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): links that connect all like rows within each group. rows: `group` (long), node, n (how many members the group counts)
+    and what compare() needs; staged or cheap to compute twice.
+
+    compare() gets such rows with ij (their pair of blocks), side (their own block of the two) and top (their part so far), each
+    row as often as it is compared, and returns (a, b) for pairs of rows of one (group, ij) that are of different parts and, where
+    ij has two blocks, of different sides. First each block of a group is compared for itself, with the group's pivots; then what
+    lies outside a group's largest part is compared with all of the group, as pairs of blocks.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pivot = (blocks > 1) & (F.pmod(F.xxhash64(F.lit(3), "node"), F.col("n")) < PIVOTS)
+    at = F.explode(F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))
+    dealt = rows.withColumn("side", at).withColumns({"ij": F.struct(F.col("side").alias("i"), F.col("side").alias("j")), "top": F.col("node")})
+    found = staged(compare(dealt).distinct(), "links")
+    large = rows.where(F.col("n") > block)
+    if large.isEmpty():
+        return found
+    tops = components(found)
+    large = large.join(tops, "node", "left").withColumn("top", F.coalesce("component", "node")).drop("component")
+    parts = large.groupBy(group, "top").agg(F.count(F.lit(1)).alias("m"))
+    parts = parts.groupBy(group).agg(F.max_by("top", F.struct("m", "top")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    parts = parts.where("parts > 1")
+    left = large.join(parts.select(group, "main", "all", "most"), group)
+    share = F.col("n") / F.col("all")  # members that a row counts as, on average
+    n_rest = F.ceil((F.col("all") - F.col("most")) * share / block).cast("int")
+    n_main = F.ceil(F.col("most") * share / block).cast("int")
+    main = F.col("top") == F.col("main")
+    side = F.when(main, n_rest + F.pmod(F.xxhash64("node"), n_main)).otherwise(F.pmod(F.xxhash64("node"), n_rest)).cast("int")
+    left = left.withColumn("side", side)
+    others = F.when(main, F.sequence(F.lit(0), n_rest - 1)).otherwise(F.sequence(F.lit(0), n_rest + n_main - 1))
+    left = left.withColumn("o", F.explode(others)).withColumn("ij", F.struct(F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j")))
+    return found.unionByName(staged(compare(left.drop("main", "all", "most", "o")).distinct(), "links"))
+
+
 def candidate_links(classes: DataFrame, agree: int = AGREE) -> DataFrame:
-    """(a, b): in each bucket a forest that spans the classes (key, marks, bands) of like signatures."""
-    placed = classes.select("key", F.explode("bands").alias("bucket"))
+    """(a, b): in each bucket links that connect the classes (node, marks, bands) of like signatures."""
+    placed = classes.select("node", F.explode("bands").alias("bucket"))
     met = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = in_blocks(placed.join(met, "bucket"), "bucket", F.col("key"), F.col("n"), BUCKET_BLOCK)
-    rows = rows.join(classes.select("key", "marks"), "key").select("bucket", "ij", "key", "marks")
-    rows = rows.repartition("bucket", "ij").sortWithinPartitions("bucket", "ij", "key")
+    rows = staged(placed.join(met, "bucket").join(classes.select("node", "marks"), "node").select("bucket", "node", "n", "marks"), "minhash-buckets")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int, bytes, int, int]] = []
         group, a, b = None, [], []
 
         def close() -> None:
             if len(held) == 2:  # most buckets
-                (ka, ma), (kb, mb) = held
-                if sum(x == y for x, y in zip(ma, mb, strict=True)) >= agree:
+                (ka, ma, sa, ta), (kb, mb, sb, tb) = held
+                if ta != tb and (sa != sb or group[1] == group[2]) and sum(x == y for x, y in zip(ma, mb, strict=True)) >= agree:
                     a.append(ka)
                     b.append(kb)
             elif len(held) > 2:
-                marks = np.frombuffer(b"".join(m for _, m in held), np.uint8).reshape(len(held), -1)
+                marks = np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(len(held), -1)
                 for i, near in _forest(marks, agree):
                     a.extend([held[i][0]] * len(near))
                     b.extend(held[j][0] for j in near)
@@ -157,18 +197,22 @@ def candidate_links(classes: DataFrame, agree: int = AGREE) -> DataFrame:
 
         for batch in batches:
             ij = batch.column(1)
-            for *at, key, mark in zip(batch.column(0).to_pylist(), ij.field(0).to_pylist(), ij.field(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for *at, node, mark, side, top in zip(batch.column(0).to_pylist(), ij.field(0).to_pylist(), ij.field(1).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 if at != group:
                     close()
                     group = at
-                held.append((key, mark))
+                held.append((node, mark, side, top))
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             a.clear()
             b.clear()
         close()
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(link, "a long, b long").distinct()
+    def compare(rows: DataFrame) -> DataFrame:
+        rows = rows.select("bucket", "ij", "node", "marks", "side", "top").repartition("bucket", "ij").sortWithinPartitions("bucket", "ij", "node")
+        return rows.mapInArrow(link, "a long, b long")
+
+    return connected(rows, "bucket", BUCKET_BLOCK, compare)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -183,12 +227,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return whole * both >= part * (len(a) + len(b) - both)
 
 
-def confirm(keys: list[int], marks: list[bytes], sets: list[np.ndarray], cross: np.ndarray | None = None, agree: int = AGREE) -> list[tuple[int, int]]:
+def confirm(keys: list[int], marks: list[bytes], sets: list[np.ndarray], side: np.ndarray | None = None, top: np.ndarray | None = None, agree: int = AGREE) -> list[tuple[int, int]]:
     """Pairs of keys whose full sets are similar, enough to connect all that are: those already connected aren't compared again.
 
-    cross: a side for each row; where given, only pairs of different sides count.
+    side: where given, only pairs of different sides count. top: rows of equal tops are connected from the start.
     """
     root = list(range(len(keys)))
+    if top is not None:
+        first: dict[int, int] = {}
+        root = [first.setdefault(t, i) for i, t in enumerate(top.tolist())]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -203,8 +250,10 @@ def confirm(keys: list[int], marks: list[bytes], sets: list[np.ndarray], cross:
     for i in range(len(keys) - 1):
         same = (rows[i + 1 :] == rows[i]).sum(1)
         ok = (same >= agree) & (whole * np.minimum(sizes[i + 1 :], sizes[i]) >= part * np.maximum(sizes[i + 1 :], sizes[i]))
-        if cross is not None:
-            ok &= cross[i + 1 :] != cross[i]
+        if side is not None:
+            ok &= side[i + 1 :] != side[i]
+        if top is not None:
+            ok &= top[i + 1 :] != top[i]
         pairs += [(-int(same[j]), i, i + 1 + int(j)) for j in np.flatnonzero(ok)]
     pairs.sort()
     links = []
@@ -216,38 +265,57 @@ def confirm(keys: list[int], marks: list[bytes], sets: list[np.ndarray], cross:
     return links
 
 
-def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b): confirmed links between classes, enough to connect all similar ones."""
-    known = sketches.where("key is not null")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("marks").alias("marks"), F.any_value("bands").alias("bands"))
-    classes = staged(classes, "minhash-classes")
-    clusters = components(candidate_links(classes)).select(F.col("node").alias("key"), "component")
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    wanted = clusters.join(sizes, "component").join(classes.select("key", "doc_id", "marks"), "key")
+def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): confirmed links between classes (node, key, doc_id, n_shingles, marks, bands), enough to connect all similar ones."""
+    candidates = candidate_links(classes)
+    clusters = components(candidates).select("node", F.col("component").alias("cluster"))
+    wanted = clusters.join(classes.select("node", "key", "doc_id", "n_shingles", "marks"), "node")
+    sizes = wanted.groupBy("cluster").agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n_shingles") / A_MEMBER))).alias("n"))
+    wanted = wanted.join(sizes, "cluster").select("key", "doc_id", "node", "cluster", "n", "marks")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py() or b"") for t in batch.column(batch.schema.get_field_index("text"))]
+            found = [shingles(t.as_py() or b"") for t in batch.column(5)]
             right = pa.array([len(s) > 0 and set_key(s) == k for s, k in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "component", "n", "marks", "found"])
+            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2, 3, 4)), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "cluster", "n", "marks", "found"])
             yield out.filter(right)
 
-    rows = wanted.join(texts, "doc_id").select("key", "component", "n", "marks", "text").mapInArrow(sets, "key long, component long, n long, marks binary, found binary")
-    rows = in_blocks(rows, "component", F.col("key"), F.col("n"), CLUSTER_BLOCK)
+    rows = wanted.join(texts, "doc_id").select("key", "node", "cluster", "n", "marks", "text")
+    rows = staged(rows.mapInArrow(sets, "node long, cluster long, n long, marks binary, found binary"), "minhash-sets")
 
     def group(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         once: dict[int, int] = {}
-        for i, k in enumerate(t.column("key").to_pylist()):
+        for i, k in enumerate(t.column("node").to_pylist()):
             once.setdefault(k, i)  # repeated rows of a doc_id
         t = t.take(list(once.values()))
-        keys = t.column("key").to_pylist()
+        nodes, two = t.column("node").to_pylist(), t.column("ij")[0].as_py()
         found = [np.frombuffer(x, np.uint64) for x in t.column("found").to_pylist()]
-        got = confirm(keys, t.column("marks").to_pylist(), found) if len(keys) > 1 else []
+        side = t.column("side").to_numpy() if two["i"] != two["j"] else None
+        got = confirm(nodes, t.column("marks").to_pylist(), found, side, t.column("top").to_numpy()) if len(nodes) > 1 else []
         return pa.table([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], ["a", "b"])
 
-    return rows.select("component", "ij", "key", "marks", "found").groupBy("component", "ij").applyInArrow(group, "a long, b long")
+    def compare(rows: DataFrame) -> DataFrame:
+        return rows.select("cluster", "ij", "side", "top", "node", "marks", "found").groupBy("cluster", "ij").applyInArrow(group, "a long, b long")
+
+    out = connected(rows, "cluster", CLUSTER_BLOCK, compare)
+    released(candidates, rows)
+    return out
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, n_shingles, component_id) for every row of docs; see near_duplicates()."""
+    sketches = staged(sketch(docs), "minhash")
+    known = sketches.where("key is not null and doc_id is not null")
+    classes = known.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.any_value("marks").alias("marks"), F.any_value("bands").alias("bands"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    tops = components(links(docs.where("doc_id is not null"), classes)).withColumnRenamed("component", "top")
+    first = classes.select("node", "key", "n_shingles", F.col("doc_id").alias("first")).join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
+    least = first.groupBy("top").agg(F.min("first").alias("component_id"))
+    by = first.join(least, "top").select("key", "n_shingles", "component_id")
+    rows = sketches.select("doc_id", "digest", "n_shingles", "key").join(by, ["key", "n_shingles"], "left")
+    return rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))).select("doc_id", "digest", "n_shingles", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -255,24 +323,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id: the smallest doc_id that links of similarity 0.75 or more reach, the row's own included. Null or empty text, or
     white space alone: no shingles, linked with nothing. Null doc_id: found in no component (null), kept. Repeated rows: equal
-    component and `kept`. Empty table: no rows. Extra columns are left out.
+    component and `kept`; rows of one doc_id with other texts go by their own text. Very long texts: read whole. Ties don't arise.
+    Empty table: no rows. Extra columns, whatever their names, are left out.
     """
-    sketches = staged(sketch(docs), "minhash")
-    found = components(links(docs.where("doc_id is not null"), sketches.where("doc_id is not null"))).select(F.col("node").alias("key"), F.col("component").alias("top"))
-    rows = sketches.select("doc_id", "n_shingles", "key")
-    keyed = rows.where("key is not null and doc_id is not null")
-    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first")).join(found, "key", "left").withColumn("top", F.coalesce("top", "key"))
-    least = first.groupBy("top").agg(F.min("first").alias("component_id"))
-    by = first.join(least, "top").select("key", "component_id")
-    rows = rows.join(by, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return _rows(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs less all but one row of each group: the one of the smallest doc_id, once; rows without id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id")).dropDuplicates(["_id"]).select(*docs.columns)
-    return rows.unionByName(docs.where("doc_id is null"))
+    """docs, with its columns, less all but one text of each group: the one of the smallest doc_id, once.
+
+    Rows without id stay, as do texts without words. Repeated rows: one stays. Rows of one doc_id with different texts: of each
+    group they belong to one stays (the smallest MD5), so a text like no other is never lost. Empty table: no rows. Columns of docs
+    may have any names.
+    """
+    rows = _rows(docs).where("doc_id is not null and doc_id = component_id")
+    least = rows.where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.min("digest").alias("digest")).select("doc_id", "digest")
+    i, d = apart("id"), apart("digest")
+    kept = least.unionByName(rows.where("n_shingles = 0").select("doc_id", "digest").distinct()).select(F.col("doc_id").alias(i), F.col("digest").alias(d))
+    own = docs.withColumn(d, F.md5(F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")))).withColumn(i, F.col("doc_id").cast("long"))
+    return own.join(kept, [i, d]).dropDuplicates([i, d]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
