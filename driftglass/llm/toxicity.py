@@ -9,9 +9,13 @@ every token of a clean sentence is a negative example. A document's TOP highest
 give its probability, by a logistic regression on the documents: one token that is close to an insult by chance is little in a
 long text, several are much.
 
-Training takes at most `train_rows` documents of each label, chosen by a hash of their id among the labelled rows that are not
-held out, and at most HARD negative tokens, those nearest to the landmarks; both bounds are parameters. Scoring reads every whole
-text.
+Training takes a bounded sample of the labelled rows that are not held out: `train_rows` documents of each label at most, chosen by
+a hash of their id, `negatives` tokens of clean documents, those nearest to the landmarks, and `a_document` tokens of each toxic one,
+the most telling. All three bounds, and `landmarks`, are parameters of train(). What comes to the driver has that size whatever the
+corpus is, as packed floats. Scoring reads every whole text.
+
+The kernel looks at tokens between white space, and at letters that stand one by one, whatever white space is between them. An insult
+cut in two longer pieces by white space is two tokens to it.
 """
 
 from __future__ import annotations
@@ -27,14 +31,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from driftglass.llm.common import held_out, staged, table
+from driftglass.llm.common import apart, held_out, released, staged, table
 
 LETTERS, DECAY = 3, 0.6
 #: Letters in the stems whose odds, beside those of whole tokens, tell which tokens are likely landmarks.
 STEM = 4
 TOP = 5
-TRAIN_ROWS, LANDMARKS, PLAIN, HARD, A_DOCUMENT, FEWEST = 2500, 24, 4, 20_000, 6, 8
+TRAIN_ROWS, LANDMARKS, NEGATIVES, A_DOCUMENT = 2500, 24, 20_000, 6
+#: Landmarks that stand for plain tokens, and candidates that are landmarks whatever chance would give.
+PLAIN, FEWEST = 4, 8
 #: Longer tokens are read as windows of WINDOW letters that overlap by half.
 WINDOW = 24
 RIDGE, COST = 1e-3, 1.0
@@ -42,7 +49,7 @@ RIDGE, COST = 1e-3, 1.0
 CACHE, A_TIME = 300_000, 256
 
 _MARKS = {ord(c): None for c in ".,;:!?-_*'\"()[]{}<>/\\|~^+=#$%&@`…·"}
-_SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
 
 
 def tokens(sentence: str) -> set[str]:
@@ -50,7 +57,7 @@ def tokens(sentence: str) -> set[str]:
     plain = sentence.lower().translate(_MARKS)
     found = set(plain.split())
     if _SPACED.search(plain):
-        found |= {m.group().replace(" ", "") for m in _SPACED.finditer(plain)}
+        found |= {"".join(m.group().split()) for m in _SPACED.finditer(plain)}
     return found
 
 
@@ -211,8 +218,21 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
     return known.where("toxic = 1").orderBy(order).limit(rows).unionByName(known.where("toxic = 0").orderBy(order).limit(rows))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model:
-    """A model of docs (doc_id, text) and labels (doc_id, toxic). Without a label of each kind it scores every text 0."""
+def _packed(rows: Iterable[np.ndarray]) -> list[bytes]:
+    return [np.ascontiguousarray(r, np.float32).tobytes() for r in rows]
+
+
+def _unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.float32).reshape(-1, width).astype(float)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, negatives: int = NEGATIVES, a_document: int = A_DOCUMENT) -> Model:
+    """A model of docs (doc_id, text) and labels (doc_id, toxic).
+
+    Without a label of each kind, or a token that tells them apart, it scores every text next to 0. Null doc_ids and null labels teach
+    nothing, null texts neither; empty texts teach only what their length (0) is worth. A doc_id that is labelled twice has the higher
+    label; rows that repeat a doc_id are each an example. Ties among candidates are broken by the token, so reruns agree.
+    """
     picked = staged(_sample(labels, train_rows), "toxic-sample")  # two lists of at most train_rows ids
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text"), "toxic-train")
@@ -271,34 +291,34 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
             cut = [windows(w) for w in flat]
             k = kernel([p for ps in cut for p in ps], marks)
             best = [int(np.argmax(k[a : a + len(ps), :lead].max(1))) + a for ps, a in zip(cut, np.cumsum([0, *map(len, cut[:-1])]), strict=True)] if flat else []
-            yield pd.DataFrame({"word": flat, "near": k[best, :lead].max(1).astype(float) if flat else [], "x": [r.tolist() for r in k[best].astype(float)] if flat else []})
+            yield pd.DataFrame({"word": flat, "near": k[best, :lead].max(1).astype(float) if flat else [], "x": _packed(k[best]) if flat else []})
 
-    hard = words.where("whole and bad = 0").select("word").mapInPandas(compared, "word string, near double, x array<double>").orderBy(F.col("near").desc(), "word").limit(HARD).collect()
+    hard = words.where("whole and bad = 0").select("word").mapInPandas(compared, "word string, near double, x binary").orderBy(F.col("near").desc(), "word").limit(negatives).select("x").toArrow()
 
     def latent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for at in range(0, len(batch), A_TIME):
                 part = batch.iloc[at : at + A_TIME]
-                own = [sorted({w for s in sentences(t) for w in tokens(s) if LETTERS <= len(w) <= WINDOW}) for t in part.text]
+                own = [sorted({p for s in sentences(t) for w in tokens(s) if len(w) >= LETTERS for p in windows(w)}) for t in part.text]
                 all_of = sorted(set().union(*own))
                 place = {w: i for i, w in enumerate(all_of)}
                 k = kernel(all_of, marks)
                 lift = k[:, :lead].max(1) + np.array([2 * told_of(w) for w in all_of]) if all_of else np.zeros(0)
                 for doc, ws in zip(part.doc_id, own, strict=True):
                     rows_of = np.array([place[w] for w in ws], int)
-                    out += [(doc, all_of[i], float(lift[i]), k[i].astype(float).tolist()) for i in rows_of[np.argsort(-lift[rows_of], kind="stable")[:A_DOCUMENT]]]
-            yield pd.DataFrame(out, columns=["doc_id", "word", "lift", "x"])
+                    best = rows_of[np.argsort(-lift[rows_of], kind="stable")[:a_document]]
+                    out += [(doc, all_of[i] in sure, float(lift[i]), x) for i, x in zip(best, _packed(k[best]), strict=True)]
+            yield pd.DataFrame(out, columns=["doc_id", "sure", "lift", "x"])
 
-    bags = rows.where("toxic = 1").select("doc_id", "text").mapInPandas(latent, "doc_id long, word string, lift double, x array<double>").collect()
+    bags = rows.where("toxic = 1").select("doc_id", "text").mapInPandas(latent, "doc_id long, sure boolean, lift double, x binary").toArrow()
     between = kernel(marks, marks).astype(float) + RIDGE * np.eye(len(marks))
     values, vectors = np.linalg.eigh(between)
     to_features = vectors / np.sqrt(np.maximum(values, RIDGE)) @ vectors.T
-    negative = np.array([r["x"] for r in hard]).reshape(-1, len(marks)) @ to_features
-    docs_of = np.array([r["doc_id"] for r in bags])
-    cand = np.array([r["x"] for r in bags]).reshape(-1, len(marks)) @ to_features
-    lift = np.array([r["lift"] for r in bags])
-    clear = np.flatnonzero([r["word"] in sure for r in bags])  # tokens that all but toxic documents lack
+    negative = _unpacked(hard["x"], len(marks)) @ to_features
+    docs_of, lift = bags["doc_id"].to_numpy(), bags["lift"].to_numpy()
+    cand = _unpacked(bags["x"], len(marks)) @ to_features
+    clear = np.flatnonzero(bags["sure"].to_numpy())  # tokens that all but toxic documents lack
     w = np.zeros(len(marks) + 1)
     for _ in range(4):
         order = np.lexsort((-lift, docs_of))
@@ -312,34 +332,35 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch.toxic, "x": features(model, batch.text).tolist()})
+            yield pd.DataFrame({"toxic": batch.toxic, "x": _packed(features(model, batch.text))})
 
-    seen = rows.select("toxic", "text").mapInPandas(measure, "toxic int, x array<double>").collect()
-    model.head = _logistic(np.array([r["x"] for r in seen]), np.array([float(r["toxic"]) for r in seen]))
+    seen = rows.select("toxic", "text").mapInPandas(measure, "toxic int, x binary").toArrow()
+    model.head = _logistic(_unpacked(seen["x"], TOP + 1), seen["toxic"].to_numpy().astype(float))
+    released(picked, rows, words)
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (its columns, which win over clashing names) plus `toxicity`, the probability that the whole text is toxic.
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """docs plus the column `name`, the probability that the whole text is toxic. A column of docs that has this name gives way.
 
-    Null and empty texts have no token, and get the score of a text without anything like an insult.
+    Null and empty texts have no token, and get the score of a text without anything like an insult. Very long texts are read
+    whole. Null doc_ids and repeated rows: rows as any other, equal texts get equal scores. Empty table: no rows.
     """
+    docs = docs.drop(name)
     text = docs.schema.names.index("text")
-    schema = docs.drop("toxicity").schema.add("toxicity", "double")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = model.probability(features(model, batch.column(text).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, name])
 
-    docs = docs.drop("toxicity")
-    text = docs.schema.names.index("text")
-    return docs.mapInArrow(rate, schema)
+    return docs.mapInArrow(rate, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """docs less the rows that score 0.5 or more."""
-    return score(docs, train(docs, labels, **settings)).where("toxicity < 0.5").select(*docs.columns)
+    """docs less the rows that score 0.5 or more; its columns, whatever their names, as they were."""
+    name = apart("toxicity")
+    return score(docs, train(docs, labels, **settings), name).where(F.col(name) < 0.5).drop(name)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
