@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftglass.session import purge, released, scratch, shared_dir, staged, table
 
-__all__ = ["SPACE", "SPACE_BYTES", "apart", "held_out", "purge", "released", "scratch", "shared_dir", "staged", "table", "words_of"]
+__all__ = ["SPACE", "SPACE_BYTES", "apart", "few", "held_out", "purge", "released", "scratch", "shared_dir", "staged", "table", "words_of"]
 
 #: ASCII white space, as the contracts name it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -21,6 +21,11 @@ def apart(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
 
+def few(df: DataFrame, rows: int, a_part: int = 500_000) -> DataFrame:
+    """df in no more partitions than `rows` rows need at a_part rows each: fewer, larger files and tasks where there is little."""
+    return df.coalesce(max(1, -(-rows // a_part)))
+
+
 def words_of(text: Column) -> Column:
     """The runs of characters other than ASCII white space, as an array; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftglass.llm.common import released, staged
+from driftglass.llm.common import few, released, staged
 
 MAX_ROUNDS = 60
 #: Parts that a node's neighbours are dealt to, so that the neighbours of a hub are no single group of a join.
@@ -64,7 +64,7 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a long, b long): component is the smallest node that it reaches. An edge of a
-    node with itself names no node; nulls are no edges.
+    node with itself names no node; nulls are no edges. edges are read twice: staged, or cheap to compute.
 
     First each task contracts its own edges. Then a round hangs each node's larger neighbours on its smallest one, and the smaller
     ones likewise. Both are a grouped minimum and an equi-join; a node's minimum goes to the parts that its neighbours are dealt
@@ -82,7 +82,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
         return rows.join(least.select("u", "m", F.explode("parts").alias("part")), ["u", "part"])
 
-    now = staged(contracted(edges.where("a is not null and b is not null")), "cc")
+    edges = edges.where("a is not null and b is not null")
+    n = edges.count()
+    now = staged(few(contracted(few(edges, n)), n), "cc")
     mark = sums(now)
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
@@ -90,7 +92,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = with_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        before, now = now, staged(small.select("e.u", "e.v").where("u <> v").distinct(), "cc")
+        before, now = now, staged(few(small.select("e.u", "e.v").where("u <> v").distinct(), n), "cc")
         released(before)
         if (found := sums(now)) == mark:
             break

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.llm.common import SPACE_BYTES, staged, table
+from driftglass.llm.common import SPACE_BYTES, apart, few, staged, table
 
-MIN_CHARS, MIN_DOCS, KEYS_A_SHARD = 20, 3, 20_000
+MIN_CHARS, MIN_DOCS, KEYS_A_SHARD, REFS_A_FILE = 20, 3, 20_000, 500_000
 _STRIP = SPACE_BYTES
 
 
@@ -142,6 +142,9 @@ def references(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
+    """shards: how many the keys are dealt to; 0 until the first insertion, which takes one for each KEYS_A_SHARD references that it
+    brings, and a shard that has twice as many keys later on is a reason to index anew."""
+
     spark: SparkSession
     shards: int
     refs: DataFrame
@@ -149,7 +152,7 @@ class Index:
     filters: DataFrame
 
     @classmethod
-    def empty(cls, spark: SparkSession, shards: int = 64) -> Index:
+    def empty(cls, spark: SparkSession, shards: int = 0) -> Index:
         make = lambda schema: spark.createDataFrame([], schema)
         return cls(spark, shards, make("key binary, doc_id long"), make("shard int, key binary, n_docs long, keeper long"), make("shard int, payload binary"))
 
@@ -162,9 +165,13 @@ class Index:
     def insert(self, docs: DataFrame) -> Index:
         """The index with docs added. Documents that it already holds line by line change nothing."""
         refs = references(docs)
-        if not self.refs.isEmpty():
+        docs_here = docs.count()
+        if self.shards:
             refs = refs.join(self.refs, ["key", "doc_id"], "left_anti")
-        refs = staged(refs, "line-refs")
+        refs = staged(few(refs, docs_here, REFS_A_FILE // 8), "line-refs")
+        n = refs.count()
+        if not self.shards:
+            self = Index(self.spark, max(1, -(-n // KEYS_A_SHARD)), self.refs, self.counts, self.filters)
 
         def probe(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
             cuckoo = CuckooFilter.from_bytes(old.payload.iloc[0]) if len(old) else CuckooFilter(len(new))
@@ -177,7 +184,7 @@ class Index:
             return pd.concat([out, pd.DataFrame({"shard": [shard], "key": [None], "n_docs": [0], "keeper": [0], "seen": [False], "payload": [cuckoo.to_bytes()]})])
 
         met = self._sums(refs).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(probe, "shard int, key binary, n_docs long, keeper long, seen boolean, payload binary")
-        met = staged(met, "line-probe")
+        met = staged(few(met, n, REFS_A_FILE), "line-probe")
         seen = met.where("seen").select("shard", "key", "n_docs", "keeper")
         fresh = met.where("key is not null and not seen").select("shard", "key", "n_docs", "keeper")
         # A key that the filter only seems to know finds no count, and starts one; its own fingerprint goes into the filter too, as
@@ -188,7 +195,7 @@ class Index:
         if self.counts.isEmpty():
             counts = fresh
         else:
-            missed = staged(seen.join(self.counts, "key", "left_anti").select("shard", "key", "n_docs", "keeper"), "line-missed")
+            missed = staged(seen.join(self.counts, "key", "left_anti").select("shard", "key", "n_docs", "keeper").coalesce(self.shards), "line-missed")
             counts = held.unionByName(missed).unionByName(fresh)
 
             def put(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
@@ -199,16 +206,18 @@ class Index:
 
             if not missed.isEmpty():
                 more = missed.select("shard", "key").groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(put, "shard int, payload binary")
-                filters = staged(more, "line-filters")
+                filters = staged(few(more, n, REFS_A_FILE), "line-filters")
         return Index(self.spark, self.shards, self.refs.unionByName(refs), counts, filters)
 
     def delete(self, doc_ids: DataFrame) -> Index:
         """The index without the documents whose doc_id is in doc_ids, as if they had never come."""
         gone = doc_ids.select("doc_id").distinct()
         lost = self.refs.join(gone, "doc_id", "left_semi").select("key").distinct()
-        refs = staged(self.refs.join(gone, "doc_id", "left_anti").select("key", "doc_id"), "line-refs")
+        n = self.refs.count()
+        refs = staged(few(self.refs.join(gone, "doc_id", "left_anti").select("key", "doc_id"), n, REFS_A_FILE), "line-refs")
         again = self._sums(refs.join(lost, "key", "left_semi"))
-        counts = staged(self.counts.join(lost, "key", "left_anti").unionByName(again, allowMissingColumns=True).select("shard", "key", "n_docs", "keeper"), "line-counts")
+        counts = self.counts.join(lost, "key", "left_anti").unionByName(again).select("shard", "key", "n_docs", "keeper")
+        counts = staged(few(counts, n, REFS_A_FILE), "line-counts")
         dead = lost.join(again.select("key"), "key", "left_anti").select(self._shard(), "key")
 
         def drop(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
@@ -228,48 +237,46 @@ class Index:
         lost = self.refs.join(many, "key").where("doc_id < keeper")
         return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
-    def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-        """docs with `text` less its dropped lines, and n_lines, n_dropped, kept_sha256 beside its own columns (which win over
-        columns of these names that docs has). A null text stays null and counts as one empty line; so do texts of rows without id,
-        which lose nothing. Kept lines are joined by \\n as they were."""
-        rows = docs.drop("n_lines", "n_dropped", "kept_sha256")
-        own = [c for c in rows.columns if c != "text"]
-        rows = rows.select(F.struct(*own).alias("own"), F.col("text").cast("string"), "doc_id")
-        rows = rows.join(self.drops(min_docs), "doc_id", "left").select("own", "text", "keys")
+    def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS, report: bool = True) -> DataFrame:
+        """docs with `text` less its dropped lines, and, where asked to report, n_lines, n_dropped and kept_sha256 in place of columns
+        of these names that docs has; without them docs keeps all its columns. A null text stays null and counts as one empty line;
+        texts of rows without id lose nothing. Kept lines are joined by \\n as they were."""
+        told = ["n_lines", "n_dropped", "kept_sha256"] if report else []
+        columns = [c for c in docs.columns if c not in told]
+        rest, text, keys, i = apart("own"), apart("text"), apart("keys"), apart("id")
+        rows = docs.select(F.struct(*[c for c in columns if c != "text"]).alias(rest), F.col("text").cast("string").alias(text), F.col("doc_id").cast("long").alias(i))
+        rows = rows.join(self.drops(min_docs).select(F.col("doc_id").alias(i), F.col("keys").alias(keys)), i, "left").select(rest, text, keys)
         kind = pa.string()
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, lines, dropped, digests = [], [], [], []
-                for text, keys in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True):
-                    raw, gone = text.as_py(), set(keys.as_py() or ())
+                for raw, lost in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True):
+                    raw, gone = raw.as_py(), set(lost.as_py() or ())
                     parts = (raw or b"").split(b"\n")
                     kept = [x for x in parts if len(x) < MIN_CHARS or line_key(x) not in gone] if gone else parts
                     left = b"\n".join(kept)
                     texts.append(None if raw is None else left)
                     lines.append(len(parts))
                     dropped.append(len(parts) - len(kept))
-                    digests.append(hashlib.sha256(left).hexdigest())
-                columns = [batch.column(0), pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(kind), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests, kind)]
-                yield pa.RecordBatch.from_arrays(columns, ["own", "text", "n_lines", "n_dropped", "kept_sha256"])
+                    digests.append(hashlib.sha256(left).hexdigest() if told else None)
+                out = [batch.column(0), pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(kind), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests, kind)]
+                yield pa.RecordBatch.from_arrays(out, [rest, text, "n_lines", "n_dropped", "kept_sha256"])
 
-        schema = rows.select("own", "text").schema.add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
-        out = rows.mapInArrow(cut, schema)
-        return out.select(*[F.col("own")[c].alias(c) if c != "text" else F.col("text") for c in docs.columns if c in (*own, "text")], "n_lines", "n_dropped", "kept_sha256")
+        schema = rows.select(rest, text).schema.add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
+        return rows.mapInArrow(cut, schema).select(*[F.col(rest)[c].alias(c) if c != "text" else F.col(text).alias(c) for c in columns], *told)
 
 
-def dedup_lines(docs: DataFrame, *, increments: int = 2, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, increments: int = 2, min_docs: int = MIN_DOCS, report: bool = True) -> DataFrame:
     """Index.apply() over an index of all of docs, which come in `increments`, as they do where a corpus grows.
 
     Repeated rows of a doc_id are one document to the counts, and each loses its lines. Empty table: no rows.
     """
-    spark = docs.sparkSession
     narrow = docs.select("doc_id", "text")
-    shards = max(1, -(-narrow.count() * 8 // KEYS_A_SHARD))
-    index = Index.empty(spark, shards)
+    index = Index.empty(docs.sparkSession)
     for i in range(increments):
         index = index.insert(narrow.where(F.pmod(F.xxhash64("doc_id"), F.lit(increments)) == i))
-    return index.apply(docs, min_docs)
+    return index.apply(docs, min_docs, report)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

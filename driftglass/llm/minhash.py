@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.llm.common import apart, released, staged, table
+from driftglass.llm.common import apart, few, released, staged, table
 from driftglass.llm.components import components
 
 WORDS, SIMILAR = 5, (75, 100)
@@ -137,9 +137,9 @@ def _forest(marks: np.ndarray, agree: int) -> Iterator[tuple[int, np.ndarray]]:
             left = left[~near]
 
 
-def connected(rows: DataFrame, group: str, block: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def connected(rows: DataFrame, group: str, block: int, compare: Callable[[DataFrame], DataFrame], nodes: int) -> DataFrame:
     """(a, b): links that connect all like rows within each group. rows: `group` (long), node, n (how many members the group counts)
-    and what compare() needs; staged or cheap to compute twice.
+    and what compare() needs; staged or cheap to compute twice. nodes: how many nodes there are at most, for the number of files.
 
     compare() gets such rows with ij (their pair of blocks), side (their own block of the two) and top (their part so far), each
     row as often as it is compared, and returns (a, b) for pairs of rows of one (group, ij) that are of different parts and, where
@@ -151,7 +151,7 @@ def connected(rows: DataFrame, group: str, block: int, compare: Callable[[DataFr
     pivot = (blocks > 1) & (F.pmod(F.xxhash64(F.lit(3), "node"), F.col("n")) < PIVOTS)
     at = F.explode(F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))
     dealt = rows.withColumn("side", at).withColumns({"ij": F.struct(F.col("side").alias("i"), F.col("side").alias("j")), "top": F.col("node")})
-    found = staged(compare(dealt).distinct(), "links")
+    found = staged(few(compare(dealt).distinct(), nodes), "links")
     large = rows.where(F.col("n") > block)
     if large.isEmpty():
         return found
@@ -169,14 +169,16 @@ def connected(rows: DataFrame, group: str, block: int, compare: Callable[[DataFr
     left = left.withColumn("side", side)
     others = F.when(main, F.sequence(F.lit(0), n_rest - 1)).otherwise(F.sequence(F.lit(0), n_rest + n_main - 1))
     left = left.withColumn("o", F.explode(others)).withColumn("ij", F.struct(F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j")))
-    return found.unionByName(staged(compare(left.drop("main", "all", "most", "o")).distinct(), "links"))
+    return found.unionByName(staged(few(compare(left.drop("main", "all", "most", "o")).distinct(), nodes), "links"))
 
 
 def candidate_links(classes: DataFrame, agree: int = AGREE) -> DataFrame:
-    """(a, b): in each bucket links that connect the classes (node, marks, bands) of like signatures."""
+    """(a, b): in each bucket links that connect the classes (node, marks, bands; staged) of like signatures."""
+    nodes = classes.count()
     placed = classes.select("node", F.explode("bands").alias("bucket"))
     met = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = staged(placed.join(met, "bucket").join(classes.select("node", "marks"), "node").select("bucket", "node", "n", "marks"), "minhash-buckets")
+    rows = placed.join(met, "bucket").join(classes.select("node", "marks"), "node").select("bucket", "node", "n", "marks")
+    rows = staged(few(rows, nodes * BANDS, 200_000), "minhash-buckets")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, int, int]] = []
@@ -212,7 +214,7 @@ def candidate_links(classes: DataFrame, agree: int = AGREE) -> DataFrame:
         rows = rows.select("bucket", "ij", "node", "marks", "side", "top").repartition("bucket", "ij").sortWithinPartitions("bucket", "ij", "node")
         return rows.mapInArrow(link, "a long, b long")
 
-    return connected(rows, "bucket", BUCKET_BLOCK, compare)
+    return connected(rows, "bucket", BUCKET_BLOCK, compare, nodes)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -266,7 +268,9 @@ def confirm(keys: list[int], marks: list[bytes], sets: list[np.ndarray], side: n
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): confirmed links between classes (node, key, doc_id, n_shingles, marks, bands), enough to connect all similar ones."""
+    """(a, b): confirmed links between classes (node, key, doc_id, n_shingles, marks, bands; staged), enough to connect all similar
+    ones."""
+    nodes = classes.count()
     candidates = candidate_links(classes)
     clusters = components(candidates).select("node", F.col("component").alias("cluster"))
     wanted = clusters.join(classes.select("node", "key", "doc_id", "n_shingles", "marks"), "node")
@@ -282,7 +286,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield out.filter(right)
 
     rows = wanted.join(texts, "doc_id").select("key", "node", "cluster", "n", "marks", "text")
-    rows = staged(rows.mapInArrow(sets, "node long, cluster long, n long, marks binary, found binary"), "minhash-sets")
+    rows = staged(few(rows, nodes, 4_000).mapInArrow(sets, "node long, cluster long, n long, marks binary, found binary"), "minhash-sets")
 
     def group(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -299,7 +303,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     def compare(rows: DataFrame) -> DataFrame:
         return rows.select("cluster", "ij", "side", "top", "node", "marks", "found").groupBy("cluster", "ij").applyInArrow(group, "a long, b long")
 
-    out = connected(rows, "cluster", CLUSTER_BLOCK, compare)
+    out = connected(rows, "cluster", CLUSTER_BLOCK, compare, nodes)
     released(candidates, rows)
     return out
 
@@ -309,7 +313,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     sketches = staged(sketch(docs), "minhash")
     known = sketches.where("key is not null and doc_id is not null")
     classes = known.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.any_value("marks").alias("marks"), F.any_value("bands").alias("bands"))
-    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    classes = staged(few(classes, sketches.count(), 50_000).withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     tops = components(links(docs.where("doc_id is not null"), classes)).withColumnRenamed("component", "top")
     first = classes.select("node", "key", "n_shingles", F.col("doc_id").alias("first")).join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
     least = first.groupBy("top").agg(F.min("first").alias("component_id"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from driftglass.llm.common import apart, held_out, released, staged, table
+from driftglass.llm.common import apart, few, held_out, released, staged, table
 
 LETTERS, DECAY = 3, 0.6
 #: Letters in the stems whose odds, beside those of whole tokens, tell which tokens are likely landmarks.
@@ -233,9 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
     nothing, null texts neither; empty texts teach only what their length (0) is worth. A doc_id that is labelled twice has the higher
     label; rows that repeat a doc_id are each an example. Ties among candidates are broken by the token, so reruns agree.
     """
-    picked = staged(_sample(labels, train_rows), "toxic-sample")  # two lists of at most train_rows ids
+    picked = staged(_sample(labels, train_rows).coalesce(1), "toxic-sample")  # two lists of at most train_rows ids
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = staged(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text"), "toxic-train")
+    rows = staged(few(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text"), 2 * train_rows, 500), "toxic-train")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -253,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
     counted = rows.mapInPandas(split, "whole boolean, word string, toxic int, of string").groupBy("whole", "word")
     example = F.min(F.when(F.col("toxic") == 1, F.struct(F.length("of"), F.col("of").alias("of"))))["of"]
     words = counted.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), example.alias("of"))
-    words = staged(words, "toxic-words")
+    words = staged(few(words, 2 * train_rows, 500), "toxic-words")
     sizes = dict(rows.groupBy("toxic").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     none = Model(["\0\0\0"], np.zeros(1), 0.0, np.array([0.0] * (TOP + 1) + [-30.0]))
