@@ -17,7 +17,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of at least 20 code points that 3 documents or more have stay in the one of the largest doc_id; n_chars follows."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    out = line_dedup.dedup_lines(docs, report=False)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
