@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from driftglass.functions.codec import unsigned
+from driftglass.functions.codec import capped_utf8, fixed_width, unsigned
 
 CONTENT_TAG, MANIFEST_TAG = "driftglass-doc-v1\n", "driftglass-manifest-v1\n"
 
@@ -64,3 +64,18 @@ def judged(asked: Column, nonce_ok: Column, id_ok: Column, signature_ok: Column,
 
 def shown_name(verified_at: Column, signed: Column, beaconed: Column) -> Column:
     return F.when(verified_at > 0, signed).otherwise(beaconed)
+
+
+def challenge_bytes(nonce: Column, node_id: Column, name: Column) -> Column:
+    """What an answer to a challenge signs: the nonce (16 bytes), the node's id and its name (32 bytes at most)."""
+    return F.concat(fixed_width(nonce, 16), unsigned(node_id, 4), capped_utf8(name, 32))
+
+
+def confirmed(state: Column) -> Column:
+    """A peer's state once its safety number was compared in person: only a proven key becomes trusted."""
+    return F.when(state == "verified", "trusted").otherwise(state)
+
+
+def revoked(verified_at: Column) -> Column:
+    """A peer's state once trust is taken back."""
+    return F.when(F.coalesce(verified_at, F.lit(0)) > 0, "verified").otherwise("unknown")

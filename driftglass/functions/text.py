@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 #: Stop words of the index, and of the keywords of extractive answers.
 STOP_WORDS = "a an and are as at be by for from has have how i if in is it its of on or that the this to was what when where which who why with you your".split()
 ANSWER_STOP_WORDS = "a an and are as at be by for from how in is it of on or the to was what when where which who why with".split()
-#: Named HTML entities; the ampersand is decoded last.
+#: Named HTML entities.
 ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…", "lsquo": "‘",
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…", "lsquo": "‘",
     "rsquo": "’", "ldquo": "“", "rdquo": "”", "deg": "°", "middot": "·",
 }
 #: Tags that end a line.
@@ -53,28 +53,30 @@ def squeezed_lines(text: Column) -> Column:
     return trimmed(F.regexp_replace(text, "\n{3,}", "\n\n"))
 
 
-def decode_entities(text: Column) -> Column:
-    """Named entities, then decimal and hexadecimal ones that are characters; what is unknown stays."""
-    for name, value in ENTITIES.items():
-        text = F.regexp_replace(text, f"(?i)&{name};", value)
-    codes = F.regexp_extract_all(text, F.lit(r"&#(x?[0-9a-fA-F]{1,6});"), F.lit(1))
-    value = lambda c: F.when(F.lower(c).startswith("x"), F.conv(F.substring(c, 2, 7), 16, 10)).otherwise(F.when(c.rlike("^[0-9]+$"), c)).cast("long")
+def _entity(e: Column) -> Column:
+    """What one entity stands for; itself where that is unknown or no character."""
+    name = F.lower(F.substring(e, F.lit(2), F.length(e) - 2))
+    number = F.when(name.startswith("#x"), F.conv(F.nullif(F.substring(name, 3, 64), F.lit("")), 16, 10)).otherwise(F.nullif(F.regexp_extract(name, "^#([0-9]{1,18})", 1), F.lit("")))
+    known = F.when(F.length(name) <= 18, number).cast("long")
+    sign = F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+    out = F.when((known > 0) & (known <= 0x10FFFF) & ~known.between(0xD800, 0xDFFF), sign)
+    for entity, value in ENTITIES.items():
+        out = F.when(name == entity, value).otherwise(out)
+    return F.coalesce(out, e)
 
-    def put(done: Column, code: Column) -> Column:
-        known = value(code)
-        sign = F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
-        ok = known.isNotNull() & (known > 0) & (known <= 0x10FFFF) & ~known.between(0xD800, 0xDFFF)
-        return F.when(ok, F.replace(done, F.concat(F.lit("&#"), code, F.lit(";")), sign)).otherwise(done)
 
-    text = F.when(text.contains("&#"), F.aggregate(F.array_distinct(codes), text, put)).otherwise(text)
-    return F.regexp_replace(text, "(?i)&amp;", "&")
+def decode_entities(text: Column) -> Column:
+    """Named entities and decimal and hexadecimal numbers that are characters, each decoded once, in one pass: what a decoded
+    ampersand makes an entity of stays. What is unknown stays too."""
+    entity = "&(?:#[xX]?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+    between, found = F.split(text, entity), F.regexp_extract_all(text, F.lit(entity), F.lit(0))
+    whole = F.zip_with(between, found, lambda t, e: F.concat(t, F.when(e.isNull(), "").otherwise(_entity(e))))
+    return F.when(text.contains("&"), F.array_join(whole, "")).otherwise(text)
 
 
 def html_markup_off(html: Column) -> Column:
     """A page's text before entities are decoded: no scripts, styles or comments; headings as `## `, block tags as line ends."""
-    for tag in HIDDEN_TAGS:
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    html = F.regexp_replace(html, rf"(?is)<({'|'.join(HIDDEN_TAGS)})\b.*?</\1\s*>|<!--.*?-->", " ")
     html = F.regexp_replace(F.regexp_replace(html, r"(?i)<h[1-6]\b[^>]*>", "\n## "), r"(?i)</h[1-6]\s*>", "\n")
     return F.regexp_replace(F.regexp_replace(html, rf"(?i)</?({'|'.join(BLOCK_TAGS)})\b[^>]*>", "\n"), "<[^>]*>", "")
 
@@ -148,6 +150,37 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 
 
+def lexical_text(title: Column, section: Column, snippet: Column, body: Column | None = None) -> Column:
+    """What lexical scoring reads of a passage: its body where that is held, else title, section and snippet."""
+    told = F.concat_ws(" ", title, section, snippet)
+    return told if body is None else F.coalesce(body, told)
+
+
+def sectioned_snippet(section: Column, snippet: Column, most: int = 200) -> Column:
+    """A snippet as it travels: its section before it, cut to `most` characters."""
+    return F.left(F.when(section != "", F.concat(section, F.lit(": "), snippet)).otherwise(snippet), F.lit(most))
+
+
+def snippet_parts(sent: Column) -> Column:
+    """struct(section, snippet) of a sectioned_snippet(): split at the first `: `, no section where there is none."""
+    parts = F.split(sent, ": ", 2)
+    return F.when(F.size(parts) == 2, F.struct(parts[0].alias("section"), parts[1].alias("snippet"))).otherwise(F.struct(F.lit("").alias("section"), sent.alias("snippet")))
+
+
+#: Windows-1252 from 0x80 on, as code points; 0 stands for a byte without a character.
+CP1252 = (
+    0x20AC, 0, 0x201A, 0x192, 0x201E, 0x2026, 0x2020, 0x2021, 0x2C6, 0x2030, 0x160, 0x2039, 0x152, 0, 0x17D, 0,
+    0, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2013, 0x2014, 0x2DC, 0x2122, 0x161, 0x203A, 0x153, 0, 0x17E, 0x178,
+)
+
+
+def cp1252_text(raw: Column) -> Column:
+    """Bytes as Windows-1252; bytes without a character go."""
+    high = {chr(0x80 + i): chr(c) if c else "" for i, c in enumerate(CP1252)}
+    put = F.translate(F.decode(raw, "ISO-8859-1"), "".join(k for k, v in high.items() if v), "".join(v for v in high.values() if v))
+    return F.regexp_replace(put, "[\u0080-\u009f]", "")
+
+
 def size_label(n: Column) -> Column:
     """Bytes in the shortest form: B, KB (a decimal under 10 KB) or MB."""
     kb = F.when(n < 10240, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.0f KB", n / 1024))

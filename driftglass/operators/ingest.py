@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftglass.functions.hashing import doc_key, passage_id
+from driftglass.functions.identity import content_intact, document_hash
 from driftglass.functions.text import body_word_count, title_of, trimmed
 
 #: Characters that a passage takes, and those of its snippet; fixed bytes of a metadata row.
@@ -76,6 +77,28 @@ def catalog_stats(docs: DataFrame, meta: DataFrame, bodies: DataFrame, budget: i
     return one.withColumn("free_bytes", F.greatest(F.lit(0), F.lit(budget) - F.col("meta_bytes") - F.col("body_chars")))
 
 
+def described(meta: DataFrame, docs: DataFrame) -> DataFrame:
+    """meta (doc_id, doc_key, …) with the title and source of its document (doc_key, title, source), empty where that is unknown."""
+    named = docs.select("doc_key", F.col("title").alias("doc_title"), F.col("source").alias("doc_source"))
+    return meta.join(named, "doc_key", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("doc_title", "doc_source")})
+
+
+def purged(rows: DataFrame, provenance: str = "provenance", what: str = "seed") -> DataFrame:
+    """rows less those of a provenance; rows of unknown provenance stay."""
+    return rows.where(F.col(provenance).isNull() | (F.col(provenance) != what))
+
+
+def intact_documents(docs: DataFrame, meta: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(doc_key, intact) for docs (doc_key, title, doc_hash, chunk_count): whether the passages held (meta: doc_id, doc_key, seq;
+    bodies: doc_id, text), in order, hash to what was announced; null where the hash or a passage is missing."""
+    rows = meta.select("doc_id", "doc_key", "seq").join(bodies.select("doc_id", "text"), "doc_id")
+    held = rows.groupBy("doc_key").agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("_rows"))
+    rows = docs.join(held, "doc_key", "left")
+    actual = document_hash(F.col("title"), F.array_join(F.transform("_rows", lambda r: r["text"]), "\n"))
+    known = F.when(F.col("doc_hash") != "", F.col("doc_hash"))
+    return rows.select("doc_key", content_intact(known, actual, F.coalesce("_n", F.lit(0)), F.col("chunk_count")).alias("intact"))
+
+
 def manifest(docs: DataFrame, by: str) -> DataFrame:
     """(by, documents, bytes, words) of texts."""
     return docs.groupBy(by).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.octet_length("text")).alias("bytes"), F.sum(body_word_count(F.col("text")).cast("long")).alias("words"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftglass.functions.hashing import mix32
+from driftglass.functions.hashing import MIX_FIRST, MIX_SECOND, MIX_XOR, mix32
 from driftglass.functions.vectors import rounded
+from driftglass.operators.state import inserted_or_ignored
 
 #: Fixed values of the policy.
 MIN_COPIES, MAX_COPIES, META_COPIES = 2, 5, 4
@@ -29,18 +34,63 @@ def rendezvous_score(doc_id: Column, node_id: Column, weight: Column) -> Column:
     return F.when(weight > 0, weight / -F.log(u)).otherwise(0.0)
 
 
+#: Nodes that are sent to every task at most (16 bytes each), and scores that a task holds at a time.
+MOST_NODES, SCORES_A_TIME = 1 << 20, 1 << 22
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """mix32 of all pairs of two arrays."""
+    h = (a.astype(np.uint32) ^ np.uint32(MIX_XOR))[:, None] ^ b.astype(np.uint32)
+    h *= np.uint32(MIX_FIRST)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(MIX_SECOND)
+    return h ^ (h >> np.uint32(16))
+
+
+def best_nodes(ids: np.ndarray, nodes: np.ndarray, weights: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, scores) of the `most` best of each id, best first, ties by node; nodes are sorted and their weights above 0."""
+    scores = weights / -np.log((_mixed(ids, nodes) + 0.5) / 4294967296.0)
+    best = np.argsort(-scores, 1, kind="stable")[:, :most] if most * 8 > len(nodes) else None
+    if best is None:
+        floor = -np.partition(-scores, most - 1, 1)[:, most - 1]
+        best = np.empty((len(ids), most), np.int64)
+        for i in range(len(ids)):  # ties at the floor: all that reach it, then the first by node
+            own = np.flatnonzero(scores[i] >= floor[i])
+            best[i] = own[np.argsort(-scores[i, own], kind="stable")][:most]
+    return nodes[best], np.take_along_axis(scores, best, 1)
+
+
 def rank_nodes(docs: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
-    """(doc_id, node_id, score, rank from 0) over nodes (node_id, reliability, free_bytes) of some weight, best first, ties by id.
+    """(doc_id, node_id, score, rank from 0) over nodes (node_id, reliability, free_bytes) of some weight, best first by exact score,
+    ties by id. Scores come out rounded to 6 places.
 
-    Nodes are compared with every document: that is the definition. Only the best `most` are kept, within each task first, so
-    the exchange carries documents times `most`.
+    Nodes are compared with every document: that is the definition. Where `most` is given and the nodes with weight are few enough
+    to send to every task (MOST_NODES, counted first), each task ranks its documents' nodes in arrays: nothing is exchanged. Else
+    pairs are ranked in a window, of which only the best `most` leave their task.
     """
-    weighed = nodes.select("node_id", node_weight(F.col("reliability"), F.col("free_bytes")).alias("weight")).where("weight > 0")
-    pairs = docs.select("doc_id").join(weighed, F.lit(True))
-    pairs = pairs.select("doc_id", "node_id", F.round(rendezvous_score(F.col("doc_id"), F.col("node_id"), F.col("weight")), 6).alias("score"))
+    weighed = nodes.select(F.col("node_id").cast("long"), node_weight(F.col("reliability"), F.col("free_bytes")).alias("weight")).where("weight > 0")
+    if most is not None and weighed.count() <= MOST_NODES:
+        table = weighed.orderBy("node_id").toArrow()
+        ids, weights = table["node_id"].to_numpy(), table["weight"].to_numpy()
+
+        def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, SCORES_A_TIME // max(1, len(ids)))
+            for batch in batches:
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                for at in range(0, len(own) if len(ids) else 0, step):
+                    part = own[at : at + step]
+                    best, scores = best_nodes(part, ids, weights, min(most, len(ids)))
+                    n = best.shape[1]
+                    columns = [np.repeat(part, n), best.ravel(), scores.ravel(), np.tile(np.arange(n, dtype=np.int32), len(part))]
+                    yield pa.record_batch([pa.array(c) for c in columns], ["doc_id", "node_id", "score", "rank"])
+
+        ranked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long")).mapInArrow(rank, "doc_id long, node_id long, score double, rank int")
+        return ranked.withColumn("score", F.round("score", 6))
+    pairs = docs.select("doc_id").crossJoin(weighed)
+    pairs = pairs.select("doc_id", "node_id", rendezvous_score(F.col("doc_id"), F.col("node_id"), F.col("weight")).alias("score"))
     order = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "node_id")
     ranked = pairs.withColumn("rank", F.row_number().over(order) - 1)
-    return ranked if most is None else ranked.where(F.col("rank") < most)
+    return (ranked if most is None else ranked.where(F.col("rank") < most)).withColumn("score", F.round("score", 6))
 
 
 def meta_nodes(nodes: DataFrame) -> DataFrame:
@@ -52,6 +102,75 @@ def meta_target(nodes: Column) -> Column:
     return F.least(F.lit(META_COPIES), F.greatest(F.lit(1), nodes))
 
 
+def keeps_meta(docs: DataFrame, nodes: DataFrame, self_id: int) -> DataFrame:
+    """(doc_id, keeps): whether the node is among the META_COPIES best for a passage's metadata (all, where nodes are fewer)."""
+    ranked = rank_nodes(docs.select("doc_id"), meta_nodes(nodes), META_COPIES).where(F.col("node_id") == self_id)
+    return docs.select("doc_id").join(ranked.select("doc_id", F.lit(True).alias("keeps")), "doc_id", "left").withColumn("keeps", F.coalesce("keeps", F.lit(False)))
+
+
+def admitted(meta: DataFrame, keeps: DataFrame, held: DataFrame, self_id: int) -> DataFrame:
+    """meta (doc_id, origin_id, …) that the node stores when it hears of it: what it carries, holds, or has made itself."""
+    return _own_or_kept(meta, keeps, held, self_id).where("_stay").drop("_stay")
+
+
+def meta_evictions(meta: DataFrame, keeps: DataFrame, held: DataFrame, self_id: int) -> DataFrame:
+    """The meta rows that it may forget: all others."""
+    return _own_or_kept(meta, keeps, held, self_id).where("not _stay").drop("_stay")
+
+
+def _own_or_kept(meta: DataFrame, keeps: DataFrame, held: DataFrame, self_id: int) -> DataFrame:
+    rows = meta.join(keeps.select("doc_id", F.col("keeps").alias("_k")), "doc_id", "left").join(held.select("doc_id", F.lit(True).alias("_h")).distinct(), "doc_id", "left")
+    stay = F.coalesce("_k", F.lit(False)) | F.coalesce("_h", F.lit(False)) | F.coalesce(F.col("origin_id") == self_id, F.lit(False))
+    return rows.withColumn("_stay", stay).drop("_k", "_h")
+
+
+def admitted_documents(known: DataFrame, announced: DataFrame, self_id: int) -> DataFrame:
+    """known plus the announced documents (doc_key, title, source, origin_id, author_key, sig, authorship, arrival) that it lacks: the
+    first announcement counts, key and signature stay only where they were verified, and provenance tells the node's own."""
+    proven = F.col("authorship") == "verified"
+    rows = announced.withColumns({
+        "author_key": F.when(proven, F.col("author_key")), "sig": F.when(proven, F.col("sig")),
+        "provenance": F.when(F.col("origin_id") == self_id, "local").otherwise("mesh"),
+    })
+    return inserted_or_ignored(known, rows, "doc_key", "arrival")
+
+
+def holder_refresh(meta: DataFrame, holders: DataFrame, shares: DataFrame) -> DataFrame:
+    """(doc_key, entries): what is told anew of each document: its passages (doc_id, doc_key) that have a claim (holders: doc_id,
+    holders) or a share of the node's own (shares: doc_id, hits) above 0."""
+    rows = meta.select("doc_id", "doc_key").join(holders, "doc_id", "left").join(shares.select("doc_id", "hits"), "doc_id", "left")
+    rows = rows.withColumns({"holders": F.coalesce("holders", F.array().cast("array<long>")), "hits": F.coalesce("hits", F.lit(0)).cast("long")}).where((F.size("holders") > 0) | (F.col("hits") > 0))
+    return rows.groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("doc_id", "holders", "hits"))).alias("entries"))
+
+
+def share_percent(part: Column, whole: Column) -> Column:
+    """A share in whole percent, as it is shown; 0 of nothing."""
+    return F.when(whole > 0, F.least(F.lit(100), rounded(100 * part / whole))).otherwise(F.lit(0)).cast("int")
+
+
+def shown_meta_target(peers: Column) -> Column:
+    return F.least(F.lit(META_COPIES), peers + 1)
+
+
+def free_kb(budget: Column, used: Column) -> Column:
+    """What a beacon says is free."""
+    return F.floor(F.greatest(F.lit(0), budget - used) / 1024)
+
+
+def storage_budget(wanted: Column, least: int = 1024) -> Column:
+    return F.greatest(F.lit(least), wanted)
+
+
+def self_reliability(peers: DataFrame) -> DataFrame:
+    """One row: reliability, the mean of the peers', and 1 without peers."""
+    return peers.agg(F.coalesce(F.avg("reliability"), F.lit(1.0)).alias("reliability"))
+
+
+def announce_cursor(self_id: Column, docs: Column, seed: int = 0x5EED) -> Column:
+    """Where a node starts its round of announcements."""
+    return F.pmod(mix32(self_id, F.lit(seed)) % 1024, docs)
+
+
 def replica_target(hits: Column, eligible: Column, mean_reliability: Column, low: int = MIN_COPIES, high: int = MAX_COPIES) -> Column:
     """Copies wanted: more with popularity or for unreliable nodes, within low .. high and the eligible nodes."""
     popular = F.least(F.lit(1.0), F.log1p(F.greatest(F.lit(0), hits)) / F.log1p(F.lit(POPULAR_HITS)))

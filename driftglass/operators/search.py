@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftglass.functions.text import keywords, sentences, tokenize
 from driftglass.functions.vectors import EMBED_DIM, dot, embed_features, feature_bucket, feature_sign
 from driftglass.operators.lexical import bm25_scores, coverage, normalized, top_k
+from driftglass.session import staged
 
 #: How an imperative sentence starts.
 IMPERATIVES = "do not|never|apply|keep|give|move|cool|call|check|stop|place|remove"
@@ -48,35 +53,123 @@ def dense_vector(entries: DataFrame, doc: str, dim: int = EMBED_DIM) -> DataFram
     return by.select(doc, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("vector"))
 
 
-def sparse_cosines(doc_entries: DataFrame, query_entries: DataFrame, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
-    """(query, doc, cosine) of embedded() rows, by a join on buckets: nothing meets that shares none."""
-    q = query_entries.select(query, "bucket", F.col("weight").alias("w"))
-    return doc_entries.join(q, "bucket").groupBy(query, doc).agg(F.sum(F.col("weight") * F.col("w")).alias("cosine"))
+def embeddings(texts: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, vector) of the hashing embedder. Texts without words have no row."""
+    return dense_vector(embedded(texts, doc, text), doc)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(query_id, vec, score, rank): the exact k nearest of each query vector (query_id, query_vector). A stated set of queries
-    against all rows; each task scores its rows and keeps its best k before anything is exchanged."""
-    pairs = vectors.join(queries.hint("broadcast") if queries.count() <= 4096 else queries, F.lit(True))
-    return top_k(pairs.select("query_id", vec, dot(F.col(column), F.col("query_vector")).alias("score")), k, doc=vec)
+#: Bytes of query vectors that are sent to every task at most, and scores that a task holds at a time.
+MOST_QUERY_BYTES, SCORES_A_TIME = 64 << 20, 1 << 22
+
+
+def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Dot products, each summed in the same way wherever its row stands, so that equal rows are ties."""
+    return (rows * query).sum(1)
 
 
-def hybrid_search(passages: DataFrame, queries: DataFrame, cosines: DataFrame, k: int, profile: Profile = MOBILE) -> DataFrame:
-    """(query_id, doc_id, relevance, rank_score, rank) from passages (doc_id, text), queries (query_id, query) and cosines
-    (query_id, doc_id, cosine).
+def best_rows(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the (ids, products) of its k best rows, ties by id, in no order."""
+    near = rows @ queries.T
+    for q in range(len(queries)):
+        own = near[:, q]
+        at = np.arange(len(own)) if len(own) <= k else np.flatnonzero(own >= np.partition(own, -k)[-k] - 1e-9)
+        exact = _products(rows[at], queries[q])
+        keep = np.lexsort((ids[at], -exact))[:k]
+        yield ids[at[keep]], exact[keep]
 
-    Candidates: the dense best factor * k of a query and, for MOBILE, all that match a term. Relevance: cosine plus weighted
-    term coverage, 1 at most. What passes the gate is ranked by relevance plus weighted BM25, as a share of the query's best.
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(query_id, vec, score, rank): the exact k nearest of each query vector (query_id, query_vector), by dot product in double
+    precision; ties by id. A stated set of queries against all rows: the queries go to every task, as many at a time as
+    MOST_QUERY_BYTES has room for, and each task keeps its best k before anything is exchanged."""
+    dim = queries.agg(F.coalesce(F.max(F.size("query_vector")), F.lit(1))).first()[0]
+    room = max(1, MOST_QUERY_BYTES // (8 * max(1, dim)))
+    parts = -(-queries.count() // room)
+    found = []
+    for part in range(max(1, parts)):
+        own = queries if parts <= 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        asked = own.select(F.col("query_id").cast("long"), F.col("query_vector").cast("array<double>")).toArrow()
+        names = asked["query_id"].to_numpy()
+        matrix = np.array(asked["query_vector"].to_pylist(), float).reshape(len(names), -1)
+
+        def best(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+            step = max(k, SCORES_A_TIME // max(1, len(names)))
+            held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(names)
+            for batch in batches:
+                for at in range(0, len(batch), step):
+                    rows = batch.slice(at, step)
+                    flat = rows.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                    for q, (ids, score) in enumerate(best_rows(rows.column(0).to_numpy(), flat, matrix, k) if len(names) else ()):
+                        ids, score = np.append(held[q][0], ids), np.append(held[q][1], score)
+                        keep = np.lexsort((ids, -score))[:k]
+                        held[q] = ids[keep], score[keep]
+            sizes = [len(ids) for ids, _ in held]
+            if sum(sizes):
+                yield pa.record_batch([pa.array(np.repeat(names, sizes)), pa.array(np.concatenate([x for x, _ in held])), pa.array(np.concatenate([x for _, x in held]))], ["query_id", vec, "score"])
+
+        rows = vectors.where(F.col(vec).isNotNull() & F.col(column).isNotNull()).select(F.col(vec).cast("long"), F.col(column).cast("array<double>"))
+        found.append(rows.mapInArrow(best, f"query_id long, {vec} long, score double"))
+    return top_k(reduce(DataFrame.unionByName, found), k, doc=vec)
+
+
+def hybrid_search(passages: DataFrame, queries: DataFrame, k: int, profile: Profile = MOBILE) -> DataFrame:
+    """(query_id, doc_id, relevance, rank_score, rank) from passages (doc_id, text) and queries (query_id, query).
+
+    Candidates: the dense best factor * k of a query and, for MOBILE, all that match a term; without a factor (exhaustive()) all
+    that have a cosine. Relevance: cosine plus weighted term coverage, 1 at most. What passes the gate is ranked by relevance plus
+    weighted BM25, as a share of the query's best; ties by id. A cosine is that of the hashing embedder, 0 for a text without
+    words.
     """
+    vectors = staged(embeddings(passages, "doc_id", "text"), "passage-vectors")
+    asked = staged(embeddings(queries, "query_id", "query"), "query-vectors").withColumnRenamed("vector", "query_vector")
     lexical = normalized(bm25_scores(passages, queries)).withColumnRenamed("score", "lexical")
-    nearest = top_k(cosines, profile.factor * k, score="cosine").select("query_id", "doc_id")
-    ids = nearest.unionByName(lexical.select("query_id", "doc_id")).distinct() if profile.lexical_candidates else nearest
-    rows = ids.join(cosines, ["query_id", "doc_id"], "left").join(lexical, ["query_id", "doc_id"], "left")
+    if profile.factor:
+        ids = vector_top_k(vectors, asked, profile.factor * k, "doc_id", "vector").select("query_id", "doc_id")
+        ids = ids.unionByName(lexical.select("query_id", "doc_id")).distinct() if profile.lexical_candidates else ids
+    else:
+        ids = passages.select("doc_id").crossJoin(queries.select("query_id"))  # a stated set of queries against all passages
+    rows = ids.join(vectors, "doc_id", "left").join(asked, "query_id", "left").join(lexical, ["query_id", "doc_id"], "left")
+    rows = rows.select("query_id", "doc_id", F.coalesce(dot(F.col("vector"), F.col("query_vector")), F.lit(0.0)).alias("cosine"), F.coalesce("lexical", F.lit(0.0)).alias("lexical"))
     rows = rows.join(passages.select("doc_id", tokenize(F.col("text")).alias("words")), "doc_id").join(queries.select("query_id", tokenize(F.col("query")).alias("asked")), "query_id")
-    cosine = F.coalesce("cosine", F.lit(0.0))
-    relevance = F.least(F.lit(1.0), cosine + profile.coverage_weight * coverage(F.col("asked"), F.col("words")))
-    rows = rows.select("query_id", "doc_id", F.round(relevance, 6).alias("relevance"), F.coalesce("lexical", F.lit(0.0)).alias("lexical")).where(F.col("relevance") >= profile.gate)
-    return top_k(rows.withColumn("rank_score", F.col("relevance") + profile.lexical_weight * F.col("lexical")), k, score="rank_score").drop("lexical")
+    relevance = F.least(F.lit(1.0), F.col("cosine") + profile.coverage_weight * coverage(F.col("asked"), F.col("words")))
+    # Sums of floats differ in their last places with their order: the gate and the ranks go by 9 of them.
+    rows = rows.select("query_id", "doc_id", F.round(relevance, 9).alias("relevance"), "lexical").where(F.col("relevance") >= profile.gate)
+    rows = rows.withColumn("rank_score", F.round(F.col("relevance") + profile.lexical_weight * F.col("lexical"), 9))
+    return top_k(rows, k, score="rank_score").select("query_id", "doc_id", F.round("relevance", 6).alias("relevance"), "rank_score", "rank")
+
+
+def exhaustive(profile: Profile) -> Profile:
+    """The profile without a candidate step: every passage is scored."""
+    return replace(profile, factor=0)
+
+
+def asked_k(wanted: Column, most: int = 4, capped: bool = False) -> Column:
+    """How many results a request asks for: `most` where it names none, and never more where requests are capped."""
+    k = F.coalesce(F.nullif(wanted, F.lit(0)), F.lit(most))
+    return F.least(k, F.lit(most)) if capped else k
+
+
+def usable_vectors(vectors: DataFrame, version: str, now: int) -> DataFrame:
+    """vectors of the present embedding version; those of another are as good as none."""
+    return vectors.where(F.col(version) == now)
+
+
+def chosen_holder(claims: DataFrame, live: DataFrame, held: DataFrame, self_id: int) -> DataFrame:
+    """(doc_id, holder): of the claims (doc_id, node_id, arrival) of live nodes (node_id) the node itself, if it holds the body (held:
+    doc_id), else the first claim to come. A claim of the node itself for a body that it lacks counts for nothing."""
+    ok = claims.join(live.select("node_id").unionByName(live.sparkSession.range(1).select(F.lit(self_id).cast("long").alias("node_id"))).distinct(), "node_id", "left_semi")
+    ok = ok.join(held.select("doc_id", F.lit(True).alias("_held")), "doc_id", "left").where((F.col("node_id") != self_id) | F.col("_held"))
+    return ok.groupBy("doc_id").agg(F.min_by("node_id", F.struct(F.col("node_id") != self_id, "arrival", "node_id")).alias("holder"))
+
+
+def local_hits(hits: DataFrame, bodies: DataFrame, claims: DataFrame, live: DataFrame, names: DataFrame, self_id: int) -> DataFrame:
+    """hits (doc_id, …) as a node tells them: holder is the node itself where it has the body, else a live claimant, else 0; the
+    holder's name ('' for none), and the text where the body is held. bodies (doc_id, text), names (node_id, name)."""
+    holder = chosen_holder(claims.where(F.col("node_id") != self_id), live, bodies, self_id)
+    rows = hits.join(bodies.select("doc_id", "text", F.lit(True).alias("_has")), "doc_id", "left").join(holder, "doc_id", "left")
+    rows = rows.withColumn("stored_here", F.coalesce("_has", F.lit(False))).withColumn("holder", F.when(F.col("stored_here"), F.lit(self_id)).otherwise(F.coalesce("holder", F.lit(0))).cast("long"))
+    named = names.select(F.col("node_id").alias("holder"), F.col("name").alias("holder_name"))
+    return rows.join(named, "holder", "left").withColumn("holder_name", F.coalesce("holder_name", F.lit(""))).drop("_has")
 
 
 def merge_results(hits: DataFrame) -> DataFrame:
@@ -124,7 +217,9 @@ def fit_context(passages: DataFrame, budget: int, overhead: int = 16) -> DataFra
     rows = passages.where(F.length(F.trim("text")) > 0)
     cost = F.length("text") + F.length("title") + F.length("section") + overhead
     order = Window.partitionBy("query_id").orderBy("rank")
-    rows = rows.withColumns({"used": F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.row_number().over(order)})
+    # Each costs `overhead` at least, so no more than these can fit: what else a query has never leaves its task.
+    rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(1, budget // overhead))
+    rows = rows.withColumn("used", F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.where((F.col("used") <= budget) | (F.col("_n") == 1)).drop("_n")
 
 
@@ -155,6 +250,24 @@ def extractive_answer(passages: DataFrame, most: int = 4) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "sentence", "citation", "score")
 
 
+#: Fixed value: what is said where no node has an answer.
+NOT_FOUND = "Not in the mesh — no node holds an answer to that."
+
+
+def answer_states(questions: DataFrame, passages: DataFrame, sentences: DataFrame, generated: DataFrame, shortest: int = 20) -> DataFrame:
+    """(query_id, mode, text) for questions (query_id): what is generated (query_id, text; null where no model ran), if it has
+    `shortest` characters or more; else the sentences of extractive_answer() with their citations; NOT_FOUND where a question has
+    no passage (query_id), or nothing was generated and no sentence speaks to it."""
+    told = sentences.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "sentence", "citation"))).alias("rows"))
+    line = lambda r: F.concat(r["sentence"], F.lit(" ["), r["citation"].cast("string"), F.lit("]"))
+    told = told.select("query_id", F.array_join(F.transform("rows", line), " ").alias("_told"))
+    rows = questions.select("query_id").join(passages.select("query_id", F.lit(True).alias("_any")).distinct(), "query_id", "left")
+    rows = rows.join(told, "query_id", "left").join(generated.select("query_id", F.trim("text").alias("_made")), "query_id", "left")
+    made = F.col("_any").isNotNull() & (F.length("_made") >= shortest)
+    text = F.when(made, F.col("_made")).when(F.col("_any").isNotNull() & F.col("_told").isNotNull(), F.col("_told")).otherwise(NOT_FOUND)
+    return rows.select("query_id", F.when(made, "generated").otherwise("extractive").alias("mode"), text.alias("text"))
+
+
 def result_counters(hits: DataFrame) -> DataFrame:
     """Counts of a result set (local, has_body): local, remote, body fetched from others, snippet only."""
     return hits.agg(

@@ -28,6 +28,28 @@ def live_claims(log: DataFrame, key: str, node: str, seen: str, now: Column, ttl
     return last.where(fresh if self_id is None else fresh | (F.col(node) == self_id))
 
 
+def holder_map(claims: DataFrame, held: DataFrame, key: str, node: str, self_id: int) -> DataFrame:
+    """(key, holders): the nodes that claim a key, in order; for the node itself what it holds (held: key) counts, not its claims."""
+    rows = claims.where(F.col(node) != self_id).select(key, node).unionByName(held.select(key, F.lit(self_id).cast("long").alias(node)))
+    return rows.groupBy(key).agg(F.sort_array(F.collect_set(node)).alias("holders"))
+
+
+def self_claims(claims: DataFrame, held: DataFrame, key: str, node: str, seen: str, now: Column, self_id: int) -> DataFrame:
+    """claims with the node's own made anew: one of `now` for each key that it holds, none for others."""
+    own = held.select(key, F.lit(self_id).cast("long").alias(node), now.alias(seen)).distinct()
+    return claims.where(F.col(node) != self_id).unionByName(own)
+
+
+def admitted_claims(claims: DataFrame, meta: DataFrame, key: str, node: str, self_id: int) -> DataFrame:
+    """claims of keys that have a meta row, less those about the node itself, which alone knows what it holds."""
+    return claims.where(F.col(node) != self_id).join(meta.select(key), key, "left_semi")
+
+
+def claim_ttl_web(cycle_s: Column, floor: int = 60) -> Column:
+    """The other build's rule: two announcement cycles."""
+    return F.greatest(F.lit(floor), cycle_s * 2)
+
+
 def claim_ttl_seconds(known: Column, floor: int = 90, batch: int = 24, cycle_s: int = 8, share: float = 0.5) -> Column:
     """How long a claim lives: long enough for two rounds of refreshing `known` of them."""
     return F.greatest(F.lit(float(floor)), F.ceil(known / batch) * cycle_s / share)
@@ -42,9 +64,42 @@ def newest(log: DataFrame, key: str, version: str, arrival: str) -> DataFrame:
     return best.select(key, "_row.*").select(*log.columns)
 
 
-def inserted_or_ignored(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """existing plus the new rows of keys that it lacks; of several, one."""
-    return existing.unionByName(new.dropDuplicates([key]).join(existing, key, "left_anti").select(*existing.columns))
+def inserted_or_ignored(existing: DataFrame, new: DataFrame, key: str, arrival: str) -> DataFrame:
+    """existing plus the new rows of keys that it lacks; of several, the one that came first (by `arrival`, which is no column of
+    existing)."""
+    rest = [c for c in existing.columns if c != key]
+    first = new.join(existing, key, "left_anti").groupBy(key).agg(F.min_by(F.struct(*rest), arrival).alias("_row"))
+    return existing.unionByName(first.select(key, "_row.*").select(*existing.columns))
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key is among keys, each once however often a key is asked for."""
+    return rows.join(keys.select(key), key, "left_semi")
+
+
+def all_of(asked: DataFrame, done: DataFrame, group: str, member: str) -> DataFrame:
+    """(group, all_done): whether each member that a group asks for is among its done ones."""
+    rest = asked.join(done.select(group, member).distinct(), [group, member], "left_anti").groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    return asked.select(group).distinct().join(rest, group, "left").select(group, F.col("_n").isNull().alias("all_done"))
+
+
+def tail_of(log: DataFrame, order: Column, most: int, *by: str) -> DataFrame:
+    """The latest `most` rows of a log, of each group where `by` names one."""
+    if not by:
+        return log.orderBy(order.desc()).limit(most)
+    return log.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order.desc()))).where(F.col("_n") <= most).drop("_n")
+
+
+def fresh_since(log: DataFrame, seq: str, last: Column) -> DataFrame:
+    """What came after the last sequence number that was read."""
+    return log.where(F.col(seq) > last)
+
+
+def rotated(rows: DataFrame, size: int, cursor: int, order: list[Column], by: list[str]) -> DataFrame:
+    """rows with `batch`: `size` of a group at a time, as rows come round from the cursor on."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    rows = rows.withColumn("_p", place).join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    return rows.withColumn("batch", F.floor(F.pmod(F.col("_p") - cursor, F.col("_n")) / size)).drop("_p", "_n")
 
 
 def upserted(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -74,7 +129,8 @@ def in_batches(df: DataFrame, size: int, order: list[Column], by: list[str]) ->
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size))
 
 
-def catalog_page(docs: DataFrame, order: list[Column], count: str, most: int, by: list[str]) -> DataFrame:
-    """Whole documents in order until `most` entries are sent; the last may go beyond."""
+def catalog_page(docs: DataFrame, order: list[Column], count: str, most: int, by: list[str], since: Column | None = None) -> DataFrame:
+    """Whole documents in order until `most` entries are sent; the last may go beyond. since: which documents are asked for."""
+    docs = docs if since is None else docs.where(since)
     before = F.sum(count).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return docs.withColumn("sent_before", F.coalesce(before, F.lit(0)).cast("long")).where(F.col("sent_before") < most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftglass.session import staged
@@ -60,6 +60,48 @@ def hops_travelled(flags: Column, ttl: Column) -> Column:
     return F.greatest(F.lit(1), F.when(flags == 0, 4).otherwise(flags) - ttl + 1)
 
 
+def node_of_link(links: DataFrame, routes: DataFrame) -> DataFrame:
+    """links (peer: a link's name) with node_id: the node that a route (node, via_peer) reaches over it (the smallest of several),
+    else the name read as a hexadecimal number of 32 bits, else 0, as for the names `flood` and `local`."""
+    by = routes.groupBy(F.col("via_peer").alias("peer")).agg(F.min("node").alias("_node"))
+    digits = F.regexp_extract("peer", "^[ ]*(?:0[xX])?([0-9a-fA-F]{1,8})", 1)
+    parsed = F.conv(F.nullif(digits, F.lit("")), 16, 10).cast("long")
+    own = F.when(F.col("peer").isin("flood", "local"), F.lit(0)).otherwise(F.coalesce("_node", parsed, F.lit(0)))
+    return links.join(by, "peer", "left").withColumn("node_id", own.cast("long")).drop("_node")
+
+
+def with_routes(peers: DataFrame, routes: DataFrame) -> DataFrame:
+    """peers (node_id, hops, via) with the present route's hops and via laid over; what was last known stays where there is none."""
+    now = routes.select(F.col("node").alias("node_id"), F.col("hops").alias("_hops"), F.col("via").alias("_via"))
+    rows = peers.join(now, "node_id", "left")
+    return rows.withColumns({"hops": F.coalesce("_hops", "hops"), "via": F.coalesce("_via", "via")}).drop("_hops", "_via")
+
+
+def cut_polyline(points: Column, fraction: Column) -> Column:
+    """struct(x, y): the point at a fraction (0 to 1) of the length of an array of struct(x, y)."""
+    n = F.size(points)
+    length = lambda i: F.hypot(points[i + 1]["x"] - points[i]["x"], points[i + 1]["y"] - points[i]["y"])
+    start = F.struct(F.lit(0.0).alias("gone"), F.lit(None).cast("struct<x:double,y:double>").alias("at"))
+    goal = F.least(F.lit(1.0), F.greatest(F.lit(0.0), fraction)) * polyline_length(points)
+
+    def step(a: Column, i: Column) -> Column:
+        size = length(i)
+        part = F.when(size > 0, (goal - a["gone"]) / size).otherwise(0.0)
+        between = lambda c: (points[i][c] + part * (points[i + 1][c] - points[i][c])).alias(c)
+        here = F.when(a["at"].isNull() & (a["gone"] + size >= goal), F.struct(between("x"), between("y"))).otherwise(a["at"])
+        return F.struct((a["gone"] + size).alias("gone"), here.alias("at"))
+
+    last = F.struct(points[n - 1]["x"].cast("double").alias("x"), points[n - 1]["y"].cast("double").alias("y"))
+    found = F.aggregate(F.sequence(F.lit(0), n - 2), start, step, lambda a: a["at"])
+    return F.when(n >= 2, F.coalesce(found, last)).when(n == 1, last)
+
+
+def stops(points: Column) -> Column:
+    """The share of a polyline's length at which each of its points lies; 0 for a line without length."""
+    whole = polyline_length(points)
+    return F.transform(points, lambda p, i: F.when(whole > 0, polyline_length(F.slice(points, 1, i + 1)) / whole).otherwise(0.0))
+
+
 def polyline_length(points: Column) -> Column:
     """Of an array of struct(x, y)."""
     steps = F.transform(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda p, i: F.hypot(p["x"] - points[i]["x"], p["y"] - points[i]["y"]))
@@ -68,8 +110,6 @@ def polyline_length(points: Column) -> Column:
 
 def layers(reach: DataFrame, width: float = 100.0) -> DataFrame:
     """reach (origin, node, hops) plus x and y: a band for each hop, nodes spread evenly in it."""
-    from pyspark.sql import Window
-
     own = Window.partitionBy("origin", "hops")
     n = F.count(F.lit(1)).over(own)
     return reach.withColumns({"x": (F.row_number().over(own.orderBy("node")) - 0.5) / n * width, "y": F.col("hops").cast("double")})

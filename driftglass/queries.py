@@ -6,15 +6,13 @@ accesses: lineitem. Packets and beacons: events.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftglass.functions import codec, hashing, identity, text, vectors
 from driftglass.operators import ingest, lexical, placement, search, state
 from driftglass.plans import graph
-from driftglass.session import shared_dir, table
+from driftglass.session import scratch, table
 from driftglass.streaming import jobs
 
 QUERIES: dict = {}
@@ -56,7 +54,7 @@ scores AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5::DOUBLE) /
 """
 
 
-@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scores QUALIFY rank <= 5")
+@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores QUALIFY rank <= 5")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return lexical.top_k(lexical.bm25_scores(table(spark, d, "documents"), _questions(spark, d)), 5)
 
@@ -68,11 +66,12 @@ def token_document_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH q AS (SELECT item_id AS query_id, list_distinct({_tokens("text")}) AS qs FROM benchmark), w AS (SELECT doc_id, list_distinct({_tokens("text")}) AS ws FROM documents),
 pairs AS (SELECT query_id, doc_id, count(*) / max(len(qs)) AS score FROM (SELECT query_id, qs, unnest(qs) AS t FROM q) a JOIN (SELECT doc_id, unnest(ws) AS t FROM w) b USING (t) GROUP BY ALL)
-SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM pairs QUALIFY rank <= 3""")
+SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pairs QUALIFY rank <= 3""")
 def term_coverage_top(spark: SparkSession, d: str) -> DataFrame:
     asked = lexical.query_terms(_questions(spark, d)).select("query_id", "term")
     sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    shared = lexical.postings(table(spark, d, "documents")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("m"))
+    postings = lexical.matching_postings(table(spark, d, "documents"), asked.select("term").distinct()).where("term is not null")
+    shared = postings.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("m"))
     return lexical.top_k(shared.join(sizes, "query_id").select("query_id", "doc_id", (F.col("m") / F.col("n")).alias("score")), 3)
 
 
@@ -98,7 +97,7 @@ def mix32_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score,
-row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
+row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank
 FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5""")
 def vector_topk_exact(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
@@ -115,23 +114,60 @@ def quantise_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", F.round("z.scale", 9).alias("scale"), total.alias("q_sum"), F.round(vectors.dot(F.col("embedding"), back), 6).alias("cosine"), vectors.wire_score(F.col("embedding")[0].cast("double")).alias("wire"))
 
 
+#: The hashing embedder in SQL: words, pairs and runs of four letters of each text; then the buckets' weights, as unit vectors.
+EMBED = f"""
+texts AS (SELECT 'd' AS kind, doc_id AS id, text AS t FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark),
+toks AS (SELECT kind, id, {_tokens("t")} AS ws FROM texts),
+feats AS (
+  SELECT kind, id, unnest(ws) AS f, 1.0::DOUBLE AS w FROM toks UNION ALL
+  SELECT kind, id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), 0.7::DOUBLE FROM toks WHERE len(ws) > 1 UNION ALL
+  SELECT kind, id, unnest(list_transform(range(1, len(x) - 2), lambda i: substr(x, i, 4))), 0.35::DOUBLE FROM (SELECT kind, id, unnest(ws) AS x FROM toks) WHERE len(x) >= 4),
+names AS (SELECT DISTINCT f FROM feats),
+hashed AS (SELECT f, {FNV.format(seed=hashing.FNV_SEED, s="f")} % 384 AS bucket, CASE WHEN {FNV.format(seed=hashing.SIGN_SEED, s="f")} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM names),
+raw AS (SELECT kind, id, bucket, sum(sign * w) AS w FROM feats JOIN hashed USING (f) GROUP BY ALL),
+sized AS (SELECT kind, id, sqrt(sum(w * w)) AS n FROM raw GROUP BY ALL),
+vec AS (SELECT kind, id, bucket, w / n AS w FROM raw JOIN sized USING (kind, id) WHERE abs(w) > 1e-12),
+cos AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.w * d.w) AS c FROM vec q JOIN vec d USING (bucket) WHERE q.kind = 'q' AND d.kind = 'd' GROUP BY ALL)"""
+
+
+@query(f"WITH {EMBED} SELECT id AS doc_id, count(*) AS buckets, round(sum(w), 6) AS total, round(max(abs(w)), 6) AS top, round(sum(w * bucket), 4) AS moment FROM vec WHERE kind = 'd' GROUP BY id")
+def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
+    rows = search.embedded(table(spark, d, "documents"), "doc_id", "text").where("abs(weight) > 1e-12")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max(F.abs("weight")), 6).alias("top"), F.round(F.sum(F.col("weight") * F.col("bucket")), 4).alias("moment"))
+
+
+def _hybrid_sql(profile: search.Profile) -> str:
+    dense = f"SELECT query_id, doc_id FROM cos QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, doc_id) <= {5 * profile.factor}"
+    ids = f"({dense}) UNION SELECT query_id, doc_id FROM scores" if profile.lexical_candidates else dense
+    if not profile.factor:
+        ids = "SELECT item_id AS query_id, doc_id FROM benchmark, documents"
+    return f"""WITH {BM25}, {EMBED}, ids AS ({ids}), lex AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS lexical FROM scores),
+qw AS (SELECT item_id AS query_id, list_distinct({_tokens("text")}) AS qs FROM benchmark), dw AS (SELECT doc_id, list_distinct({_tokens("text")}) AS ws FROM documents),
+rel AS (SELECT query_id, doc_id, round(least(1, coalesce(c, 0) + {profile.coverage_weight}::DOUBLE * CASE WHEN len(qs) > 0 THEN len(list_intersect(qs, ws)) / len(qs) ELSE 0 END), 9) AS relevance, coalesce(lexical, 0) AS lexical
+  FROM ids LEFT JOIN cos USING (query_id, doc_id) LEFT JOIN lex USING (query_id, doc_id) JOIN qw USING (query_id) JOIN dw USING (doc_id)),
+r AS (SELECT query_id, doc_id, relevance, round(relevance + {profile.lexical_weight}::DOUBLE * lexical, 9) AS rank_score FROM rel WHERE relevance >= {profile.gate}::DOUBLE)
+SELECT query_id, doc_id, round(relevance, 6) AS relevance, round(rank_score, 6) AS rank_score, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, doc_id) AS rank FROM r QUALIFY rank <= 5"""
+
+
 def _hybrid(spark: SparkSession, d: str, profile: search.Profile) -> DataFrame:
-    docs, asked = table(spark, d, "documents").select("doc_id", "text"), _questions(spark, d)
-    entries = search.embedded(docs, "doc_id", "text")
-    cosines = search.sparse_cosines(entries, search.embedded(asked, "query_id", "query"))
-    return search.hybrid_search(docs, asked, cosines, 5, profile)
+    return search.hybrid_search(table(spark, d, "documents").select("doc_id", "text"), _questions(spark, d), 5, profile)
 
 
-@query()
+@query(_hybrid_sql(search.MOBILE))
 def hybrid_search_mobile(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d, search.MOBILE)
 
 
-@query()
+@query(_hybrid_sql(search.WEB))
 def hybrid_search_web(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d, search.WEB)
 
 
+@query(_hybrid_sql(search.exhaustive(search.MOBILE)))
+def exhaustive_search(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d, search.exhaustive(search.MOBILE))
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.col("l_discount").alias("score"), (F.col("l_orderkey") % 7).alias("holder"),
@@ -191,6 +227,7 @@ def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _html(column: str) -> str:
+    # One expression in Spark; the engine that runs this SQL has no back-references, so here it goes over the page tag by tag.
     for tag in text.HIDDEN_TAGS:
         column = rf"regexp_replace({column}, '(?is)<{tag}\b.*?</{tag}\s*>', ' ', 'g')"
     column = rf"regexp_replace(regexp_replace(regexp_replace({column}, '(?s)<!--.*?-->', ' ', 'g'), '(?i)<h[1-6]\b[^>]*>', chr(10) || '## ', 'g'), '(?i)</h[1-6]\s*>', chr(10), 'g')"
@@ -199,9 +236,14 @@ def _html(column: str) -> str:
 
 
 def _entities(column: str) -> str:
-    for name, value in text.ENTITIES.items():
-        column = f"regexp_replace({column}, '(?i)&{name};', '{value.replace(chr(39), chr(39) * 2)}', 'g')"
-    return f"regexp_replace(regexp_replace({column}, '&#39;', '''', 'g'), '(?i)&amp;', '&', 'g')"
+    """Texts between entities, and the entities' values, put together again: each is decoded once."""
+    entity = "&(?:#[xX]?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+    named = " ".join(f"WHEN '&{name};' THEN '{value.replace(chr(39), chr(39) * 2)}'" for name, value in text.ENTITIES.items())
+    number = "CASE WHEN lower(e) LIKE '&#x%' THEN TRY_CAST('0x' || substr(e, 4, len(e) - 4) AS BIGINT) WHEN e LIKE '&#%' THEN TRY_CAST(nullif(regexp_extract(e, '^&#([0-9]+)', 1), '') AS BIGINT) END"
+    value = f"CASE lower(e) {named} ELSE CASE WHEN {number} > 0 AND {number} <= 1114111 AND NOT {number} BETWEEN 55296 AND 57343 THEN chr(({number})::INT) ELSE e END END"
+    return (
+        f"list_transform([{column}], lambda t: array_to_string(list_transform(list_zip(regexp_split_to_array(t, '{entity}'), list_transform(regexp_extract_all(t, '{entity}'), lambda e: {value})), lambda z: z[1] || coalesce(z[2], '')), ''))[1]"
+    )
 
 
 def _squeezed(column: str) -> str:
@@ -219,11 +261,10 @@ def html_title(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.html_title(F.col("html")).alias("title"))
 
 
-@query(r"""SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(trim(left(text, 80))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), ''), 'note') || '.md' AS file,
-left(trim(regexp_replace(left(text, 60), '[\x00-\x1F\x7F]', '', 'g')), 24) AS name, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) WHEN n_chars < 10240 THEN printf('%.1f KB', floor(n_chars / 102.4::DOUBLE + 0.5::DOUBLE) / 10) WHEN n_chars < 1048576 THEN printf('%.0f KB', floor(n_chars / 1024 + 0.5::DOUBLE)) ELSE printf('%.1f MB', n_chars / 1048576) END AS label FROM documents""")
+@query(r"""SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), ''), 'note') || '.md' AS file,
+left(trim(regexp_replace(text, '[\x00-\x1F\x7F]', '', 'g')), 24) AS name, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) WHEN n_chars < 10240 THEN printf('%.1f KB', floor(n_chars / 102.4::DOUBLE + 0.5::DOUBLE) / 10) WHEN n_chars < 1048576 THEN printf('%.0f KB', floor(n_chars / 1024 + 0.5::DOUBLE)) ELSE printf('%.1f MB', n_chars / 1048576) END AS label FROM documents""")
 def text_labels(spark: SparkSession, d: str) -> DataFrame:
-    head = F.left("text", F.lit(80))
-    return table(spark, d, "documents").select("doc_id", text.note_filename(head).alias("file"), text.clean_name(F.left("text", F.lit(60))).alias("name"), text.size_label(F.col("n_chars")).alias("label"))
+    return table(spark, d, "documents").select("doc_id", text.note_filename(F.col("text")).alias("file"), text.clean_name(F.col("text")).alias("name"), text.size_label(F.col("n_chars")).alias("label"))
 
 
 @query(r"""SELECT source, count(*) AS documents, sum(octet_length(encode(text)))::BIGINT AS bytes, sum(len(list_filter(regexp_split_to_array(array_to_string(list_filter(string_split(text, chr(10)), lambda s: NOT regexp_matches(s, '^#|^(?i)source:')), ' '), '\s+'), lambda w: w <> '')))::BIGINT AS words FROM documents GROUP BY source""")
@@ -258,8 +299,8 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 NODES = """nodes AS (SELECT s_suppkey AS node_id, 0.02::DOUBLE + (s_suppkey % 50) / 60 AS reliability, floor(s_acctbal * 300) AS free_bytes FROM supplier),
 weighed AS (SELECT node_id, least(1, reliability) AS r, CASE WHEN free_bytes <= 0 OR reliability < 0.05::DOUBLE THEN 0 ELSE least(1, reliability) * least(1, free_bytes / 2097152) END AS w FROM nodes)"""
-RANKED = f"""ranked AS (SELECT doc_id, node_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, node_id) - 1 AS rank FROM (
-SELECT p_partkey AS doc_id, node_id, round(w / -ln(({_mix("p_partkey", "node_id")} + 0.5::DOUBLE) / 4294967296::DOUBLE), 6) AS score FROM part, weighed WHERE w > 0))"""
+RANKED = f"""ranked AS (SELECT doc_id, node_id, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, node_id) - 1 AS rank FROM (
+SELECT p_partkey AS doc_id, node_id, w / -ln(({_mix("p_partkey", "node_id")} + 0.5::DOUBLE) / 4294967296::DOUBLE) AS score FROM part, weighed WHERE w > 0))"""
 
 
 @query(f"WITH {NODES}, {RANKED} SELECT * FROM ranked WHERE rank < 5")
@@ -342,13 +383,12 @@ def peer_reliability(spark: SparkSession, d: str) -> DataFrame:
     return by.select("user_id", "seen", F.round(placement.reliability(F.col("seen"), F.col("expected"), F.col("requests"), F.col("responses")), 6).alias("reliability"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, (c_custkey * 7 + 3) % 25 AS b FROM customer WHERE c_custkey % 11 = 0 AND c_custkey < 400), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach AS (SELECT r_regionkey AS origin, r_regionkey AS node, 0 AS hops FROM region UNION SELECT r.origin, l.b, r.hops + 1 FROM reach r JOIN both_ways l ON r.node = l.a WHERE r.hops < 4)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_orderkey AS b FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT r_regionkey + 1::BIGINT AS origin, r_regionkey + 1::BIGINT AS node, 0 AS hops FROM region UNION SELECT r.origin, l.b, r.hops + 1 FROM reach r JOIN both_ways l ON r.node = l.a WHERE r.hops < 4)
 SELECT origin, node, min(hops) AS hops FROM reach GROUP BY ALL""")
 def flood_reach(spark: SparkSession, d: str) -> DataFrame:
-    near = table(spark, d, "customer").where("c_custkey % 11 = 0 and c_custkey < 400")
-    links = near.select(F.col("c_nationkey").cast("long").alias("a"), ((F.col("c_custkey") * 7 + 3) % 25).alias("b"))
-    return graph.flood(links, table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("node")), 4)
+    links = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_suppkey").alias("a"), (F.col("l_orderkey") + 1_000_000).alias("b"))
+    return graph.flood(links, table(spark, d, "region").select((F.col("r_regionkey").cast("long") + 1).alias("node")), 4)
 
 
 @query("SELECT event_type, count(*) AS packets, round(sum(value), 4) AS total, count(DISTINCT user_id) AS peers FROM events GROUP BY 1")
@@ -383,7 +423,7 @@ def request_reply_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT source, doc_id, sent_before FROM (SELECT source, doc_id, (coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS sent_before FROM documents) WHERE sent_before < 20000""")
 def catalog_page(spark: SparkSession, d: str) -> DataFrame:
-    return state.catalog_page(table(spark, d, "documents"), [F.col("doc_id")], "n_chars", 20_000, ["source"]).select("source", "doc_id", "sent_before")
+    return state.catalog_page(table(spark, d, "documents").select("source", "doc_id", "n_chars"), [F.col("doc_id")], "n_chars", 20_000, ["source"]).select("source", "doc_id", "sent_before")
 
 
 @query("SELECT l_suppkey AS node, l_orderkey, l_linenumber, floor((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1) / 24)::BIGINT AS batch FROM lineitem")
@@ -422,9 +462,9 @@ def packet_codec(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.hex(again).alias("packet"), graph.hops_travelled(F.col("p.flags"), F.col("p.ttl")).alias("hops"))
 
 
-@query("SELECT doc_id, greatest(1, ceil(octet_length(encode(text)) / 494))::INT AS frames, CASE WHEN octet_length(encode(text)) <= 494 * 255 THEN sha256(encode(text)) END AS whole FROM documents WHERE octet_length(encode(text)) <= 494 * 255")
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 494 * 255 THEN greatest(1, ceil(octet_length(encode(text)) / 494))::INT END AS frames, CASE WHEN octet_length(encode(text)) <= 494 * 255 THEN sha256(encode(text)) END AS whole FROM documents")
 def frame_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.explode(codec.frames(F.encode("text", "UTF-8"), F.col("doc_id"), 500)).alias("f"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode_outer(codec.frames(F.encode("text", "UTF-8"), F.col("doc_id"), 500)).alias("f"))
     rows = rows.select("doc_id", codec.frame_fields(F.col("f.data")).alias("g"))
     by = rows.groupBy("doc_id").agg(F.max("g.cnt").alias("frames"), codec.reassembled(F.col("g.idx"), F.col("g.cnt"), F.col("g.body")).alias("b"))
     return by.select("doc_id", "frames", F.sha2("b", 256).alias("whole"))
@@ -435,18 +475,44 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
     return ingest.passages(docs)
 
 
-@query()
+_STRIP = r"regexp_replace(regexp_replace({0}, '^[\s ]+', ''), '[\s ]+$', '')"
+_CAP = ingest.PASSAGE_CHARS
+#: The chunker in SQL: lines of each section; pieces of lines over the cap; and pieces put together as long as they fit, by a fold
+#: over lists of (passages done, passage that is open).
+CHUNKS = rf"""
+files AS (SELECT 'doc-' || doc_id || '.md' AS filename, text FROM documents WHERE text IS NOT NULL),
+heads AS (SELECT filename, coalesce(nullif(regexp_extract_all(text, '(?m)^#[ \t]+(.*?)[ \t]*$', 1)[-1], ''), CASE WHEN regexp_matches(text, '(?m)^#[ \t]') THEN '' END, regexp_replace(filename, '\.[A-Za-z0-9]+$', '')) AS title,
+  coalesce(nullif(trim(regexp_extract(text, '(?im)^source:[ \t]*(.*)$', 1)), ''), filename) AS source,
+  regexp_split_to_array(regexp_replace(regexp_replace(chr(10) || text, '\n#[ \t][^\n]*', chr(10), 'g'), '(?i)\nsource:[^\n]*', chr(10), 'g'), '\n##[ \t]+') AS parts FROM files),
+sections AS (SELECT filename, title, source, generate_subscripts(parts, 1) AS i, unnest(parts) AS p FROM heads),
+lines AS (SELECT filename, title, source, i, CASE WHEN i = 1 THEN '' ELSE trim(string_split(p, chr(10))[1]) END AS section,
+  list_filter(list_transform(string_split(CASE WHEN i = 1 THEN p WHEN contains(p, chr(10)) THEN regexp_replace(p, '^[^\n]*\n', '') ELSE '' END, chr(10)), lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS ls FROM sections),
+cut AS (SELECT * EXCLUDE ls, list_filter(flatten(list_transform(flatten(list_transform(ls, lambda x: CASE WHEN len(x) <= {_CAP} THEN [x] ELSE string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END)),
+  lambda x: CASE WHEN len(x) <= {_CAP} THEN [x] ELSE list_transform(range(0, ((len(x) - 1) // {_CAP}) + 1), lambda j: substr(x, (j * {_CAP} + 1)::INT, {_CAP})) END)), lambda x: x IS NOT NULL) AS xs FROM lines),
+folded AS (SELECT * EXCLUDE xs, list_reduce(list_transform(xs, lambda x: {{'done': []::VARCHAR[], 'open': x}}), lambda a, x: CASE WHEN a.open = '' OR len(a.open) + 1 + len(x.open) <= {_CAP}
+  THEN {{'done': a.done, 'open': CASE WHEN a.open = '' THEN x.open ELSE a.open || chr(10) || x.open END}} ELSE {{'done': list_append(a.done, a.open), 'open': x.open}} END) AS f FROM cut WHERE len(xs) > 0),
+packed AS (SELECT filename, title, source, i, section, CASE WHEN f.open = '' THEN f.done ELSE list_append(f.done, f.open) END AS ps FROM folded),
+flat AS (SELECT filename, title, source, i, section, generate_subscripts(ps, 1) AS j, unnest(ps) AS text FROM packed),
+seqs AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY i, j) - 1 AS seq FROM flat),
+whole AS (SELECT filename, string_agg(text, chr(10) ORDER BY seq) AS body FROM seqs GROUP BY 1),
+keyed AS (SELECT s.*, {FNV.format(seed=hashing.FNV_SEED, s="(title || chr(10) || body)")} AS doc_key FROM seqs s JOIN whole USING (filename)),
+passages AS (SELECT doc_key, seq::INT AS seq, title, source, section, text, {FNV.format(seed=hashing.FNV_SEED, s="concat(doc_key, ':', seq, ':', text)")} AS doc_id FROM keyed)"""
+
+
+@query(f"WITH {CHUNKS} SELECT doc_key, seq, title, source, section, text, doc_id FROM passages")
 def chunk_passages(spark: SparkSession, d: str) -> DataFrame:
     return _passages(spark, d)
 
 
-@query()
+@query(f"""WITH {CHUNKS}, m AS (SELECT doc_id, doc_key FROM passages), b AS (SELECT doc_id FROM passages), k AS (SELECT doc_key, count(*) AS known, count(b.doc_id) AS stored FROM m LEFT JOIN b USING (doc_id) GROUP BY 1),
+t AS (SELECT doc_key, title, source, sum(len(text))::BIGINT AS bytes, count(*) AS chunk_count FROM passages GROUP BY ALL) SELECT doc_key, title, source, bytes, chunk_count, known, stored FROM t LEFT JOIN k USING (doc_key)""")
 def doc_summary(spark: SparkSession, d: str) -> DataFrame:
     docs, meta, bodies = ingest.tables(_passages(spark, d))
     return docs.join(ingest.document_counts(meta, bodies), "doc_key", "left")
 
 
-@query()
+@query(f"""WITH {CHUNKS}, m AS (SELECT count(*) AS known, sum({ingest.META_BYTES} + len(title) + len(section) + len(left(text, {ingest.SNIPPET_CHARS})))::BIGINT AS meta_bytes, count(*) AS stored, sum(len(text))::BIGINT AS body_chars FROM passages)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_key, title, source FROM passages)) AS documents, known, meta_bytes, stored, body_chars, greatest(0, 1048576 - meta_bytes - body_chars)::BIGINT AS free_bytes FROM m""")
 def catalog_stats(spark: SparkSession, d: str) -> DataFrame:
     return ingest.catalog_stats(*ingest.tables(_passages(spark, d)))
 
@@ -459,7 +525,7 @@ def text_tidy(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream(spark: SparkSession, rows: DataFrame, job, mode: str = "append") -> DataFrame:
     """What a streaming job makes of rows, all of them read as a stream from the shared folder and written back there."""
-    root = f"{shared_dir(spark)}/driftglass/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     rows.write.parquet(f"{root}/in")
     source = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
     job(source).writeStream.outputMode(mode).format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
@@ -472,8 +538,15 @@ def dedup_stream(spark: SparkSession, d: str) -> DataFrame:
     return _stream(spark, rows, lambda s: jobs.without_duplicates(s, within="60 days")).select("msg_id")
 
 
-@query()
+KINDS = "CASE event_type WHEN 'view' THEN 'hello' WHEN 'click' THEN 'request' WHEN 'purchase' THEN 'response' ELSE 'tick' END"
+
+
+@query(f"""WITH e AS (SELECT user_id, list({KINDS} ORDER BY event_id) AS ks FROM events GROUP BY 1),
+f AS (SELECT user_id, list_reduce(list_prepend({{'k': '', 's': 0::BIGINT, 'x': 0::BIGINT, 'q': 0::BIGINT, 'r': 0::BIGINT}}, list_transform(ks, lambda k: {{'k': k, 's': 0::BIGINT, 'x': 0::BIGINT, 'q': 0::BIGINT, 'r': 0::BIGINT}})),
+ lambda a, b: list_transform([{{'s': a.s + (b.k = 'hello')::BIGINT, 'x': CASE b.k WHEN 'hello' THEN greatest(a.x, a.s + 1) WHEN 'tick' THEN a.x + 1 ELSE a.x END, 'q': a.q + (b.k = 'request')::BIGINT, 'r': a.r + (b.k = 'response')::BIGINT}}],
+ lambda n: CASE WHEN n.x >= {jobs.HALVE_AT} OR n.q >= {jobs.HALVE_AT} THEN {{'k': '', 's': n.s // 2, 'x': n.x // 2, 'q': n.q // 2, 'r': n.r // 2}} ELSE {{'k': '', 's': n.s, 'x': n.x, 'q': n.q, 'r': n.r}} END)[1]) AS z FROM e)
+SELECT user_id AS node_id, z.s AS hello_seen, z.x AS hello_expected, z.q AS requests, z.r AS responses FROM f""")
 def reliability_stream(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "hello").when(F.col("event_type") == "click", "request").when(F.col("event_type") == "purchase", "response").otherwise("tick")
-    rows = table(spark, d, "events").select(F.col("user_id").alias("node_id"), kind.alias("kind"), F.col("event_id").alias("seq"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("node_id"), kind.alias("kind"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
     return _stream(spark, rows, jobs.reliability_counters)

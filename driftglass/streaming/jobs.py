@@ -6,15 +6,17 @@ time is the column `ts` (TIMESTAMP).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from driftglass.operators.state import newest
+
 EVENT = GroupStateTimeout.EventTimeTimeout
-NONE = GroupStateTimeout.NoTimeout
 
 
 def without_duplicates(packets: DataFrame, key: str = "msg_id", within: str = "10 minutes") -> DataFrame:
@@ -59,41 +61,78 @@ def challenged(challenges: DataFrame, responses: DataFrame, within: str = "10 se
     return matched(challenges.withColumn("pair", pair).withColumn("waiter", F.col("node_id")), responses.withColumn("pair", pair), "pair", within)
 
 
-def _stateful(rows: DataFrame, key: str, step, out: str, state: str, timeout: str = NONE) -> DataFrame:
+def every_third(beacons: DataFrame, by: str = "node_id", seq: str = "seq") -> DataFrame:
+    """beacons plus `flood`: whether it goes to all nodes, as the first and every third one after it do (numbers from 0)."""
+    return beacons.withColumn("flood", F.pmod(seq, F.lit(3)) == 0)
+
+
+def _stateful(rows: DataFrame, key: str, step, out: str, state: str, timeout: str = EVENT) -> DataFrame:
     return rows.groupBy(key).applyInPandasWithState(step, out, state, "append", timeout)
 
 
+def _ms(duration: str) -> int:
+    return int(pd.Timedelta(duration).total_seconds() * 1000)
+
+
+def _expires(state: GroupState, after_ms: int, now_ms: int = 0) -> None:
+    """The state goes once the watermark is after_ms beyond both itself and now_ms."""
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), now_ms) + after_ms)
+
+
+def _in_order(batches: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+    """A group's rows of a micro-batch in order, with `ms`, their times as numbers."""
+    rows = pd.concat(batches).sort_values(list(by))
+    return rows.assign(ms=rows.ts.astype("datetime64[ms]").astype("int64"))
+
+
 def reassembled_packets(frames: DataFrame, late: str = "10 seconds") -> DataFrame:
     """(packet_key, data, n): packets from frames (packet_key, idx, cnt, body, ts), in any order and with repeats, once each; one
-    that stays incomplete for `late` is given up."""
+    that stays incomplete for `late` is given up. Of a packet no more than its frames is held."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         held, want = (dict(zip(state.get[0], state.get[1], strict=True)), state.get[2]) if state.exists else ({}, 0)
-        done = want < 0
-        for batch in batches:
-            for idx, cnt, body in zip(batch.idx, batch.cnt, batch.body, strict=True):
-                if not done and 0 <= idx < cnt and want in (0, cnt):
-                    want = int(cnt)
-                    held.setdefault(int(idx), bytes(body))
-        if not done and want and len(held) == want:
+        rows = pd.concat(batches)
+        rows = rows[(rows.idx >= 0) & (rows.idx < rows.cnt)]
+        if want >= 0 and len(rows):
+            want = want or int(rows.cnt.iloc[0])
+            rows = rows[rows.cnt == want]
+            held = dict(zip(rows.idx.tolist()[::-1], map(bytes, rows.body.tolist()[::-1]), strict=True)) | held
+        if want > 0 and len(held) == want:
             yield pd.DataFrame({"packet_key": [key[0]], "data": [b"".join(held[i] for i in range(want))], "n": [want]})
             held, want = {}, -1
         state.update((list(held), list(held.values()), want))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 10_000)
+        _expires(state, _ms(late))
 
-    return _stateful(frames.withWatermark("ts", late), "packet_key", step, "packet_key string, data binary, n int", "idx array<int>, body array<binary>, want int", EVENT)
+    return _stateful(frames.withWatermark("ts", late), "packet_key", step, "packet_key string, data binary, n int", "idx array<int>, body array<binary>, want int")
 
 
-def reliability_counters(observed: DataFrame) -> DataFrame:
-    """(node_id, hello_seen, hello_expected, requests, responses) after each batch's events (node_id, kind, seq): kinds are hello,
-    tick, request and response. All four are halved when hellos expected or requests run up to 200."""
+def within_pending(frames: DataFrame, most: int = 64) -> DataFrame:
+    """Of frames (link, packet_key, cnt, ts, …) those of each link's `most` packets that began last: older ones are given up. For a
+    batch, as foreachBatch gets one: a bound over packets of a link is no state of a single packet."""
+    begun = frames.groupBy("link", "packet_key").agg(F.min("ts").alias("_t"))
+    kept = begun.withColumn("_n", F.row_number().over(Window.partitionBy("link").orderBy(F.col("_t").desc(), F.col("packet_key").desc()))).where(F.col("_n") <= most)
+    return frames.join(kept.select("link", "packet_key"), ["link", "packet_key"], "left_semi")
+
+
+#: Fixed value: counters are halved when hellos expected or requests run up to this.
+HALVE_AT = 200
+
+
+def reliability_counters(observed: DataFrame, forget: str = "7 days") -> DataFrame:
+    """(node_id, hello_seen, hello_expected, requests, responses) after each batch's events (node_id, kind, seq, ts): kinds are
+    hello, tick, request and response. All four are halved when hellos expected or requests run up to HALVE_AT. A node that is
+    silent for `forget` is forgotten."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, expected, requests, responses = state.get if state.exists else (0, 0, 0, 0)
-        for kind in pd.concat(batches).sort_values("seq").kind:
+        rows = _in_order(batches, "seq")
+        for kind in rows.kind.tolist():
             if kind == "hello":
                 seen += 1
                 expected = max(expected, seen)
@@ -103,115 +142,149 @@ def reliability_counters(observed: DataFrame) -> DataFrame:
                 requests += 1
             elif kind == "response":
                 responses += 1
-            if expected >= 200 or requests >= 200:
+            if expected >= HALVE_AT or requests >= HALVE_AT:
                 seen, expected, requests, responses = seen // 2, expected // 2, requests // 2, responses // 2
         state.update((seen, expected, requests, responses))
+        _expires(state, _ms(forget), int(rows.ms.max()))
         yield pd.DataFrame({"node_id": [key[0]], "hello_seen": [seen], "hello_expected": [expected], "requests": [requests], "responses": [responses]})
 
     columns = "hello_seen long, hello_expected long, requests long, responses long"
-    return _stateful(observed, "node_id", step, f"node_id long, {columns}", columns)
+    return _stateful(observed.withWatermark("ts", "1 minute"), "node_id", step, f"node_id long, {columns}", columns)
 
 
 def learn_routes(heard: DataFrame, stale_s: int = 30) -> DataFrame:
     """(node, via, hops, at): each change of the route to a node, from packets heard (node, via, hops, ts) in order: a route is
-    taken if there is none, the known one is stale, the new one is shorter, or it comes over the same link."""
+    taken if there is none, the known one is stale, the new one is shorter, or it comes over the same link. A stale route's state
+    goes."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         via, hops, at = state.get if state.exists else (None, 0, 0)
         out = []
-        for row in pd.concat(batches).sort_values(["ts", "hops", "via"]).itertuples():
-            ms = int(row.ts.timestamp() * 1000)
-            if via is None or ms - at > 1000 * stale_s or row.hops < hops or row.via == via:
-                if (via, hops) != (row.via, row.hops):
-                    out.append((key[0], row.via, row.hops, row.ts))
-                via, hops, at = row.via, int(row.hops), ms
+        rows = _in_order(batches, "ts", "hops", "via")
+        for new, far, ms, ts in zip(rows.via.tolist(), rows.hops.tolist(), rows.ms.tolist(), rows.ts, strict=True):
+            if via is None or ms - at > 1000 * stale_s or far < hops or new == via:
+                if (via, hops) != (new, far):
+                    out.append((key[0], new, far, ts))
+                via, hops, at = new, far, ms
         state.update((via, hops, at))
+        _expires(state, 1000 * stale_s + 1, at)
         yield pd.DataFrame(out, columns=["node", "via", "hops", "at"])
 
-    return _stateful(heard, "node", step, "node long, via long, hops int, at timestamp", "via long, hops int, at long")
+    return _stateful(heard.withWatermark("ts", "1 minute"), "node", step, "node long, via long, hops int, at timestamp", "via long, hops int, at long")
 
 
 def outbox(events: DataFrame, ttl_s: int = 300) -> DataFrame:
     """(dst_id, msg_id, at): parked messages as they are sent. events (dst_id, kind, msg_id, ts): `park` holds a message for its
-    destination, `beacon` from there sends all that are not expired, oldest first."""
+    destination, `beacon` from there sends all that are not expired, oldest first. What is expired goes from the state."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         ids, times = (list(x) for x in state.get) if state.exists else ([], [])
         out = []
-        for row in pd.concat(batches).sort_values(["ts", "msg_id"]).itertuples():
-            now = int(row.ts.timestamp() * 1000)
-            kept = [(i, t) for i, t in zip(ids, times, strict=True) if now - t <= 1000 * ttl_s]
-            ids, times = [i for i, _ in kept], [t for _, t in kept]
-            if row.kind == "park":
-                ids.append(int(row.msg_id))
+        rows = _in_order(batches, "ts", "msg_id")
+        for kind, msg, now, ts in zip(rows.kind.tolist(), rows.msg_id.tolist(), rows.ms.tolist(), rows.ts, strict=True):
+            first = next((i for i, t in enumerate(times) if now - t <= 1000 * ttl_s), len(times))
+            del ids[:first], times[:first]
+            if kind == "park":
+                ids.append(int(msg))
                 times.append(now)
             else:
-                out += [(key[0], i, row.ts) for i in ids]
+                out += [(key[0], i, ts) for i in ids]
                 ids, times = [], []
-        state.update((ids, times))
+        if ids:
+            state.update((ids, times))
+            _expires(state, 1000 * ttl_s + 1, times[-1])
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["dst_id", "msg_id", "at"])
 
-    return _stateful(events, "dst_id", step, "dst_id long, msg_id long, at timestamp", "ids array<long>, times array<long>")
+    return _stateful(events.withWatermark("ts", "1 minute"), "dst_id", step, "dst_id long, msg_id long, at timestamp", "ids array<long>, times array<long>")
 
 
 def collected(replies: DataFrame, peers: int, window_ms: int = 6000, grace_ms: int = 400) -> DataFrame:
     """(query_id, node, at): replies (query_id, node, started, ts) in time: within window_ms of the start, or grace_ms after the
-    last of `peers` nodes answered."""
+    last of `peers` nodes answered. A query's state goes a minute after it closes."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         nodes, close = (set(state.get[0]), state.get[1]) if state.exists else (set(), 0)
         out = []
-        for row in pd.concat(batches).sort_values(["ts", "node"]).itertuples():
-            at = int(row.ts.timestamp() * 1000)
-            close = close or int(row.started.timestamp() * 1000) + window_ms
+        rows = _in_order(batches, "ts", "node")
+        started = rows.started.astype("datetime64[ms]").astype("int64")
+        for node, at, ts, start in zip(rows.node.tolist(), rows.ms.tolist(), rows.ts, started.tolist(), strict=True):
+            close = close or start + window_ms
             if at <= close:
-                out.append((key[0], row.node, row.ts))
-                if row.node not in nodes and len(nodes) + 1 == peers:
+                out.append((key[0], node, ts))
+                if node not in nodes and len(nodes) + 1 == peers:
                     close = min(close, at + grace_ms)
-                nodes.add(int(row.node))
+                nodes.add(int(node))
         state.update((sorted(nodes), close))
+        _expires(state, 60_000, close)
         yield pd.DataFrame(out, columns=["query_id", "node", "at"])
 
-    return _stateful(replies, "query_id", step, "query_id long, node long, at timestamp", "nodes array<long>, close long")
+    return _stateful(replies.withWatermark("ts", "1 minute"), "query_id", step, "query_id long, node long, at timestamp", "nodes array<long>, close long")
 
 
-def sync_requests(ticks: DataFrame, first_s: int = 5, again_s: int = 9, most: int = 4) -> DataFrame:
+def sync_requests(ticks: DataFrame, first_s: int = 5, again_s: int = 9, most: int = 4, forget: str = "1 day") -> DataFrame:
     """(peer, attempt, at): when a peer's catalog is asked for. ticks (peer, kind, ts): `tick` may ask (after first_s, then every
-    again_s, `most` times), `learned` starts afresh, `empty` ends it."""
+    again_s, `most` times), `learned` starts afresh, `empty` ends it. A peer that is silent for `forget` is forgotten."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         since, tries, done = state.get if state.exists else (0, 0, False)
         out = []
-        for row in pd.concat(batches).sort_values(["ts", "kind"]).itertuples():
-            now = int(row.ts.timestamp() * 1000)
+        rows = _in_order(batches, "ts", "kind")
+        for kind, now, ts in zip(rows.kind.tolist(), rows.ms.tolist(), rows.ts, strict=True):
             since = since or now
-            if row.kind == "learned":
+            if kind == "learned":
                 since, tries, done = now, 0, False
-            elif row.kind == "empty":
+            elif kind == "empty":
                 done = True
             elif not done and tries < most and now - since >= 1000 * (again_s if tries else first_s):
                 since, tries = now, tries + 1
-                out.append((key[0], tries, row.ts))
+                out.append((key[0], tries, ts))
         state.update((since, tries, done))
+        _expires(state, _ms(forget), int(rows.ms.max()))
         yield pd.DataFrame(out, columns=["peer", "attempt", "at"])
 
-    return _stateful(ticks, "peer", step, "peer long, attempt int, at timestamp", "since long, tries int, done boolean")
+    return _stateful(ticks.withWatermark("ts", "1 minute"), "peer", step, "peer long, attempt int, at timestamp", "since long, tries int, done boolean")
+
+
+#: How often a node reconciles (the two builds), announces anew and looks at its outbox.
+EVERY = {"reconcile": "8 seconds", "reconcile_web": "6 seconds", "announce": "60 seconds", "outbox": "5 seconds"}
+
+
+def periodically(stream: DataFrame, job: str, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Starts work(batch, epoch) on a stream at a job's interval (EVERY); with once, on all there is, and then ends."""
+    trigger = {"availableNow": True} if once else {"processingTime": EVERY[job]}
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def activity(packets: DataFrame, most: int = 200) -> DataFrame:
+    """The activity log's tail from events (seq, ts, kind, …): the latest `most`, newest first."""
+    return packets.orderBy(F.col("seq").desc()).limit(most)
 
 
-def upserting(target: str, key: str, version: str):
-    """A foreachBatch function: the folder `target` keeps the newest row of each key. One writer at a time: batches come in
-    order, and each writes a new generation before the pointer moves."""
+def upserting(target: str, key: str, version: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: it adds each batch, of each key only the newest row (see state.newest()), to the log in the folder
+    `target`, as a folder of its epoch, which is written whole or not at all, and written anew when a batch comes again. Batches
+    come one after another, so there is one writer. upserted_rows() reads the log."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        log = f"{target}/log"
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
-        spark.catalog.refreshByPath(log)
+        newest(batch.withColumn("_order", F.monotonically_increasing_id()), key, version, "_order").drop("_order").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return write
 
 
-def compacted(df: DataFrame, key: str, version: str, arrival: str | Column = "_epoch") -> DataFrame:
-    """The newest row of each key of an upserting() log."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(version), -F.col(arrival).cast("long"))).alias("_r")).select(key, "_r.*")
+def upserted_rows(spark: SparkSession, target: str, key: str, version: str) -> DataFrame:
+    """The newest row of each key of an upserting() log; of equal versions the one that came first."""
+    return newest(spark.read.parquet(target), key, version, "epoch").drop("epoch")
