@@ -100,10 +100,11 @@ def read_turns(formatted: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What op10 reports of read_turns()."""
+    """What op10 reports of formatted strings: turns as read_turns() reads them back, and what the loss mask covers, cut out of the
+    string itself by loss_spans."""
     back = read_turns(formatted)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    learned = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
     back = back.withColumns({"told": told, "learned": learned})
     return back.select(
         "conv_id",

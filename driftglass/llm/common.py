@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftglass.session import purge, released, scratch, shared_dir, staged, table
 
-__all__ = ["SPACE", "SPACE_BYTES", "apart", "few", "held_out", "purge", "released", "scratch", "shared_dir", "staged", "table", "words_of"]
+__all__ = ["SPACE", "SPACE_BYTES", "apart", "few", "held_out", "purge", "released", "scratch", "shared_dir", "staged", "table", "with_group", "words_of"]
 
 #: ASCII white space, as the contracts name it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -26,6 +27,21 @@ def few(df: DataFrame, rows: int, a_part: int = 500_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // a_part)))
 
 
+#: Parts that a group's rows are dealt to, so that a large group is no single group of a join.
+PARTS = 32
+
+
+def with_group(rows: DataFrame, group: str, member: Column, **aggregates: tuple[Callable[[Column], Column], Column]) -> DataFrame:
+    """rows plus, for each name, (f, x): f over x of the row's group; f is a sum, a least or a greatest. The group's rows are dealt to
+    PARTS by a hash of the member; parts are aggregated, then groups, and each part of a group gets the result, so that no task sees
+    a large group whole."""
+    part = apart("part")
+    rows = rows.withColumn(part, F.pmod(F.xxhash64(member), F.lit(PARTS)))
+    parts = rows.groupBy(group, part).agg(*[f(x).alias(name) for name, (f, x) in aggregates.items()])
+    whole = parts.groupBy(group).agg(*[f(F.col(name)).alias(name) for name, (f, _) in aggregates.items()], F.collect_list(part).alias("parts"))
+    return rows.join(whole.select(group, *aggregates, F.explode("parts").alias(part)), [group, part]).drop(part)
+
+
 def words_of(text: Column) -> Column:
     """The runs of characters other than ASCII white space, as an array; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

@@ -9,11 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftglass.llm.common import few, released, staged
+from driftglass.llm.common import few, released, staged, with_group
 
 MAX_ROUNDS = 60
-#: Parts that a node's neighbours are dealt to, so that the neighbours of a hub are no single group of a join.
-PARTS = 32
 #: Edges that a task contracts at a time.
 A_TIME = 1 << 18
 
@@ -67,8 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
     node with itself names no node; nulls are no edges. edges are read twice: staged, or cheap to compute.
 
     First each task contracts its own edges. Then a round hangs each node's larger neighbours on its smallest one, and the smaller
-    ones likewise. Both are a grouped minimum and an equi-join; a node's minimum goes to the parts that its neighbours are dealt
-    to, so that a hub's neighbours are never gathered, nor joined, in one group. Rounds grow with the logarithm of a component's
+    ones likewise. Both are a grouped minimum and an equi-join by parts of a node's neighbours (see with_group()), so that a hub's
+    neighbours are never gathered, nor joined, in one group. Rounds grow with the logarithm of a component's
     diameter. Ends when a round changes nothing.
     """
 
@@ -76,11 +74,7 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     def with_least(rows: DataFrame) -> DataFrame:
-        """rows (u, v) plus m, the least v of each u."""
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
-        parts = rows.groupBy("u", "part").agg(F.min("v").alias("m"))
-        least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
-        return rows.join(least.select("u", "m", F.explode("parts").alias("part")), ["u", "part"])
+        return with_group(rows, "u", F.col("v"), m=(F.min, F.col("v")))
 
     edges = edges.where("a is not null and b is not null")
     n = edges.count()

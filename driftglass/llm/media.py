@@ -180,5 +180,5 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "media")
     index = store(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), folder)
     return with_metadata(read_back(index, folder), folder).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bits"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "length", "width", "height", "bits"
     )

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.llm.common import apart, few, released, staged, table
+from driftglass.llm.common import apart, few, released, staged, table, with_group
 from driftglass.llm.components import components
 
 WORDS, SIMILAR = 5, (75, 100)
@@ -35,6 +35,8 @@ BANDS, ROWS, AGREE = 32, 4, 74
 #: Members of a bucket, and of a cluster, that a block holds; pivots that each block of a larger one has; and shingles of a set
 #: that count as one member of a cluster (a longer set counts as several).
 BUCKET_BLOCK, CLUSTER_BLOCK, PIVOTS, A_MEMBER = 4096, 512, 16, 16_384
+#: Large groups whose main parts are broadcast at most (32 bytes each); more are joined as any other table.
+MOST_GROUPS = 100_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,12 +157,13 @@ def connected(rows: DataFrame, group: str, block: int, compare: Callable[[DataFr
     large = rows.where(F.col("n") > block)
     if large.isEmpty():
         return found
-    tops = components(found)
-    large = large.join(tops, "node", "left").withColumn("top", F.coalesce("component", "node")).drop("component")
+    large = large.join(components(found), "node", "left").withColumn("top", F.coalesce("component", "node")).drop("component")
+    large = staged(few(large, large.count(), block * 8), "large")
     parts = large.groupBy(group, "top").agg(F.count(F.lit(1)).alias("m"))
-    parts = parts.groupBy(group).agg(F.max_by("top", F.struct("m", "top")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.max("m").alias("most"))
-    parts = parts.where("parts > 1")
-    left = large.join(parts.select(group, "main", "all", "most"), group)
+    parts = parts.groupBy(group).agg(F.max(F.struct("m", "top")).alias("first"), F.sum("m").alias("all"))
+    parts = parts.where("first.m < all").select(group, F.col("first.top").alias("main"), "all", F.col("first.m").alias("most"))
+    parts = staged(parts, "parts")  # a row for some of the groups of more than `block` members
+    left = large.join(F.broadcast(parts) if parts.count() <= MOST_GROUPS else parts, group)
     share = F.col("n") / F.col("all")  # members that a row counts as, on average
     n_rest = F.ceil((F.col("all") - F.col("most")) * share / block).cast("int")
     n_main = F.ceil(F.col("most") * share / block).cast("int")
@@ -176,8 +179,8 @@ def candidate_links(classes: DataFrame, agree: int = AGREE) -> DataFrame:
     """(a, b): in each bucket links that connect the classes (node, marks, bands; staged) of like signatures."""
     nodes = classes.count()
     placed = classes.select("node", F.explode("bands").alias("bucket"))
-    met = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = placed.join(met, "bucket").join(classes.select("node", "marks"), "node").select("bucket", "node", "n", "marks")
+    met = with_group(placed, "bucket", F.col("node"), n=(F.sum, F.lit(1))).where("n > 1")
+    rows = met.join(classes.select("node", "marks"), "node").select("bucket", "node", "n", "marks")
     rows = staged(few(rows, nodes * BANDS, 200_000), "minhash-buckets")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,8 +277,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     candidates = candidate_links(classes)
     clusters = components(candidates).select("node", F.col("component").alias("cluster"))
     wanted = clusters.join(classes.select("node", "key", "doc_id", "n_shingles", "marks"), "node")
-    sizes = wanted.groupBy("cluster").agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n_shingles") / A_MEMBER))).alias("n"))
-    wanted = wanted.join(sizes, "cluster").select("key", "doc_id", "node", "cluster", "n", "marks")
+    wanted = with_group(wanted, "cluster", F.col("node"), n=(F.sum, F.greatest(F.lit(1), F.ceil(F.col("n_shingles") / A_MEMBER))))
+    wanted = wanted.select("key", "doc_id", "node", "cluster", "n", "marks")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,17 +312,17 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_shingles, component_id) for every row of docs; see near_duplicates()."""
+    """(doc_id, digest, n_shingles, top, component_id) for every row of docs; see near_duplicates(). top: a number of the component,
+    null for rows without words or id."""
     sketches = staged(sketch(docs), "minhash")
     known = sketches.where("key is not null and doc_id is not null")
     classes = known.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.any_value("marks").alias("marks"), F.any_value("bands").alias("bands"))
     classes = staged(few(classes, sketches.count(), 50_000).withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     tops = components(links(docs.where("doc_id is not null"), classes)).withColumnRenamed("component", "top")
     first = classes.select("node", "key", "n_shingles", F.col("doc_id").alias("first")).join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    least = first.groupBy("top").agg(F.min("first").alias("component_id"))
-    by = first.join(least, "top").select("key", "n_shingles", "component_id")
+    by = with_group(first, "top", F.col("node"), component_id=(F.min, F.col("first"))).select("key", "n_shingles", "top", "component_id")
     rows = sketches.select("doc_id", "digest", "n_shingles", "key").join(by, ["key", "n_shingles"], "left")
-    return rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))).select("doc_id", "digest", "n_shingles", "component_id")
+    return rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))).select("doc_id", "digest", "n_shingles", "top", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -341,7 +344,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     may have any names.
     """
     rows = _rows(docs).where("doc_id is not null and doc_id = component_id")
-    least = rows.where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.min("digest").alias("digest")).select("doc_id", "digest")
+    least = rows.where("n_shingles > 0").groupBy("doc_id", "top").agg(F.min("digest").alias("digest")).select("doc_id", "digest")
     i, d = apart("id"), apart("digest")
     kept = least.unionByName(rows.where("n_shingles = 0").select("doc_id", "digest").distinct()).select(F.col("doc_id").alias(i), F.col("digest").alias(d))
     own = docs.withColumn(d, F.md5(F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")))).withColumn(i, F.col("doc_id").cast("long"))

@@ -18,6 +18,8 @@ from driftglass.llm.common import SPACE, apart, few, released, staged, table
 BLOCK, SHARD_ROWS, WEIGHTS, CAP, SEED = 32, 256, (1, 2, 3), 3, "mix-1"
 #: Quotients of a source that a window ranks, thresholds that one pass tries, passes at most, and shards that a window runs over.
 NARROW, THRESHOLDS, PASSES, CHUNK = 4096, 32, 6, 4096
+#: Sources whose sums are broadcast at most; more are joined as any other table.
+MOST_SOURCES = 50_000
 
 
 def _seats(df: DataFrame, within: Sequence[str], votes: str, total: str, seats: str, tie: Sequence[Column]) -> DataFrame:
@@ -177,7 +179,9 @@ def _whole_copies(mix: DataFrame, rows: int, shard_rows: int, cap: int) -> DataF
     lost = F.col("taken") - F.col("copies") * F.col("size")
     by = mix.groupBy("source").agg(F.sum(lost).alias("lack"), (2 * F.avg("size")).alias("most"), F.floor(F.sum("taken") / F.sum("size")).alias("even"))
     by = by.withColumn("sign", F.when(F.abs("lack") < F.col("most"), 0).otherwise(F.signum("lack")).cast("int")).withColumnRenamed("source", "_s")
-    own = mix.join(by, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    by = staged(by.coalesce(1), "mix-lack")
+    sent = F.broadcast if by.count() <= MOST_SOURCES else lambda df: df
+    own = mix.join(sent(by), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     may = F.when(F.col("sign") > 0, (F.col("copies") <= F.col("even")) & (F.col("copies") < cap)).otherwise((F.col("sign") < 0) & (F.col("copies") > F.col("even")))
     shards = max(1, -(-rows // shard_rows))
     own = own.withColumns({"may": may, "long": F.col("size") > F.col("most"), "hash": F.xxhash64(F.lit(11), "row")})
@@ -188,11 +192,11 @@ def _whole_copies(mix: DataFrame, rows: int, shard_rows: int, cap: int) -> DataF
     before = Window.partitionBy("source", "long", "shard").orderBy("hash", "row", "size").rowsBetween(Window.unboundedPreceding, -1)
     own = staged(few(own.withColumn("before", F.col("from") + F.coalesce(F.sum("step").over(before), F.lit(0))), rows, 100_000), "mix-order")
     long = own.where("long").groupBy("source").agg(F.sum(lost).alias("lost")).withColumnRenamed("source", "_s")
-    out = own.join(long, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    out = own.join(sent(long), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     room = F.least(F.abs("lack"), F.col("sign") * F.coalesce("lost", F.lit(0)))
     out = out.withColumn("far", F.col("may") & F.col("long") & (F.col("before") + F.col("size") <= room))
     gone = out.groupBy("source").agg(F.sum(F.when(F.col("far"), F.col("size")).otherwise(0)).alias("gone")).withColumnRenamed("source", "_s")
-    out = out.join(gone, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    out = out.join(sent(gone), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     near = F.col("may") & ~F.col("long") & (F.col("before") + F.col("size") / 2 <= F.abs("lack") - F.col("gone"))
     return out.select("row", (F.col("copies") + F.when(F.col("far") | near, F.col("sign")).otherwise(0)).alias("copies"))
 

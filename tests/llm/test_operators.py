@@ -190,7 +190,8 @@ def test_embeddings_edges_and_recall(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("key", F.lit(1)).withColumn("n", F.lit(1))
     monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
     monkeypatch.setattr(embedding_dedup, "SHARD", 15)
-    out, audit = embedding_dedup.near_vectors(df, audit=True)
+    monkeypatch.setattr(embedding_dedup, "DEEP", 40)
+    out, share = embedding_dedup.near_vectors(df, audited=5)
     got = {x["vec_id"]: x for x in out.collect()}
     good = [(i, np.array(v, np.float32).astype(float), lab) for i, v, lab in rows if i is not None and lab is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
     links = {i: [j for j, w, m in good if j != i and m == lab and len(w) == len(v) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.98] for i, v, lab in good}
@@ -199,8 +200,7 @@ def test_embeddings_edges_and_recall(spark, monkeypatch):
         assert all(got[j]["component_id"] == got[i]["component_id"] for j in x)
     assert all(got[n + k]["n_links"] == 0 and got[n + k]["component_id"] == n + k for k in (3, 4, 5, 6, 7, 8))
     assert got[None]["component_id"] is None and got[None]["kept"]
-    told = audit.first()
-    assert told["found"] == told["there"]
+    assert share == 1.0
     assert embedding_dedup.near_vectors(df.limit(0))[0].count() == 0
 
 
@@ -488,3 +488,215 @@ def test_chat_parts(spark):
     assert r["formatted"] == "<turn user>see <image a&lt;b&gt;.png/>and<audio c.wav/></turn><turn assistant><document e.pdf/></turn><turn assistant></turn>"
     assert [(a["turn"], a["part"], a["type"], a["ref"], a["tokens"]) for a in r["attachments"]] == [(0, 1, "image", "a<b>.png", 1024), (0, 3, "audio", "c.wav", 25), (1, 0, "document", "e.pdf", 800)]
     assert r["expanded_tokens"] == 1 + 1024 + 1 + 25 + 800
+
+
+def test_vectors_are_dealt_out_again(spark, monkeypatch):
+    """Shards of too many classes get centroids of their own, and no link is lost or counted twice."""
+    monkeypatch.setattr(embedding_dedup, "SHARD", 30)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 60)
+    monkeypatch.setattr(embedding_dedup, "DEEP", 50)
+    r = np.random.default_rng(2)
+    base = r.normal(size=(150, 8))
+    v = np.repeat(base, 4, 0) + r.normal(size=(600, 8)) * 0.05
+    got, want, _ = vector_links(spark, v)
+    assert got == want and sum(want) > 1000
+
+
+def test_large_groups_lose_no_link(spark, monkeypatch):
+    """Buckets and clusters of several blocks: pivots first, then what is left as pairs of blocks."""
+    for name, n in (("BUCKET_BLOCK", 8), ("CLUSTER_BLOCK", 4), ("PIVOTS", 1)):
+        monkeypatch.setattr(minhash, name, n)
+    r = random.Random(5)
+    rows = []
+    for g in range(3):
+        words = text(60, g).split()
+        for _ in range(25):
+            own = list(words)
+            for _ in range(r.randint(0, 3)):
+                own[r.randrange(60)] = f"other{r.randint(0, 9)}"
+            rows.append((len(rows), " ".join(own), "a"))
+    sets = {i: set(minhash.shingles(t.encode()).tolist()) for i, t, _ in rows}
+    top = {i: i for i in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: find(i) for i in sets}
+
+
+def test_contraction(spark):
+    r = random.Random(8)
+    a, b = (np.array([r.randint(0, 200) for _ in range(150)]) for _ in range(2))
+    node, top = components.least_reached(a, b)
+    want = {}
+    for x in set(a.tolist() + b.tolist()):
+        seen, todo = {x}, [x]
+        while todo:
+            i = todo.pop()
+            for p, q in zip(a.tolist(), b.tolist(), strict=True):
+                for n, m in ((p, q), (q, p)):
+                    if n == i and m not in seen:
+                        seen.add(m)
+                        todo.append(m)
+        want[x] = min(seen)
+    assert dict(zip(node.tolist(), top.tolist(), strict=True)) == want
+
+
+def packed_by_hand(rows, capacity, same):
+    """Best fit without an order or bitmaps: every open bin is looked at."""
+    todo = []
+    for row, size, source, cluster in rows:
+        for k, at in enumerate(range(0, max(size, 1), capacity)):
+            todo.append((-min(capacity, size - at), row, k, at, source, cluster if cluster is not None else ("row", row)))
+    bins, out = [], []
+    for n, row, k, at, source, cluster in sorted(todo, key=lambda t: t[:4]):
+        fits = [(b["left"], i) for i, b in enumerate(bins) if b["left"] >= -n and b["left"] > 0 and cluster not in b["clusters"] and b["sources"].count(source) < same]
+        if fits:
+            i = min(fits)[1]
+        else:
+            i = len(bins)
+            bins.append({"left": capacity, "clusters": set(), "sources": []})
+        b = bins[i]
+        out.append((row, k, at, -n, i, capacity - b["left"]))
+        b["left"] += n
+        b["clusters"].add(cluster)
+        b["sources"].append(source)
+    return out
+
+
+def test_packing_is_best_fit(spark):
+    r = random.Random(4)
+    for _ in range(20):
+        rows = [(i, r.choice([r.randint(1, 60), r.randint(1, 250)]), r.choice(["a", "b", None]), r.choice([None, r.randint(0, 9)])) for i in range(80)]
+        assert packing.pack_shard(rows, 100, 3) == packed_by_hand(rows, 100, 3)
+    docs = [(i, text(r.randint(1, 90), r.randint(0, 30)), r.choice("ab")) for i in range(120)]
+    got = sorted(map(tuple, packing.pack(frame(spark, docs, True), capacity=64, same=2, shard_rows=1000).select("doc_id", "piece", "start", "n_words", "bin_offset", "bin_id").collect()))
+    by_hand = packed_by_hand([(i, len(t.split()), s, t) for i, t, s in docs], 64, 2)
+    assert [x[:5] for x in got] == sorted((row, k, at, n, offset) for row, k, at, n, _, offset in by_hand)
+    assert len({x[5] for x in got}) == len({b for *_, b, _ in by_hand})
+
+
+CLASHES = ("_id", "_copy", "_copies", "_n", "_s", "toxicity", "n_lines", "n_dropped", "kept_sha256", "component_id", "digest", "row", "key", "component", "shard", "ij", "marks", "words", "taken", "size", "n", "own", "keys")
+
+
+def clashing(spark, rows):
+    df = frame(spark, rows)
+    for c in CLASHES:
+        df = df.withColumn(c, F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    return df
+
+
+def test_stages_keep_clashing_columns(spark):
+    """What filters documents returns the columns of docs with their own values."""
+    docs = clashing(spark, EDGES)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
+    whole = {tuple(r) for r in docs.drop("text", "n_chars").collect()}
+    for f in (lambda d: toxicity.clean_documents(d, labels), lambda d: line_dedup.dedup_lines(d, report=False), minhash.deduplicated, mixing.mixed_documents):
+        out = f(docs)
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.drop("text", "n_chars").collect()} <= whole
+        assert f(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_keep_their_texts(spark):
+    rows = [(1, text(30, 1), "a"), (1, text(30, 2), "a"), (1, text(30, 1), "a"), (2, text(30, 1), "a"), (3, None, "a"), (3, "", "a"), (None, text(30, 1), "a")]
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in minhash.deduplicated(frame(spark, rows)).collect())
+    assert left == sorted([(1, text(30, 1)), (1, text(30, 2)), (3, ""), (0, text(30, 1))])
+
+
+def insulted(r, i, bad):
+    words = [r.choice(WORDS) for _ in range(r.randint(5, 80))]
+    if bad:
+        words[r.randrange(len(words))] = r.choice(["zurgak", "z.u.r.g.a.k", "zuxrgxak", "z u r g a k"])
+    return " ".join(words)
+
+
+def test_toxicity_edges_with_a_model(spark):
+    """A model that knows an insult: empty, null and very long texts, rows without id, repeats and ties."""
+    r = random.Random(6)
+    rows = [(i, insulted(r, i, i % 2), "a") for i in range(1, 400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 400)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows), labels, train_rows=200)
+    long = " ".join(r.choice(WORDS) for _ in range(60_000))
+    edges = [(1, None, "a"), (2, "", "a"), (3, " \n\t", "a"), (4, long, "a"), (5, "ka zurgak lo " * 3, "a"), (5, "ka zurgak lo " * 3, "a"), (None, "mi z\tu  r\ng a k ru", "a"), (7, "zurgak" * 4000 + " mi", "a")]
+    got = toxicity.score(clashing(spark, edges), model).collect()
+    by = {x["doc_id"]: x["toxicity"] for x in got}
+    assert len(got) == len(edges) and all(0 <= x["toxicity"] <= 1 for x in got)
+    assert by[1] == by[2] == by[3] < 0.5 and max(by[1], by[4]) < min(by[5], by[None])
+    assert len({x["toxicity"] for x in got if x["doc_id"] == 5}) == 1
+    # Brute force: a document's decisions one token at a time.
+    texts = [t for _, t, _ in rows[:40]]
+    slow = []
+    for t in texts:
+        own = sorted((float(model.decide([w])[0]) for w in toxicity.tokens(t)), reverse=True)
+        x = [*own[: toxicity.TOP], *[model.bias] * (toxicity.TOP - len(own)), np.log1p(len(own))]
+        slow.append(1 / (1 + np.exp(-(np.array([*x, 1.0]) @ model.head))))
+    assert np.allclose(model.probability(toxicity.features(model, texts)), slow, atol=1e-5)
+    assert toxicity.score(frame(spark, edges).limit(0), model).count() == 0
+
+
+def test_inserting_in_parts_equals_an_index_built_afresh(spark):
+    """Counts and filters after random insertions and deletions."""
+    r = random.Random(9)
+    lines = [f"line number {i} of the common stock" for i in range(30)]
+    docs = frame(spark, [(i, "\n".join(r.sample(lines, 6)), "a") for i in range(40)])
+    index = line_dedup.Index.empty(spark, 3).insert(docs.where("doc_id < 25"))
+    index = index.delete(docs.where("doc_id % 3 = 0")).insert(docs.where("doc_id >= 25")).delete(docs.where("doc_id = 31"))
+    afresh = line_dedup.Index.empty(spark, 3).insert(docs.where("not (doc_id < 25 and doc_id % 3 = 0) and not (doc_id >= 25 and doc_id % 93 = 31) and doc_id <> 31"))
+    want = afresh.counts
+    deleted = index
+    rows = lambda x: sorted((bytes(k["key"]), k["n_docs"], k["keeper"]) for k in x.collect())
+    assert rows(deleted.counts) == rows(want)
+    sizes = lambda x: sorted((f["shard"], sum(v != 0 for t in line_dedup.CuckooFilter.from_bytes(bytes(f["payload"])).tables for v in t)) for f in x.filters.collect())
+    assert sizes(deleted) == sizes(afresh)
+
+
+def test_seats_by_thresholds(spark, monkeypatch):
+    """Seats of shards are those of the highest quotients, ties by shard, however far thresholds narrow them."""
+    r = random.Random(3)
+    cells = [(rank, shard, r.choice([0, 5, 5, 40, r.randint(1, 300)])) for rank in (1, 2) for shard in range(60)]
+    total = {k: sum(c for q, _, c in cells if q == k) for k in (1, 2)}
+    blocks = {1: 37, 2: 411}
+    df = spark.createDataFrame([(k, s, c, total[k], blocks[k]) for k, s, c in cells], "rank int, shard long, cell long, source_size long, source_blocks long")
+    want = {}
+    for k in (1, 2):
+        best = sorted(((-c / (2 * i + 1), s) for q, s, c in cells if q == k and c for i in range(blocks[k] + 1)))[: blocks[k]]
+        for _, s in best:
+            want[k, s] = want.get((k, s), 0) + 1
+    for narrow in (4096, 3):
+        monkeypatch.setattr(mixing, "NARROW", narrow)
+        got = {(x["rank"], x["shard"]): x["got"] for x in mixing._shard_seats(df).collect()}
+        assert {k: v for k, v in got.items() if v} == want
+
+
+def test_media_by_hand(spark):
+    """feature, media_bytes and media_sha256 of each text, computed beside the store."""
+    texts = ["", "a", "x" * 191, "y" * 192, "z" * 193, "é" * 500, text(3000, 4)]
+    got = {x["doc_id"]: x for x in media.media_columns(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        payload = media.padded(t.encode())
+        png = media.to_png(payload)
+        values = list(payload)
+        mean = sum(values) / len(values)
+        spread = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
+        bits = -sum(values.count(v) / len(values) * np.log2(values.count(v) / len(values)) for v in set(values))
+        assert got[i]["media_bytes"] == len(png) and got[i]["media_sha256"] == hashlib.sha256(png).hexdigest() and got[i]["tail_crc32"] == zlib.crc32(payload[-16:])
+        assert got[i]["feature"] == f"64x{len(payload) // 192} mean={mean:.3f} std={spread:.3f} bits={bits:.3f}"
+
+
+def test_loss_is_cut_by_the_mask(spark):
+    """A mask that covers something else gives another digest: what is told is what the mask covers."""
+    turns = spark.createDataFrame([(1, 0, "user", "a <b> & c"), (1, 1, "assistant", "d &amp; <e>"), (1, 2, "assistant", "é")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(chat.text_parts(turns))
+    good = chat.digests(formatted).first()
+    assert good["loss_sha256"] == hashlib.sha256("d &amp; <e>é".encode()).hexdigest() and good["loss_chars"] == 12
+    wrong = chat.digests(formatted.withColumn("loss_spans", F.slice("loss_spans", 1, 1))).first()
+    assert wrong["loss_chars"] == 11
