@@ -21,6 +21,19 @@ def number(b: Column, at: int | Column, size: int) -> Column:
     return F.conv(F.hex(F.substring(b, at + 1, F.lit(size))), 16, 10).cast("long")
 
 
+def to_base64(b: Column) -> Column:
+    """Base 64 on one line."""
+    return F.regexp_replace(F.base64(b), r"\s", "")
+
+
+def from_base64(text: Column) -> Column:
+    return F.unbase64(text)
+
+
+def to_hex(b: Column) -> Column:
+    return F.lower(F.hex(b))
+
+
 def encode_packet(kind: Column, ttl: Column, flags: Column, msg: Column, src: Column, dst: Column, payload: Column, version: int = VERSION) -> Column:
     return F.concat(unsigned(F.lit(version), 1), unsigned(kind, 1), unsigned(ttl, 1), unsigned(flags, 1), unsigned(msg, 4), unsigned(src, 4), unsigned(dst, 4), payload)
 

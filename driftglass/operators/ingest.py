@@ -106,7 +106,7 @@ def manifest(docs: DataFrame, by: str) -> DataFrame:
 
 def legacy_documents(chunks: DataFrame) -> DataFrame:
     """Documents of a flat chunk table (doc_key, seq, title, text, added_at): earliest time, size, count and first title."""
-    return chunks.groupBy("doc_key").agg(F.min("added_at").alias("created_at"), F.sum(F.length("text")).alias("bytes"), F.count(F.lit(1)).alias("chunk_count"), F.min_by("title", "seq").alias("title"))
+    return chunks.groupBy("doc_key").agg(F.min("added_at").alias("created_at"), F.sum(F.length("text")).alias("bytes"), F.count(F.lit(1)).alias("chunk_count"), F.min_by("title", F.struct("seq", "title")).alias("title"))
 
 
 def best_passages(rows: DataFrame, k: int) -> DataFrame:

@@ -168,7 +168,7 @@ def self_reliability(peers: DataFrame) -> DataFrame:
 
 def announce_cursor(self_id: Column, docs: Column, seed: int = 0x5EED) -> Column:
     """Where a node starts its round of announcements."""
-    return F.pmod(mix32(self_id, F.lit(seed)) % 1024, docs)
+    return F.pmod(mix32(self_id, F.lit(seed)) % 1024, F.greatest(F.lit(1), docs))
 
 
 def replica_target(hits: Column, eligible: Column, mean_reliability: Column, low: int = MIN_COPIES, high: int = MAX_COPIES) -> Column:

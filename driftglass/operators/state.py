@@ -124,6 +124,11 @@ def outbox_due(outbox: DataFrame, now: Column) -> DataFrame:
     return outbox.where(F.col("expires_at") >= now).withColumn("place", order)
 
 
+def outbox_expired(outbox: DataFrame, now: Column) -> DataFrame:
+    """What a purge of the outbox takes out."""
+    return outbox.where(F.col("expires_at") < now)
+
+
 def in_batches(df: DataFrame, size: int, order: list[Column], by: list[str]) -> DataFrame:
     """df with `batch`: rows of each group in order, `size` to a batch."""
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size))

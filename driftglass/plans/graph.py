@@ -31,11 +31,11 @@ def flood(links: DataFrame, origins: DataFrame, ttl: int) -> DataFrame:
     return seen
 
 
-def learned_routes(heard: DataFrame) -> DataFrame:
-    """(node, via, hops, at): the route to each node that packets heard (node, via, hops, at) teach in a batch: of the latest 30 s
-    the fewest hops, then the latest. The stream's own rule depends on the order of arrival: see streaming.jobs.learn_routes."""
+def learned_routes(heard: DataFrame, stale_s: int = 30) -> DataFrame:
+    """(node, via, hops, at): the route to each node that packets heard (node, via, hops, at) teach in a batch: of the latest stale_s
+    seconds the fewest hops, then the latest. The stream's own rule depends on the order of arrival: see streaming.jobs.learn_routes."""
     last = heard.groupBy("node").agg(F.max("at").alias("_last"))
-    fresh = heard.join(last, "node").where(F.unix_timestamp("_last") - F.unix_timestamp("at") <= 30)
+    fresh = heard.join(last, "node").where(F.unix_timestamp("_last") - F.unix_timestamp("at") <= stale_s)
     best = F.min_by(F.struct("via", "hops", "at"), F.struct("hops", -F.unix_timestamp("at"), "via"))
     return fresh.groupBy("node").agg(best.alias("r")).select("node", "r.*")
 

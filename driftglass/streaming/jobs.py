@@ -274,17 +274,17 @@ def activity(packets: DataFrame, most: int = 200) -> DataFrame:
     return packets.orderBy(F.col("seq").desc()).limit(most)
 
 
-def upserting(target: str, key: str, version: str) -> Callable[[DataFrame, int], None]:
+def upserting(target: str, key: str, version: str, arrival: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: it adds each batch, of each key only the newest row (see state.newest()), to the log in the folder
     `target`, as a folder of its epoch, which is written whole or not at all, and written anew when a batch comes again. Batches
     come one after another, so there is one writer. upserted_rows() reads the log."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        newest(batch.withColumn("_order", F.monotonically_increasing_id()), key, version, "_order").drop("_order").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        newest(batch, key, version, arrival).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return write
 
 
-def upserted_rows(spark: SparkSession, target: str, key: str, version: str) -> DataFrame:
+def upserted_rows(spark: SparkSession, target: str, key: str, version: str, arrival: str) -> DataFrame:
     """The newest row of each key of an upserting() log; of equal versions the one that came first."""
-    return newest(spark.read.parquet(target), key, version, "epoch").drop("epoch")
+    return newest(spark.read.parquet(target).drop("epoch"), key, version, arrival)
