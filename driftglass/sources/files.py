@@ -121,5 +121,5 @@ def extracted(files: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, text) of the text files under path, whole."""
+    """(filename, text) of the text files under path, whole; empty files have no row."""
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("filename"), F.col("value").alias("text"))

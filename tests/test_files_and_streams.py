@@ -19,7 +19,7 @@ def test_imports(spark, tmp_path):
         (tmp_path / name).write_bytes(raw)
     got = {r["filename"]: r for r in files.extracted(files.imported(spark, str(tmp_path), 250 + len(z.getvalue()))).collect()}
     assert got["a.txt"]["text"] == "plain\ntext"
-    assert (got["b.html"]["text"], got["b.html"]["title"]) == ("T\nHi", "T") or got["b.html"]["title"] == "T"
+    assert (got["b.html"]["text"], got["b.html"]["title"]) == ("T\nHi", "T")
     assert got["c.rtf"]["text"] == "Hello\ncafé —end"
     assert (got["d.docx"]["text"], got["d.docx"]["title"]) == ("## Top\nOne & two", "Named")
     assert got["e.png"]["error"] == "unsupported" and got["f.bin"]["error"] == "binary" and got["g.zip"]["error"] == "damaged"
@@ -65,7 +65,39 @@ def test_routes_outbox_collection(spark, tmp_path):
 
 
 def test_reliability_decay(spark, tmp_path):
-    rows = [(1, "tick", i) for i in range(199)] + [(1, "hello", 200), (1, "tick", 201)]
-    got = streamed(spark, tmp_path, rows, "node_id long, kind string, seq long", jobs.reliability_counters)
+    from datetime import datetime
+
+    t = datetime(2024, 1, 1)
+    rows = [(1, "tick", i, t) for i in range(199)] + [(1, "hello", 200, t), (1, "tick", 201, t)]
+    got = streamed(spark, tmp_path, rows, "node_id long, kind string, seq long, ts timestamp", jobs.reliability_counters)
     last = max(got, key=lambda r: r["hello_seen"] + r["hello_expected"])
     assert (last["hello_seen"], last["hello_expected"]) == (0, 100)
+
+
+def test_state_expires(spark, tmp_path):
+    """A message parked for longer than its time is sent to nobody, and once the watermark is beyond it no state is left."""
+    from datetime import datetime, timedelta
+
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    schema, path = "dst_id long, kind string, msg_id long, ts timestamp", str(tmp_path / "in")
+    query = None
+    for batch in ([(5, "park", 1, at(0))], [(6, "beacon", 0, at(5000))], [(6, "beacon", 0, at(5001))], [(5, "beacon", 0, at(5002))]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = jobs.outbox(spark.readStream.schema(schema).parquet(path))
+        query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sum(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators[-1:]) == 0
+
+
+def test_pending_packets(spark):
+    from datetime import datetime, timedelta
+
+    rows = [("l", f"p{i}", 0, 2, datetime(2024, 1, 1) + timedelta(seconds=i)) for i in range(70)] + [("l", "p0", 1, 2, datetime(2024, 1, 2))]
+    left = jobs.within_pending(spark.createDataFrame(rows, "link string, packet_key string, idx int, cnt int, ts timestamp"), 64)
+    assert {r["packet_key"] for r in left.collect()} == {f"p{i}" for i in range(6, 70)}
+
+
+def test_corpus(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# A\none\n\ntwo")
+    (tmp_path / "b.md").write_text("")
+    assert {(r["filename"], r["text"]) for r in files.corpus(spark, str(tmp_path)).collect()} == {("a.md", "# A\none\n\ntwo")}

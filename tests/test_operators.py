@@ -1,6 +1,7 @@
 """Properties of the operators, against plain Python models."""
 
 import math
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -76,8 +77,8 @@ def test_embedding(spark):
     entries = search.embedded(rows, "id", "text")
     lengths = {r["id"]: r["s"] for r in entries.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()}
     assert set(lengths) == {1, 2, 3} and all(abs(x - 1) < 1e-9 for x in lengths.values())
-    asked = search.embedded(rows.select(F.col("id").alias("query_id"), "text"), "query_id", "text")
-    cos = {(r["query_id"], r["id"]): r["cosine"] for r in search.sparse_cosines(entries, asked, "id").collect()}
+    asked = search.embeddings(rows.select(F.col("id").alias("query_id"), "text"), "query_id", "text").withColumnRenamed("vector", "query_vector")
+    cos = {(r["query_id"], r["id"]): r["score"] for r in search.vector_top_k(search.embeddings(rows, "id", "text"), asked, 3, "id", "vector").collect()}
     assert cos[1, 2] > cos.get((1, 3), 0)
     assert abs(cos[1, 1] - 1) < 1e-9
     full = search.dense_vector(entries, "id").where("id = 1").first()["vector"]
@@ -157,7 +158,7 @@ def test_frames_and_packets(spark):
     assert twice.where("g.idx <> 2").agg(codec.reassembled(F.col("g.idx"), F.col("g.cnt"), F.col("g.body"))).first()[0] is None
     assert one(spark, codec.decode_packet, bytearray(b"\x02" * 20)) is None and one(spark, codec.decode_packet, bytearray(b"\x03")) is None
     assert bytes(one(spark, lambda s: codec.capped_utf8(s, 4), "aaé€")) == b"\x00\x04aa\xc3\xa9"
-    assert bytes(one(spark, lambda s: codec.capped_utf8(s, 5), "aaé€")) == b"\x00\x04aa\xc3\xa9"
+    assert bytes(one(spark, lambda s: codec.capped_utf8(s, 5), "aaé€")) == b"\x00\x05aa\xc3\xa9\xe2"  # cut inside a character
 
 
 def test_identity(spark):
@@ -172,3 +173,101 @@ def test_collection_window(spark):
     replies = spark.createDataFrame([(1, 1, 100, 0), (1, 2, 200, 0), (1, 2, 700, 0), (2, 1, 5900, 0), (2, 1, 6100, 0)], "query_id long, node long, at long, started long")
     got = sorted((r["query_id"], r["at"]) for r in search.in_window(replies, spark.createDataFrame([(1,), (2,)], "node long")).collect())
     assert got == [(1, 100), (1, 200), (2, 5900)]
+
+
+def test_entities_are_decoded_once(spark):
+    cases = {
+        "&#38;amp;": "&amp;", "&amp;lt;": "&lt;", "&amp;#38;": "&#38;", "&LT;b&gt;": "<b>", "&#x41;&#66;": "AB", "&#0;&#xD800;&#1114112;&nope;&": "&#0;&#xD800;&#1114112;&nope;&",
+        "&#99999999999999999999;": "&#99999999999999999999;", "a && b &": "a && b &", "&#x1F600;": "\U0001f600", "": "", "&amp": "&amp",
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string").withColumn("got", text.decode_entities(F.col("t")))
+    for r in df.collect():
+        assert r["got"] == r["want"], r["t"]
+
+
+def test_nodes_are_ranked_by_exact_scores(spark):
+    """Nodes of little room have scores below the sixth place; both ways of ranking agree with a plain model."""
+    rows = [(i, 0.5 + i % 5 / 10, 1 + 3 * i) for i in range(1, 60)]
+    few = spark.createDataFrame(rows, "node_id long, reliability double, free_bytes long")
+    docs = spark.range(1, 40).select(F.col("id").alias("doc_id"))
+    key = lambda r: (r["doc_id"], r["rank"])
+    by_arrays = [(r["doc_id"], r["node_id"]) for r in sorted(placement.rank_nodes(docs, few, 3).collect(), key=key)]
+    by_window = [(r["doc_id"], r["node_id"]) for r in sorted(placement.rank_nodes(docs, few).where("rank < 3").collect(), key=key)]
+    want = []
+    for d in range(1, 40):
+        score = lambda n: min(1, n[1]) * min(1, n[2] / placement.HEADROOM) / -math.log((mix(d, n[0]) + 0.5) / 2**32)  # noqa: B023, E731
+        want += [(d, n[0]) for n in sorted(rows, key=lambda n: (-score(n), n[0]))[:3]]
+    assert by_arrays == by_window == want
+
+
+def test_best_nodes_with_ties():
+    import numpy as np
+
+    ids, nodes_, weights = np.arange(1, 30), np.arange(1, 200), np.full(199, 0.5)
+    some, scores = placement.best_nodes(ids, nodes_, weights, 4)  # by a partition
+    whole, _ = placement.best_nodes(ids, nodes_, weights, 199)
+    assert (some == whole[:, :4]).all() and (np.diff(scores, axis=1) <= 0).all()
+
+
+def test_vector_top_k_in_parts(spark, monkeypatch):
+    """Queries that don't fit are asked part by part; equal vectors are ties, broken by id."""
+    r = random.Random(1)
+    rows = [(i, [r.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(300)] + [(300, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 0 and vec_id < 300").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    want = []
+    for q in range(0, 300, 50):
+        best = sorted((-sum(a * b for a, b in zip(v, rows[q][1], strict=True)), i) for i, v in rows[:300])[:7]
+        want += [(q, n + 1, i) for n, (_, i) in enumerate(best)]
+    for room in (1 << 20, 48):
+        monkeypatch.setattr(search, "MOST_QUERY_BYTES", room)
+        assert sorted((x["query_id"], x["rank"], x["vec_id"]) for x in search.vector_top_k(df, asked, 7).collect()) == want
+
+
+def test_floats_and_segments(spark):
+    import struct
+
+    for x in (0.0, 1.0, -2.5, 0.1, 3.4e38, 1.2e-38, -7.25e-5, 65504.0, 2.0**-30):
+        raw = bytes(one(spark, codec.float32, x))
+        assert raw == struct.pack(">f", x)
+        assert one(spark, lambda b: codec.from_float32(b, 0), bytearray(raw)) == struct.unpack(">f", raw)[0]
+    data = bytes(range(256)) * 150
+    parts = [bytes(p["data"]) for p in one(spark, lambda b: codec.segments(b, 23), bytearray(data))]
+    assert len(parts) == -(-len(data) // 19) and parts[-1][0] & 1 and all(len(p) <= 20 for p in parts)
+    join = lambda ps: spark.createDataFrame([([bytearray(p) for p in ps],)], "d array<binary>").select(codec.rejoined(F.col("d")).alias("x")).first()["x"]
+    assert bytes(join(parts)) == data
+    parts = parts[:99] + parts[-1:]
+    assert join(parts[:5] + parts[6:99]) is None and join(parts[:99]) is None
+    short = [bytes(p["data"]) for p in one(spark, lambda b: codec.segments(b, 23), bytearray(b"x" * 50))]
+    assert bytes(join(short[:2] + short)) == b"x" * 50  # a first segment starts afresh
+
+
+def test_shared_folder_must_be_named_off_one_machine(spark):
+    import pytest
+
+    from driftglass import session
+
+    class Elsewhere:
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return {"spark.master": "yarn"}.get(name, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Elsewhere)
+    kept = session.staged(spark.range(3), "kept")
+    assert kept.count() == 3
+    session.released(kept)
+    assert not os.path.exists(kept._folder.removeprefix("file://"))
+
+
+def test_policy_of_metadata(spark):
+    """What is admitted and what may be forgotten are each other's rest."""
+    meta = spark.createDataFrame([(i, i % 4) for i in range(60)], "doc_id long, origin_id long")
+    keeps = placement.keeps_meta(meta, nodes(spark, 12), 1000)
+    held = meta.where("doc_id % 7 = 0").select("doc_id")
+    stay = {r["doc_id"] for r in placement.admitted(meta, keeps, held, 2).collect()}
+    gone = {r["doc_id"] for r in placement.meta_evictions(meta, keeps, held, 2).collect()}
+    assert stay | gone == set(range(60)) and not stay & gone
+    assert {i for i in range(60) if i % 7 == 0 or i % 4 == 2} <= stay
+    assert {r["keeps"] for r in placement.keeps_meta(meta, nodes(spark, 4), 1000).collect()} == {True}  # four nodes carry all
