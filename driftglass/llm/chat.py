@@ -87,7 +87,9 @@ def read_turns(formatted: DataFrame) -> DataFrame:
     """formatted's columns plus turns: array of structs (role, text, loss) read back from the formatted string alone.
 
     Each turn ends with the template's closing mark, which cannot stand in a text. Placeholders of attachments stay in the
-    text as they are written, and count as no part of the loss.
+    text as they are written, and are part of their turn's text. Null or empty `formatted`: no turns (null, empty). An empty role or
+    text reads back empty, a very long one whole; turns stand in their order, repeats included. A column `turns` of the input gives
+    way. Empty table: no rows.
     """
     pieces = F.filter(F.split("formatted", END, -1), lambda p: p != "")
 

@@ -180,8 +180,9 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, quality) for every row of docs (doc_id, text): the probability that its quality is 1.
 
-    Null, empty and blank texts have statistics of 0 and are scored from them. Null doc_id: scored, never learned from. Repeated
-    rows: each scored; their labels count once for each. Empty table: no rows. Extra columns are left out.
+    Null, empty and blank texts have statistics of 0 and are scored from them. Very long texts are read whole. Null doc_id: scored,
+    never learned from. Repeated rows: each scored; their labels count once for each. A doc_id that is labelled twice has the
+    higher label. Equal texts get equal scores. Empty table: no rows. Extra columns, whatever their names, are left out.
     """
     rows = staged(measured(docs), "quality")
     return score(rows, train(rows, labels))

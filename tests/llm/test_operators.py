@@ -613,20 +613,20 @@ def test_rows_of_one_id_keep_their_texts(spark):
 
 
 def insulted(r, i, bad):
-    words = [r.choice(WORDS) for _ in range(r.randint(5, 80))]
+    words = text(40, 5000 + i).split()
     if bad:
-        words[r.randrange(len(words))] = r.choice(["zurgak", "z.u.r.g.a.k", "zuxrgxak", "z u r g a k"])
+        words[r.randrange(40)] = r.choice(["blockhead", "b.l.o.c.k.h.e.a.d", "bloxckhexad", "b l o c k h e a d"])
     return " ".join(words)
 
 
 def test_toxicity_edges_with_a_model(spark):
     """A model that knows an insult: empty, null and very long texts, rows without id, repeats and ties."""
     r = random.Random(6)
-    rows = [(i, insulted(r, i, i % 2), "a") for i in range(1, 400)]
-    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 400)] + [(None, 1), (5, None)], "doc_id long, toxic int")
-    model = toxicity.train(frame(spark, rows), labels, train_rows=200)
-    long = " ".join(r.choice(WORDS) for _ in range(60_000))
-    edges = [(1, None, "a"), (2, "", "a"), (3, " \n\t", "a"), (4, long, "a"), (5, "ka zurgak lo " * 3, "a"), (5, "ka zurgak lo " * 3, "a"), (None, "mi z\tu  r\ng a k ru", "a"), (7, "zurgak" * 4000 + " mi", "a")]
+    rows = [(i, insulted(r, i, i % 4 == 0), "a") for i in range(1, 500)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1, 500)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows), labels, train_rows=300)
+    long = text(60_000, 77)
+    edges = [(1, None, "a"), (2, "", "a"), (3, " \n\t", "a"), (4, long, "a"), (5, "ka blockhead lo " * 3, "a"), (5, "ka blockhead lo " * 3, "a"), (None, "mi b\tl  o\nc k h e a d ru", "a"), (7, "blockhead" * 4000 + " mi", "a")]
     got = toxicity.score(clashing(spark, edges), model).collect()
     by = {x["doc_id"]: x["toxicity"] for x in got}
     assert len(got) == len(edges) and all(0 <= x["toxicity"] <= 1 for x in got)
@@ -700,3 +700,26 @@ def test_loss_is_cut_by_the_mask(spark):
     assert good["loss_sha256"] == hashlib.sha256("d &amp; <e>é".encode()).hexdigest() and good["loss_chars"] == 12
     wrong = chat.digests(formatted.withColumn("loss_spans", F.slice("loss_spans", 1, 1))).first()
     assert wrong["loss_chars"] == 11
+
+
+def test_quality_edges_with_a_model(spark):
+    """A model that has learned: empty, null and very long texts, rows without id, repeats, ties, an empty table, clashing names."""
+    r = random.Random(2)
+    rows = [(i, text(60, i) if i % 2 else " ".join(["!!! BUY"] * r.randint(20, 60)), "a") for i in range(1, 300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 300)] + [(None, 1), (7, None)], "doc_id long, quality int")
+    model = quality.train(quality.measured(frame(spark, rows)), labels)
+    assert set(model.steps.tolist()) != {0.5} and (np.diff(model.steps) >= 0).all()
+    edges = [(1, None, "a"), (2, "", "a"), (3, " \n\t ", "a"), (4, text(60_000, 3), "a"), (5, text(60, 900), "b"), (5, text(60, 900), "b"), (None, "!!! BUY " * 30, "a")]
+    got = quality.score(quality.measured(clashing(spark, edges).withColumn("x", F.lit("x")).withColumn("quality", F.lit("q"))), model).collect()
+    by = {x["doc_id"]: x["quality"] for x in got}
+    assert len(got) == len(edges) and all(0 <= x["quality"] <= 1 for x in got)
+    assert by[1] == by[2] == by[3] and by[5] > 0.5 > by[None] and len({x["quality"] for x in got if x["doc_id"] == 5}) == 1
+    assert quality.score(quality.measured(frame(spark, edges).limit(0)), model).count() == 0
+    # Brute force: the calibrated score of each row, from its statistics alone.
+    x = np.array([quality.statistics((t or "").encode()) for _, t, _ in edges])
+    z = np.clip((x - model.mean) / model.spread, -6, 6)
+    made = np.random.default_rng(quality.SEED)
+    across, turn = made.normal(size=(x.shape[1], quality.FEATURES)) / x.shape[1] ** 0.5, made.uniform(0, 2 * np.pi, quality.FEATURES)
+    raw = [sum(w * np.cos(float(row @ a) + t) * (2 / quality.FEATURES) ** 0.5 for w, a, t in zip(model.weights, across.T, turn, strict=False)) + model.weights[-1] for row in z]
+    want = [model.steps[int(round(min(max((v - model.low) / (model.high - model.low) * (quality.BINS - 1), 0), quality.BINS - 1)))] for v in raw]
+    assert np.allclose(sorted(want), sorted(x["quality"] for x in got))

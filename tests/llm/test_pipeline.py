@@ -73,3 +73,26 @@ def test_every_word_is_packed_once(stages):
         assert sum(n for _, n in spans) <= packing.CAPACITY and all(a + n <= b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
         assert len({text[i] for i in own.doc_id}) == len(own)
         assert own.doc_id.map(lambda i: source[i]).value_counts(dropna=False).max() <= packing.SAME_SOURCE
+
+
+def test_stages_on_edge_cases(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing names, an empty table."""
+    rows = [
+        (1, None, "en", "a", None), (2, "", None, "a", 0), (3, " \n\t", "en", None, 3), (4, "one line that many documents share\nx y", "en", "b", 9), (5, "ONE line that many documents share \nz", "en", "b", 9),
+        (6, "one line that many documents share", "en", "b", 9), (6, "one line that many documents share", "en", "b", 9), (None, "one line that many documents share", "en", "c", 9), (8, " ".join(f"w{i % 997}" for i in range(50_000)), "en", "a", 9),
+        (9, " ".join(f"w{i % 997}" for i in range(50_000)), "en", "a", 9),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("_id", "_copies", "toxicity", "n_lines", "digest", "row", "component", "size"):
+        docs = docs.withColumn(c, F.lit(c))
+    spark.createDataFrame([(4, 0), (5, 1), (None, 1), (6, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.staged(stage(spark, docs, str(tmp_path)), f"edge-{name}")
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert all(r[c] == c for r in out.collect() for c in ("_id", "_copies", "toxicity", "n_lines", "digest", "row", "component", "size"))
+            docs = out
+        if name == "minhash_near_dedup":
+            assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
+    assert out.groupBy("bin_id").agg(F.sum("n_words").alias("n")).agg(F.max("n")).first()[0] <= packing.CAPACITY
