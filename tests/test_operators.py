@@ -81,8 +81,10 @@ def test_embedding(spark):
     cos = {(r["query_id"], r["id"]): r["score"] for r in search.vector_top_k(search.embeddings(rows, "id", "text"), asked, 3, "id", "vector").collect()}
     assert cos[1, 2] > cos.get((1, 3), 0)
     assert abs(cos[1, 1] - 1) < 1e-9
-    full = search.dense_vector(entries, "id").where("id = 1").first()["vector"]
-    assert len(full) == vectors.EMBED_DIM
+    slow = {r["id"]: r["vector"] for r in search.dense_vector(entries, "id").collect()}
+    fast = {r["id"]: r["vector"] for r in search.embeddings(rows.unionByName(rows.limit(0)), "id", "text").collect()}
+    assert slow.keys() == fast.keys() and all(len(v) == vectors.EMBED_DIM for v in fast.values())
+    assert all(abs(a - b) < 1e-12 for i in slow for a, b in zip(slow[i], fast[i], strict=True))
 
 
 def test_chunks(spark):
@@ -271,3 +273,10 @@ def test_policy_of_metadata(spark):
     assert stay | gone == set(range(60)) and not stay & gone
     assert {i for i in range(60) if i % 7 == 0 or i % 4 == 2} <= stay
     assert {r["keeps"] for r in placement.keeps_meta(meta, nodes(spark, 4), 1000).collect()} == {True}  # four nodes carry all
+
+
+def test_hashes_of_many_words():
+    r = random.Random(3)
+    words = ["", *("".join(chr(r.randint(32, 126)) for _ in range(r.choice([1, 4, 9, 400]))) for _ in range(300)), "x" * 3000]
+    got = search.hashed(words, (hashing.FNV_SEED, hashing.SIGN_SEED))
+    assert got.tolist() == [[fnv(w, s) for w in words] for s in (hashing.FNV_SEED, hashing.SIGN_SEED)]
