@@ -387,6 +387,18 @@ def router_counters(spark: SparkSession, d: str) -> DataFrame:
     return by.select("user_id", "received", "dropped", (F.col("received") - F.col("_d")).alias("duplicates"))
 
 
+@query("""SELECT source, doc_id, sent_before FROM (SELECT source, doc_id, (coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS sent_before FROM documents WHERE doc_id > 60) WHERE sent_before < 9000""")
+def catalog_since(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return state.catalog_page(docs, [F.col("doc_id")], "n_chars", 9000, ["source"], F.col("doc_id") > 60).select("source", "doc_id", "sent_before")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def uploads_left(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return state.difference(table(spark, d, "customer"), done, "c_custkey").select("c_custkey", "c_name")
+
+
 # Policy
 
 
@@ -569,6 +581,14 @@ def reassembly_stream(spark: SparkSession, d: str) -> DataFrame:
     return _stream(spark, rows, jobs.reassembled_packets).select(F.col("packet_key").cast("long").alias("doc_id"), F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("whole"))
 
 
+@query("""WITH r AS (SELECT l_orderkey AS query_id, l_suppkey % 4 AS node, (l_quantity * 200)::BIGINT AS ms FROM lineitem), f AS (SELECT query_id, node, min(ms) AS a FROM r GROUP BY ALL), t AS (SELECT query_id, list_sort(list(a))[3] AS third FROM f GROUP BY 1)
+SELECT query_id, node, count(*) AS replies FROM r JOIN t USING (query_id) WHERE ms <= least(6000, CASE WHEN third <= 6000 THEN third + 400 ELSE 6000 END) GROUP BY ALL""")
+def collect_stream(spark: SparkSession, d: str) -> DataFrame:
+    start = F.lit("2024-01-01").cast("timestamp")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), (F.col("l_suppkey") % 4).alias("node"), start.alias("started"), F.timestamp_millis(F.unix_millis(start) + (F.col("l_quantity") * 200).cast("long")).alias("ts"))
+    return _stream(spark, rows, lambda s: jobs.collected(s, 3)).groupBy("query_id", "node").agg(F.count(F.lit(1)).alias("replies"))
+
+
 # Identity
 
 

@@ -56,11 +56,17 @@ def passages(docs: DataFrame, filename: str = "filename", text: str = "text", ca
     return rows.withColumn("doc_id", passage_id(F.col("doc_key"), F.col("seq"), F.col("text")))
 
 
-def tables(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(docs, meta, bodies) from passages."""
+def tables(rows: DataFrame, holds: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs, meta, bodies) from passages. holds: which passages' bodies are kept; all by default, their metadata in any case."""
     docs = rows.groupBy("doc_key", "title", "source").agg(F.sum(F.length("text")).alias("bytes"), F.count(F.lit(1)).alias("chunk_count"))
     meta = rows.select("doc_id", "doc_key", "seq", "title", "section", F.left("text", F.lit(SNIPPET_CHARS)).alias("snippet"), F.length("text").alias("bytes"), F.lit(1).alias("version"))
-    return docs, meta, rows.select("doc_id", "text")
+    return docs, meta, (rows if holds is None else rows.where(holds)).select("doc_id", "text")
+
+
+def shown_text(meta: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(doc_id, text, held): a passage's body where that is held, else its snippet."""
+    rows = meta.select("doc_id", "snippet").join(bodies.select("doc_id", "text", F.lit(True).alias("_held")), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("text", "snippet").alias("text"), F.coalesce("_held", F.lit(False)).alias("held"))
 
 
 def document_counts(meta: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -77,6 +77,11 @@ def looked_up(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key), key, "left_semi")
 
 
+def difference(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not among the done ones; null keys are among none."""
+    return rows.join(done.select(key), key, "left_anti")
+
+
 def all_of(asked: DataFrame, done: DataFrame, group: str, member: str) -> DataFrame:
     """(group, all_done): whether each member that a group asks for is among its done ones."""
     rest = asked.join(done.select(group, member).distinct(), [group, member], "left_anti").groupBy(group).agg(F.count(F.lit(1)).alias("_n"))

@@ -366,13 +366,13 @@ def evict_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {NODES}, {TARGETS}, {HELD} SELECT p_brand AS brand, round(avg(live), 6) AS mean_live, sum(hits)::BIGINT AS hits, max(desired) AS desired,
-CASE WHEN avg(live) <= 1 THEN 'at risk' WHEN avg(live) + 0.001::DOUBLE < max(desired) THEN 'short' ELSE 'OK' END AS availability, count_if(live < desired)::BIGINT AS short_of, count_if(live <= 1)::BIGINT AS at_risk
+CASE WHEN avg(live) <= 1 THEN 'at risk' WHEN avg(live) + 0.001::DOUBLE < max(desired) THEN 'short' ELSE 'OK' END AS availability, count_if(live < desired)::BIGINT AS short_of, count_if(live <= 1)::BIGINT AS at_risk, count_if(p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey = 5))::BIGINT AS stored_here
 FROM part JOIN targets ON doc_id = p_partkey JOIN live USING (doc_id) GROUP BY 1""")
 def doc_replica_report(spark: SparkSession, d: str) -> DataFrame:
-    live = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("doc_id")).agg(F.countDistinct("l_suppkey").alias("live"))
+    live = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("doc_id")).agg(F.countDistinct("l_suppkey").alias("live"), F.max(F.col("l_suppkey") == 5).alias("here"))
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("brand")).join(_targets(spark, d), "doc_id").join(live, "doc_id")
-    by = rows.groupBy("brand").agg(F.avg("live").alias("m"), F.sum("hits").alias("hits"), F.max("desired").alias("desired"), F.count_if(F.col("live") < F.col("desired")).alias("short_of"), F.count_if(F.col("live") <= 1).alias("at_risk"))
-    return by.select("brand", F.round("m", 6).alias("mean_live"), "hits", "desired", placement.availability(F.col("m"), F.col("desired")).alias("availability"), "short_of", "at_risk")
+    by = rows.groupBy("brand").agg(F.avg("live").alias("m"), F.sum("hits").alias("hits"), F.max("desired").alias("desired"), F.count_if(F.col("live") < F.col("desired")).alias("short_of"), F.count_if(F.col("live") <= 1).alias("at_risk"), F.count_if("here").alias("stored_here"))
+    return by.select("brand", F.round("m", 6).alias("mean_live"), "hits", "desired", placement.availability(F.col("m"), F.col("desired")).alias("availability"), "short_of", "at_risk", "stored_here")
 
 
 @query("""WITH c AS (SELECT user_id, count_if(event_type = 'view') AS seen, count(*) // 3 AS expected, count_if(event_type = 'click') AS requests, count_if(event_type = 'purchase') AS responses FROM events GROUP BY 1)
@@ -511,6 +511,18 @@ def doc_summary(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(ingest.document_counts(meta, bodies), "doc_key", "left")
 
 
+@query(f"""WITH {CHUNKS} SELECT doc_key, count(*) AS known, count_if(len(text) > 300)::BIGINT AS stored FROM passages GROUP BY doc_key""")
+def partly_held(spark: SparkSession, d: str) -> DataFrame:
+    _, meta, bodies = ingest.tables(_passages(spark, d), F.length("text") > 300)
+    return ingest.document_counts(meta, bodies)
+
+
+@query(f"""WITH {CHUNKS} SELECT doc_id, CASE WHEN len(text) > 300 THEN text ELSE left(text, {ingest.SNIPPET_CHARS}) END AS text, len(text) > 300 AS held FROM passages""")
+def shown_passages(spark: SparkSession, d: str) -> DataFrame:
+    _, meta, bodies = ingest.tables(_passages(spark, d), F.length("text") > 300)
+    return ingest.shown_text(meta, bodies)
+
+
 @query(f"""WITH {CHUNKS}, m AS (SELECT count(*) AS known, sum({ingest.META_BYTES} + len(title) + len(section) + len(left(text, {ingest.SNIPPET_CHARS})))::BIGINT AS meta_bytes, count(*) AS stored, sum(len(text))::BIGINT AS body_chars FROM passages)
 SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_key, title, source FROM passages)) AS documents, known, meta_bytes, stored, body_chars, greatest(0, 1048576 - meta_bytes - body_chars)::BIGINT AS free_bytes FROM m""")
 def catalog_stats(spark: SparkSession, d: str) -> DataFrame:
