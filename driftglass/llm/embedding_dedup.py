@@ -32,8 +32,9 @@ from driftglass.llm.minhash import in_blocks
 SIMILAR = 0.98
 #: The longest chord between unit vectors that link.
 CHORD = (2 - 2 * SIMILAR) ** 0.5
-#: Rows that centroids are fitted on, classes that a shard has on average, and members of a shard that a task holds at once.
-SAMPLE, SHARD, BLOCK = 40_000, 300, 1024
+#: Rows that centroids are fitted on, and their bytes, at most; classes that a shard has on average, and members of a shard that a
+#: task holds at once.
+SAMPLE, SAMPLE_BYTES, SHARD, BLOCK = 40_000, 64 << 20, 300, 1024
 #: Classes of a shard that is dealt out again, rows that its own centroids are fitted on, levels at most, and classes that a task
 #: assigns at a time.
 DEEP, DEEP_SAMPLE, LEVELS, ASSIGN = 4096, 3000, 3, 4096
@@ -315,8 +316,8 @@ def near_vectors(vectors: DataFrame, *, audited: int = 0) -> tuple[DataFrame, fl
     # A vec_id may stand in rows of several vectors; a class is then known by another number.
     classes = classes.withColumn("least", F.col("rep")).withColumn("rep", F.xxhash64("key.a", "key.b"))
     classes = staged(classes, "vector-classes")
-    sample = classes.orderBy("rep").select("label", "embedding").limit(SAMPLE).toPandas()  # SAMPLE rows at most, by hash
-    n = classes.count()
+    n, dim = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    sample = vectors_here(classes.orderBy("rep").select("label", "embedding").limit(min(SAMPLE, max(1, SAMPLE_BYTES // (8 * dim)))))  # by hash
     centroids = fit_centroids(sample, n) if len(sample) else {}
     placed = _placed(classes, centroids)
 
@@ -342,6 +343,14 @@ def near_vectors(vectors: DataFrame, *, audited: int = 0) -> tuple[DataFrame, fl
     return out, recall(rows, near, audited) if audited else None
 
 
+def vectors_here(rows: DataFrame) -> pd.DataFrame:
+    """rows (label, embedding), of which there are few, on the driver, each vector as an array of doubles."""
+    got = rows.toArrow().combine_chunks()
+    column = got["embedding"].combine_chunks() if got.num_rows else None
+    flat, ends = (column.values.to_numpy(), column.offsets.to_numpy()) if got.num_rows else (np.zeros(0), np.zeros(1, int))
+    return pd.DataFrame({"label": got["label"].to_pandas(), "embedding": [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]})
+
+
 def recall(rows: DataFrame, found: DataFrame, audited: int) -> float:
     """Of the links of rows whose vec_id is divisible by 100, the share that is found: links counted in found (vec_id, n_links), over
     links by brute force, each of `audited` such rows (the first by a hash, distinct ids) against all rows of its label. 1 where

@@ -723,3 +723,13 @@ def test_quality_edges_with_a_model(spark):
     raw = [sum(w * np.cos(float(row @ a) + t) * (2 / quality.FEATURES) ** 0.5 for w, a, t in zip(model.weights, across.T, turn, strict=False)) + model.weights[-1] for row in z]
     want = [model.steps[int(round(min(max((v - model.low) / (model.high - model.low) * (quality.BINS - 1), 0), quality.BINS - 1)))] for v in raw]
     assert np.allclose(sorted(want), sorted(x["quality"] for x in got))
+
+
+def test_hot_lines(spark, monkeypatch):
+    """Keys of many documents take another way to their references, with the same result."""
+    lines = [f"line number {i} of the common stock" for i in range(12)]
+    r = random.Random(1)
+    docs = frame(spark, [(i, "\n".join(x for j, x in enumerate(lines) if r.random() < j / 12), "a") for i in range(60)])
+    plain = sorted(map(tuple, line_dedup.dedup_lines(docs).select("doc_id", "text", "n_dropped").collect()))
+    monkeypatch.setattr(line_dedup, "HOT", 20)
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs).select("doc_id", "text", "n_dropped").collect())) == plain
