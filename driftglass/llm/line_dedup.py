@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from driftglass.llm.common import SPACE_BYTES, apart, few, staged, table
 
 MIN_CHARS, MIN_DOCS, KEYS_A_SHARD, REFS_A_FILE = 20, 3, 20_000, 500_000
-#: Documents beyond which a key counts as hot, and hot keys that are broadcast at most.
-HOT, MOST_HOT = 20_000, 500_000
+#: A key that has more than a HOT-th of all references is hot.
+HOT = 1024
 _STRIP = SPACE_BYTES
 
 
@@ -234,16 +234,14 @@ class Index:
         return Index(self.spark, self.shards, refs, counts, filters)
 
     def drops(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """(doc_id, keys): the keys that a document loses. References of keys that more than HOT documents have meet them where they
-        are, as these keys are few; only the others are dealt out by key."""
+        """(doc_id, keys): the keys that a document loses. A hot key is one with more than a HOT-th of all references: there are fewer
+        than HOT of them, whatever the index holds, so they are sent to every task and meet their references where these are. Only
+        the others are dealt out by key."""
         many = self.counts.where(F.col("n_docs") >= min_docs).select("key", "keeper", "n_docs")
-        hot, rest = many.where(F.col("n_docs") > HOT).drop("n_docs"), many.where(F.col("n_docs") <= HOT).drop("n_docs")
-        if 0 < hot.count() <= MOST_HOT:
-            hot = F.broadcast(hot)
-            lost = self.refs.join(hot, "key").unionByName(self.refs.join(hot.select("key"), "key", "left_anti").join(rest, "key"))
-        else:
-            lost = self.refs.join(many.drop("n_docs"), "key")
-        lost = lost.where("doc_id < keeper")
+        is_hot = F.col("n_docs") * HOT > self.refs.count()
+        hot = F.broadcast(many.where(is_hot).drop("n_docs"))
+        rest = self.refs.join(hot.select("key"), "key", "left_anti").join(many.where(~is_hot).drop("n_docs"), "key")
+        lost = self.refs.join(hot, "key").unionByName(rest).where("doc_id < keeper")
         return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
     def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS, report: bool = True) -> DataFrame:
