@@ -142,10 +142,12 @@ def mix_sources(docs: DataFrame, *, seed: str = SEED, block: int = BLOCK, shard_
     order of a seeded hash, over and over, until its blocks are used up; the last block may end inside a text. A shard stops at
     `cap` times its words: where its last block would go beyond, the rest of that block is taken by nobody.
 
-    Null text: size 0, nothing taken. Null source: a source of its own, the last. Null doc_id: a row as any other. Rows that
-    repeat a doc_id each count, and are taken one after the other. Empty table: no rows. Reruns give the same rows.
+    Null text: size 0, nothing taken. Null source: a source of its own, the last. Null doc_id: a row as any other, dealt to its
+    shard by its text. Rows that repeat a doc_id each count, and are taken one after the other. Empty table: no rows. Reruns give
+    the same rows.
     """
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce("text", F.lit("")))))
+    key = F.md5(F.concat(name, F.lit(":" + seed)))
     also = [row] if row else []
     sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *also), "mix")
     n_shards = max(1, -(-sizes.count() // shard_rows))

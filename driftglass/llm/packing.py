@@ -85,13 +85,14 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, same: int = SAME_SOURCE,
     documents of a source share one. Rows are dealt to shards by hash whatever their source, cluster or length, only ids, sizes,
     sources and clusters travel, and each shard is packed by itself, which leaves about one half-full bin for each.
 
-    Null text: size 0, one empty piece. Null source: a source of its own. Null doc_id: a row as any other. Repeated rows are each
+    Null text: size 0, one empty piece. Null source: a source of its own. Null doc_id: a row as any other, dealt out by the rest of
+    the row. Repeated rows are each
     packed, in different bins as they are one cluster. Empty table: no rows. Extra columns are left out.
     """
     key = text_cluster(F.col("text")) if cluster is None else cluster
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.cast("string").alias("cluster"))
     shards = max(1, -(-docs.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("pack"), "doc_id"), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("pack"), F.coalesce("doc_id", F.xxhash64("cluster", "source", "size"))), F.lit(shards)))
 
     def one(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["doc_id", "size", "source", "cluster"], na_position="first").reset_index(drop=True)
