@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftglass.session import purge, released, scratch, shared_dir, staged, table
 
-__all__ = ["SPACE", "SPACE_BYTES", "apart", "few", "held_out", "purge", "released", "scratch", "shared_dir", "staged", "table", "with_group", "words_of"]
+__all__ = ["SPACE", "SPACE_BYTES", "apart", "few", "held_out", "kept", "let_go", "purge", "released", "scratch", "shared_dir", "staged", "table", "with_group", "words_of"]
 
 #: ASCII white space, as the contracts name it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -22,6 +23,23 @@ def apart(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
 
+_kept: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, held on the executors' disks from its first use on: for narrow tables that a pure scan gives, which a lost executor's part
+    is read again for. let_go() frees what is held."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    _kept.append(df)
+    return df
+
+
+def let_go() -> None:
+    """Frees all tables that kept() holds, once the results that read them are written."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def few(df: DataFrame, rows: int, a_part: int = 500_000) -> DataFrame:
     """df in no more partitions than `rows` rows need at a_part rows each: fewer, larger files and tasks where there is little."""
     return df.coalesce(max(1, -(-rows // a_part)))

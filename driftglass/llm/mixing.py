@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftglass.llm.common import SPACE, apart, few, released, staged, table
+from driftglass.llm.common import SPACE, apart, few, kept, released, staged, table
 
 #: Words in a block, rows in a shard, and the weights that sources get in turn.
 BLOCK, SHARD_ROWS, WEIGHTS, CAP, SEED = 32, 256, (1, 2, 3), 3, "mix-1"
@@ -137,7 +137,7 @@ def mix_sources(docs: DataFrame, *, seed: str = SEED, block: int = BLOCK, shard_
     """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source; other columns are left out, but
     for `row`, which is carried along where it is named).
 
-    1. Sizes are counted once and staged. 2. targets() shares all words among the sources. 3. Blocks of `block` words go to
+    1. Sizes are counted once and kept. 2. targets() shares all words among the sources. 3. Blocks of `block` words go to
     the sources, then each source's blocks to its shards, by highest Sainte-Laguë quotient. 4. A shard takes its rows in the
     order of a seeded hash, over and over, until its blocks are used up; the last block may end inside a text. A shard stops at
     `cap` times its words: where its last block would go beyond, the rest of that block is taken by nobody.
@@ -149,7 +149,7 @@ def mix_sources(docs: DataFrame, *, seed: str = SEED, block: int = BLOCK, shard_
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce("text", F.lit("")))))
     key = F.md5(F.concat(name, F.lit(":" + seed)))
     also = [row] if row else []
-    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *also), "mix")
+    sizes = kept(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *also))
     n_shards = max(1, -(-sizes.count() // shard_rows))
     sizes = sizes.withColumn("shard", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.lit(n_shards))
     by = targets(sizes, weights, cap).withColumn("blocks", F.floor(F.col("all") / block + 0.5))
