@@ -33,10 +33,10 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return state.looked_up(table(spark, d, "customer"), wanted, "c_custkey").select("c_custkey", "c_name", "c_nationkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS place FROM lineitem WHERE l_suppkey = 7")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS place FROM lineitem WHERE l_suppkey = 7")
 def index_scan(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").where("l_suppkey = 7").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber"))).drop("l_suppkey")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))).drop("l_suppkey")
 
 
 OUTBOX = "box AS (SELECT o_orderkey AS id, o_custkey AS dst_id, o_orderdate AS queued_at, o_orderdate + INTERVAL 5 DAY AS expires_at FROM orders)"
@@ -604,14 +604,14 @@ def authorship(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", identity.authorship(key, sig, F.col("l_suppkey"), F.col("l_partkey") % 100, F.col("l_returnflag") != "R").alias("verdict"))
 
 
-@query(f"""WITH b AS (SELECT l_orderkey AS doc_key, string_agg(l_returnflag || l_partkey, chr(10) ORDER BY l_linenumber, l_returnflag || l_partkey) AS body, count(*) AS n FROM lineitem WHERE l_quantity > 2 GROUP BY 1), a AS (SELECT l_orderkey AS doc_key, count(*) AS chunk_count FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS doc_key, CASE WHEN o_orderkey % 5 <> 0 AND coalesce(n, 0) = chunk_count THEN o_orderkey % 3 <> 0 END AS intact FROM orders JOIN a ON a.doc_key = o_orderkey LEFT JOIN b ON b.doc_key = o_orderkey""")
+@query("""WITH b AS (SELECT o_custkey AS doc_key, count(*) AS n FROM orders WHERE o_totalprice > 20000 GROUP BY 1), a AS (SELECT o_custkey AS doc_key, count(*) AS chunk_count FROM orders GROUP BY 1)
+SELECT c_custkey AS doc_key, CASE WHEN c_custkey % 5 <> 0 AND coalesce(n, 0) = chunk_count THEN c_custkey % 3 <> 0 END AS intact FROM customer JOIN a ON a.doc_key = c_custkey LEFT JOIN b ON b.doc_key = c_custkey""")
 def intact_documents(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("doc_key"), F.col("l_linenumber").alias("seq"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("text"), "l_quantity")
-    whole = lines.groupBy("doc_key").agg(F.count(F.lit(1)).alias("chunk_count"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda r: r["text"]), "\n").alias("body"))
-    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_key"), F.col("o_orderpriority").alias("title")).join(whole, "doc_key")
+    meta = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("doc_key"), F.col("o_orderkey").alias("seq"), F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).alias("text"), "o_totalprice")
+    whole = meta.groupBy("doc_key").agg(F.count(F.lit(1)).alias("chunk_count"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda r: r["text"]), "\n").alias("body"))
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_key"), F.col("c_name").alias("title")).join(whole, "doc_key")
     told = F.when(F.col("doc_key") % 5 == 0, "").when(F.col("doc_key") % 3 == 0, "00").otherwise(identity.document_hash(F.col("title"), F.col("body")))
-    return ingest.intact_documents(docs.select("doc_key", "title", told.alias("doc_hash"), "chunk_count"), lines, lines.where("l_quantity > 2"))
+    return ingest.intact_documents(docs.select("doc_key", "title", told.alias("doc_hash"), "chunk_count"), meta, meta.where("o_totalprice > 20000"))
 
 
 @query("SELECT s_suppkey, greatest(1, " + FNV.format(seed=hashing.FNV_SEED, s="sha256(s_name)") + ") AS node_id, list_transform(range(0, 5), lambda i: (('0x' || substr(sha256(s_name), (2 * i + 1)::INT, 2))::BIGINT % 32)::INT) AS icons FROM supplier")
