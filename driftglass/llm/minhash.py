@@ -30,7 +30,8 @@ from driftglass.llm.components import components
 
 WORDS, SIMILAR = 5, (75, 100)
 #: 32 bands of 4 coordinates: of pairs at similarity 0.75, 5 in a million meet in no band. A coordinate is kept as 8 bits for
-#: comparisons; a pair at 0.75 agrees in fewer than AGREE of 128 coordinates 3 times in a million.
+#: comparisons; a pair at 0.75 agrees in fewer than AGREE of 128 coordinates 3 times in a million. Measured on random sets of 40 and
+#: 400: none of 40,000 pairs at 0.75 lost by either; at 0.5, 11.0 % and 13.1 % meet in no band, where theory has 10.7 % and 12.5 %.
 BANDS, ROWS, AGREE = 32, 4, 74
 #: Members of a bucket, and of a cluster, that a block holds; pivots that each block of a larger one has; and shingles of a set
 #: that count as one member of a cluster (a longer set counts as several).
@@ -41,12 +42,16 @@ MOST_GROUPS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _permuted(x: np.ndarray) -> np.ndarray:
+#: Odd multipliers of the two permutations: the first orders a set's elements, the second is shifted.
+FIRST, SECOND = (0x7FEB352D, 0x846CA68B), (0x2C1B3C6D, 0x297A2D39)
+
+
+def _permuted(x: np.ndarray, by: tuple[int, int]) -> np.ndarray:
     """A permutation of the 32-bit integers (xor-shifts and odd multipliers can be undone)."""
     x = x ^ (x >> np.uint32(16))
-    x *= np.uint32(0x7FEB352D)
+    x *= np.uint32(by[0])
     x ^= x >> np.uint32(15)
-    x *= np.uint32(0x846CA68B)
+    x *= np.uint32(by[1])
     x ^= x >> np.uint32(16)
     return x
 
@@ -71,11 +76,11 @@ def shingles(raw: bytes) -> np.ndarray:
 
 def signature(found: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """Circulant MinHash: coordinate k is the least second permutation of (first permutation + k)."""
-    first = _permuted((found ^ (found >> np.uint64(32))).astype(np.uint32))
-    shifts = np.arange(size, dtype=np.uint32) * np.uint32(1)
+    first = _permuted((found ^ (found >> np.uint64(32))).astype(np.uint32), FIRST)
+    shifts = np.arange(size, dtype=np.uint32)
     out = np.full(size, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(first), 512):
-        np.minimum(out, _permuted(first[at : at + 512, None] + shifts).min(0), out=out)
+        np.minimum(out, _permuted(first[at : at + 512, None] + shifts, SECOND).min(0), out=out)
     return out
 
 
