@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
     """
     picked = staged(_sample(labels, train_rows).coalesce(1), "toxic-sample")  # two lists of at most train_rows ids
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = staged(few(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text"), 2 * train_rows, 250), "toxic-train")
+    rows = staged(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text"), "toxic-train")  # in as many tasks as the scan has
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
