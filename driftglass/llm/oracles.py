@@ -6,6 +6,7 @@ Each goes a plainer way than the operator: license places by comparing every pos
 from __future__ import annotations
 
 from driftglass.llm import chat, licenses, mixing
+from driftglass.llm import filter_audit as filter_audit_operator
 
 _SPACED = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -130,4 +131,38 @@ FROM t GROUP BY conv_id
 """
 
 
-ORACLES = {"op8_license_scan": license_scan(), "op9_mix_sources": mix_sources(), "op10_chat_format": chat_format()}
+def filter_audit() -> str:
+    """Orders are made by joining the letters; the documents of a part that fail alike are counted first and then replayed."""
+    letters = ", ".join(f"('{f}', {1 << i})" for i, f in enumerate(filter_audit_operator.FILTERS))
+    joined = "".join(f" JOIN f f{i} ON f{i}.c NOT IN ({', '.join(f'f{j}.c' for j in range(1, i))})" for i in range(2, 6))
+    return rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS ws FROM documents
+), d AS (
+  SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS fails FROM w
+), l AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), g AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), f(c, bit) AS (VALUES {letters}
+), o AS (
+  SELECT f1.c || f2.c || f3.c || f4.c || f5.c AS filter_order, [f1.bit, f2.bit, f3.bit, f4.bit, f5.bit] AS bits FROM f f1{joined}
+), s AS (
+  SELECT filter_order, k AS step, bits[k] AS bit, list_sum(bits[1:k - 1])::INT AS earlier FROM (SELECT *, unnest(range(1, 6)) AS k FROM o)
+), r AS (
+  SELECT part, filter_order, step, bit, sum(n) FILTER (fails & (coalesce(earlier, 0) | bit) = 0) AS kept,
+    sum(n) FILTER (fails & bit > 0 AND fails & coalesce(earlier, 0) = 0) AS removed, sum(n) FILTER (fails & bit > 0 AND fails & coalesce(earlier, 0) > 0) AS redundant,
+    sum(n) FILTER (fails = bit) AS unique_fails, sum(good) FILTER (fails & bit > 0 AND fails & coalesce(earlier, 0) = 0) AS good_lost,
+    sum(toxic) FILTER (fails & bit > 0 AND fails & coalesce(earlier, 0) = 0) AS toxic_lost
+  FROM g CROSS JOIN s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM r
+"""
+
+
+ORACLES = {"op13_filter_audit": filter_audit(), "op8_license_scan": license_scan(), "op9_mix_sources": mix_sources(), "op10_chat_format": chat_format()}
