@@ -1,4 +1,5 @@
-"""SQL for the operators whose rows DuckDB can make by itself: license scans, mixing and chat formatting.
+"""SQL for the operators whose rows DuckDB can make by itself: license scans, mixing, chat formatting, ranked
+search and the filter audit.
 
 Each goes a plainer way than the operator: license places by comparing every position of a text, seats by ranking every quotient.
 """
@@ -7,6 +8,7 @@ from __future__ import annotations
 
 from driftglass.llm import chat, licenses, mixing
 from driftglass.llm import filter_audit as filter_audit_operator
+from driftglass.llm import ranked_search as ranked_search_operator
 
 _SPACED = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -165,4 +167,30 @@ FROM r
 """
 
 
-ORACLES = {"op13_filter_audit": filter_audit(), "op8_license_scan": license_scan(), "op9_mix_sources": mix_sources(), "op10_chat_format": chat_format()}
+def ranked_search() -> str:
+    """Each item's terms meet each document's counts, and every pair's sum is ranked."""
+    found = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_LOWER)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {found} AS ws FROM documents
+), s AS (
+  SELECT count(*)::BIGINT AS n, sum(len(ws))::BIGINT AS total FROM d WHERE len(ws) > 0
+), q AS (
+  SELECT id, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS id, item_id, unnest({found}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL
+), p AS (
+  SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL
+), w AS (
+  SELECT term, floor({ranked_search_operator.WEIGHT} * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s
+), m AS (
+  SELECT rid, doc_id, 100 - {ranked_search_operator.SHARE} + ({ranked_search_operator.SHARE} * len(ws) * n) // total AS m FROM d, s WHERE len(ws) > 0
+), x AS (
+  SELECT id, item_id, rid, doc_id, sum(times * w * (({ranked_search_operator.SCALE} * tf) // ({ranked_search_operator.TF} * tf + {ranked_search_operator.M} * m)))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY ALL
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0
+) WHERE rank <= {ranked_search_operator.TOP}
+"""
+
+
+ORACLES = {"op11_ranked_search": ranked_search(), "op13_filter_audit": filter_audit(), "op8_license_scan": license_scan(), "op9_mix_sources": mix_sources(), "op10_chat_format": chat_format()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftglass.llm import chat, embedding_dedup, filter_audit, licenses, line_dedup, media, minhash, mixing, oracles, packing, quality, toxicity
+from driftglass.llm import chat, embedding_dedup, filter_audit, licenses, line_dedup, media, minhash, mixing, oracles, packing, quality, ranked_search, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8,
     "op9_mix_sources": mixing.op9,
     "op10_chat_format": chat.op10,
+    "op11_ranked_search": ranked_search.op11,
     "op13_filter_audit": filter_audit.op13,
 }
 ORACLES = {
