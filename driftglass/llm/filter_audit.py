@@ -61,24 +61,27 @@ def flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def orders(spark: SparkSession, filters: str = FILTERS) -> DataFrame:
-    """(filter_order, steps): each order of the filters, steps being (step, bit)."""
-    rows = [("".join(o), [(i + 1, 1 << filters.index(f)) for i, f in enumerate(o)]) for o in permutations(filters)]
-    return spark.createDataFrame(rows, "filter_order string, steps array<struct<step:int,bit:int>>")
+    """(filter_order, b1, b2, …): each order of the filters, with the bit of each of its steps."""
+    rows = [("".join(o), *(1 << filters.index(f) for f in o)) for o in permutations(filters)]
+    return spark.createDataFrame(rows, "filter_order string, " + ", ".join(f"b{i + 1} int" for i in range(len(filters))))
 
 
 def audit(flagged: DataFrame, filters: str = FILTERS) -> DataFrame:
     """(part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley) from rows (part, fails, good,
     toxic): a row for each part, order and step, zeros included. A table without rows has no parts and gives no rows. Ties don't
     arise: a document goes at one step of an order."""
+    numbers = range(1, len(filters) + 1)
+    fails_at = lambda bit: F.col("fails").bitwiseAND(bit) != 0
     replayed = flagged.crossJoin(F.broadcast(orders(flagged.sparkSession, filters)))  # a fixed n! rows
-    gone = F.array_min(F.transform(F.filter("steps", lambda s: F.col("fails").bitwiseAND(s["bit"]) != 0), lambda s: s["step"]))
-    steps = replayed.select("part", "filter_order", "fails", "good", "toxic", gone.alias("gone"), F.explode("steps").alias("s")).select("*", "s.step", "s.bit").drop("s")
+    gone = F.least(*[F.when(fails_at(F.col(f"b{i}")), i) for i in numbers])
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"b{i}").alias("bit")) for i in numbers]))
+    rows = replayed.select("part", "filter_order", "fails", "good", "toxic", gone.alias("gone"), steps.alias("s")).select("*", "s.step", "s.bit").drop("s")
     counted = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    here, fails = F.col("gone") == F.col("step"), F.col("fails").bitwiseAND(F.col("bit")) != 0
-    by = steps.groupBy("part", "filter_order", "step").agg(
+    here = F.col("gone") == F.col("step")
+    by = rows.groupBy("part", "filter_order", "step").agg(
         counted(F.col("gone").isNull() | (F.col("gone") > F.col("step"))).alias("kept"),
         counted(here).alias("removed"),
-        counted(fails & (F.col("gone") < F.col("step"))).alias("redundant"),
+        counted(fails_at(F.col("bit")) & (F.col("gone") < F.col("step"))).alias("redundant"),
         counted(F.col("fails") == F.col("bit")).alias("unique_fails"),
         counted(here & F.col("good")).alias("good_lost"),
         counted(here & F.col("toxic")).alias("toxic_lost"),
