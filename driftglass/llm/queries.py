@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftglass.llm import chat, embedding_dedup, filter_audit, licenses, line_dedup, media, minhash, mixing, oracles, packing, quality, ranked_search, toxicity
+from driftglass.llm import byte_bpe, chat, embedding_dedup, filter_audit, licenses, line_dedup, media, minhash, mixing, oracles, packing, quality, ranked_search, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix_sources": mixing.op9,
     "op10_chat_format": chat.op10,
     "op11_ranked_search": ranked_search.op11,
+    "op12_byte_bpe": byte_bpe.op12,
     "op13_filter_audit": filter_audit.op13,
 }
 ORACLES = {
