@@ -55,7 +55,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of a file system that Spark knows."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -64,9 +65,9 @@ def released(*tables: DataFrame) -> None:
     """Deletes the folders of staged() tables that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_folder", None):
-            _delete(df.sparkSession, path)
+            deleted(df.sparkSession, path)
 
 
 def purge(spark: SparkSession) -> None:
     """Deletes all that this application has staged, once its results are written elsewhere."""
-    _delete(spark, f"{shared_dir(spark)}/driftglass/{spark.conf.get('spark.app.id', 'app')}")
+    deleted(spark, f"{shared_dir(spark)}/driftglass/{spark.conf.get('spark.app.id', 'app')}")
