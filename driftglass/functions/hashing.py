@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +20,37 @@ def imul32(a: Column, k: int) -> Column:
 
 
 def fnv1a(text: Column, seed: int = FNV_SEED) -> Column:
-    """FNV-1a over a text's characters (code points; the same as UTF-16 units but for characters beyond U+FFFF)."""
-    units = F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))).otherwise(F.array().cast("array<long>"))
-    return F.aggregate(units, F.lit(seed).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(U32))
+    """FNV-1a over a text's UTF-16 units: a character beyond U+FFFF counts as its two surrogates."""
+    codes = F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))).otherwise(F.array().cast("array<long>"))
+    put = lambda h, unit: (h.bitwiseXOR(unit) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(U32)
+    pair = lambda h, c: put(put(h, F.shiftright(c - 0x10000, 10) + 0xD800), (c - 0x10000).bitwiseAND(0x3FF) + 0xDC00)
+    return F.aggregate(codes, F.lit(seed).cast("long"), lambda h, c: F.when(c > 0xFFFF, pair(h, c)).otherwise(put(h, c)))
+
+
+#: Texts that are hashed side by side at least; the last few, the longest, go one by one.
+SIDE_BY_SIDE = 24
+
+
+def fnv1a_of(texts: list[str], seed: int = FNV_SEED) -> np.ndarray:
+    """fnv1a() of many texts at once: unit by unit, over all that are long enough."""
+    raw = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    sizes = np.array([len(r) // 2 for r in raw], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    units = np.frombuffer(b"".join(raw), "<u2").astype(np.uint32)
+    start = (np.cumsum(sizes) - sizes)[order]
+    sizes, h = sizes[order], np.full(len(raw), seed, np.uint32)
+    done = int(sizes[SIDE_BY_SIDE - 1]) if len(raw) >= SIDE_BY_SIDE else 0
+    active = np.searchsorted(-sizes, -np.arange(1, done + 1), "right")
+    for i, k in enumerate(active.tolist()):
+        h[:k] = (h[:k] ^ units[start[:k] + i]) * np.uint32(FNV_PRIME)
+    for j in range(min(SIDE_BY_SIDE - 1, len(raw))):
+        x = int(h[j])
+        for unit in units[start[j] + done : start[j] + sizes[j]].tolist():
+            x = ((x ^ unit) * FNV_PRIME) & U32
+        h[j] = x
+    out = np.empty(len(raw), np.int64)
+    out[order] = h
+    return out
 
 
 def mix32(a: Column, b: Column) -> Column:
@@ -32,16 +61,6 @@ def mix32(a: Column, b: Column) -> Column:
     return h.bitwiseXOR(F.shiftright(h, 16))
 
 
-def doc_key(title: Column, body: Column) -> Column:
-    """A document's id: its title and body hashed."""
-    return fnv1a(F.concat_ws("\n", title, body))
-
-
-def passage_id(key: Column, seq: Column, text: Column) -> Column:
-    """A passage's id: its document, place and text hashed."""
-    return fnv1a(F.concat_ws(":", key.cast("string"), seq.cast("string"), text))
-
-
 def message_id(*parts: Column) -> Column:
     """A 32-bit id for a message, the same on each run: the first bits of its parts' MD5."""
     return F.conv(F.left(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), F.lit(8)), 16, 10).cast("long")

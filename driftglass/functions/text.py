@@ -56,8 +56,9 @@ def squeezed_lines(text: Column) -> Column:
 def _entity(e: Column) -> Column:
     """What one entity stands for; itself where that is unknown or no character."""
     name = F.lower(F.substring(e, F.lit(2), F.length(e) - 2))
-    number = F.when(name.startswith("#x"), F.conv(F.nullif(F.substring(name, 3, 64), F.lit("")), 16, 10)).otherwise(F.nullif(F.regexp_extract(name, "^#([0-9]{1,18})", 1), F.lit("")))
-    known = F.when(F.length(name) <= 18, number).cast("long")
+    digits = F.regexp_replace(name, "^#x?0*", "")
+    base = lambda n, most: F.when((digits != "") & (F.length(digits) <= most), F.conv(digits, n, 10)).cast("long")
+    known = F.when(name.rlike("^#x[0-9a-f]+$"), base(16, 8)).when(name.rlike("^#[0-9]+$"), base(10, 10))  # longer ones are beyond all characters
     sign = F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
     out = F.when((known > 0) & (known <= 0x10FFFF) & ~known.between(0xD800, 0xDFFF), sign)
     for entity, value in ENTITIES.items():
@@ -75,8 +76,9 @@ def decode_entities(text: Column) -> Column:
 
 
 def html_markup_off(html: Column) -> Column:
-    """A page's text before entities are decoded: no scripts, styles or comments; headings as `## `, block tags as line ends."""
-    html = F.regexp_replace(html, rf"(?is)<({'|'.join(HIDDEN_TAGS)})\b.*?</\1\s*>|<!--.*?-->", " ")
+    """A page's text before entities are decoded: no scripts and styles, then no comments; headings as `## `, block tags as line ends."""
+    html = F.regexp_replace(html, rf"(?is)<({'|'.join(HIDDEN_TAGS)})\b.*?</\1\s*>", " ")
+    html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     html = F.regexp_replace(F.regexp_replace(html, r"(?i)<h[1-6]\b[^>]*>", "\n## "), r"(?i)</h[1-6]\s*>", "\n")
     return F.regexp_replace(F.regexp_replace(html, rf"(?i)</?({'|'.join(BLOCK_TAGS)})\b[^>]*>", "\n"), "<[^>]*>", "")
 

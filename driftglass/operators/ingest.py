@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftglass.functions.hashing import doc_key, passage_id
+from driftglass.functions.hashing import fnv1a_of
 from driftglass.functions.identity import content_intact, document_hash
 from driftglass.functions.text import body_word_count, title_of, trimmed
 
 #: Characters that a passage takes, and those of its snippet; fixed bytes of a metadata row.
 PASSAGE_CHARS, SNIPPET_CHARS, META_BYTES = 1200, 200, 404
+#: Documents that are packed and hashed at once.
+DOCUMENTS = 512
+_PASSAGES = pa.schema([("doc_key", pa.int64()), ("seq", pa.int32()), ("title", pa.string()), ("source", pa.string()), ("section", pa.string()), ("text", pa.string()), ("doc_id", pa.int64())])
 
 
 def parsed(docs: DataFrame, filename: str = "filename", text: str = "text", stated: Column | None = None) -> DataFrame:
@@ -31,29 +38,46 @@ def parsed(docs: DataFrame, filename: str = "filename", text: str = "text", stat
     return docs.withColumns({"title": title_of(stated, F.col(text), F.col(filename)), "source": source, "sections": F.filter(heads, lambda h: F.size(h["lines"]) > 0)})
 
 
-def _packed(lines: Column, cap: int) -> Column:
-    """Lines as passages: each takes lines as long as it stays within the cap; a longer line is cut after sentences, and where a
-    sentence is longer still, at the cap."""
-    cut = F.flatten(F.transform(lines, lambda s: F.when(F.length(s) <= cap, F.array(s)).otherwise(F.split(s, r"(?<=[.!?])\s+"))))
-    cut = F.flatten(F.transform(cut, lambda s: F.when(F.length(s) <= cap, F.array(s)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / cap)), lambda i: F.substring(s, (i * cap + 1).cast("int"), F.lit(cap))))))
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+_SENTENCE = re.compile(r"(?<=[.!?])\s+", re.ASCII)
 
-    def add(a: Column, s: Column) -> Column:
-        fits = (a["open"] == "") | (F.length(a["open"]) + 1 + F.length(s) <= cap)
-        longer = F.when(a["open"] == "", s).otherwise(F.concat(a["open"], F.lit("\n"), s))
-        return F.struct(F.when(fits, a["done"]).otherwise(F.array_append(a["done"], a["open"])).alias("done"), F.when(fits, longer).otherwise(s).alias("open"))
 
-    return F.aggregate(cut, empty, add, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.array_append(a["done"], a["open"])))
+def packed(lines: list[str], cap: int) -> list[str]:
+    """Lines as passages: each takes lines as long as it stays within the cap; a longer line is cut after sentences, and where a
+    sentence is longer still, at the cap."""
+    done, open_, size = [], [], 0
+    for line in lines:
+        for part in [line] if len(line) <= cap else _SENTENCE.split(line):
+            for piece in [part] if len(part) <= cap else [part[i : i + cap] for i in range(0, len(part), cap)]:
+                if not size:
+                    open_, size = [piece], len(piece)
+                elif size + 1 + len(piece) <= cap:
+                    open_.append(piece)
+                    size += 1 + len(piece)
+                else:
+                    done.append("\n".join(open_))
+                    open_, size = [piece], len(piece)
+    return [*done, "\n".join(open_)] if size else done
 
 
 def passages(docs: DataFrame, filename: str = "filename", text: str = "text", cap: int = PASSAGE_CHARS) -> DataFrame:
-    """(doc_key, doc_id, seq, title, source, section, text): docs' passages, content-addressed."""
-    rows = parsed(docs, filename, text)
-    flat = F.flatten(F.transform("sections", lambda s: F.transform(_packed(s["lines"], cap), lambda t: F.struct(s["section"].alias("section"), t.alias("text")))))
-    rows = rows.withColumn("_p", flat).where(F.size("_p") > 0)
-    rows = rows.withColumn("doc_key", doc_key(F.col("title"), F.array_join(F.transform("_p", lambda p: p["text"]), "\n")))
-    rows = rows.select("doc_key", "title", "source", F.posexplode("_p").alias("seq", "p")).select("doc_key", "seq", "title", "source", "p.section", "p.text")
-    return rows.withColumn("doc_id", passage_id(F.col("doc_key"), F.col("seq"), F.col("text")))
+    """(doc_key, doc_id, seq, title, source, section, text): docs' passages, content-addressed. Documents are parsed by expressions;
+    packing and hashing, which go character by character, are one vectorised pass over each batch. Documents without body text have no
+    passage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), DOCUMENTS):
+                part = batch.slice(at, DOCUMENTS).to_pylist()
+                found = [[(s["section"], t) for s in r["sections"] for t in packed(s["lines"], cap)] for r in part]
+                keys = fnv1a_of(["\n".join(x for x in (r["title"], "\n".join(t for _, t in own)) if x is not None) for r, own in zip(part, found, strict=True)])
+                rows = [(int(k), seq, r["title"], r["source"], s, t) for r, k, own in zip(part, keys, found, strict=True) for seq, (s, t) in enumerate(own)]
+                if rows:
+                    ids = fnv1a_of([f"{k}:{seq}:{t}" for k, seq, _, _, _, t in rows])
+                    columns = [pa.array(c, f.type) for c, f in zip([*zip(*rows, strict=True), ids], _PASSAGES, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=_PASSAGES)
+
+    rows = parsed(docs, filename, text).where(F.size("sections") > 0).select("title", "source", "sections")
+    return rows.mapInArrow(run, "doc_key long, seq int, title string, source string, section string, text string, doc_id long")
 
 
 def tables(rows: DataFrame, holds: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftglass.functions.hashing import FNV_PRIME, FNV_SEED, SIGN_SEED
+from driftglass.functions.hashing import SIGN_SEED, fnv1a_of
 from driftglass.functions.text import keywords, sentences, tokenize
 from driftglass.functions.vectors import EMBED_DIM, LETTERS, N_LETTERS, PAIR, WORD, dot, embed_features, feature_bucket, feature_sign
 from driftglass.operators.lexical import bm25_scores, coverage, normalized, top_k
@@ -54,29 +54,6 @@ def dense_vector(entries: DataFrame, doc: str, dim: int = EMBED_DIM) -> DataFram
     return by.select(doc, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("vector"))
 
 
-def hashed(words: list[str], seeds: tuple[int, ...]) -> np.ndarray:
-    """(seeds, words): FNV-1a of many words at once, character by character, words of like length together."""
-    out = np.empty((len(seeds), len(words)), np.uint32)
-    sizes = np.array([len(w) for w in words], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    at = 0
-    while at < len(words):
-        # As many as fit in a block of a million characters, as wide as the longest of them.
-        wide = sizes[order[at : at + (1 << 20)]] * np.arange(1, min(1 << 20, len(words) - at) + 1)
-        to = at + max(1, int(np.searchsorted(wide, 1 << 20)))
-        own = order[at:to]
-        most = max(1, int(sizes[own[-1]]))
-        codes = np.frombuffer("".join([words[i].ljust(most) for i in own.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), most)
-        for s, seed in enumerate(seeds):
-            h = np.full(len(own), seed, np.uint32)
-            for i in range(most):
-                more = sizes[own] > i
-                h[more] = (h[more] ^ codes[more, i]) * np.uint32(FNV_PRIME)
-            out[s, own] = h
-        at = to
-    return out
-
-
 def embeddings(texts: DataFrame, doc: str, text: str, dim: int = EMBED_DIM) -> DataFrame:
     """(doc, vector) of the hashing embedder: what embedded() says, as whole vectors, made in arrays where the texts are, so that no
     feature leaves its task. Texts without words have no row; doc is a number, null ones have none either."""
@@ -97,7 +74,7 @@ def embeddings(texts: DataFrame, doc: str, text: str, dim: int = EMBED_DIM) -> D
                 if not found:
                     continue
                 place = {w: j for j, w in enumerate(dict.fromkeys(found))}
-                bucket, sign = hashed(list(place), (FNV_SEED, SIGN_SEED))
+                bucket, sign = fnv1a_of(list(place)), fnv1a_of(list(place), SIGN_SEED)
                 which = np.fromiter((place[w] for w in found), np.int64, len(found))
                 signed = np.where(sign[which] % 2 == 0, 1.0, -1.0) * np.array(weights)
                 flat = np.bincount(np.array(rows) * dim + bucket[which] % dim, signed, len(part) * dim).reshape(-1, dim)

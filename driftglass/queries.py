@@ -75,7 +75,9 @@ def term_coverage_top(spark: SparkSession, d: str) -> DataFrame:
     return lexical.top_k(shared.join(sizes, "query_id").select("query_id", "doc_id", (F.col("m") / F.col("n")).alias("score")), 3)
 
 
-FNV = "list_reduce(list_prepend({seed}::HUGEINT, list_transform(string_split({s}, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296)::BIGINT"
+#: Characters beyond U+FFFF count as two units.
+_UNITS = "flatten(list_transform(string_split({s}, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] ELSE [unicode(c)] END))::HUGEINT[]"
+FNV = "list_reduce(list_prepend({seed}::HUGEINT, " + _UNITS + "), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296)::BIGINT"
 
 
 @query("SELECT doc_id, " + FNV.format(seed=hashing.FNV_SEED, s="concat(source, ':', doc_id)") + " AS id, " + FNV.format(seed=hashing.SIGN_SEED, s="lang") + " % 2 AS odd FROM documents")

@@ -17,8 +17,9 @@ def one(spark, column, *args):
 
 
 def fnv(s, h=hashing.FNV_SEED):
-    for c in s:
-        h = (h ^ ord(c)) * hashing.FNV_PRIME & 0xFFFFFFFF
+    units = s.encode("utf-16-be", "surrogatepass")
+    for i in range(0, len(units), 2):
+        h = (h ^ int.from_bytes(units[i : i + 2])) * hashing.FNV_PRIME & 0xFFFFFFFF
     return h
 
 
@@ -32,11 +33,12 @@ def mix(a, b):
 def test_hashes(spark):
     random.seed(1)
     rows = [(random.getrandbits(32), random.getrandbits(32), "".join(chr(random.randint(32, 900)) for _ in range(random.randint(0, 30)))) for _ in range(200)]
-    rows += [(178096950, 2907280096, ""), (4140640039, 0, "a")]
+    rows += [(178096950, 2907280096, ""), (4140640039, 0, "a"), (1, 1, "a😀b"), (2, 2, "􏿿\uffff𐀀")]
     got = spark.createDataFrame(rows, "a long, b long, s string").select("a", "b", "s", hashing.mix32(F.col("a"), F.col("b")).alias("m"), hashing.fnv1a(F.col("s")).alias("f")).collect()
     for r in got:
         assert r["m"] == mix(r["a"], r["b"])
         assert r["f"] == fnv(r["s"])
+    assert {r["s"]: r["f"] for r in got}["a😀b"] == 2412414209  # two surrogates, not one code point
 
 
 def test_tokenize(spark):
@@ -48,6 +50,8 @@ def test_html(spark):
     page = "<!doctype html><title>A &amp; B</title><style>x{}</style><h1 class=a>Head</h1><p>One&nbsp;&lt;two&#62; &#x41;</p><!-- no --><div>three</div><script>var a;</script>&unknown;"
     assert one(spark, text.html_text, page) == "A & B\n## Head\n\nOne <two> A\n\nthree\n&unknown;"
     assert one(spark, text.html_title, page) == "A & B"
+    assert one(spark, text.html_text, "A<!-- <script> --> kept? </script>B") == "A<!-- B"  # elements go first, comments after
+    assert one(spark, text.html_text, "&#x0000000000000000000041;&#00000000000000000000000000066;&#x110000;&#99999999999999999999;&#0;&#x;") == "AB&#x110000;&#99999999999999999999;&#0;&#x;"
     assert one(spark, text.tidy, "a hyphen-\nation of, \nlines\nand Well-\nKnown") == "a hyphenation of, lines and Well-\nKnown"
 
 
@@ -275,8 +279,29 @@ def test_policy_of_metadata(spark):
     assert {r["keeps"] for r in placement.keeps_meta(meta, nodes(spark, 4), 1000).collect()} == {True}  # four nodes carry all
 
 
-def test_hashes_of_many_words():
+def test_hashes_of_many_texts():
     r = random.Random(3)
-    words = ["", *("".join(chr(r.randint(32, 126)) for _ in range(r.choice([1, 4, 9, 400]))) for _ in range(300)), "x" * 3000]
-    got = search.hashed(words, (hashing.FNV_SEED, hashing.SIGN_SEED))
-    assert got.tolist() == [[fnv(w, s) for w in words] for s in (hashing.FNV_SEED, hashing.SIGN_SEED)]
+    texts = ["", *("".join(chr(r.choice([r.randint(32, 126), r.randint(160, 0xD7FF), r.randint(0x10000, 0x10FFFF)])) for _ in range(r.choice([1, 4, 9, 400]))) for _ in range(300)), "x" * 3000, "😀" * 5000]
+    for some in (texts, texts[:5], texts[-3:], []):
+        for seed in (hashing.FNV_SEED, hashing.SIGN_SEED):
+            assert hashing.fnv1a_of(some, seed).tolist() == [fnv(t, seed) for t in some]
+
+
+def test_passages_have_the_ids_of_their_texts(spark):
+    body = "# Tïtle 😀\nintro line\n## One\n" + "A sentence here. " * 150 + "\n" + "x" * 2600 + "\n\n## Two\nlast 🚀"
+    docs = spark.createDataFrame([("a.md", body), ("b.md", "# only a title"), ("c.md", ""), ("d.md", None), ("e.md", "plain")], "filename string, text string").withColumn("seq", F.lit("clash"))
+    rows = ingest.passages(docs).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r["source"], r["seq"])):
+        by.setdefault(r["source"], []).append(r)
+    assert by.keys() == {"a.md", "e.md"} and [r["seq"] for r in by["a.md"]] == list(range(len(by["a.md"])))
+    for own in by.values():
+        key = fnv("\n".join([own[0]["title"], *(r["text"] for r in own)]))
+        assert all(r["doc_key"] == key and r["doc_id"] == fnv(f"{key}:{r['seq']}:{r['text']}") and len(r["text"]) <= ingest.PASSAGE_CHARS for r in own)
+    assert [r["section"] for r in by["a.md"]][0] == "" and by["a.md"][-1]["section"] == "Two"
+
+
+def test_passages_are_packed():
+    assert ingest.packed(["ab", "cd", "efg"], 5) == ["ab\ncd", "efg"]
+    assert ingest.packed(["One. Two! Three four five six?"], 10) == ["One.\nTwo!", "Three four", " five six?"]
+    assert ingest.packed([], 5) == [] and ingest.packed(["abcdefgh"], 3) == ["abc", "def", "gh"]
