@@ -134,9 +134,9 @@ def from_float32(b: Column, at: Column | int) -> Column:
 
 
 def text_at(b: Column, at: Column | int) -> Column:
-    """The text whose length stands at `at`."""
+    """The text whose length stands at `at`; a character that was cut, or any bytes that are no character, are U+FFFD."""
     at = F.lit(at) if isinstance(at, int) else at
-    return F.decode(F.substring(b, at + 3, number(b, at, 2).cast("int")), "UTF-8")
+    return F.make_valid_utf8(F.substring(b, at + 3, number(b, at, 2).cast("int")).cast("string"))
 
 
 def after_text(b: Column, at: Column | int) -> Column:

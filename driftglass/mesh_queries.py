@@ -204,20 +204,27 @@ def query_codec(spark: SparkSession, d: str) -> DataFrame:
 _HIT = f"{_be('l_partkey', 4)} || {_be('floor(l_discount * 65535 + 0.5::DOUBLE)', 2)} || {_be('l_suppkey', 4)} || {_str('l_returnflag', 80)} || {_str("l_linestatus || ' of ' || l_partkey", 200)}"
 
 
-@query(f"""SELECT l_orderkey, {_be('l_orderkey % 4294967296', 4)} || '02' || {_be('count(*)', 1)} || string_agg({_HIT}, '' ORDER BY l_linenumber, l_partkey, l_discount, l_suppkey) AS packet, count(*) AS hits, sum(l_partkey)::BIGINT AS ids, round(sum(floor(l_discount * 65535 + 0.5::DOUBLE)) / 65535, 6) AS scores, string_agg(l_linestatus || ' of ' || l_partkey, '|' ORDER BY l_linenumber, l_partkey, l_discount, l_suppkey) AS snippets FROM lineitem WHERE l_quantity > 40 GROUP BY l_orderkey""")
+@query(f"""SELECT l_orderkey, {_be('l_orderkey % 4294967296', 4)} || '02' || {_be('count(*)', 1)} || string_agg({_HIT}, '' ORDER BY l_linenumber, l_partkey, l_discount, l_suppkey) AS packet, count(*) AS hits, sum(l_partkey)::BIGINT AS ids, round(sum(floor(l_discount * 65535 + 0.5::DOUBLE)) / 65535, 6) AS scores, string_agg(l_linestatus || ' of ' || l_partkey, '|' ORDER BY l_linenumber, l_partkey, l_discount, l_suppkey) AS snippets FROM lineitem GROUP BY l_orderkey""")
 def result_codec(spark: SparkSession, d: str) -> DataFrame:
     hit = F.struct("l_linenumber", F.col("l_partkey").alias("doc_id"), F.col("l_discount").alias("score"), F.col("l_suppkey").alias("holder"), F.col("l_returnflag").alias("title"), F.concat("l_linestatus", F.lit(" of "), F.col("l_partkey").cast("string")).alias("snippet"))
-    rows = table(spark, d, "lineitem").where("l_quantity > 40").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
     rows = rows.withColumn("b", codec.result_payload(F.col("l_orderkey"), F.lit(2), F.col("hits"))).withColumn("r", codec.read_result(F.col("b")))
     total = lambda f, zero: F.aggregate(F.transform("r.hits", f), zero, lambda a, x: a + x)
     return rows.select("l_orderkey", F.hex("b").alias("packet"), F.size("r.hits").cast("long").alias("hits"), total(lambda h: h["doc_id"], F.lit(0).cast("long")).alias("ids"), F.round(total(lambda h: h["score"], F.lit(0.0)), 6).alias("scores"), F.array_join(F.transform("r.hits", lambda h: h["snippet"]), "|").alias("snippets"))
 
 
-@query(f"SELECT doc_id, {_be('doc_id', 4)} || {_str('lang', 120)} || {_str('source', 120)} || {_str('text', 4000)} || {_str("'https://' || source", 200)} AS packet, lang AS title, 'https://' || source AS source FROM documents")
+#: What of a text's first 4,000 bytes reads back: whole characters, and U+FFFD for one that the cap cuts.
+_READ = """ch AS (SELECT doc_id, generate_subscripts(cs, 1) AS i, unnest(cs) AS c FROM (SELECT doc_id, string_split(left(text, 4001), '') AS cs FROM documents)),
+ends AS (SELECT doc_id, i, c, sum(octet_length(encode(c))) OVER (PARTITION BY doc_id ORDER BY i) AS e, octet_length(encode(c)) AS n FROM ch),
+got AS (SELECT doc_id, coalesce(string_agg(c, '' ORDER BY i) FILTER (e <= 4000), '') || CASE WHEN bool_or(e > 4000 AND e - n < 4000) THEN chr(65533) ELSE '' END AS t FROM ends GROUP BY 1)"""
+
+
+@query(f"""WITH {_READ} SELECT doc_id, {_be('doc_id', 4)} || {_str('lang', 120)} || {_str('source', 120)} || {_str('text', 4000)} || {_str("'https://' || source", 200)} AS packet, lang AS title, 'https://' || source AS source,
+coalesce(len(t), 0) AS chars, sha256(coalesce(t, '')) AS read FROM documents LEFT JOIN got USING (doc_id)""")
 def document_codec(spark: SparkSession, d: str) -> DataFrame:
     made = codec.document_reply(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text"), F.concat(F.lit("https://"), "source"))
-    ascii_only = codec.document_reply(F.col("doc_id"), F.col("lang"), F.col("source"), F.lit("body"), F.concat(F.lit("https://"), "source"))
-    return table(spark, d, "documents").select("doc_id", F.hex(made).alias("packet"), codec.read_document_reply(ascii_only).alias("r")).select("doc_id", "packet", "r.title", "r.source")
+    rows = table(spark, d, "documents").withColumn("b", made).select("doc_id", F.hex("b").alias("packet"), codec.read_document_reply(F.col("b")).alias("r"))
+    return rows.select("doc_id", "packet", "r.title", "r.source", F.length("r.text").cast("long").alias("chars"), F.sha2("r.text", 256).alias("read"))
 
 
 HELD_BY = "entries AS (SELECT l_orderkey AS doc_key, l_partkey AS doc_id, sum(l_linenumber)::BIGINT AS hits, list(DISTINCT l_suppkey ORDER BY l_suppkey)[1:8] AS holders FROM lineitem GROUP BY ALL)"
@@ -298,13 +305,13 @@ def local_hits(spark: SparkSession, d: str) -> DataFrame:
     return search.local_hits(hits, _held(spark, d), _claims(spark, d), _live(spark, d), names, 5)
 
 
-REPLIES = "replies AS (SELECT l_orderkey AS query_id, l_linenumber AS node, 0 AS started, (l_quantity * 200)::BIGINT AS came FROM lineitem WHERE l_linenumber <= 4)"
+REPLIES = "replies AS (SELECT l_orderkey AS query_id, l_linenumber AS node, 0 AS started, (l_quantity * 200)::BIGINT AS came FROM lineitem)"
 
 
 @query(f"""WITH {REPLIES}, f AS (SELECT query_id, node, min(came) AS a FROM replies WHERE node <= 2 GROUP BY ALL), s AS (SELECT query_id, count(*) AS n, max(a) AS all_at FROM f GROUP BY 1)
 SELECT query_id, node, started, came AS "at" FROM replies LEFT JOIN s USING (query_id) WHERE came <= least(started + 6000, CASE WHEN n >= 2 THEN all_at + 400 ELSE 1000000 END)""")
 def collection_window(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("node"), F.lit(0).alias("started"), (F.col("l_quantity") * 200).cast("long").alias("at"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("node"), F.lit(0).alias("started"), (F.col("l_quantity") * 200).cast("long").alias("at"))
     return search.in_window(rows, spark.range(1, 3).select(F.col("id").cast("int").alias("node")))
 
 
@@ -574,11 +581,22 @@ def outbox_stream(spark: SparkSession, d: str) -> DataFrame:
     return _stream(spark, rows, lambda s: jobs.outbox(s, 86_400)).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
-@query("SELECT doc_id, octet_length(encode(left(text, 900))) AS bytes, sha256(encode(left(text, 900))) AS whole FROM documents")
+#: Frames of a packet that a text's bytes are dealt to; a longer text goes in several packets.
+_FRAMES_A_PACKET, _MTU = 200, 206
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS bytes, sha256(encode(text)) AS whole FROM documents")
 def reassembly_stream(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.explode(codec.frames(F.encode(F.left("text", F.lit(900)), "UTF-8"), F.col("doc_id"), 206)).alias("f"))
-    rows = rows.select(F.col("doc_id").cast("string").alias("packet_key"), codec.frame_fields(F.col("f.data")).alias("g")).select("packet_key", "g.idx", "g.cnt", "g.body", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("g.idx")).alias("ts"))
-    return _stream(spark, rows, jobs.reassembled_packets).select(F.col("packet_key").cast("long").alias("doc_id"), F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("whole"))
+    """Whole texts through frames, which a stream puts together again."""
+    a_packet, raw = _FRAMES_A_PACKET * (_MTU - codec.FRAME_HEADER), F.encode("text", "UTF-8")
+    parts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length(raw) / a_packet).cast("int") - 1)))
+    rows = table(spark, d, "documents").select("doc_id", "text", parts.alias("part"))
+    rows = rows.select("doc_id", "part", F.explode(codec.frames(F.substring(raw, F.col("part") * a_packet + 1, F.lit(a_packet)), F.col("doc_id"), _MTU)).alias("f"))
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("part").cast("string"))
+    rows = rows.select(key.alias("packet_key"), codec.frame_fields(F.col("f.data")).alias("g")).select("packet_key", "g.idx", "g.cnt", "g.body", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("g.idx")).alias("ts"))
+    got = _stream(spark, rows, jobs.reassembled_packets).select(F.split("packet_key", ":").alias("k"), "data")
+    whole = got.groupBy(F.col("k")[0].cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("k")[1].cast("int").alias("part"), F.hex("data").alias("h")))).alias("parts"))
+    return whole.withColumn("data", F.unhex(F.array_join("parts.h", ""))).select("doc_id", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("whole"))
 
 
 @query("""WITH r AS (SELECT l_orderkey AS query_id, l_suppkey % 4 AS node, (l_quantity * 200)::BIGINT AS ms FROM lineitem), f AS (SELECT query_id, node, min(ms) AS a FROM r GROUP BY ALL), t AS (SELECT query_id, list_sort(list(a))[3] AS third FROM f GROUP BY 1)

@@ -14,23 +14,46 @@ def both_ways(links: DataFrame) -> DataFrame:
 
 
 def flood(links: DataFrame, origins: DataFrame, ttl: int) -> DataFrame:
-    """(origin, node, hops): what a flood that each node passes on once reaches within ttl hops, the origin at 0.
+    """(origin, node, hops, via): what a flood that each node passes on once reaches within ttl hops, the origin at 0, and the
+    neighbour that it came from (of several at once the least; none at the origin). A node that has it doesn't take it again, so it goes
+    back over no link.
 
     One join for each hop; nodes that are reached already drop out, so the frontier, and not the graph, is what travels. Each
     hop is staged, and an empty one is the last.
     """
     edges = staged(both_ways(links), "links")
-    seen = staged(origins.select(F.col("node").alias("origin"), "node", F.lit(0).alias("hops")), "flood")
+    seen = staged(origins.select(F.col("node").alias("origin"), "node", F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["a"].dataType).alias("via")), "flood")
     frontier = seen
     for hop in range(1, ttl + 1):
-        step = frontier.join(edges, frontier["node"] == edges["a"]).select("origin", F.col("b").alias("node")).distinct()
-        frontier = staged(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("hops", F.lit(hop)), "flood")
+        step = frontier.select("origin", F.col("node").alias("a")).join(edges, "a").groupBy("origin", F.col("b").alias("node")).agg(F.min("a").alias("via"))
+        fresh = step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
+        frontier = staged(fresh.select("origin", "node", F.lit(hop).alias("hops"), "via"), "flood")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def routes_back(flooded: DataFrame) -> DataFrame:
+    """(node, dst, via, hops): what each node learns from a flood() that it hears: the way to where it came from."""
+    return flooded.where("hops > 0").select("node", F.col("origin").alias("dst"), "via", "hops")
+
+
+def way_back(flooded: DataFrame, answers: DataFrame) -> DataFrame:
+    """(origin, node, way): the nodes that a reply of answers (origin, node) passes, from the node to the origin, each sending it on by
+    its own route. As many joins as the flood has hops; answers that it didn't reach have no row."""
+    routes = flooded.select("origin", F.col("node").alias("_at"), F.col("via").alias("_via"), "hops")
+    rows = answers.select("origin", "node", F.col("node").alias("_at"), F.array("node").alias("way"))
+    first = rows.join(routes, ["origin", "_at"])
+    arrived, going = first.where("hops = 0").select("origin", "node", "way"), first.where("hops > 0")
+    most = going.agg(F.max("hops")).first()[0] or 0
+    for _ in range(most):
+        moved = going.select("origin", "node", F.col("_via").alias("_at"), F.array_append("way", F.col("_via")).alias("way")).join(routes, ["origin", "_at"])
+        moved = staged(moved, "way")
+        arrived, going = arrived.unionByName(moved.where("hops = 0").select("origin", "node", "way")), moved.where("hops > 0")
+    return arrived
+
+
 def learned_routes(heard: DataFrame, stale_s: int = 30) -> DataFrame:
     """(node, via, hops, at): the route to each node that packets heard (node, via, hops, at) teach in a batch: of the latest stale_s
     seconds the fewest hops, then the latest. The stream's own rule depends on the order of arrival: see streaming.jobs.learn_routes."""

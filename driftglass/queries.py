@@ -385,14 +385,40 @@ def peer_reliability(spark: SparkSession, d: str) -> DataFrame:
     return by.select("user_id", "seen", F.round(placement.reliability(F.col("seen"), F.col("expected"), F.col("requests"), F.col("responses")), 6).alias("reliability"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_orderkey AS b FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach AS (SELECT r_regionkey + 1::BIGINT AS origin, r_regionkey + 1::BIGINT AS node, 0 AS hops FROM region UNION SELECT r.origin, l.b, r.hops + 1 FROM reach r JOIN both_ways l ON r.node = l.a WHERE r.hops < 4)
-SELECT origin, node, min(hops) AS hops FROM reach GROUP BY ALL""")
-def flood_reach(spark: SparkSession, d: str) -> DataFrame:
-    links = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_suppkey").alias("a"), (F.col("l_orderkey") + 1_000_000).alias("b"))
+#: Suppliers and orders are nodes, line items their links; floods start at five suppliers. A level has what was not there before.
+_FLOOD = """e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_orderkey AS b FROM lineitem), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT r_regionkey + 1::BIGINT AS origin, r_regionkey + 1::BIGINT AS node, 0 AS hops FROM region UNION SELECT r.origin, l.b, r.hops + 1 FROM reach r JOIN both_ways l ON r.node = l.a WHERE r.hops < 4),
+hops AS (SELECT origin, node, min(hops) AS hops FROM reach GROUP BY ALL)"""
+
+
+def _flooded(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_orderkey") + 1_000_000).alias("b"))
     return graph.flood(links, table(spark, d, "region").select((F.col("r_regionkey").cast("long") + 1).alias("node")), 4)
 
 
+@query(f"WITH RECURSIVE {_FLOOD} SELECT origin, node, hops FROM hops")
+def flood_reach(spark: SparkSession, d: str) -> DataFrame:
+    return _flooded(spark, d).select("origin", "node", "hops")
+
+
+_VIA = "via AS (SELECT h.origin, h.node, h.hops, min(l.a) AS via FROM hops h JOIN both_ways l ON l.b = h.node JOIN hops p ON p.origin = h.origin AND p.node = l.a AND p.hops = h.hops - 1 GROUP BY ALL)"
+
+
+@query(f"WITH RECURSIVE {_FLOOD}, {_VIA} SELECT node, origin AS dst, via, hops FROM via")
+def flood_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The routes that a flood teaches: back to its origin, over the link that it came by."""
+    return graph.routes_back(_flooded(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_FLOOD}, {_VIA}, asked AS (SELECT origin, node FROM hops WHERE hops = 4 OR node = origin),
+back AS (SELECT origin, node, 0 AS step, node AS at_node FROM asked UNION ALL SELECT b.origin, b.node, b.step + 1, v.via FROM back b JOIN via v ON v.origin = b.origin AND v.node = b.at_node)
+SELECT origin, node, string_agg(at_node::VARCHAR, '>' ORDER BY step) AS way FROM back GROUP BY ALL""")
+def replies_back(spark: SparkSession, d: str) -> DataFrame:
+    """The ways that replies take from where floods end, link by link."""
+    tree = _flooded(spark, d)
+    return graph.way_back(tree, tree.where("hops = 4 or node = origin").select("origin", "node")).withColumn("way", F.array_join("way", ">"))
+
+
 @query("SELECT event_type, count(*) AS packets, round(sum(value), 4) AS total, count(DISTINCT user_id) AS peers FROM events GROUP BY 1")
 def traffic_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("packets"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("user_id").alias("peers"))
