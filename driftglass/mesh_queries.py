@@ -585,20 +585,38 @@ def outbox_stream(spark: SparkSession, d: str) -> DataFrame:
 _FRAMES_A_PACKET, _MTU = 200, 206
 
 
-@query("SELECT doc_id, octet_length(encode(text)) AS bytes, sha256(encode(text)) AS whole FROM documents")
-def reassembly_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Whole texts through frames, which a stream puts together again."""
+WHOLE = "SELECT doc_id, octet_length(encode(text)) AS bytes, sha256(encode(text)) AS whole FROM documents"
+
+
+def _framed(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, part, data): the frames of whole texts; a long one's bytes go in several packets, whose number the frames carry."""
     a_packet, raw = _FRAMES_A_PACKET * (_MTU - codec.FRAME_HEADER), F.encode("text", "UTF-8")
     parts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length(raw) / a_packet).cast("int") - 1)))
     rows = table(spark, d, "documents").select("doc_id", "text", parts.alias("part"))
-    rows = rows.select("doc_id", "part", F.explode(codec.frames(F.substring(raw, F.col("part") * a_packet + 1, F.lit(a_packet)), F.col("doc_id"), _MTU)).alias("f"))
-    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("part").cast("string"))
-    rows = rows.select(key.alias("packet_key"), codec.frame_fields(F.col("f.data")).alias("g")).select("packet_key", "g.idx", "g.cnt", "g.body", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("g.idx")).alias("ts"))
-    got = _stream(spark, rows, jobs.reassembled_packets).select(F.split("packet_key", ":").alias("k"), "data")
-    whole = got.groupBy(F.col("k")[0].cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("k")[1].cast("int").alias("part"), F.hex("data").alias("h")))).alias("parts"))
+    return rows.select("doc_id", F.explode(codec.frames(F.substring(raw, F.col("part") * a_packet + 1, F.lit(a_packet)), F.col("part"), _MTU)).alias("f")).select("doc_id", "f.data")
+
+
+def _frame_fields(rows: DataFrame) -> DataFrame:
+    """Frames (link, data) as reassembled_packets() takes them: a link's packets are told apart by their number."""
+    rows = rows.select("link", codec.frame_fields(F.col("data")).alias("g"))
+    key = F.concat_ws(":", F.col("link").cast("string"), F.col("g.frag_id").cast("string"))
+    return rows.select(key.alias("packet_key"), "g.idx", "g.cnt", "g.body", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("g.idx")).alias("ts"))
+
+
+def _texts_of(packets: DataFrame) -> DataFrame:
+    """(doc_id, bytes, whole) of packets (packet_key, data): a document's in order."""
+    rows = packets.select(F.split("packet_key", ":").alias("k"), "data")
+    whole = rows.groupBy(F.col("k")[0].cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("k")[1].cast("int").alias("part"), F.hex("data").alias("h")))).alias("parts"))
     return whole.withColumn("data", F.unhex(F.array_join("parts.h", ""))).select("doc_id", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("whole"))
 
 
+@query(WHOLE)
+def reassembly_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts through frames, which a stream puts together again."""
+    frames = _frame_fields(_framed(spark, d).withColumnRenamed("doc_id", "link"))
+    return _texts_of(_stream(spark, frames, jobs.reassembled_packets))
+
+
 @query("""WITH r AS (SELECT l_orderkey AS query_id, l_suppkey % 4 AS node, (l_quantity * 200)::BIGINT AS ms FROM lineitem), f AS (SELECT query_id, node, min(ms) AS a FROM r GROUP BY ALL), t AS (SELECT query_id, list_sort(list(a))[3] AS third FROM f GROUP BY 1)
 SELECT query_id, node, count(*) AS replies FROM r JOIN t USING (query_id) WHERE ms <= least(6000, CASE WHEN third <= 6000 THEN third + 400 ELSE 6000 END) GROUP BY ALL""")
 def collect_stream(spark: SparkSession, d: str) -> DataFrame:

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftglass.functions import codec
+from driftglass.mesh_queries import WHOLE, _frame_fields, _framed, _texts_of
 from driftglass.queries import query
 from driftglass.session import scratch, table
-from driftglass.streaming import leases
+from driftglass.sources import capture
+from driftglass.streaming import jobs, leases
 
 
 def _in_epochs(spark: SparkSession, rows: DataFrame, epoch: Column, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -63,3 +66,35 @@ def liveness_stream(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(F.col("user_id").alias("node_id"), hops.alias("hops"), F.col("ts").cast("timestamp").alias("ts"))
     events = _in_epochs(spark, rows, F.weekofyear("ts"), lambda s: leases.liveness(s, 13 * 3600, 45 * 3600, late="1000 minutes"))
     return events.select(F.col("key").alias("node_id"), "event", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+def _from_captures(spark: SparkSession, rows: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming job makes of rows (link, ts, data) that it reads from capture files."""
+    root = scratch(spark, "captures")
+    capture.captured(rows, f"{root}/in")
+    job(capture.captures(spark, f"{root}/in")).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("SELECT DISTINCT user_id * 1000 + floor(value)::BIGINT AS msg_id FROM events")
+def capture_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Message ids that come several times in the captures, once each."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("link"), "ts", codec.unsigned(F.col("user_id") * 1000 + F.floor("value"), 8).alias("data"))
+    seen = lambda s: jobs.without_duplicates(s.select(F.conv(F.hex("data"), 16, 10).cast("long").alias("msg_id"), "ts"), within="60 days")
+    return _from_captures(spark, rows, seen).select("msg_id")
+
+
+@query(WHOLE)
+def capture_reassembly(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts through frames in capture files, each document on a link of its own."""
+    rows = _framed(spark, d).select(F.col("doc_id").alias("link"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"), "data")
+    return _texts_of(_from_captures(spark, rows, lambda s: jobs.reassembled_packets(_frame_fields(s))))
+
+
+@query("SELECT user_id % 5 AS link, count(*) AS frames, sum(octet_length(encode(props)))::BIGINT AS bytes, min(date_trunc('milliseconds', ts)) AS first, max(date_trunc('milliseconds', ts)) AS last FROM events GROUP BY 1")
+def capture_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Captures read in one batch."""
+    root = scratch(spark, "captures")
+    capture.captured(table(spark, d, "events").select((F.col("user_id") % 5).alias("link"), "ts", F.encode("props", "UTF-8").alias("data")), root)
+    by = capture.captures(spark, root, stream=False).groupBy("link").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.octet_length("data")).alias("bytes"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return by.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
