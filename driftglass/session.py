@@ -20,6 +20,16 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     return builder.getOrCreate()
 
 
+def beside(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session of the same application with settings of its own: what spark itself is set to stays."""
+    own = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"):
+        own.conf.set(name, spark.conf.get(name))
+    for key, value in settings.items():
+        own.conf.set(key.replace("__", "."), value)
+    return own
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -61,7 +61,7 @@ def rtf_text(raw: bytes) -> str:
             taken = min(skip, len(piece))
             skip -= taken
             out.append(piece[taken:])
-    return "".join(out)
+    return "".join(out).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")  # a character may have come as two units
 
 
 def office_text(raw: bytes) -> tuple[str, str | None]:
@@ -86,32 +86,35 @@ def office_text(raw: bytes) -> tuple[str, str | None]:
     return "\n".join(lines), title[1].strip() or None if title else None
 
 
+def read_text(raw: bytes, kind: str) -> tuple[str | None, str | None, str | None]:
+    """(text, title, error) of a file's bytes; markup is still in the text of pages."""
+    try:
+        if kind == "text":
+            return decoded(raw), None, None
+        if kind == "rtf":
+            return rtf_text(raw), None, None
+        if kind == "zip":
+            return *office_text(raw), None
+    except (ValueError, zipfile.BadZipFile, KeyError):
+        return None, None, "damaged"
+    return None, None, "unsupported"
+
+
 def extracted(files: DataFrame) -> DataFrame:
     """files (path, filename, content, format, error) plus title and text. What cannot be read has its error as a value:
     unsupported, damaged, binary or empty. Markup is taken off by column expressions; only bytes of other formats go to Python."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for raw, kind, error in zip(batch.content, batch.format, batch.error, strict=True):
-                text = title = None
-                if error is None:
-                    try:
-                        if kind == "text":
-                            text = decoded(raw)
-                        elif kind == "rtf":
-                            text = rtf_text(raw)
-                        elif kind == "zip":
-                            text, title = office_text(raw)
-                        else:
-                            error = "unsupported"
-                    except (ValueError, zipfile.BadZipFile, KeyError):
-                        error = "damaged"
-                rows.append((text, title, error))
+            rows = [read_text(raw, kind) if error is None else (None, None, error) for raw, kind, error in zip(batch.content, batch.format, batch.error, strict=True)]
             yield batch.drop(columns=["content", "error"]).assign(raw_text=[r[0] for r in rows], raw_title=[r[1] for r in rows], error=[r[2] for r in rows])
 
     schema = files.drop("content", "error").schema.add("raw_text", "string").add("raw_title", "string").add("error", "string")
-    rows = files.mapInPandas(read, schema)
+    return cleaned(files.mapInPandas(read, schema))
+
+
+def cleaned(rows: DataFrame) -> DataFrame:
+    """rows (filename, format, raw_text, raw_title, error) with text and title in place of the raw ones."""
     page = (F.col("format") == "text") & is_html(F.col("raw_text"), F.col("filename"))
     text = F.when(page, html_text(F.col("raw_text"))).when(F.col("format") == "zip", decode_entities(F.col("raw_text"))).otherwise(upload_text(F.col("raw_text")))
     title = F.when(page, html_title(F.col("raw_text"))).otherwise(decode_entities(F.col("raw_title")))

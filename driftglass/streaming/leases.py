@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from driftglass.session import beside
+
 #: How long a node counts as near after a beacon of its own, and after one that others passed on.
 DIRECT_S, DISTANT_S, WEB_S = 13, 45, 12
 #: The end of a lease that has none: the last millisecond that a timestamp can be.
@@ -83,13 +85,8 @@ class Leases(StatefulProcessor):
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
-    """A session beside spark whose streams keep timers and maps: these need the state store that spills to disk. What spark itself is
-    set to stays."""
-    own = spark.newSession()
-    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"):
-        own.conf.set(name, spark.conf.get(name))
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return own
+    """A session beside spark whose streams keep timers and maps: these need the state store that spills to disk."""
+    return beside(spark, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def leases(rows: DataFrame, key: str, member: str, lease_ms: Column, late: str) -> DataFrame:

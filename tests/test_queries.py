@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from driftglass import index_queries, mesh_queries, stream_queries  # noqa: F401  (they register their queries)
+from driftglass import import_queries, index_queries, mesh_queries, stream_queries  # noqa: F401  (they register their queries)
 from driftglass.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
