@@ -1,4 +1,5 @@
-"""Queries of the streaming jobs that keep state by timers, read binary captures, and merge into keyed tables; the same in SQL."""
+"""Queries of the streaming jobs that keep state by timers, read binary captures, and merge into keyed tables, and of tables that are
+laid out for their keys; the same in SQL."""
 
 from __future__ import annotations
 
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from driftglass.functions import codec
 from driftglass.mesh_queries import WHOLE, _frame_fields, _framed, _texts_of
-from driftglass.queries import query
+from driftglass.queries import ORACLES, query
 from driftglass.session import scratch, table
-from driftglass.sources import capture
-from driftglass.streaming import jobs, leases
+from driftglass.sources import capture, layouts
+from driftglass.streaming import jobs, leases, upserts
 
 
 def _in_epochs(spark: SparkSession, rows: DataFrame, epoch: Column, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -98,3 +99,45 @@ def capture_summary(spark: SparkSession, d: str) -> DataFrame:
     capture.captured(table(spark, d, "events").select((F.col("user_id") % 5).alias("link"), "ts", F.encode("props", "UTF-8").alias("data")), root)
     by = capture.captures(spark, root, stream=False).groupBy("link").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.octet_length("data")).alias("bytes"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     return by.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
+
+
+@query(ORACLES["upsert_log"])
+def upsert_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """Events merged into a table of users, week by week."""
+    rows = table(spark, d, "events").select("user_id", "event_id", F.floor("value").alias("version"), F.weekofyear("ts").alias("week"))
+    root, n = scratch(spark, "upserts"), spark.sparkContext.defaultParallelism
+    for r in rows.select("week").distinct().orderBy("week").collect():
+        rows.where(F.col("week") == r["week"]).drop("week").repartition(n).write.mode("append").parquet(f"{root}/in")
+    users = upserts.KeyedTable(f"{root}/users", rows.drop("week").schema, "user_id", "version", "event_id")
+    stream = spark.readStream.schema(users.schema).option("maxFilesPerTrigger", n).parquet(f"{root}/in")
+    jobs.periodically(stream, "reconcile", users.write, f"{root}/state", once=True).awaitTermination()
+    users.vacuum(spark)
+    return users.rows(spark)
+
+
+@query("SELECT o_orderpriority AS priority, count(*) AS items, round(sum(l_extendedprice), 2) AS price FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def keyed_join(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and their items, joined where they lie."""
+    n = 8
+    orders = layouts.keyed(table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority")), "key", n, "orders")
+    items = layouts.keyed(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_extendedprice").alias("price")), "key", n, "items")
+    rows = spark.table(orders).hint("merge").join(spark.table(items), "key")
+    return rows.groupBy("priority").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("price"), 2).alias("price"))
+
+
+@query("SELECT l_orderkey AS key, l_linenumber AS line, l_partkey AS part FROM lineitem WHERE l_orderkey IN (SELECT item_id FROM benchmark)")
+def keyed_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Items of the orders that are asked for, by a key that the table is laid out for."""
+    items = layouts.keyed(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")), "key", 8, "items")
+    asked = table(spark, d, "benchmark").select("item_id").distinct()
+    return layouts.looked_up(spark, items, "key", asked)
+
+
+@query("""SELECT doc_id, md5(text) AS text, CASE doc_id % 3 WHEN 0 THEN 'und' ELSE lang END AS lang, CASE WHEN doc_id % 3 < 2 THEN 'unknown' ELSE source END AS source, doc_id % 3 + 1 AS layout FROM documents""")
+def mixed_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in files of three layouts: without language and source, without source, and with both."""
+    docs, root = table(spark, d, "documents"), scratch(spark, "layouts")
+    for i, columns in enumerate((["doc_id", "text"], ["doc_id", "text", "lang"], ["doc_id", "text", "lang", "source"])):
+        docs.where(F.pmod("doc_id", F.lit(3)) == i).select(*columns).write.parquet(f"{root}/layout={i + 1}")
+    rows = layouts.all_layouts(spark, root, {"lang": (2, F.lit("und")), "source": (3, F.lit("unknown"))})
+    return rows.select("doc_id", F.md5("text").alias("text"), "lang", "source", F.col("layout").cast("long").alias("layout"))
