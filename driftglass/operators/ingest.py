@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftglass.functions.hashing import fnv1a_of
 from driftglass.functions.identity import content_intact, document_hash
 from driftglass.functions.text import body_word_count, title_of, trimmed
+from driftglass.session import spread
 
 #: Characters that a passage takes, and those of its snippet; fixed bytes of a metadata row.
 PASSAGE_CHARS, SNIPPET_CHARS, META_BYTES = 1200, 200, 404
@@ -76,7 +77,7 @@ def passages(docs: DataFrame, filename: str = "filename", text: str = "text", ca
                     columns = [pa.array(c, f.type) for c, f in zip([*zip(*rows, strict=True), ids], _PASSAGES, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, schema=_PASSAGES)
 
-    rows = parsed(docs, filename, text).where(F.size("sections") > 0).select("title", "source", "sections")
+    rows = parsed(spread(docs.select(filename, text)), filename, text).where(F.size("sections") > 0).select("title", "source", "sections")
     return rows.mapInArrow(run, "doc_key long, seq int, title string, source string, section string, text string, doc_id long")
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from driftglass.functions.hashing import SIGN_SEED, fnv1a_of
 from driftglass.functions.text import keywords, sentences, tokenize
-from driftglass.functions.vectors import EMBED_DIM, LETTERS, N_LETTERS, PAIR, WORD, dot, embed_features, feature_bucket, feature_sign
-from driftglass.operators.lexical import bm25_scores, coverage, normalized, top_k
-from driftglass.session import staged
+from driftglass.functions.vectors import EMBED_DIM, LETTERS, N_LETTERS, PAIR, WORD, embed_features, feature_bucket, feature_sign
+from driftglass.operators.lexical import top_k
+from driftglass.session import spread
 
 #: How an imperative sentence starts.
 IMPERATIVES = "do not|never|apply|keep|give|move|cool|call|check|stop|place|remove"
@@ -54,37 +54,44 @@ def dense_vector(entries: DataFrame, doc: str, dim: int = EMBED_DIM) -> DataFram
     return by.select(doc, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("vector"))
 
 
+def unit_vectors(texts: list[list[str]], dim: int = EMBED_DIM) -> np.ndarray:
+    """The hashing embedder's vectors of texts that are cut into words, a row each; a text without words has zeros."""
+    rows: list[int] = []
+    found: list[str] = []
+    weights: list[float] = []
+    for i, words in enumerate(texts):
+        pairs = list(map(" ".join, zip(words, words[1:], strict=False)))
+        runs = [w[j : j + N_LETTERS] for w in words for j in range(len(w) - N_LETTERS + 1)]
+        found += words + pairs + runs
+        weights += [WORD] * len(words) + [PAIR] * len(pairs) + [LETTERS] * len(runs)
+        rows += [i] * (len(words) + len(pairs) + len(runs))
+    place = {w: j for j, w in enumerate(dict.fromkeys(found))}
+    bucket, sign = fnv1a_of(list(place)), fnv1a_of(list(place), SIGN_SEED)
+    which = np.fromiter((place[w] for w in found), np.int64, len(found))
+    signed = np.where(sign[which] % 2 == 0, 1.0, -1.0) * np.array(weights)
+    flat = np.bincount(np.array(rows, np.int64) * dim + bucket[which] % dim, signed, len(texts) * dim).reshape(-1, dim)
+    size = np.sqrt((flat * flat).sum(1))
+    return flat / np.where(size > 0, size, 1.0)[:, None]
+
+
+#: Texts that are embedded at once.
+TEXTS = 256
+
+
 def embeddings(texts: DataFrame, doc: str, text: str, dim: int = EMBED_DIM) -> DataFrame:
     """(doc, vector) of the hashing embedder: what embedded() says, as whole vectors, made in arrays where the texts are, so that no
     feature leaves its task. Texts without words have no row; doc is a number, null ones have none either."""
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                rows: list[int] = []
-                found: list[str] = []
-                weights: list[float] = []
-                for i, words in enumerate(part.column(1).to_pylist()):
-                    pairs = list(map(" ".join, zip(words, words[1:], strict=False)))
-                    runs = [w[j : j + N_LETTERS] for w in words for j in range(len(w) - N_LETTERS + 1)]
-                    found += words + pairs + runs
-                    weights += [WORD] * len(words) + [PAIR] * len(pairs) + [LETTERS] * len(runs)
-                    rows += [i] * (len(words) + len(pairs) + len(runs))
-                if not found:
-                    continue
-                place = {w: j for j, w in enumerate(dict.fromkeys(found))}
-                bucket, sign = fnv1a_of(list(place)), fnv1a_of(list(place), SIGN_SEED)
-                which = np.fromiter((place[w] for w in found), np.int64, len(found))
-                signed = np.where(sign[which] % 2 == 0, 1.0, -1.0) * np.array(weights)
-                flat = np.bincount(np.array(rows) * dim + bucket[which] % dim, signed, len(part) * dim).reshape(-1, dim)
-                size = np.sqrt((flat * flat).sum(1))
-                kept = size > 0
-                vectors = flat[kept] / size[kept, None]
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
+                vectors = unit_vectors(part.column(1).to_pylist(), dim)
+                kept = vectors.any(1)
                 ids = part.column(0).filter(pa.array(kept))
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * dim), pa.array(vectors.ravel()))], [doc, "vector"])
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * dim), pa.array(vectors[kept].ravel()))], [doc, "vector"])
 
-    return texts.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long"), tokenize(F.col(text)).alias("words")).mapInArrow(embed, f"{doc} long, vector array<double>")
+    return spread(texts.where(F.col(doc).isNotNull()).select(doc, text)).select(F.col(doc).cast("long"), tokenize(F.col(text)).alias("words")).mapInArrow(embed, f"{doc} long, vector array<double>")
 
 
 #: Bytes of query vectors that are sent to every task at most, and scores that a task holds at a time.
@@ -141,32 +148,6 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec
     return top_k(reduce(DataFrame.unionByName, found), k, doc=vec)
 
 
-def hybrid_search(passages: DataFrame, queries: DataFrame, k: int, profile: Profile = MOBILE) -> DataFrame:
-    """(query_id, doc_id, relevance, rank_score, rank) from passages (doc_id, text) and queries (query_id, query).
-
-    Candidates: the dense best factor * k of a query and, for MOBILE, all that match a term; without a factor (exhaustive()) all
-    that have a cosine. Relevance: cosine plus weighted term coverage, 1 at most. What passes the gate is ranked by relevance plus
-    weighted BM25, as a share of the query's best; ties by id. A cosine is that of the hashing embedder, 0 for a text without
-    words.
-    """
-    vectors = staged(embeddings(passages, "doc_id", "text"), "passage-vectors")
-    asked = staged(embeddings(queries, "query_id", "query"), "query-vectors").withColumnRenamed("vector", "query_vector")
-    lexical = normalized(bm25_scores(passages, queries)).withColumnRenamed("score", "lexical")
-    if profile.factor:
-        ids = vector_top_k(vectors, asked, profile.factor * k, "doc_id", "vector").select("query_id", "doc_id")
-        ids = ids.unionByName(lexical.select("query_id", "doc_id")).distinct() if profile.lexical_candidates else ids
-    else:
-        ids = passages.select("doc_id").crossJoin(queries.select("query_id"))  # a stated set of queries against all passages
-    rows = ids.join(vectors, "doc_id", "left").join(asked, "query_id", "left").join(lexical, ["query_id", "doc_id"], "left")
-    rows = rows.select("query_id", "doc_id", F.coalesce(dot(F.col("vector"), F.col("query_vector")), F.lit(0.0)).alias("cosine"), F.coalesce("lexical", F.lit(0.0)).alias("lexical"))
-    rows = rows.join(passages.select("doc_id", tokenize(F.col("text")).alias("words")), "doc_id").join(queries.select("query_id", tokenize(F.col("query")).alias("asked")), "query_id")
-    relevance = F.least(F.lit(1.0), F.col("cosine") + profile.coverage_weight * coverage(F.col("asked"), F.col("words")))
-    # Sums of floats differ in their last places with their order: the gate and the ranks go by 9 of them.
-    rows = rows.select("query_id", "doc_id", F.round(relevance, 9).alias("relevance"), "lexical").where(F.col("relevance") >= profile.gate)
-    rows = rows.withColumn("rank_score", F.round(F.col("relevance") + profile.lexical_weight * F.col("lexical"), 9))
-    return top_k(rows, k, score="rank_score").select("query_id", "doc_id", F.round("relevance", 6).alias("relevance"), "rank_score", "rank")
-
-
 def exhaustive(profile: Profile) -> Profile:
     """The profile without a candidate step: every passage is scored."""
     return replace(profile, factor=0)

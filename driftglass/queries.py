@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftglass.functions import codec, hashing, identity, text, vectors
-from driftglass.operators import ingest, lexical, placement, search, state
+from driftglass.operators import hybrid, ingest, lexical, placement, search, state
 from driftglass.plans import graph
 from driftglass.session import scratch, table
 from driftglass.streaming import jobs
@@ -152,7 +152,7 @@ SELECT query_id, doc_id, round(relevance, 6) AS relevance, round(rank_score, 6)
 
 
 def _hybrid(spark: SparkSession, d: str, profile: search.Profile) -> DataFrame:
-    return search.hybrid_search(table(spark, d, "documents").select("doc_id", "text"), _questions(spark, d), 5, profile)
+    return hybrid.hybrid_search(table(spark, d, "documents").select("doc_id", "text"), _questions(spark, d), 5, profile)
 
 
 @query(_hybrid_sql(search.MOBILE))

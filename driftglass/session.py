@@ -34,6 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an input that is dealt out anew before work that is dear for each row: a scan of so few gives most cores nothing to do.
+LITTLE = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores where it is little by Spark's own estimate (one small file is one task, whatever it has to do); else as
+    it is, as a larger scan has tasks enough. Rows stay the same."""
+    little = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < LITTLE
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if little else df
+
+
 _own = ""
 
 
