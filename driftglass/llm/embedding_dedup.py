@@ -6,11 +6,12 @@
    of two linked classes one is at home where the other is too. A pair counts there only, so links are counted once. A shard of
    more than DEEP classes is dealt out again in the same way, by centroids of a sample of its own, in up to LEVELS levels; a pair
    counts where one of the two is at home on every level.
-3. A shard of one block gets robust-pruned adjacency lists, made from all that is in range, and every vector is searched for,
-   greedily from the shard's medoid; the search then expands through all that it finds in range (and a little beyond), q among
-   them, which the pruning's ALPHA makes complete (see graph()). A tight shard, where lists would be cut, and a large one, which
-   is dealt out as pairs of blocks, are compared throughout. All cosines are in double precision.
-4. Each shard adds a spanning forest of its links to the components; links are never expanded.
+3. Each shard (of a large one, each pair of its blocks) gets robust-pruned adjacency lists, made from all that is in range. A class's
+   lists from all of its shards are united.
+4. In each shard every vector is searched for over the united lists, greedily from the shard's medoid; the search then expands through
+   all that it finds in range (and a little beyond), q among them, which the pruning's ALPHA makes complete (see graph()). What it finds
+   is verified by the cosine in double precision. Where a group is so tight that lists would be cut, it is compared throughout.
+5. Each shard adds a spanning forest of its links to the components; links are never expanded. Recall is audited against brute force.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.llm.common import few, staged, table, with_group
+from driftglass.llm.common import staged, table, with_group
 from driftglass.llm.components import components
 from driftglass.llm.minhash import in_blocks
 
@@ -129,7 +130,7 @@ def graph(v: np.ndarray) -> list[np.ndarray] | None:
     """Adjacency lists of a shard's vectors: each vector's pruned neighbours among its nearest and all in range, then the reverse
     edges, pruned again where a list gets too long. None where a list is full before all in range are kept or went.
 
-    With these lists found_near() is complete. Let y be in range of q. Each list has y itself or some p at ALPHA times less
+    With these lists, and with any that hold them, found_near() is complete. Let y be in range of q. Each list has y itself or some p at ALPHA times less
     from y, so there is a way from q to y; its first row is nearer to q than y, the next are within CHORD (1 + 1 / ALPHA ** 2) of
     q, which is less than BEYOND's chord: all are expanded.
     """
@@ -155,10 +156,9 @@ def graph(v: np.ndarray) -> list[np.ndarray] | None:
     return lists
 
 
-def linked(v: np.ndarray, one_block: bool) -> np.ndarray:
-    """Which rows of a shard are linked, as a matrix: by searches where one_block and lists are whole, else by all cosines."""
+def linked(v: np.ndarray, lists: list[np.ndarray] | None) -> np.ndarray:
+    """Which rows of a shard are linked, as a matrix: by searches over their lists, or, without lists, by all cosines."""
     hit = np.zeros((len(v), len(v)), bool)
-    lists = graph(v) if one_block else None
     if lists is None:
         for at in range(0, len(v), 256):
             hit[at : at + 256] = v[at : at + 256] @ v.T >= SIMILAR
@@ -171,6 +171,18 @@ def linked(v: np.ndarray, one_block: bool) -> np.ndarray:
     return hit
 
 
+def united(own: DataFrame) -> DataFrame:
+    """(rep, near): of lists (rep, near) from several shards all that a class has in any."""
+    flat = own.where("near is not null").select("rep", F.explode("near").alias("other")).distinct()
+    return flat.groupBy("rep").agg(F.collect_list("other").alias("near"))
+
+
+def local(ids: np.ndarray, near: dict[int, list[int]]) -> list[np.ndarray]:
+    """United lists (by id) as places among the ids of a shard; a neighbour from elsewhere has no place there."""
+    place = {x: i for i, x in enumerate(ids.tolist())}
+    return [np.array([place[x] for x in near.get(x, ()) if x in place], np.int64) for x in ids.tolist()]
+
+
 def forest(hit: np.ndarray) -> dict[int, list[int]]:
     """Edges that span the linked rows: for each row those that it is the first to reach."""
     left, out = np.ones(len(hit), bool), {}
@@ -313,25 +325,38 @@ def near_vectors(vectors: DataFrame, *, audited: int = 0) -> tuple[DataFrame, fl
     """
     rows = staged(classes_of(vectors), "vectors")
     classes = rows.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("label").cast("int").alias("label"), F.any_value("embedding").alias("embedding"))
-    # A vec_id may stand in rows of several vectors; a class is then known by another number.
-    classes = classes.withColumn("least", F.col("rep")).withColumn("rep", F.xxhash64("key.a", "key.b"))
-    classes = staged(classes, "vector-classes")
+    # A vec_id may stand in rows of several vectors: a class is known by a number of its own.
+    classes = staged(classes.select("key", F.col("rep").alias("least"), "copies", "label", "embedding", F.monotonically_increasing_id().alias("rep")), "vector-classes")
     n, dim = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    sample = vectors_here(classes.orderBy("rep").select("label", "embedding").limit(min(SAMPLE, max(1, SAMPLE_BYTES // (8 * dim)))))  # by hash
+    sample = vectors_here(classes.orderBy(F.xxhash64("key.a", "key.b"), "key").select("label", "embedding").limit(min(SAMPLE, max(1, SAMPLE_BYTES // (8 * dim)))))  # by hash
     centroids = fit_centroids(sample, n) if len(sample) else {}
     placed = _placed(classes, centroids)
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, lists = pdf.rep.to_numpy(), graph(unit(pdf.embedding.tolist()))
+        near = [None] if lists is None else [ids[x].tolist() for x in lists]
+        at = pdf.ij.iloc[0]
+        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "i": at["i"], "j": at["j"], "rep": ids[: len(near)], "near": near})
+
+    def search(pdf: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         v, ids, home, sides = unit(pdf.embedding.tolist()), pdf.rep.to_numpy(), pdf.home.to_numpy(), pdf.side.to_numpy()
-        hit = linked(v, pdf.n.iloc[0] <= BLOCK) & ((home[:, None] | home) == pdf.full.iloc[0])
-        if pdf.ij.iloc[0]["i"] != pdf.ij.iloc[0]["j"]:
+        near = None if lists.tight.any() else local(ids, dict(zip(lists.rep.tolist(), lists.near.tolist(), strict=True)))
+        hit = linked(v, near) & ((home[:, None] | home) == pdf.full.iloc[0])
+        if pdf.i.iloc[0] != pdf.j.iloc[0]:
             hit &= sides[:, None] != sides
         links, edges = hit @ pdf.copies.to_numpy(np.int64), forest(hit)
         out = pd.DataFrame({"rep": ids, "n_links": links, "other": [ids[edges[i]].tolist() if i in edges else None for i in range(len(v))]})
         return out[out.n_links > 0]
 
-    got = placed.select(*GROUP, "n", "full", "side", "home", "rep", "embedding", "copies").groupBy(*GROUP).applyInPandas(search, "rep long, n_links long, other array<long>")
-    got = staged(few(got, n, 20_000), "vector-links")
+    built = placed.select(*GROUP, "rep", "embedding").groupBy(*GROUP).applyInPandas(build, "shard long, i int, j int, rep long, near array<long>")
+    built = staged(built, "vector-lists")
+    members = placed.select("shard", "ij.i", "ij.j", "full", "side", "home", "rep", "embedding", "copies")
+    known = placed.select(F.col("shard").alias("of"), F.col("ij.i").alias("one"), F.col("ij.j").alias("two"), F.col("rep").alias("node")).join(united(built).withColumnRenamed("rep", "node"), "node")
+    known = known.select("of", "one", "two", F.col("node").alias("rep"), "near", F.lit(False).alias("tight"))
+    tight = built.where("near is null").select("shard", "i", "j", "rep", "near", F.lit(True))  # a row for each group that lists can't hold
+    dealt = known.union(tight).groupBy("of", "one", "two")
+    got = members.groupBy("shard", "i", "j").cogroup(dealt).applyInPandas(search, "rep long, n_links long, other array<long>")
+    got = staged(got, "vector-links")
     links = got.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     tops = components(got.select(F.col("rep").alias("a"), F.explode("other").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("top"))
     by = classes.select("key", "rep", "least", "copies").join(links, "rep", "left").join(tops, "rep", "left").withColumn("top", F.coalesce("top", "rep"))

@@ -238,11 +238,34 @@ def test_embeddings_tight_groups_apart_from_the_medoid(spark):
     assert got == want and set(want[:160]) == {159} and groups == 2
 
 
-def test_vector_search_is_complete():
+@pytest.mark.parametrize("dim,spread", [(3, 0.3), (8, 0.05), (16, 0.05)])
+def test_vector_search_is_complete(dim, spread):
     r = np.random.default_rng(9)
-    for dim, spread in ((3, 0.3), (8, 0.05), (16, 0.05)):
-        v = embedding_dedup.unit((r.normal(size=(30, dim)).repeat(20, 0) + r.normal(size=(600, dim)) * spread).tolist())
-        assert (embedding_dedup.linked(v, True) == (v @ v.T >= 0.98) & ~np.eye(600, dtype=bool)).all()
+    v = embedding_dedup.unit((r.normal(size=(30, dim)).repeat(20, 0) + r.normal(size=(600, dim)) * spread).tolist())
+    true = (v @ v.T >= 0.98) & ~np.eye(600, dtype=bool)
+    assert (embedding_dedup.linked(v, None) == true).all()
+    lists = embedding_dedup.graph(v)
+    assert lists is None or (embedding_dedup.linked(v, lists) == true).all()
+
+
+def test_united_lists_are_searched(spark):
+    """Two overlapping shards: each is searched over what both know, and nothing that is in either is missed."""
+    r = np.random.default_rng(10)
+    v = embedding_dedup.unit((r.normal(size=(60, 16)).repeat(10, 0) + r.normal(size=(600, 16)) * 0.05).tolist())
+    v = v[r.permutation(600)]
+    shards = [np.arange(0, 400), np.arange(200, 600)]
+    own = [(int(ids[i]), [int(ids[x]) for x in near]) for ids in shards for i, near in enumerate(embedding_dedup.graph(v[ids]))]
+    rows = spark.createDataFrame([*own, (7, None)], "rep long, near array<long>")
+    near = {x["rep"]: x["near"] for x in embedding_dedup.united(rows).collect()}
+    want = {}
+    for rep, some in own:
+        want.setdefault(rep, set()).update(some)
+    assert {rep: set(some) for rep, some in near.items()} == {rep: some for rep, some in want.items() if some}
+    both = set(range(200, 400))
+    assert any(set(near[x]) - both for x in both if x in near)  # lists reach beyond the overlap
+    for ids in shards:
+        lists = embedding_dedup.local(ids, near)
+        assert (embedding_dedup.linked(v[ids], lists) == (v[ids] @ v[ids].T >= 0.98) & ~np.eye(len(ids), dtype=bool)).all()
 
 
 @pytest.mark.parametrize("extra", [False, True])
