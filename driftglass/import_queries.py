@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType
 
 from driftglass.queries import _entities, _html, query
 from driftglass.session import scratch, table
-from driftglass.sources import imports
+from driftglass.sources import files, imports
 
 
 def as_rtf(text: str) -> bytes:
@@ -75,6 +75,13 @@ def imported_files(spark: SparkSession, d: str) -> DataFrame:
     return imports.read_imports(spark, _folder(spark, d)).select("filename", "format", "text", "title", "error")
 
 
+@query(f"WITH {_IMPORTED} SELECT filename, length(coalesce(text, '')) AS chars, title FROM found WHERE filename NOT LIKE 'page-%'")
+def extracted_files(spark: SparkSession, d: str) -> DataFrame:
+    """The documents among the files, through Spark's own reader of binary files."""
+    rows = files.extracted(files.imported(spark, _folder(spark, d) + "/*.*"))
+    return rows.select("filename", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), "title")
+
+
 @query(f"WITH {_IMPORTED} SELECT format, count(*) AS files, sum(len(text))::BIGINT AS chars, count(title) AS titles FROM found WHERE filename NOT LIKE '%.txt' GROUP BY 1")
 def imported_formats(spark: SparkSession, d: str) -> DataFrame:
     """What files other than plain text hold, by format; the names are filtered where files are listed."""

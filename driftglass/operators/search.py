@@ -48,12 +48,6 @@ def embedded(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return rows.withColumn("weight", F.col("weight") / size)
 
 
-def dense_vector(entries: DataFrame, doc: str, dim: int = EMBED_DIM) -> DataFrame:
-    """(doc, vector) from (doc, bucket, weight)."""
-    by = entries.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    return by.select(doc, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("vector"))
-
-
 def unit_vectors(texts: list[list[str]], dim: int = EMBED_DIM) -> np.ndarray:
     """The hashing embedder's vectors of texts that are cut into words, a row each; a text without words has zeros."""
     rows: list[int] = []

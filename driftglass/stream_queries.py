@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftglass.functions import codec
 from driftglass.mesh_queries import WHOLE, _frame_fields, _framed, _texts_of
-from driftglass.queries import ORACLES, query
+from driftglass.queries import ORACLES, _stream, query
 from driftglass.session import scratch, table
 from driftglass.sources import capture, layouts
 from driftglass.streaming import jobs, leases, upserts
@@ -69,6 +69,36 @@ def liveness_stream(spark: SparkSession, d: str) -> DataFrame:
     return events.select(F.col("key").alias("node_id"), "event", F.col("at").cast("timestamp_ntz").alias("at"))
 
 
+#: A user's events are what a peer's catalog is asked by: a purchase teaches something, a signup says that there is nothing; hours stand
+#: for the protocol's seconds. The fold carries (since, tries, done) and what was asked, as tries * 10^13 + time.
+_SYNC = """e AS (SELECT user_id AS peer, list({'ms': epoch_us(ts) // 1000, 'k': CASE event_type WHEN 'purchase' THEN 'learned' WHEN 'signup' THEN 'empty' ELSE 'tick' END}
+    ORDER BY ts, CASE event_type WHEN 'purchase' THEN 'learned' WHEN 'signup' THEN 'empty' ELSE 'tick' END) AS es FROM events GROUP BY 1),
+f AS (SELECT peer, list_reduce(
+    list_prepend({'ms': 0::BIGINT, 'k': '', 'since': es[1].ms, 'tries': 0::BIGINT, 'done': false, 'asked': []::BIGINT[]}, list_transform(es, lambda x: {'ms': x.ms, 'k': x.k, 'since': 0::BIGINT, 'tries': 0::BIGINT, 'done': false, 'asked': []::BIGINT[]})),
+    lambda a, b: CASE WHEN b.k = 'learned' THEN {'ms': b.ms, 'k': '', 'since': b.ms, 'tries': 0::BIGINT, 'done': false, 'asked': a.asked}
+      WHEN b.k = 'empty' THEN {'ms': b.ms, 'k': '', 'since': a.since, 'tries': a.tries, 'done': true, 'asked': a.asked}
+      WHEN NOT a.done AND a.tries < 4 AND b.ms - a.since >= CASE WHEN a.tries > 0 THEN 32400000 ELSE 18000000 END
+        THEN {'ms': b.ms, 'k': '', 'since': b.ms, 'tries': a.tries + 1, 'done': false, 'asked': list_append(a.asked, (a.tries + 1) * 10000000000000 + b.ms)}
+      ELSE {'ms': b.ms, 'k': '', 'since': a.since, 'tries': a.tries, 'done': a.done, 'asked': a.asked} END).asked AS asked FROM e)"""
+
+
+@query(f'WITH {_SYNC} SELECT peer, (x // 10000000000000)::INT AS attempt, make_timestamp((x % 10000000000000) * 1000) AS "at" FROM (SELECT peer, unnest(asked) AS x FROM f)')
+def sync_requests_stream(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "purchase", "learned").when(F.col("event_type") == "signup", "empty").otherwise("tick")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("peer"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    asked = _stream(spark, rows, lambda s: jobs.sync_requests(s, 5 * 3600, 9 * 3600))
+    return asked.withColumn("at", F.date_trunc("MILLISECOND", "at").cast("timestamp_ntz"))
+
+
+@query("""WITH f AS (SELECT l_suppkey AS link, l_orderkey::VARCHAR AS packet_key, l_linenumber AS idx, l_shipdate AS ts FROM lineitem),
+b AS (SELECT link, packet_key FROM (SELECT link, packet_key, min(ts) AS t FROM f GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY link ORDER BY t DESC, packet_key DESC) <= 64)
+SELECT link, packet_key, count(*) AS frames, min(idx) AS first FROM f JOIN b USING (link, packet_key) GROUP BY ALL""")
+def pending_packets(spark: SparkSession, d: str) -> DataFrame:
+    """Of each link's unfinished packets those that began last."""
+    frames = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("link"), F.col("l_orderkey").cast("string").alias("packet_key"), F.col("l_linenumber").alias("idx"), F.lit(9).alias("cnt"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    return jobs.within_pending(frames).groupBy("link", "packet_key").agg(F.count(F.lit(1)).alias("frames"), F.min("idx").alias("first"))
+
+
 def _from_captures(spark: SparkSession, rows: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What a streaming job makes of rows (link, ts, data) that it reads from capture files."""
     root = scratch(spark, "captures")

@@ -113,3 +113,27 @@ def test_layouts_of_all_generations(spark):
     assert got() == [(1, "a", "und", 0), (2, "b", None, 0), (3, "c", "de", 0)]  # a null that was written stays
     spark.createDataFrame([(4, "fr", 7, None)], "id long, lang string, kept long, text string").write.parquet(f"{root}/layout=3")
     assert got() == [(1, "a", "und", 0), (2, "b", None, 0), (3, "c", "de", 0), (4, None, "fr", 7)]
+
+
+def test_jobs_run_at_their_intervals(spark, monkeypatch):
+    import time
+
+    from driftglass.streaming import jobs
+
+    monkeypatch.setitem(jobs.EVERY, "outbox", "1 second")
+    users, root = table_of(spark), scratch(spark, "t")
+    batch(spark, made(20, 1)).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(users.schema).parquet(f"{root}/in")
+    job = jobs.periodically(stream, "outbox", users.write, f"{root}/state")
+    try:
+        for seed in (2, 3):
+            before = len(users._manifests(spark).select("epoch").distinct().collect())
+            until = time.time() + 60
+            while len(users._manifests(spark).select("epoch").distinct().collect()) <= before - (seed == 2) and time.time() < until:
+                time.sleep(0.5)
+            batch(spark, made(20, seed)).write.mode("append").parquet(f"{root}/in")
+        job.processAllAvailable()
+    finally:
+        job.stop()
+    whole = batch(spark, [r for s in (1, 2, 3) for r in made(20, s)])
+    assert rows(users.rows(spark)) == rows(state.newest(whole, "user", "version", "came")) and len(users.state(spark)) > 0
