@@ -6,11 +6,12 @@
    of two linked classes one is at home where the other is too. A pair counts there only, so links are counted once. A shard of
    more than DEEP classes is dealt out again in the same way, by centroids of a sample of its own, in up to LEVELS levels; a pair
    counts where one of the two is at home on every level.
-3. Each shard (of a large one, each pair of its blocks) gets robust-pruned adjacency lists, made from all that is in range. A class's
-   lists from all of its shards are united.
-4. In each shard every vector is searched for over the united lists, greedily from the shard's medoid; the search then expands through
-   all that it finds in range (and a little beyond), q among them, which the pruning's ALPHA makes complete (see graph()). What it finds
-   is verified by the cosine in double precision. Where a group is so tight that lists would be cut, it is compared throughout.
+3. Each shard of one block gets robust-pruned adjacency lists, made from all that is in range. A class's lists from all of its shards
+   are united.
+4. In each such shard every vector is searched for over the united lists, greedily from the shard's medoid; the search then expands
+   through all that it finds in range (and a little beyond), q among them, which the pruning's ALPHA makes complete (see graph()). What
+   it finds is verified by the cosine in double precision. A tight shard, where lists would be cut, and a large one that can't be dealt
+   out further, whose members come as pairs of blocks, are compared throughout, which there takes less than the lists would.
 5. Each shard adds a spanning forest of its links to the components; links are never expanded. Recall is audited against brute force.
 """
 
@@ -340,7 +341,7 @@ def near_vectors(vectors: DataFrame, *, audited: int = 0) -> tuple[DataFrame, fl
 
     def search(pdf: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         v, ids, home, sides = unit(pdf.embedding.tolist()), pdf.rep.to_numpy(), pdf.home.to_numpy(), pdf.side.to_numpy()
-        near = None if lists.tight.any() else local(ids, dict(zip(lists.rep.tolist(), lists.near.tolist(), strict=True)))
+        near = None if pdf.n.iloc[0] > BLOCK or lists.tight.any() else local(ids, dict(zip(lists.rep.tolist(), lists.near.tolist(), strict=True)))
         hit = linked(v, near) & ((home[:, None] | home) == pdf.full.iloc[0])
         if pdf.i.iloc[0] != pdf.j.iloc[0]:
             hit &= sides[:, None] != sides
@@ -348,10 +349,11 @@ def near_vectors(vectors: DataFrame, *, audited: int = 0) -> tuple[DataFrame, fl
         out = pd.DataFrame({"rep": ids, "n_links": links, "other": [ids[edges[i]].tolist() if i in edges else None for i in range(len(v))]})
         return out[out.n_links > 0]
 
-    built = placed.select(*GROUP, "rep", "embedding").groupBy(*GROUP).applyInPandas(build, "shard long, i int, j int, rep long, near array<long>")
+    listed = placed.where(F.col("n") <= BLOCK)
+    built = listed.select(*GROUP, "rep", "embedding").groupBy(*GROUP).applyInPandas(build, "shard long, i int, j int, rep long, near array<long>")
     built = staged(built, "vector-lists")
-    members = placed.select("shard", "ij.i", "ij.j", "full", "side", "home", "rep", "embedding", "copies")
-    known = placed.select(F.col("shard").alias("of"), F.col("ij.i").alias("one"), F.col("ij.j").alias("two"), F.col("rep").alias("node")).join(united(built).withColumnRenamed("rep", "node"), "node")
+    members = placed.select("shard", "ij.i", "ij.j", "n", "full", "side", "home", "rep", "embedding", "copies")
+    known = listed.select(F.col("shard").alias("of"), F.col("ij.i").alias("one"), F.col("ij.j").alias("two"), F.col("rep").alias("node")).join(united(built).withColumnRenamed("rep", "node"), "node")
     known = known.select("of", "one", "two", F.col("node").alias("rep"), "near", F.lit(False).alias("tight"))
     tight = built.where("near is null").select("shard", "i", "j", "rep", "near", F.lit(True))  # a row for each group that lists can't hold
     dealt = known.union(tight).groupBy("of", "one", "two")
