@@ -55,7 +55,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
     Turns stand by turn, null first, then role and content, so ties have one order. Null role: empty. Null parts or no parts:
     an empty turn. Null conv_id: one conversation of its own. Repeated rows stay. Columns beyond the four are left out.
-    Empty table: no rows.
+    Very long texts and conversations are formatted whole. Empty table: no rows.
     """
     role = F.coalesce(F.col("role"), F.lit(""))
     parts = F.coalesce(F.col("parts"), F.expr("cast(array() as array<struct<type:string,text:string,ref:string,units:bigint>>)"))

@@ -69,7 +69,8 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     phrase, and a row's score the highest of those (0 without any).
 
     Null or empty text: no words, no labels (empty strings), null places, score 0. Null doc_id and repeated rows: rows as any
-    other. Empty table: no rows. Columns beyond doc_id and text are left out.
+    other. Empty table: no rows. Columns beyond doc_id and text are left out. Very long
+    texts are scanned whole. Ties among words of one IDF go to the first by offset, and change no place, label or score.
     """
     idf = idf or rarity(docs)
     phrases = [p.split() for p in BASE] + [k.split() for _, _, k in TEMPLATES]

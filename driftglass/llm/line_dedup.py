@@ -277,7 +277,9 @@ class Index:
 def dedup_lines(docs: DataFrame, *, increments: int = 2, min_docs: int = MIN_DOCS, report: bool = True) -> DataFrame:
     """Index.apply() over an index of all of docs, which come in `increments`, as they do where a corpus grows.
 
-    Repeated rows of a doc_id are one document to the counts, and each loses its lines. Empty table: no rows.
+    Repeated rows of a doc_id are one document to the counts, and each loses its lines. Null ids lose nothing and count for
+    nothing, null texts stay null (one empty line); very long texts are split whole. Ties: of equal keys the largest doc_id keeps its
+    lines, all rows of that id do. Columns of docs may have any names, but for those of the report, which give way. Empty table: no rows.
     """
     narrow = docs.select("doc_id", "text")
     index = Index.empty(docs.sparkSession)

@@ -167,7 +167,8 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """Stores every text of docs (doc_id, text) and reads it back: a row for each row of docs.
 
-    Null and empty texts: a payload of one row of blanks. Null doc_id and repeated rows: rows as any other. Empty table: no rows,
+    Null and empty texts: a payload of one row of blanks. Null doc_id and repeated rows: rows as any other. Very long texts are
+    stored whole. Ties: equal payloads are one to a task. Empty table: no rows,
     no shard. Equal texts give equal digests, wherever they are stored. Extra columns are left out.
     """
     folder = scratch(docs.sparkSession, "media")

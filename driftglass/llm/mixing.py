@@ -143,7 +143,8 @@ def mix_sources(docs: DataFrame, *, seed: str = SEED, block: int = BLOCK, shard_
     `cap` times its words: where its last block would go beyond, the rest of that block is taken by nobody.
 
     Null text: size 0, nothing taken. Null source: a source of its own, the last. Null doc_id: a row as any other, dealt to its
-    shard by its text. Rows that repeat a doc_id each count, and are taken one after the other. Empty table: no rows. Reruns give
+    shard by its text. Rows that repeat a doc_id each count, and are taken one after the other. Very long texts count whole, and may be
+    taken in part. Ties among quotients go by rank and shard, among rows by id and size. Empty table: no rows. Reruns give
     the same rows.
     """
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce("text", F.lit("")))))

@@ -87,7 +87,9 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, same: int = SAME_SOURCE,
 
     Null text: size 0, one empty piece. Null source: a source of its own. Null doc_id: a row as any other, dealt out by the rest of
     the row. Repeated rows are each
-    packed, in different bins as they are one cluster. Empty table: no rows. Extra columns are left out.
+    packed, in different bins as they are one cluster. Very long texts are cut into full
+    sequences and a rest. Ties: equal residuals go to the bin that was opened first, equal pieces by row. Empty table: no rows. Extra
+    columns are left out.
     """
     key = text_cluster(F.col("text")) if cluster is None else cluster
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.cast("string").alias("cluster"))

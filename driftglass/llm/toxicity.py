@@ -344,7 +344,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     """docs plus the column `name`, the probability that the whole text is toxic. A column of docs that has this name gives way.
 
     Null and empty texts have no token, and get the score of a text without anything like an insult. Very long texts are read
-    whole. Null doc_ids and repeated rows: rows as any other, equal texts get equal scores. Empty table: no rows.
+    whole. Null doc_ids and repeated rows: rows as any other, equal texts get equal scores, so ties stay ties. Empty table: no rows.
     """
     docs = docs.drop(name)
     text = docs.schema.names.index("text")
