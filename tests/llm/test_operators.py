@@ -52,7 +52,7 @@ def test_sql(spark, name, columns):
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_plain_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     said = con.execute(oracles.ORACLES[name])
     names = [c[0] for c in said.description]
