@@ -397,7 +397,7 @@ def router_counters(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT source, doc_id, sent_before FROM (SELECT source, doc_id, (coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS sent_before FROM documents WHERE doc_id > 60) WHERE sent_before < 9000""")
 def catalog_since(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    return state.catalog_page(docs, [F.col("doc_id")], "n_chars", 9000, ["source"], F.col("doc_id") > 60).select("source", "doc_id", "sent_before")
+    return state.catalog_page(docs, [F.col("doc_id")], "n_chars", 9000, ["source"], F.col("doc_id") > 60, F.floor(F.col("doc_id") / 1000)).select("source", "doc_id", "sent_before")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,8 +141,21 @@ def in_batches(df: DataFrame, size: int, order: list[Column], by: list[str]) ->
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size))
 
 
-def catalog_page(docs: DataFrame, order: list[Column], count: str, most: int, by: list[str], since: Column | None = None) -> DataFrame:
-    """Whole documents in order until `most` entries are sent; the last may go beyond. since: which documents are asked for."""
+def catalog_page(docs: DataFrame, order: list[Column], count: str, most: int, by: list[str], since: Column | None = None, chunk: Column | None = None) -> DataFrame:
+    """Whole documents in order until `most` entries are sent; the last may go beyond. since: which documents are asked for. chunk: a
+    coarser order that the order goes within; then chunks are summed first, and rows of a chunk that begins beyond `most` never
+    leave their task, so that a group of very many documents is no single task's."""
     docs = docs if since is None else docs.where(since)
-    before = F.sum(count).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return docs.withColumn("sent_before", F.coalesce(before, F.lit(0)).cast("long")).where(F.col("sent_before") < most)
+    ends = (Window.unboundedPreceding, -1)
+    if chunk is None:
+        before = F.sum(count).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(*ends))
+        return docs.withColumn("sent_before", F.coalesce(before, F.lit(0)).cast("long")).where(F.col("sent_before") < most)
+    rows = docs.withColumn("_chunk", chunk)
+    sums = rows.groupBy(*by, "_chunk").agg(F.sum(count).alias("_sum"))
+    base = F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(*ends)), F.lit(0)).cast("long")
+    starts = sums.select(*by, "_chunk", base.alias("_base")).where(F.col("_base") < most)
+    starts = starts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*by, "_chunk"])], "_base")
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate([*by, "_chunk"])]
+    own = F.coalesce(F.sum(count).over(Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(*ends)), F.lit(0))
+    rows = rows.join(starts, reduce(Column.__and__, same)).withColumn("sent_before", (own + F.col("_base")).cast("long"))
+    return rows.where(F.col("sent_before") < most).select(*docs.columns, "sent_before")

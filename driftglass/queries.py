@@ -204,13 +204,14 @@ def passage_select(spark: SparkSession, d: str) -> DataFrame:
     return search.select_passages(hits)
 
 
-@query("""WITH p AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, doc_id, lang, text FROM documents), n AS (SELECT * FROM p WHERE length(trim(text)) > 0),
-r AS (SELECT query_id, rank, doc_id, sum(length(text) + length(lang) + length(query_id) + 16) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS used, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM n)
-SELECT query_id, rank, doc_id, used FROM r WHERE used <= 12000 OR i = 1""")
+@query("""WITH n AS (SELECT source AS query_id, doc_id, lang, text FROM documents WHERE length(trim(text)) > 0),
+r AS (SELECT query_id, doc_id, sum(length(text) + length(lang) + length(query_id) + 16) OVER w::BIGINT AS used, row_number() OVER w AS rank FROM n WINDOW w AS (PARTITION BY query_id ORDER BY doc_id))
+SELECT query_id, rank, doc_id, used FROM r WHERE used <= 12000 OR rank = 1""")
 def context_fit(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = table(spark, d, "documents").select(F.col("source").alias("query_id"), rank.alias("rank"), "doc_id", F.col("lang").alias("title"), F.col("source").alias("section"), "text")
-    return search.fit_context(rows, 12000).select("query_id", "rank", "doc_id", F.col("used").cast("long").alias("used"))
+    """What of each source's documents, by id, fits a prompt."""
+    rows = table(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("rank"), F.col("lang").alias("title"), F.col("source").alias("section"), "text")
+    some = search.fit_context(rows, 12000).select("query_id", F.col("rank").alias("doc_id"), F.col("used").cast("long").alias("used"))
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))  # as few as fit
 
 
 @query(rf"""WITH q AS (SELECT conv_id AS query_id, text AS question FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
@@ -451,7 +452,7 @@ def request_reply_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT source, doc_id, sent_before FROM (SELECT source, doc_id, (coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS sent_before FROM documents) WHERE sent_before < 20000""")
 def catalog_page(spark: SparkSession, d: str) -> DataFrame:
-    return state.catalog_page(table(spark, d, "documents").select("source", "doc_id", "n_chars"), [F.col("doc_id")], "n_chars", 20_000, ["source"]).select("source", "doc_id", "sent_before")
+    return state.catalog_page(table(spark, d, "documents").select("source", "doc_id", "n_chars"), [F.col("doc_id")], "n_chars", 20_000, ["source"], chunk=F.floor(F.col("doc_id") / 1000)).select("source", "doc_id", "sent_before")
 
 
 @query("SELECT l_suppkey AS node, l_orderkey, l_linenumber, floor((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1) / 24)::BIGINT AS batch FROM lineitem")

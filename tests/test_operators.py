@@ -307,3 +307,16 @@ def test_passages_are_packed():
     assert ingest.packed(["ab", "cd", "efg"], 5) == ["ab\ncd", "efg"]
     assert ingest.packed(["One. Two! Three four five six?"], 10) == ["One.\nTwo!", "Three four", " five six?"]
     assert ingest.packed([], 5) == [] and ingest.packed(["abcdefgh"], 3) == ["abc", "def", "gh"]
+
+
+def test_catalog_pages_by_chunks(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), i, r.choice([0, 0, 3, 50]), r.choice([None, "x"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, n long, _sum string")
+    told = lambda **k: sorted(((x["source"], x["doc_id"], x["sent_before"]) for x in state.catalog_page(docs, [F.col("doc_id")], "n", 700, ["source"], **k).collect()), key=str)
+    whole = told()
+    assert 30 < len(whole) < 300
+    for size in (1, 7, 1000):
+        assert told(chunk=F.floor(F.col("doc_id") / size)) == whole
+    since = F.col("doc_id") > 60
+    assert told(since=since, chunk=F.floor(F.col("doc_id") / 20)) == told(since=since)
