@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from driftglass.functions.hashing import SIGN_SEED, fnv1a
-from driftglass.functions.text import tokenize
-
 EMBED_DIM = 384
 #: What a word, a pair of words and four letters of a word weigh in the embedder.
 WORD, PAIR, LETTERS, N_LETTERS = 1.0, 0.7, 0.35, 4
@@ -56,20 +53,3 @@ def from_wire_score(score: Column) -> Column:
 
 def embedding_input(title: Column, section: Column, text: Column, dash: str = "-") -> Column:
     return F.concat(title, F.lit(f" {dash} "), section, F.lit(". "), text)
-
-
-def embed_features(text: Column) -> Column:
-    """array<struct(word, weight)>: words, pairs of neighbours and runs of four letters."""
-    words = tokenize(text)
-    grams = lambda w: F.when(F.length(w) >= N_LETTERS, F.transform(F.sequence(F.lit(1), F.length(w) - N_LETTERS + 1), lambda i: F.substring(w, i, F.lit(N_LETTERS)))).otherwise(F.array().cast("array<string>"))
-    of = lambda xs, weight: F.transform(xs, lambda x: F.struct(x.alias("word"), F.lit(weight).alias("weight")))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(of(words, WORD), of(pairs, PAIR), of(F.flatten(F.transform(words, grams)), LETTERS))
-
-
-def feature_bucket(word: Column, dim: int = EMBED_DIM) -> Column:
-    return fnv1a(word) % dim
-
-
-def feature_sign(word: Column) -> Column:
-    return F.when(fnv1a(word, SIGN_SEED) % 2 == 0, 1.0).otherwise(-1.0)

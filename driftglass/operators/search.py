@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftglass.functions.hashing import SIGN_SEED, fnv1a_of
 from driftglass.functions.text import keywords, sentences, tokenize
-from driftglass.functions.vectors import EMBED_DIM, LETTERS, N_LETTERS, PAIR, WORD, embed_features, feature_bucket, feature_sign
+from driftglass.functions.vectors import EMBED_DIM, LETTERS, N_LETTERS, PAIR, WORD
 from driftglass.operators.lexical import top_k
 from driftglass.session import spread
 
@@ -37,17 +37,6 @@ MOBILE = Profile(4, True, 0.6, 0.4, 0.1)
 WEB = Profile(3, False, 0.0, 0.42, 0.3)
 
 
-def embedded(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, weights): the hashing embedder's unit vector, as a map from bucket to weight that leaves zeros out. Texts without
-    words have no row."""
-    rows = docs.select(doc, F.explode(embed_features(F.col(text))).alias("f"))
-    rows = rows.groupBy(doc, F.col("f.word").alias("word")).agg(F.sum("f.weight").alias("weight"))
-    rows = rows.groupBy(doc, feature_bucket(F.col("word")).alias("bucket")).agg(F.sum(feature_sign(F.col("word")) * F.col("weight")).alias("weight"))
-    rows = rows.where("weight <> 0")
-    size = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(doc)))
-    return rows.withColumn("weight", F.col("weight") / size)
-
-
 def unit_vectors(texts: list[list[str]], dim: int = EMBED_DIM) -> np.ndarray:
     """The hashing embedder's vectors of texts that are cut into words, a row each; a text without words has zeros."""
     rows: list[int] = []
@@ -73,8 +62,8 @@ TEXTS = 256
 
 
 def embeddings(texts: DataFrame, doc: str, text: str, dim: int = EMBED_DIM) -> DataFrame:
-    """(doc, vector) of the hashing embedder: what embedded() says, as whole vectors, made in arrays where the texts are, so that no
-    feature leaves its task. Texts without words have no row; doc is a number, null ones have none either."""
+    """(doc, vector) of the hashing embedder: words, pairs of neighbours and runs of four letters, each added with its sign to the bucket of
+    its hash; a unit vector. They are made in arrays where the texts are, so that no feature leaves its task. Texts without words have no row; doc is a number, null ones have none either."""
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -134,8 +134,11 @@ cos AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.w * d.w) AS c FROM vec q
 
 @query(f"WITH {EMBED} SELECT id AS doc_id, count(*) AS buckets, round(sum(w), 6) AS total, round(max(abs(w)), 6) AS top, round(sum(w * bucket), 4) AS moment FROM vec WHERE kind = 'd' GROUP BY id")
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
-    rows = search.embedded(table(spark, d, "documents"), "doc_id", "text").where("abs(weight) > 1e-12")
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max(F.abs("weight")), 6).alias("top"), F.round(F.sum(F.col("weight") * F.col("bucket")), 4).alias("moment"))
+    rows = search.embeddings(table(spark, d, "documents"), "doc_id", "text")
+    held = F.filter(F.transform("vector", lambda x, i: F.struct(i.alias("bucket"), x.alias("weight"))), lambda e: F.abs(e["weight"]) > 1e-12)
+    total = lambda f: F.aggregate(F.transform("held", f), F.lit(0.0), lambda a, x: a + x)
+    rows = rows.select("doc_id", held.alias("held"))
+    return rows.select("doc_id", F.size("held").cast("long").alias("buckets"), F.round(total(lambda e: e["weight"]), 6).alias("total"), F.round(F.array_max(F.transform("held", lambda e: F.abs(e["weight"]))), 6).alias("top"), F.round(total(lambda e: e["weight"] * e["bucket"]), 4).alias("moment"))
 
 
 def _hybrid_sql(profile: search.Profile) -> str:

@@ -4,6 +4,7 @@ import math
 import os
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from driftglass.functions import codec, hashing, identity, text, vectors
@@ -78,16 +79,18 @@ def test_vectors(spark):
 
 def test_embedding(spark):
     rows = spark.createDataFrame([(1, "cool the burn under water"), (2, "burning burns cooled with water"), (3, "bake sourdough bread at home"), (4, "")], "id long, text string")
-    entries = search.embedded(rows, "id", "text")
-    lengths = {r["id"]: r["s"] for r in entries.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()}
-    assert set(lengths) == {1, 2, 3} and all(abs(x - 1) < 1e-9 for x in lengths.values())
     asked = search.embeddings(rows.select(F.col("id").alias("query_id"), "text"), "query_id", "text").withColumnRenamed("vector", "query_vector")
     cos = {(r["query_id"], r["id"]): r["score"] for r in search.vector_top_k(search.embeddings(rows, "id", "text"), asked, 3, "id", "vector").collect()}
     assert cos[1, 2] > cos.get((1, 3), 0)
     assert abs(cos[1, 1] - 1) < 1e-9
     slow = {}
-    for r in entries.collect():
-        slow.setdefault(r["id"], [0.0] * vectors.EMBED_DIM)[r["bucket"]] = r["weight"]
+    for r in rows.select("id", text.tokenize(F.col("text")).alias("words")).collect():
+        words, v = r["words"], np.zeros(vectors.EMBED_DIM)
+        features = [(w, 1.0) for w in words] + [(f"{a} {b}", 0.7) for a, b in zip(words, words[1:], strict=False)] + [(w[i : i + 4], 0.35) for w in words for i in range(len(w) - 3)]
+        for f, weight in features:
+            v[fnv(f) % vectors.EMBED_DIM] += weight if fnv(f, hashing.SIGN_SEED) % 2 == 0 else -weight
+        if words:
+            slow[r["id"]] = v / np.linalg.norm(v)
     fast = {r["id"]: r["vector"] for r in search.embeddings(rows.unionByName(rows.limit(0)), "id", "text").collect()}
     assert slow.keys() == fast.keys() and all(len(v) == vectors.EMBED_DIM for v in fast.values())
     assert all(abs(a - b) < 1e-12 for i in slow for a, b in zip(slow[i], fast[i], strict=True))
