@@ -39,15 +39,14 @@ class Leases(StatefulProcessor):
             member, event, at = zip(*sorted(events, key=lambda e: (e[2], e[0], e[1])), strict=True)
             yield pd.DataFrame({"key": [key[0]] * len(events), "member": member, "event": event, "at": pd.to_datetime(list(at), unit="ms")})
 
-    def _remind(self, until: list[int]) -> None:
-        """One timer a key, a millisecond beyond the first end."""
-        first = min(until, default=NEVER)
-        there = list(self.handle.listTimers())
-        for timer in there:
-            if timer != first + 1:
-                self.handle.deleteTimer(timer)
-        if first < NEVER and first + 1 not in there:
-            self.handle.registerTimer(first + 1)
+    def _remind(self, before: list[int], until: list[int]) -> None:
+        """One timer a key, a millisecond beyond the first end. Which one stands follows from the ends before: no call is needed to know."""
+        old, first = min(before, default=NEVER), min(until, default=NEVER)
+        if old != first:
+            if old < NEVER:
+                self.handle.deleteTimer(old + 1)
+            if first < NEVER:
+                self.handle.registerTimer(first + 1)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = {int(k[0]): (int(v[0]), int(v[1])) for k, v in self.held.iterator()}
@@ -68,7 +67,7 @@ class Leases(StatefulProcessor):
         for member, value in held.items():
             if before.get(member) != value:
                 self.held.updateValue((member,), value)
-        self._remind([until for _, until in held.values()])
+        self._remind([until for _, until in before.values()], [until for _, until in held.values()])
         yield from self._rows(key, events)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -77,7 +76,7 @@ class Leases(StatefulProcessor):
         over = {member: until for member, until in held.items() if until < now}
         for member in over:
             self.held.removeKey((member,))
-        self._remind([until for member, until in held.items() if member not in over])
+        self._remind([], [until for member, until in held.items() if member not in over])  # the timer that went off is gone
         yield from self._rows(key, [(member, "end", until) for member, until in over.items()])
 
     def close(self) -> None:
