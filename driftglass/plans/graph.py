@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,25 +106,38 @@ def cut_polyline(points: Column, fraction: Column) -> Column:
     """struct(x, y): the point at a fraction (0 to 1) of the length of an array of struct(x, y)."""
     n = F.size(points)
     length = lambda i: F.hypot(points[i + 1]["x"] - points[i]["x"], points[i + 1]["y"] - points[i]["y"])
-    start = F.struct(F.lit(0.0).alias("gone"), F.lit(None).cast("struct<x:double,y:double>").alias("at"))
     goal = F.least(F.lit(1.0), F.greatest(F.lit(0.0), fraction)) * polyline_length(points)
+    # The goal is carried along: a step that computes it would go through the whole line.
+    start = F.struct(F.lit(0.0).alias("gone"), goal.alias("goal"), F.lit(None).cast("struct<x:double,y:double>").alias("at"))
 
     def step(a: Column, i: Column) -> Column:
         size = length(i)
-        part = F.when(size > 0, (goal - a["gone"]) / size).otherwise(0.0)
+        part = F.when(size > 0, (a["goal"] - a["gone"]) / size).otherwise(0.0)
         between = lambda c: (points[i][c] + part * (points[i + 1][c] - points[i][c])).alias(c)
-        here = F.when(a["at"].isNull() & (a["gone"] + size >= goal), F.struct(between("x"), between("y"))).otherwise(a["at"])
-        return F.struct((a["gone"] + size).alias("gone"), here.alias("at"))
+        here = F.when(a["at"].isNull() & (a["gone"] + size >= a["goal"]), F.struct(between("x"), between("y"))).otherwise(a["at"])
+        return F.struct((a["gone"] + size).alias("gone"), a["goal"].alias("goal"), here.alias("at"))
 
     last = F.struct(points[n - 1]["x"].cast("double").alias("x"), points[n - 1]["y"].cast("double").alias("y"))
     found = F.aggregate(F.sequence(F.lit(0), n - 2), start, step, lambda a: a["at"])
     return F.when(n >= 2, F.coalesce(found, last)).when(n == 1, last)
 
 
+def _shares(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    """Running lengths of lines over their whole lengths, in one pass over each line."""
+    out = []
+    for x, y in zip(xs, ys, strict=True):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        gone = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(x), np.diff(y)))])[: len(x)]
+        out.append(gone / gone[-1] if len(x) and gone[-1] > 0 else np.zeros(len(x)))
+    return pd.Series(out, dtype=object)
+
+
 def stops(points: Column) -> Column:
     """The share of a polyline's length at which each of its points lies; 0 for a line without length."""
-    whole = polyline_length(points)
-    return F.transform(points, lambda p, i: F.when(whole > 0, polyline_length(F.slice(points, 1, i + 1)) / whole).otherwise(0.0))
+    return F.pandas_udf(_shares, "array<double>")(F.transform(points, lambda p: p["x"].cast("double")), F.transform(points, lambda p: p["y"].cast("double")))
 
 
 def polyline_length(points: Column) -> Column:

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -109,6 +110,26 @@ def test_chunks(spark):
     assert again["doc_key"] == rows[0]["doc_key"]
 
 
+def test_passages_of_one_id_stay_apart(spark):
+    columns = "doc_id long, doc_key long, seq int, title string, source string, section string, text string"
+    rows = [(7, 1, 0, "a", "a", "", "x" * 400), (7, 2, 0, "b", "b", "", "y"), (7, 3, 4, "c", "c", "", "z" * 500), (9, 4, 0, "d", "d", "", "w" * 600), (9, 4, 0, "d", "e", "", "w" * 600)]
+    _, meta, bodies = ingest.tables(spark.createDataFrame(rows, columns), F.length("text") > 300)
+    shown = sorted((r["doc_id"], r["text"][0], len(r["text"]), r["held"]) for r in ingest.shown_text(meta, bodies).collect())
+    assert shown == [(7, "x", 400, True), (7, "y", 1, False), (7, "z", 500, True), (9, "w", 600, True), (9, "w", 600, True)]
+    assert sorted(map(tuple, ingest.document_counts(meta, bodies).collect())) == [(1, 1, 1), (2, 1, 0), (3, 1, 1), (4, 2, 2)]
+
+
+def test_stops_of_a_long_line(spark):
+    n = 20_000
+    line = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct((3.0 * i).alias("x"), (4.0 * i).alias("y"))).alias("p"))
+    began = time.perf_counter()
+    r = line.select(graph.stops(F.col("p")).alias("s"), graph.cut_polyline(F.col("p"), F.lit(0.25))["x"].alias("x")).first()
+    assert time.perf_counter() - began < 20  # one pass; a pass for each point takes minutes
+    assert len(r["s"]) == n + 1 and r["s"][0] == 0 and r["s"][-1] == 1 and abs(r["s"][n // 2] - 0.5) < 1e-12 and abs(r["x"] - 0.75 * n) < 1e-6
+    few = spark.createDataFrame([([],), (None,), ([(1.0, 1.0)],), ([(1.0, 1.0), (1.0, 1.0)],)], "p array<struct<x:double,y:double>>")
+    assert [x["s"] for x in few.select(graph.stops(F.col("p")).alias("s")).collect()] == [[], None, [0.0], [0.0, 0.0]]
+
+
 def nodes(spark, n, reliability=0.95):
     return spark.createDataFrame([(1000 + 7919 * i, reliability, 1 << 30) for i in range(n)], "node_id long, reliability double, free_bytes long")
 
