@@ -66,11 +66,12 @@ def newest(log: DataFrame, key: str, version: str, arrival: str) -> DataFrame:
     return best.select(key, "_row.*").select(*log.columns)
 
 
-def inserted_or_ignored(existing: DataFrame, new: DataFrame, key: str, arrival: str) -> DataFrame:
-    """existing plus the new rows of keys that it lacks; of several, the one that came first (by `arrival`, which is no column of
-    existing)."""
+def inserted_or_ignored(existing: DataFrame, new: DataFrame, key: str, *arrival: str) -> DataFrame:
+    """existing plus the new rows of keys that it lacks; of several, the one that came first (by the columns `arrival`, which are none
+    of existing)."""
     rest = [c for c in existing.columns if c != key]
-    first = new.join(existing, key, "left_anti").groupBy(key).agg(F.min_by(F.struct(*rest), arrival).alias("_row"))
+    order = F.when(F.col(arrival[0]).isNotNull(), F.struct(*arrival))
+    first = new.join(existing, key, "left_anti").groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_row"))
     return existing.unionByName(first.select(key, "_row.*").select(*existing.columns))
 
 

@@ -144,6 +144,13 @@ def test_placement_moves_little(spark):
     assert min(counts) > 100 and max(counts) < 210
 
 
+def test_first_of_equal_arrivals_is_told_by_place(spark):
+    known = spark.createDataFrame([(0, "k")], "key long, who string")
+    told = spark.createDataFrame([(1, f"n{i}", 5, i) for i in reversed(range(40))] + [(1, "late", 6, -1), (1, "never", None, -2), (0, "x", 1, 0)], "key long, who string, at long, place long").repartition(4)
+    got = state.inserted_or_ignored(known, told, "key", "at", "place").collect()
+    assert sorted(map(tuple, got)) == [(0, "k"), (1, "n0")]
+
+
 def test_best_nodes_through_ranges():
     rng = np.random.default_rng(3)
     dense, sparse = np.arange(70_000, dtype=np.int64) + 60_000, np.unique(rng.integers(-(2**33), 2**40, 900))
