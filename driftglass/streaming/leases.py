@@ -1,8 +1,8 @@
 """Leases in event time: something is held by a member from its first word until it has been silent for too long.
 
-Claims about who holds a document and beacons that say which nodes are near are both of this kind. The state of a key is a map from
-member to when it was last heard and until when that lasts; a timer stands at the first end. So a lease ends when the watermark passes
-its end, though no row of the key comes any more, and nothing is kept of what has ended.
+Claims about who holds a document and beacons that say which nodes are near are both of this kind. Keys are dealt to shelves. The state
+of a shelf says of its keys' members when they were last heard and until when that lasts; a timer stands at the first end. So a lease
+ends when the watermark passes its end, though no row of the key comes any more, and nothing is kept of what has ended.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,59 +26,69 @@ NEVER = 253_402_300_799_999
 EVENTS = "key long, member long, event string, at timestamp"
 
 
+#: State rows that keys are dealt to: a call for each key costs more than what it has to do.
+SHELVES = 1024
+
+
+def told(held: np.ndarray, new: np.ndarray, now: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(held, starts, ends) after new words. held: columns key, member, at, until; new: key, member, at, lease in ms (negative: it has no
+    end); starts and ends: key, member, at. What ends before `now` is over."""
+    until = np.where(new[:, 3] < 0, NEVER, new[:, 2] + new[:, 3])
+    rows = np.column_stack([np.concatenate([held, np.column_stack([new[:, :3], until])]), np.concatenate([np.full(len(held), -1), np.arange(len(new))])])
+    lease = np.concatenate([np.zeros(len(held), np.int64), new[:, 3]])
+    rows = rows[np.lexsort((lease, rows[:, 2], rows[:, 4] >= 0, rows[:, 1], rows[:, 0]))]  # of a member first what it holds, then its words by time
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+    head = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))] if len(rows) else rows
+    late = (head[:, 4] < 0) & (rows[:, 4] >= 0) & (rows[:, 2] <= head[:, 2])
+    late[1:] |= ~first[1:] & (rows[1:, 4] >= 0) & (rows[1:, 2] == rows[:-1, 2])  # of words of one time the first counts
+    rows, first = rows[~late], first[~late]  # a member's first row is never late
+    last = np.ones(len(rows), bool)
+    last[:-1] = first[1:]
+    lapsed = np.zeros(len(rows), bool)
+    lapsed[1:] = ~first[1:] & (rows[1:, 2] > rows[:-1, 3])
+    starts = rows[(first & (rows[:, 4] >= 0)) | lapsed][:, :3]
+    over = last & (rows[:, 3] < now)
+    over[:-1] |= lapsed[1:]
+    return rows[last & ~over][:, :4], starts, rows[over][:, [0, 1, 3]]
+
+
 class Leases(StatefulProcessor):
-    """Turns rows (key, member, lease_ms, ts) into events (key, member, event, at): `start` when a member is heard that held nothing,
-    `end` when its last word was longer than lease_ms ago (null: never). A word that is no newer than the member's last one is late and
-    changes nothing. Rows that stand in one batch count in the order of their times, whatever order they come in."""
+    """Turns rows (shelf, key, member, lease_ms, ts) into events (key, member, event, at): `start` when a member is heard that held
+    nothing, `end` when its last word was longer than lease_ms ago (null: never). A word that is no newer than the member's last one is
+    late and changes nothing. Rows that stand in one batch count in the order of their times, whatever order they come in. The state of
+    a shelf is what its keys' members hold, four numbers each, as bytes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "member long", "at long, until long")
-
-    def _rows(self, key: tuple, events: list[tuple[int, str, int]]) -> Iterator[pd.DataFrame]:
-        if events:
-            member, event, at = zip(*sorted(events, key=lambda e: (e[2], e[0], e[1])), strict=True)
-            yield pd.DataFrame({"key": [key[0]] * len(events), "member": member, "event": event, "at": pd.to_datetime(list(at), unit="ms")})
-
-    def _remind(self, before: list[int], until: list[int]) -> None:
-        """One timer a key, a millisecond beyond the first end. Which one stands follows from the ends before: no call is needed to know."""
-        old, first = min(before, default=NEVER), min(until, default=NEVER)
-        if old != first:
-            if old < NEVER:
-                self.handle.deleteTimer(old + 1)
+        self.held = handle.getValueState("held", "rows binary")
+
+    def _step(self, new: np.ndarray, now: int, gone: bool = False) -> Iterator[pd.DataFrame]:
+        """One timer a shelf, a millisecond beyond the first end. Which one stands follows from the ends before, unless it has gone off."""
+        value = self.held.get()
+        before = np.frombuffer(value[0], np.int64).reshape(-1, 4) if value else np.empty((0, 4), np.int64)
+        held, starts, ends = told(before, new, now)
+        if len(held):
+            self.held.update((held.tobytes(),))
+        elif len(before):
+            self.held.clear()
+        old, first = before[:, 3].min(initial=NEVER), held[:, 3].min(initial=NEVER)
+        if gone or old != first:
+            if old < NEVER and not gone:
+                self.handle.deleteTimer(int(old) + 1)
             if first < NEVER:
-                self.handle.registerTimer(first + 1)
+                self.handle.registerTimer(int(first) + 1)
+        if len(starts) + len(ends):
+            rows = np.concatenate([starts, ends])
+            yield pd.DataFrame({"key": rows[:, 0], "member": rows[:, 1], "event": ["start"] * len(starts) + ["end"] * len(ends), "at": pd.to_datetime(rows[:, 2], unit="ms")})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = {int(k[0]): (int(v[0]), int(v[1])) for k, v in self.held.iterator()}
-        before = dict(held)
-        events: list[tuple[int, str, int]] = []
         new = pd.concat(list(rows))
-        new = new.assign(ms=new.ts.astype("datetime64[ms]").astype("int64"), until=new.lease_ms.fillna(-1).astype("int64")).sort_values(["ms", "member", "until"])
-        for member, ms, lease in zip(new.member.tolist(), new.ms.tolist(), new.until.tolist(), strict=True):
-            at, until = held.get(member, (-1, -1))
-            if member in held and ms <= at:
-                continue
-            if member in held and ms > until:
-                events.append((member, "end", until))
-                del held[member]
-            if member not in held:
-                events.append((member, "start", ms))
-            held[member] = ms, ms + lease if lease >= 0 else NEVER
-        for member, value in held.items():
-            if before.get(member) != value:
-                self.held.updateValue((member,), value)
-        self._remind([until for _, until in before.values()], [until for _, until in held.values()])
-        yield from self._rows(key, events)
+        columns = new.key, new.member, new.ts.astype("datetime64[ms]").astype("int64"), new.lease_ms.fillna(-1)
+        yield from self._step(np.column_stack([c.to_numpy(np.int64) for c in columns]), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        held = {int(k[0]): int(v[1]) for k, v in self.held.iterator()}
-        over = {member: until for member, until in held.items() if until < now}
-        for member in over:
-            self.held.removeKey((member,))
-        self._remind([], [until for member, until in held.items() if member not in over])  # the timer that went off is gone
-        yield from self._rows(key, [(member, "end", until) for member, until in over.items()])
+        yield from self._step(np.empty((0, 4), np.int64), timerValues.getCurrentWatermarkInMs(), True)
 
     def close(self) -> None:
         pass
@@ -92,8 +103,8 @@ def leases(rows: DataFrame, key: str, member: str, lease_ms: Column, late: str)
     """Events (key, member, event, at) of a stream of rows (key, member, ts) of a stateful_session(), each of which lasts for lease_ms.
     Rows that come more than `late` behind the newest are dropped; rows without key, member or time too."""
     rows = rows.where(F.col(key).isNotNull() & F.col(member).isNotNull() & F.col("ts").isNotNull())
-    rows = rows.select(F.col(key).cast("long").alias("key"), F.col(member).cast("long").alias("member"), lease_ms.cast("long").alias("lease_ms"), "ts")
-    return rows.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(Leases(), EVENTS, "Append", "EventTime")
+    rows = rows.select(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(SHELVES)).alias("shelf"), F.col(key).cast("long").alias("key"), F.col(member).cast("long").alias("member"), lease_ms.cast("long").alias("lease_ms"), "ts")
+    return rows.withWatermark("ts", late).groupBy("shelf").transformWithStateInPandas(Leases(), EVENTS, "Append", "EventTime")
 
 
 def expiring_claims(claims: DataFrame, ttl_s: int, self_id: int | None = None, doc: str = "doc_id", node: str = "node_id", late: str = "1 minute") -> DataFrame:

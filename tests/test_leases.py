@@ -1,7 +1,9 @@
 """Leases: refreshed and late words, restarts from a checkpoint, members that never lapse."""
 
+import random
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from driftglass.session import scratch
@@ -62,3 +64,37 @@ def test_holders_after_the_events(spark):
     rows = [(1, 7, "start", at(0)), (1, 7, "end", at(9)), (1, 8, "start", at(0)), (1, 8, "end", at(5)), (1, 8, "start", at(5))]
     got = leases.holders_at(spark.createDataFrame(rows, leases.EVENTS)).collect()
     assert [(r["key"], r["member"], r["at"]) for r in got] == [(1, 8, at(5))]
+
+
+def test_keys_share_shelves(spark):
+    """No more state rows than shelves, however many keys: 3,000 keys, of which a third is refreshed and a third lapses."""
+    root = scratch(spark, "t")
+    first = [(k, 1, 0) for k in range(3000)]
+    got = run(spark, [first, [(k, 1, 50) for k in range(0, 3000, 3)], [(k, 1, 200) for k in range(1, 3000, 3)], [(9999, 1, 400)]], lambda s: leases.expiring_claims(s, 90, late="1 second"), root)
+    want = [(k, 1, "start", 0) for k in range(3000)] + [(k, 1, "end", 140 if k % 3 == 0 else 90) for k in range(3000)]
+    want += [(k, 1, e, t) for k in range(1, 3000, 3) for e, t in (("start", 200), ("end", 290))] + [(9999, 1, "start", 400)]
+    assert got == sorted(want, key=lambda e: (e[0], e[1], e[3], e[2]))
+    state = leases.stateful_session(spark).read.format("statestore").option("stateVarName", "held").option("batchId", 0).load(f"{root}/state")
+    assert 0 < state.count() <= leases.SHELVES
+
+
+def test_told_equals_words_one_by_one():
+    r = random.Random(5)
+    held = {}
+    table = np.empty((0, 4), np.int64)
+    for now in range(0, 400, 40):
+        words = [(r.randrange(3), r.randrange(3), now + r.randrange(60), r.choice([-1, 5, 30])) for _ in range(r.randrange(12))]
+        events = []
+        for key, member, at, lease in sorted(words, key=lambda w: (w[2], w[3])):
+            if (key, member) in held and at <= held[key, member][0]:
+                continue
+            if (key, member) in held and at > held[key, member][1]:
+                events.append((key, member, "end", held.pop((key, member))[1]))
+            if (key, member) not in held:
+                events.append((key, member, "start", at))
+            held[key, member] = at, at + lease if lease >= 0 else leases.NEVER
+        events += [(*k, "end", v[1]) for k, v in held.items() if v[1] < now]
+        held = {k: v for k, v in held.items() if v[1] >= now}
+        table, starts, ends = leases.told(table, np.array(words, np.int64).reshape(-1, 4), now)
+        got = [(k, m, "start", t) for k, m, t in starts.tolist()] + [(k, m, "end", t) for k, m, t in ends.tolist()]
+        assert sorted(got) == sorted(events) and sorted(table.tolist()) == sorted([*k, *v] for k, v in held.items())
