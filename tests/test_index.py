@@ -156,3 +156,32 @@ def test_int8_takes_what_is_no_number_along(spark):
     pairs = quantised.to_rescore(quantised.blocks(df), queries, 1)
     assert {r["vec_id"] for r in pairs.collect()} == {1, 2}
     assert quantised.blocks(df.limit(0)).count() == 0
+
+
+def test_words_are_counted_in_place(spark):
+    """No exchange before the postings' one: a document's words don't travel one by one, and postings of a window are grouped where they lie."""
+    index = postings.Index(spark, scratch(spark, "t"), 2, 4)
+    index.update(frame(spark, texts(40, 6)))
+    docs = spark.read.parquet(f"{index.root}/documents").select("doc_id", F.lit("kalban x9 kalban .").alias("text"))
+    plan = postings._forward(docs)
+    nodes = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in nodes and "Generate" not in nodes
+    assert {(r["len"], tuple(map(tuple, r["terms"]))) for r in plan.collect()} == {(3, (("kalban", 2), ("x9", 1)))}
+
+
+def test_what_a_change_does_to_postings(spark):
+    t = lambda **tf: [(k, v) for k, v in sorted(tf.items())]
+    rows = [(1, t(a=2, b=1), None), (2, None, t(a=1, c=4)), (3, t(a=2, b=1, d=1), t(a=1, b=1, c=4)), (4, [], [])]
+    df = spark.createDataFrame(rows, f"id int, new {postings._TERMS}, old {postings._TERMS}")
+    got = {r["id"]: [tuple(x) for x in r["d"]] for r in df.select("id", postings._difference(F.col("new"), F.col("old")).alias("d")).collect()}
+    assert got == {1: [("a", 2, 1), ("b", 1, 1)], 2: [("a", 0, -1), ("c", 0, -1)], 3: [("a", 2, 0), ("b", 1, 0), ("c", 0, -1), ("d", 1, 1)], 4: []}
+
+
+def test_increments_of_many_ids(spark, monkeypatch):
+    """Beyond the ids that are broadcast the whole index is looked through; the same comes out."""
+    monkeypatch.setattr(postings, "MOST_IDS", 3)
+    index = postings.Index(spark, scratch(spark, "t"), 2, 4)
+    index.update(frame(spark, [(i, "kalban mirfol") for i in range(30)]))
+    index.update(frame(spark, [(i, "lomdir") for i in range(10)]), frame(spark, [(i, None) for i in range(8, 15)]))
+    assert {r["term"]: r["df"] for r in index.frequencies().collect()} == {"kalban": 15, "mirfol": 15, "lomdir": 10}
+    assert index._counts() == (25, 40 / 25)
