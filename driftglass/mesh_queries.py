@@ -590,10 +590,13 @@ WHOLE = "SELECT doc_id, octet_length(encode(text)) AS bytes, sha256(encode(text)
 
 def _framed(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, part, data): the frames of whole texts; a long one's bytes go in several packets, whose number the frames carry."""
-    a_packet, raw = _FRAMES_A_PACKET * (_MTU - codec.FRAME_HEADER), F.encode("text", "UTF-8")
-    parts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length(raw) / a_packet).cast("int") - 1)))
-    rows = table(spark, d, "documents").select("doc_id", "text", parts.alias("part"))
-    return rows.select("doc_id", F.explode(codec.frames(F.substring(raw, F.col("part") * a_packet + 1, F.lit(a_packet)), F.col("part"), _MTU)).alias("f")).select("doc_id", "f.data")
+    a_packet, raw = _FRAMES_A_PACKET * (_MTU - codec.FRAME_HEADER), F.col("raw")
+    # Bytes and packets are columns of their own before they are cut: a function over an array would make them anew for each frame.
+    last = F.greatest(F.lit(0), F.ceil(F.octet_length(raw) / a_packet).cast("int") - 1)
+    packets = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("part"), F.substring(raw, i * a_packet + 1, F.lit(a_packet)).alias("packet")))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(F.encode("text", "UTF-8"))).alias("raw"))
+    rows = rows.select("doc_id", F.explode(packets).alias("p"))
+    return rows.select("doc_id", F.explode(codec.frames(F.col("p.packet"), F.col("p.part"), _MTU)).alias("f")).select("doc_id", "f.data")
 
 
 def _frame_fields(rows: DataFrame) -> DataFrame:

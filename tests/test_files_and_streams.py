@@ -46,6 +46,22 @@ def test_reassembly(spark, tmp_path):
     assert [(r["packet_key"], bytes(r["data"])) for r in got] == [("a", b"hello")]
 
 
+def test_reassembly_of_many_packets(spark, tmp_path, monkeypatch):
+    """Packets share states: as many calls as there are shelves, not as there are packets; each is whole, once, in its own order."""
+    from datetime import datetime
+
+    monkeypatch.setattr(jobs, "SHELVES", 4)
+    called = []
+    stateful = jobs._stateful
+    monkeypatch.setattr(jobs, "_stateful", lambda rows, key, *a: (called.append(key), stateful(rows, key, *a))[1])
+    t = datetime(2024, 1, 1)
+    rows = [(f"{p}:0", i, p % 5 + 1, bytearray(f"{p}.{i};".encode()), t) for p in range(300) for i in range(p % 5 + 1) if (p, i) != (7, 1)]
+    rows += [("8:0", 0, 4, bytearray(b"8.0;"), t), ("9:0", 4, 2, bytearray(b"odd"), t), ("9:0", -1, 5, bytearray(b"odd"), t)]
+    got = streamed(spark, tmp_path, rows, "packet_key string, idx int, cnt int, body binary, ts timestamp", jobs.reassembled_packets, parts=3)
+    assert called == ["shelf"]
+    assert sorted((r["packet_key"], bytes(r["data"]).decode(), r["n"]) for r in got) == sorted((f"{p}:0", "".join(f"{p}.{i};" for i in range(p % 5 + 1)), p % 5 + 1) for p in range(300) if p != 7)
+
+
 def test_routes_outbox_collection(spark, tmp_path):
     from datetime import datetime, timedelta
 
