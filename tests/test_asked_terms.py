@@ -3,11 +3,13 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftglass.functions import text
-from driftglass.operators import lexical
+from driftglass.functions import hashing, text, vectors
+from driftglass.operators import lexical, search
 from driftglass.queries import ORACLES, QUERIES
 
 ODD = ["", None, "a the of", "burn burn burn", "cool the burn. under\twater\x1cnow", "KKelvin été x y z", "日本 burn water", "wound. wound", "W" * 300 + " burn"]
@@ -61,3 +63,15 @@ def test_words_as_they_were_cut_before(spark):
     df = spark.createDataFrame([(t,) for t in [*ODD, "i. a.b ..", "İstanbul", "x" * 5000 + "-y1"]], "t string")
     old = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), r"[^a-z0-9\s.]", " "), r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(*text.STOP_WORDS))
     assert all(r["a"] == r["b"] for r in df.select(old.alias("a"), text.tokenize(F.col("t")).alias("b")).collect())
+
+
+def test_vectors_of_any_words():
+    """Words beyond ASCII, very long ones, and slices of a batch."""
+    texts = [["skipped"], ["ab", "été", "burning", "burning"], [], ["x" * 700, "日本語テキスト", "burn"], ["q" * 9] * 40]
+    got = search.unit_vectors(pa.array(texts, pa.list_(pa.string())).slice(1))
+    for words, v in zip(texts[1:], got, strict=True):
+        want = np.zeros(vectors.EMBED_DIM)
+        features = [(w, 1.0) for w in words] + [(f"{a} {b}", 0.7) for a, b in zip(words, words[1:], strict=False)] + [(w[i : i + 4], 0.35) for w in words for i in range(len(w) - 3)]
+        for (f, weight), h, s in zip(features, hashing.fnv1a_of([f for f, _ in features]), hashing.fnv1a_of([f for f, _ in features], hashing.SIGN_SEED), strict=True):
+            want[h % vectors.EMBED_DIM] += weight if s % 2 == 0 else -weight
+        assert np.allclose(v, want / (np.linalg.norm(want) or 1), atol=1e-12)
