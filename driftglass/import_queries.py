@@ -12,18 +12,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from driftglass.queries import _entities, _html, query
-from driftglass.session import scratch, table
+from driftglass.session import beside, scratch, table
 from driftglass.sources import files, imports
 
 
+class _Rtf(dict):
+    """What RTF has for a character, by its code point; each is worked out once."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        units = c.encode("utf-16-be", "surrogatepass")
+        plain = {"\n": "\\par ", "\\": "\\\\", "{": "\\{", "}": "\\}"}.get(c) or (c if " " <= c < "\x7f" or c == "\t" else None)
+        self[code] = plain or "".join(f"\\u{int.from_bytes(units[i : i + 2], signed=True)}?" for i in range(0, len(units), 2))
+        return self[code]
+
+
+_RTF = _Rtf()
+
+
 def as_rtf(text: str) -> bytes:
     """A text as RTF: line ends as paragraphs, characters beyond ASCII as numbers of their UTF-16 units."""
-    out = []
-    for c in text:
-        units = c.encode("utf-16-be")
-        plain = {"\n": "\\par ", "\\": "\\\\", "{": "\\{", "}": "\\}"}.get(c) or (c if " " <= c < "\x7f" or c == "\t" else None)
-        out.append(plain or "".join(f"\\u{int.from_bytes(units[i : i + 2], signed=True)}?" for i in range(0, len(units), 2)))
-    return ("{\\rtf1\\ansi{\\fonttbl{\\f0 Times;}}" + "".join(out) + "}").encode("ascii")
+    return ("{\\rtf1\\ansi{\\fonttbl{\\f0 Times;}}" + text.translate(_RTF) + "}").encode("ascii")
 
 
 def as_office(text: str, title: str) -> bytes:
@@ -51,12 +60,16 @@ def _ending() -> Column:
     return F.array(*map(F.lit, ENDINGS))[F.pmod("doc_id", F.lit(len(ENDINGS))).cast("int")]
 
 
+#: Rows that a Python worker holds at once while files are written: texts, files and their copies are in memory several times over.
+FILES_AT_ONCE = "256"
+
+
 def _folder(spark: SparkSession, d: str) -> str:
     """A folder with all documents and pages as files."""
-    folder = scratch(spark, "imports")
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _ending().alias("ending"), F.coalesce("source", F.lit("")).alias("source"))
+    folder, own = scratch(spark, "imports"), beside(spark, spark__sql__execution__arrow__maxRecordsPerBatch=FILES_AT_ONCE)
+    docs = table(own, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _ending().alias("ending"), F.coalesce("source", F.lit("")).alias("source"))
     imports.exported(docs.select(F.concat_ws(".", "doc_id", "ending").alias("filename"), _written("text", "ending", "source").alias("raw")), folder)
-    imports.exported(table(spark, d, "pages").select(F.concat(F.lit("page-"), "page_id", F.lit(".html")).alias("filename"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("raw")), f"{folder}/pages")
+    imports.exported(table(own, d, "pages").select(F.concat(F.lit("page-"), "page_id", F.lit(".html")).alias("filename"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("raw")), f"{folder}/pages")
     return folder
 
 
@@ -78,7 +91,7 @@ def imported_files(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_IMPORTED} SELECT filename, length(coalesce(text, '')) AS chars, title FROM found WHERE filename NOT LIKE 'page-%'")
 def extracted_files(spark: SparkSession, d: str) -> DataFrame:
     """The documents among the files, through Spark's own reader of binary files."""
-    rows = files.extracted(files.imported(spark, _folder(spark, d) + "/*.*"))
+    rows = files.extracted(files.imported(spark, _folder(spark, d)))
     return rows.select("filename", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), "title")
 
 

@@ -18,10 +18,10 @@ from pyspark.sql.types import StructType
 
 from driftglass.functions.text import SIGNATURES
 from driftglass.session import beside
-from driftglass.sources.files import MOST_BYTES, cleaned, read_text
+from driftglass.sources.files import MOST_BYTES, TO_OPEN, cleaned, read_text
 
-#: Bytes of files that a task reads at most (but for one larger file), what opening one counts for, and characters that it hands over at once.
-A_TASK, TO_OPEN, AT_ONCE = 64 << 20, 64 << 10, 4 << 20
+#: Bytes of files that a task reads at most (but for one larger file), and characters that it hands over at once.
+A_TASK, AT_ONCE = 64 << 20, 4 << 20
 SCHEMA = "path string, filename string, length long, format string, raw_text string, raw_title string, error string"
 _ARROW = pa.schema([("path", pa.string()), ("filename", pa.string()), ("length", pa.int64()), ("format", pa.string()), ("raw_text", pa.string()), ("raw_title", pa.string()), ("error", pa.string())])
 

@@ -6,6 +6,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringContains, Str
 
 from driftglass.import_queries import as_office, as_rtf
 from driftglass.session import scratch
+from driftglass import import_queries
 from driftglass.sources import files, imports
 
 HARD = ["plain", "a {brace} and \\ back", "tab\tin line\nnext\n\nafter a gap", "naïve — café “q”", "astral \U0001f600\U0001f680 end", "  lead and trail  ", "5 < 6 & 7 > 2 &amp; &lt;", "日本語"]
@@ -72,3 +73,26 @@ def test_tasks_are_planned_by_bytes(tmp_path, monkeypatch):
         (tmp_path / name).write_bytes(bytes(size))
     dealt = lambda most: [[p.rsplit("/", 1)[1] for p, _ in t.paths] for t in imports.ImportReader(f"file://{tmp_path}", most).partitions()]
     assert dealt(10_000) == [["a", "b"], ["c"], ["d"], ["e"]] and dealt(1000) == [["a", "b"], ["c", "d", "e"]]  # what isn't read costs little
+
+
+def test_small_files_are_listed_once_and_share_tasks(spark, tmp_path):
+    """Spark's own cost of opening a file puts 32 of them in a task."""
+    for i in range(400):
+        (tmp_path / f"{i}.txt").write_text(f"file {i}")
+    rows = files.extracted(files.imported(spark, str(tmp_path)))
+    assert rows.rdd.getNumPartitions() <= 5 and rows.count() == 400
+
+
+def test_files_are_written_few_at_a_time(spark, monkeypatch):
+    """A worker's memory has a bounded number of texts and files, however many its partition has."""
+    asked = []
+    exported = imports.exported
+    monkeypatch.setattr(imports, "exported", lambda rows, folder: (asked.append(rows.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), exported(rows, folder))[1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    import_queries._folder(spark, "/root/testdata/sf0.001")
+    assert asked == ["256", "256"] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_rtf_of_every_kind_of_character():
+    text = "a\\b{c}\n\t\x7f\x00\r~ é日😀"
+    assert import_queries.as_rtf(text) == b"{\\rtf1\\ansi{\\fonttbl{\\f0 Times;}}a\\\\b\\{c\\}\\par \t\\u127?\\u0?\\u13?~ \\u233?\\u26085?\\u-10179?\\u-8704?}"
