@@ -457,7 +457,7 @@ def meta_evictions(spark: SparkSession, d: str) -> DataFrame:
 known AS (SELECT p_partkey AS doc_key, p_brand AS title, 0 AS origin_id FROM part WHERE p_size > 30), f AS (SELECT doc_key, arg_min((title, origin_id, authorship), arrival) AS r FROM a WHERE doc_key NOT IN (SELECT doc_key FROM known) GROUP BY 1)
 SELECT doc_key, title, origin_id, 'unsigned' AS authorship, NULL AS author_key, 'local' AS provenance FROM known UNION ALL SELECT doc_key, r[1], r[2], r[3], CASE WHEN r[3] = 'verified' THEN 'k' || r[2] END, CASE WHEN r[2] = 5 THEN 'local' ELSE 'mesh' END FROM f""")
 def document_admission(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.get(F.array(F.lit("verified"), F.lit("unsigned"), F.lit("forged")), F.col("l_linenumber") % 3)
+    kind = F.coalesce(F.get(F.array(F.lit("verified"), F.lit("unsigned")), F.col("l_linenumber") % 3), F.lit("forged"))
     told = table(spark, d, "lineitem").select(F.col("l_partkey").alias("doc_key"), F.col("l_returnflag").alias("title"), F.col("l_suppkey").alias("origin_id"), kind.alias("authorship"), F.concat(F.lit("k"), F.col("l_suppkey").cast("string")).alias("author_key"), F.lit("s").alias("sig"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("arrival"), F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
     known = table(spark, d, "part").where("p_size > 30").select(F.col("p_partkey").alias("doc_key"), F.col("p_brand").alias("title"), F.lit(0).cast("long").alias("origin_id"), F.lit("unsigned").alias("authorship"), F.lit(None).cast("string").alias("author_key"), F.lit("local").alias("provenance"))
     return placement.admitted_documents(known, told, 5)

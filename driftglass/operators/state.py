@@ -69,10 +69,15 @@ def newest(log: DataFrame, key: str, version: str, arrival: str) -> DataFrame:
 def inserted_or_ignored(existing: DataFrame, new: DataFrame, key: str, *arrival: str) -> DataFrame:
     """existing plus the new rows of keys that it lacks; of several, the one that came first (by the columns `arrival`, which are none
     of existing)."""
+    return existing.unionByName(first_lacking(existing, new, key, *arrival))
+
+
+def first_lacking(existing: DataFrame, new: DataFrame, key: str, *arrival: str) -> DataFrame:
+    """What inserted_or_ignored() adds to existing. A key whose rows have no arrival at all gets nulls."""
     rest = [c for c in existing.columns if c != key]
     order = F.when(F.col(arrival[0]).isNotNull(), F.struct(*arrival))
     first = new.join(existing, key, "left_anti").groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_row"))
-    return existing.unionByName(first.select(key, "_row.*").select(*existing.columns))
+    return first.select(key, "_row.*").select(*existing.columns)
 
 
 def looked_up(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
