@@ -11,7 +11,8 @@
 4. In each such shard every vector is searched for over the united lists, greedily from the shard's medoid; the search then expands
    through all that it finds in range (and a little beyond), q among them, which the pruning's ALPHA makes complete (see graph()). What
    it finds is verified by the cosine in double precision. A tight shard, where lists would be cut, and a large one that can't be dealt
-   out further, whose members come as pairs of blocks, are compared throughout, which there takes less than the lists would.
+   out further are compared throughout, which there takes less than the lists would: strip by strip, as pairs of blocks of WIDE bytes,
+   so that few copies of a vector travel.
 5. Each shard adds a spanning forest of its links to the components; links are never expanded. Recall is audited against brute force.
 """
 
@@ -27,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.llm.common import staged, table, with_group
-from driftglass.llm.components import components
+from driftglass.llm.common import released, staged, table, with_group
+from driftglass.llm.components import components, least_reached
 from driftglass.llm.minhash import in_blocks
 
 SIMILAR = 0.98
@@ -40,6 +41,9 @@ SAMPLE, SAMPLE_BYTES, SHARD, BLOCK = 40_000, 64 << 20, 300, 1024
 #: Classes of a shard that is dealt out again, rows that its own centroids are fitted on, levels at most, and classes that a task
 #: assigns at a time.
 DEEP, DEEP_SAMPLE, LEVELS, ASSIGN = 4096, 3000, 3, 4096
+#: Bytes of a block's vectors where a shard is compared throughout, cosines that are computed at a time there, how often centroids may
+#: place a class on average (or as often as its blocks would), and shards whose sizes are broadcast at most.
+WIDE, STRIP, SPREAD, MOST_SHARDS = 32 << 20, 4 << 20, 2, 100_000
 #: Vectors whose links are counted by brute force to measure recall.
 AUDITED = 512
 #: Neighbours, slack of the pruning, width of the greedy search, and how far below the range it goes on expanding.
@@ -56,7 +60,8 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     """vectors (vec_id, embedding, label) that are usable, with `key`, a 128-bit hash of label and components."""
     rows = vectors.where(usable(F.col("embedding"), F.col("label")) & F.col("vec_id").isNotNull())
     one, two = F.xxhash64("label", "embedding"), F.xxhash64(F.lit(7), "label", "embedding")
-    return rows.select(F.col("vec_id").cast("long"), "label", F.col("embedding").cast("array<double>"), F.struct(one.alias("a"), two.alias("b")).alias("key"))
+    narrow = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # floats are half the bytes; all arithmetic is in double
+    return rows.select(F.col("vec_id").cast("long"), "label", F.col("embedding").cast("array<float>" if narrow else "array<double>"), F.struct(one.alias("a"), two.alias("b")).alias("key"))
 
 
 def unit(rows: list) -> np.ndarray:
@@ -68,7 +73,7 @@ def unit(rows: list) -> np.ndarray:
 def fit_centroids(sample: pd.DataFrame, total: int, shard: int = SHARD) -> dict[tuple, np.ndarray]:
     """Spherical k-means by (label, dimension): about a centroid for each `shard` of all classes, never more than a tenth of the
     sample's rows. Of centroids within two CHORDs, which would share all that they have, one stays. None where blocks of the
-    whole label place no more rows than the shards would."""
+    whole label compare no more rows than the shards would, or where shards would hold classes too often (see SPREAD)."""
     out = {}
     for at, rows in sample.groupby(["label", sample.embedding.map(len)]):
         v = unit(rows.embedding.tolist())
@@ -88,7 +93,9 @@ def fit_centroids(sample: pd.DataFrame, total: int, shard: int = SHARD) -> dict[
         c = c[stay]
         some = v[:2000]
         sizes = np.bincount(np.concatenate(shards_of(some, c)), minlength=len(c)) * own / len(some)
-        if len(c) > 1 and (sizes * np.ceil(sizes / BLOCK)).sum() < own * np.ceil(own / BLOCK):
+        wide = max(1, WIDE // (8 * v.shape[1]))
+        placed = (sizes * np.ceil(sizes / wide)).sum() <= max(SPREAD * own, own * np.ceil(own / wide))
+        if len(c) > 1 and placed and (sizes * np.ceil(sizes / BLOCK)).sum() < own * np.ceil(own / BLOCK):
             out[at] = c
     return out
 
@@ -172,6 +179,38 @@ def linked(v: np.ndarray, lists: list[np.ndarray] | None) -> np.ndarray:
     return hit
 
 
+def linked_throughout(v: np.ndarray, one: np.ndarray, two: np.ndarray, home: np.ndarray, full: int, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows `one` with rows `two` (which are the same, or have none in common), where one of a pair is at home: each
+    row's links, by copies, and the least row that it reaches. Cosines are computed by strips in single precision; those that this leaves
+    open, in double."""
+    single, margin = v.astype(np.float32), 1e-6 + 2.4e-7 * v.shape[1]
+    links, top = np.zeros(len(v), np.int64), np.arange(len(v))
+    same = one is two
+    at = 0
+    while at < len(one):
+        others = two[at:] if same else two
+        rows = one[at : at + max(1, STRIP // max(1, len(others)))]
+        near = single[rows] @ single[others].T
+        a, b = np.divmod(np.flatnonzero(near >= SIMILAR - margin), max(1, len(others)))
+        keep = b > a if same else np.ones(len(a), bool)
+        open_ = np.flatnonzero(keep & (near[a, b] < SIMILAR + margin))
+        for i in range(0, len(open_), BLOCK):
+            part = open_[i : i + BLOCK]
+            keep[part] = (v[rows[a[part]]] * v[others[b[part]]]).sum(1) >= SIMILAR
+        a, b = rows[a[keep]], others[b[keep]]
+        keep = (home[a] | home[b]) == full
+        a, b = a[keep], b[keep]
+        links += np.bincount(a, copies[b], len(v)).astype(np.int64) + np.bincount(b, copies[a], len(v)).astype(np.int64)
+        apart = top[a] != top[b]
+        if apart.any():
+            nodes, least = least_reached(top[a[apart]], top[b[apart]])
+            now = np.arange(len(v))
+            now[nodes] = least
+            top = now[top]
+        at += len(rows)
+    return links, top
+
+
 def united(own: DataFrame) -> DataFrame:
     """(rep, near): of lists (rep, near) from several shards all that a class has in any."""
     flat = own.where("near is not null").select("rep", F.explode("near").alias("other")).distinct()
@@ -245,10 +284,11 @@ def medoid(v: np.ndarray) -> int:
 
 def _placed(classes: DataFrame, centroids: dict[tuple, np.ndarray]) -> DataFrame:
     """classes, a row for each of its shards (and pairs of blocks), and whether it is at home there."""
+    vectors = classes.schema["embedding"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, rows = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            labels, rows = batch.column(1).to_pylist(), [x.values.to_numpy() for x in batch.column(2)]
             out: list[list[int]] = [[] for _ in rows]
             by: dict[tuple, list[int]] = {}
             for i, (label, row) in enumerate(zip(labels, rows, strict=True)):
@@ -258,26 +298,36 @@ def _placed(classes: DataFrame, centroids: dict[tuple, np.ndarray]) -> DataFrame
                     out[i] = s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "shards"])
 
-    rows = classes.select("rep", "label", "embedding", "copies").mapInArrow(assign, "rep long, label int, embedding array<double>, copies long, shards array<int>")
+    rows = classes.select("rep", "label", "embedding", "copies").mapInArrow(assign, f"rep long, label int, embedding {vectors}, copies long, shards array<int>")
     rows = rows.select("rep", "label", "embedding", "copies", F.posexplode("shards").alias("at", "s")).withColumns({"home": (F.col("at") == 0).cast("int"), "dim": F.size("embedding")})
-    rows = _sized(rows.withColumn("shard", F.xxhash64("label", "dim", "s")).drop("at", "s"))
-    full = 1
+    rows, most = _sized(rows.withColumn("shard", F.xxhash64("label", "dim", "s")).drop("at", "s"))
+    full, before = 1, None
     for level in range(1, LEVELS):
-        rows = staged(rows, "vector-shards")
-        if rows.where(F.col("n") > DEEP).isEmpty():
+        if most <= DEEP or (deeper := _deeper(rows, level)) is None:
             break
-        rows, full = _sized(_deeper(rows, level).drop("n")), full | 1 << level
-    rows = in_blocks(rows.withColumn("full", F.lit(full)), "shard", F.col("rep"), F.col("n"), BLOCK)
-    return rows.withColumn("side", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    return with_group(rows, "shard", F.col("rep"), n=(F.sum, F.lit(1)))
-
-
-def _deeper(rows: DataFrame, level: int) -> DataFrame:
+        deeper = staged(deeper, "vector-shards")
+        if before is not None:
+            released(before)
+        before, (rows, most), full = deeper, _sized(deeper.drop("n")), full | 1 << level
+    wide = WIDE // 8
+    size = F.when(F.col("n") <= BLOCK, F.lit(1).cast("long")).otherwise(F.col("n") * F.col("dim"))
+    rows = in_blocks(rows.withColumn("full", F.lit(full)), "shard", F.col("rep"), size, wide)
+    return rows.withColumn("side", F.pmod(F.xxhash64("rep"), F.ceil(size / wide)).cast("int"))
+
+
+def _sized(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows with n, how many their shard has, and the greatest n. Vectors stay where they are, unless shards are very many."""
+    sizes = staged(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), "vector-sizes")
+    shards, most = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
+    if shards <= MOST_SHARDS:
+        return rows.join(F.broadcast(sizes), "shard"), most or 0
+    return with_group(rows, "shard", F.col("rep"), n=(F.sum, F.lit(1))), most
+
+
+def _deeper(rows: DataFrame, level: int) -> DataFrame | None:
     """rows (rep, label, embedding, copies, home, dim, shard, n) with the shards of more than DEEP classes dealt out again, and bit
-    `level` of home set where a class is at home there. Where a shard is too tight for centroids of its own, it stays."""
+    `level` of home set where a class is at home there. Where a shard is too tight for centroids of its own, it stays; None where
+    all stay."""
     bit = 1 << level
     large = rows.where(F.col("n") > DEEP)
 
@@ -286,26 +336,29 @@ def _deeper(rows: DataFrame, level: int) -> DataFrame:
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n": [pdf.n.iloc[0]], "centroids": [found[0].ravel().tolist() if found else None]})
 
     sample = large.where(F.pmod(F.xxhash64("rep", F.lit(level)), F.col("n")) < DEEP_SAMPLE)
-    fitted = staged(sample.select("label", "embedding", "shard", "n").groupBy("shard").applyInPandas(fit, "shard long, n long, centroids array<double>"), "vector-centroids")
+    fitted = staged(sample.select("label", "embedding", "shard", "n").groupBy("shard").applyInPandas(fit, "shard long, n long, centroids array<double>"), "vector-centroids").where("centroids is not null")
+    if (found := fitted.count()) == 0:
+        return None
     parts = F.ceil(F.col("n") / ASSIGN).cast("int")
     centers = fitted.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("shard", "part", "centroids")
+    divided = fitted.select("shard")
+    divided = F.broadcast(divided) if found <= MOST_SHARDS else divided
 
     def assign(members: pd.DataFrame, center: pd.DataFrame) -> pd.DataFrame:
-        flat = center.centroids.iloc[0] if len(center) else None
-        if flat is None or not len(members):
-            return members.drop(columns="part").assign(home=members.home | bit)
+        if not len(members):
+            return members.drop(columns="part")
         v = unit(members.embedding.tolist())
-        shards = shards_of(v, np.array(flat).reshape(-1, v.shape[1]))
+        shards = shards_of(v, np.array(center.centroids.iloc[0]).reshape(-1, v.shape[1]))
         at = np.repeat(np.arange(len(v)), [len(s) for s in shards])
         first = np.concatenate([[bit] + [0] * (len(s) - 1) for s in shards])
         sub = np.concatenate(shards)
         out = members.iloc[at].drop(columns="part")
         return out.assign(home=out.home.to_numpy() | first, shard=[hash_of(s, int(c)) for s, c in zip(out["shard"], sub, strict=True)])
 
-    own = large.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    own = large.join(divided, "shard", "left_semi").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     dealt = own.groupBy("shard", "part").cogroup(centers.groupBy("shard", "part")).applyInPandas(assign, schema)
-    return rows.where(F.col("n") <= DEEP).withColumn("home", F.col("home").bitwiseOR(F.lit(bit))).unionByName(dealt)
+    return rows.join(divided, "shard", "left_anti").withColumn("home", F.col("home").bitwiseOR(F.lit(bit))).unionByName(dealt)
 
 
 def hash_of(shard: int, sub: int) -> int:
@@ -322,9 +375,10 @@ def near_vectors(vectors: DataFrame, *, audited: int = 0) -> tuple[DataFrame, fl
 
     Only rows of equal labels are compared. Vectors that are null, empty, zero or not finite throughout, null labels and vectors
     of other dimensions link with nothing; so do null vec_ids (component null, kept). Repeated rows: each is a vector of its own
-    to n_links. Ties don't arise. Empty table: no rows. Extra columns, whatever their names, are left out.
+    to n_links. Ties don't arise. Empty table: no rows. Extra columns, whatever their names, are left out. vectors is read three
+    times: staged, or cheap to compute.
     """
-    rows = staged(classes_of(vectors), "vectors")
+    rows = classes_of(vectors)
     classes = rows.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("label").cast("int").alias("label"), F.any_value("embedding").alias("embedding"))
     # A vec_id may stand in rows of several vectors: a class is known by a number of its own.
     classes = staged(classes.select("key", F.col("rep").alias("least"), "copies", "label", "embedding", F.monotonically_increasing_id().alias("rep")), "vector-classes")
@@ -340,24 +394,32 @@ def near_vectors(vectors: DataFrame, *, audited: int = 0) -> tuple[DataFrame, fl
         return pd.DataFrame({"shard": pdf["shard"].iloc[0], "i": at["i"], "j": at["j"], "rep": ids[: len(near)], "near": near})
 
     def search(pdf: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        v, ids, home, sides = unit(pdf.embedding.tolist()), pdf.rep.to_numpy(), pdf.home.to_numpy(), pdf.side.to_numpy()
-        near = None if pdf.n.iloc[0] > BLOCK or lists.tight.any() else local(ids, dict(zip(lists.rep.tolist(), lists.near.tolist(), strict=True)))
+        v, ids, home = unit(pdf.embedding.tolist()), pdf.rep.to_numpy(), pdf.home.to_numpy()
+        near = None if lists.tight.any() else local(ids, dict(zip(lists.rep.tolist(), lists.near.tolist(), strict=True)))
         hit = linked(v, near) & ((home[:, None] | home) == pdf.full.iloc[0])
-        if pdf.i.iloc[0] != pdf.j.iloc[0]:
-            hit &= sides[:, None] != sides
         links, edges = hit @ pdf.copies.to_numpy(np.int64), forest(hit)
         out = pd.DataFrame({"rep": ids, "n_links": links, "other": [ids[edges[i]].tolist() if i in edges else None for i in range(len(v))]})
         return out[out.n_links > 0]
 
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, sides, at = pdf.rep.to_numpy(), pdf.side.to_numpy(), pdf.ij.iloc[0]
+        one = np.flatnonzero(sides == at["i"])
+        two = one if at["i"] == at["j"] else np.flatnonzero(sides == at["j"])
+        links, top = linked_throughout(unit(pdf.embedding.tolist()), one, two, pdf.home.to_numpy(), int(pdf.full.iloc[0]), pdf.copies.to_numpy())
+        out = pd.DataFrame({"rep": ids, "n_links": links, "other": [[int(ids[t])] if t != i else None for i, t in enumerate(top.tolist())]})
+        return out[out.n_links > 0]
+
     listed = placed.where(F.col("n") <= BLOCK)
     built = listed.select(*GROUP, "rep", "embedding").groupBy(*GROUP).applyInPandas(build, "shard long, i int, j int, rep long, near array<long>")
     built = staged(built, "vector-lists")
-    members = placed.select("shard", "ij.i", "ij.j", "n", "full", "side", "home", "rep", "embedding", "copies")
+    members = listed.select("shard", "ij.i", "ij.j", "full", "home", "rep", "embedding", "copies")
     known = listed.select(F.col("shard").alias("of"), F.col("ij.i").alias("one"), F.col("ij.j").alias("two"), F.col("rep").alias("node")).join(united(built).withColumnRenamed("rep", "node"), "node")
     known = known.select("of", "one", "two", F.col("node").alias("rep"), "near", F.lit(False).alias("tight"))
     tight = built.where("near is null").select("shard", "i", "j", "rep", "near", F.lit(True))  # a row for each group that lists can't hold
     dealt = known.union(tight).groupBy("of", "one", "two")
     got = members.groupBy("shard", "i", "j").cogroup(dealt).applyInPandas(search, "rep long, n_links long, other array<long>")
+    wide = placed.where(F.col("n") > BLOCK).select(*GROUP, "full", "side", "home", "rep", "embedding", "copies")
+    got = got.unionByName(wide.groupBy(*GROUP).applyInPandas(compare, "rep long, n_links long, other array<long>"))
     got = staged(got, "vector-links")
     links = got.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     tops = components(got.select(F.col("rep").alias("a"), F.explode("other").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("top"))

@@ -757,3 +757,39 @@ def test_hot_lines(spark, monkeypatch):
     for hot in (0, 10):  # none hot, some hot
         monkeypatch.setattr(line_dedup, "HOT", hot)
         assert sorted(map(tuple, line_dedup.dedup_lines(docs).select("doc_id", "text", "n_dropped").collect())) == plain
+
+
+def test_wide_shards_send_few_copies(spark, monkeypatch):
+    """A shard that no centroids divide is compared throughout: each vector goes to its pairs of blocks of WIDE bytes, in its own type."""
+    r = np.random.default_rng(11)
+    v = np.concatenate([r.normal(size=(2000, 64)), (r.normal(size=64) + r.normal(size=(400, 64)) * 0.1), np.repeat(r.normal(size=(100, 64)), 3, 0) + r.normal(size=(300, 64)) * 0.05])
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    classes = embedding_dedup.classes_of(df).selectExpr("vec_id as rep", "label", "embedding", "1L as copies")
+    placed = embedding_dedup._placed(classes, {})
+    assert placed.count() == len(v) and dict(placed.dtypes)["embedding"] == "array<float>"
+    got, want, groups = vector_links(spark, v)
+    assert got == want
+    monkeypatch.setattr(embedding_dedup, "WIDE", 500 * 64 * 8)
+    monkeypatch.setattr(embedding_dedup, "STRIP", 5000)
+    assert embedding_dedup._placed(classes, {}).count() == 6 * len(v)
+    again, want, same = vector_links(spark, v)
+    assert again == want and same == groups
+
+
+def test_throughout_at_the_threshold():
+    """What single precision leaves open is decided in double; a pair counts where one of the two is at home."""
+    r = np.random.default_rng(12)
+    a = embedding_dedup.unit(r.normal(size=(300, 16)).tolist())
+    away = embedding_dedup.unit([x - (x @ y) * y for x, y in zip(r.normal(size=(300, 16)), a)])
+    cos = 0.98 + r.choice([-1e-9, 1e-9, 1e-3, -1e-3], 300)
+    v = np.concatenate([a, cos[:, None] * a + np.sqrt(1 - cos[:, None] ** 2) * away])
+    true = (v @ v.T >= 0.98) & ~np.eye(600, dtype=bool)
+    home, copies = np.arange(600) % 4, r.integers(1, 5, 600)
+    at_home = true & ((home[:, None] | home) == 3)
+    every, half = np.arange(600), np.arange(300)
+    links, top = embedding_dedup.linked_throughout(v, every, every, home, 3, copies)
+    assert (links == at_home @ copies).all() and all(top[i] == top[j] for i, j in np.argwhere(at_home)) and len(set(top)) == 600 - np.triu(at_home).sum()
+    links, _ = embedding_dedup.linked_throughout(v, half, half + 300, home * 0, 0, copies)
+    cross = true & ((every[:, None] < 300) != (every < 300))
+    assert (links == cross @ copies).all()
