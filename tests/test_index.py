@@ -185,3 +185,28 @@ def test_increments_of_many_ids(spark, monkeypatch):
     index.update(frame(spark, [(i, "lomdir") for i in range(10)]), frame(spark, [(i, None) for i in range(8, 15)]))
     assert {r["term"]: r["df"] for r in index.frequencies().collect()} == {"kalban": 15, "mirfol": 15, "lomdir": 10}
     assert index._counts() == (25, 40 / 25)
+
+
+def test_an_increment_is_held_on_disk_few_documents_at_a_time(spark, monkeypatch):
+    """What executors hold of an increment's changes doesn't grow with it, and what it staged goes."""
+    from pyspark import StorageLevel
+
+    held, write = [], postings.Index._write
+    monkeypatch.setattr(postings.Index, "_write", lambda self, changes, *a, **b: (write(self, changes, *a, **b), held.append((changes.storageLevel, changes.sparkSession.conf.get("spark.sql.inMemoryColumnarStorage.batchSize"), memory(spark)))))
+    staged = []
+    monkeypatch.setattr(postings, "staged", lambda df, name, f=postings.staged: (staged.append(f(df, name)), staged[-1])[1])
+    before = spark.conf.get("spark.sql.inMemoryColumnarStorage.batchSize")
+    index = postings.Index(spark, scratch(spark, "t"), 4)
+    index.update(frame(spark, texts(300, 1)))
+    index.update(frame(spark, texts(200, 2)), frame(spark, [(250, None)]))
+    assert held[1] == (StorageLevel.DISK_ONLY, postings.HELD_AT_ONCE, 0) and spark.conf.get("spark.sql.inMemoryColumnarStorage.batchSize") == before
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    assert len(staged) == 2 and not any(at(x._folder).getFileSystem(spark._jsc.hadoopConfiguration()).exists(at(x._folder)) for x in staged)
+    assert index._counts()[0] == 299
+    read = index.documents().sparkSession.conf
+    assert read.get("spark.sql.parquet.columnarReaderBatchSize") == postings.READ_AT_ONCE
+
+
+def memory(spark):
+    """Bytes of memory that held tables take."""
+    return sum(x.memSize() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo())
