@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from driftglass.queries import _entities, _html, query
-from driftglass.session import beside, scratch, table
+from driftglass.session import beside, scratch, staged, table
 from driftglass.sources import files, imports
 
 
@@ -62,14 +62,19 @@ def _ending() -> Column:
 
 #: Rows that a Python worker holds at once while files are written: texts, files and their copies are in memory several times over.
 FILES_AT_ONCE = "256"
+#: Folders of files that Spark's reader is given at once: it has a record of each file in the driver's memory.
+FOLDERS_AT_ONCE = 16
 
 
 def _folder(spark: SparkSession, d: str) -> str:
-    """A folder with all documents and pages as files."""
+    """A folder with all documents and pages as files, in folders of about imports.A_FOLDER."""
     folder, own = scratch(spark, "imports"), beside(spark, spark__sql__execution__arrow__maxRecordsPerBatch=FILES_AT_ONCE)
-    docs = table(own, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _ending().alias("ending"), F.coalesce("source", F.lit("")).alias("source"))
-    imports.exported(docs.select(F.concat_ws(".", "doc_id", "ending").alias("filename"), _written("text", "ending", "source").alias("raw")), folder)
-    imports.exported(table(own, d, "pages").select(F.concat(F.lit("page-"), "page_id", F.lit(".html")).alias("filename"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("raw")), f"{folder}/pages")
+    docs, pages = table(own, d, "documents"), table(own, d, "pages")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _ending().alias("ending"), F.coalesce("source", F.lit("")).alias("source"))
+    texts = texts.select(F.concat_ws(".", "doc_id", "ending").alias("filename"), _written("text", "ending", "source").alias("raw"))
+    htmls = pages.select(F.concat(F.lit("page-"), "page_id", F.lit(".html")).alias("filename"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("raw"))
+    for name, rows, files in (("documents", texts, docs.count()), ("pages", htmls, pages.count())):
+        imports.exported(rows.withColumn("below", imports.below(F.col("filename"), files)), f"{folder}/{name}")
     return folder
 
 
@@ -90,9 +95,14 @@ def imported_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_IMPORTED} SELECT filename, length(coalesce(text, '')) AS chars, title FROM found WHERE filename NOT LIKE 'page-%'")
 def extracted_files(spark: SparkSession, d: str) -> DataFrame:
-    """The documents among the files, through Spark's own reader of binary files."""
-    rows = files.extracted(files.imported(spark, _folder(spark, d)))
-    return rows.select("filename", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), "title")
+    """The documents among the files, through Spark's own reader of binary files. It lists files on the driver, so folders are read a few
+    at a time."""
+    folders, parts = imports.folders_of(f"{_folder(spark, d)}/documents"), []
+    for at in range(0, len(folders), FOLDERS_AT_ONCE):
+        rows = files.extracted(files.imported(spark, folders[at : at + FOLDERS_AT_ONCE]))
+        rows = rows.select("filename", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), "title")
+        parts.append(rows if len(folders) <= FOLDERS_AT_ONCE else staged(rows, "extracted"))
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "filename string, chars long, title string"))
 
 
 @query(f"WITH {_IMPORTED} SELECT format, count(*) AS files, sum(len(text))::BIGINT AS chars, count(title) AS titles FROM found WHERE filename NOT LIKE '%.txt' GROUP BY 1")

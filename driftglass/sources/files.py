@@ -21,11 +21,11 @@ RTF_BREAKS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "column": "
 _RTF = re.compile(r"\\'([0-9a-fA-F]{2})|\\([a-zA-Z]+)(-?\d+)? ?|\\([^a-zA-Z])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
 
 
-def imported(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """(path, filename, length, content, format, error) of the files under path. Larger ones come without content, as errors. A folder is
+def imported(spark: SparkSession, path: str | list[str], most: int = MOST_BYTES) -> DataFrame:
+    """(path, filename, length, content, format, error) of the files under path, or paths. Larger ones come without content, as errors. A folder is
     listed once, where a pattern would have each of its files listed by itself; a small file counts for TO_OPEN bytes when tasks are dealt
-    files (Spark's own 4 MB put 32 files in a task)."""
-    own = beside(spark, spark__sql__files__openCostInBytes=str(TO_OPEN), spark__sql__execution__arrow__maxRecordsPerBatch="256")
+    files (Spark's own 4 MB put 32 files in a task). The listing goes with the frame: Spark would keep up to 250 MB of listings."""
+    own = beside(spark, spark__sql__files__openCostInBytes=str(TO_OPEN), spark__sql__execution__arrow__maxRecordsPerBatch="256", spark__sql__hive__manageFilesourcePartitions="false")
     rows = own.read.format("binaryFile").load(path)
     fits = F.col("length") <= most
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length", F.when(fits, F.col("content")).alias("content"), F.when(fits, sniff(F.col("content"))).alias("format"), F.when(~fits, "too-large").alias("error"))

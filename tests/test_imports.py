@@ -96,3 +96,37 @@ def test_files_are_written_few_at_a_time(spark, monkeypatch):
 def test_rtf_of_every_kind_of_character():
     text = "a\\b{c}\n\t\x7f\x00\r~ é日😀"
     assert import_queries.as_rtf(text) == b"{\\rtf1\\ansi{\\fonttbl{\\f0 Times;}}a\\\\b\\{c\\}\\par \t\\u127?\\u0?\\u13?~ \\u233?\\u26085?\\u-10179?\\u-8704?}"
+
+
+def test_the_driver_names_folders_not_files(tmp_path, monkeypatch):
+    """What a task is told doesn't grow with its files; it lists them again, but for those of a very large folder."""
+    import pickle
+
+    for name in [f"{a}/{i:04d}.{e}" for a in ("one", "two", "_no") for i in range(500) for e in ("txt", "rtf")] + ["root.rtf", ".hid.rtf"]:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    reader = imports.PushedReader(f"file://{tmp_path}", 100)
+    assert list(reader.pushFilters([StringEndsWith(("filename",), ".rtf")])) == []
+    monkeypatch.setattr(imports, "TO_OPEN", 100)
+    monkeypatch.setattr(imports, "A_TASK", 105 * 300)
+    want = [("root.rtf", 5)] + [(f"{a}/{i:04d}.rtf", 5) for a in ("one", "two") for i in range(500)]
+    for most in (imports.LISTED_AGAIN, 400):
+        monkeypatch.setattr(imports, "LISTED_AGAIN", most)
+        tasks = reader.partitions()
+        assert len(tasks) == 4 and all(len(list(t.paths)) <= 300 for t in tasks)
+        assert [(p.removeprefix(f"{tmp_path}/"), n) for t in tasks for p, n in pickle.loads(pickle.dumps(t)).paths] == want
+        assert (max(len(pickle.dumps(t)) for t in tasks) < 1000) == (most > 400)
+
+
+def test_many_files_are_read_folder_by_folder(spark, monkeypatch):
+    """Documents go to many folders, and Spark's reader gets a few of these at a time."""
+    data = "/root/testdata/sf0.001"
+    whole = {tuple(r) for r in import_queries.extracted_files(spark, data).collect()}
+    monkeypatch.setattr(imports, "A_FOLDER", 10)
+    asked, imported = [], files.imported
+    monkeypatch.setattr(files, "imported", lambda s, path: (asked.append(len(path)), imported(s, path))[1])
+    monkeypatch.setattr(import_queries, "FOLDERS_AT_ONCE", 3)
+    got = import_queries.extracted_files(spark, data).collect()
+    assert len(got) == len(whole) and {tuple(r) for r in got} == whole and len(asked) > 3 and max(asked) == 3
+    folder = import_queries._folder(spark, data)
+    assert len(imports.folders_of(f"{folder}/documents")) > 10 and imports.read_imports(spark, folder).select("filename").distinct().count() == len(got) + spark.read.parquet(f"{data}/pages.parquet").count()
